@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, resharding
 
 
 def _documents(f):
@@ -10,7 +10,10 @@ def _documents(f):
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": _documents(line_dedup.query)}
+    return {
+        "op1_line_dedup": _documents(line_dedup.query),
+        "op2_resharding": _documents(resharding.query),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
