@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, resharding
+from . import decontamination, line_dedup, packing, pii, quality_rules, resharding
 
 
 def _documents(f):
@@ -13,6 +13,10 @@ def queries() -> dict:
     return {
         "op1_line_dedup": _documents(line_dedup.query),
         "op2_resharding": _documents(resharding.query),
+        "op4_decontamination": lambda spark, sf_dir: decontamination.query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+        "op6_pii": _documents(pii.find),
+        "op7_quality_rules": _documents(quality_rules.query),
+        "op8_packing": _documents(packing.query),
     }
 
 
