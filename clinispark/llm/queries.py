@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, packing, pii, quality_rules, resharding
+from . import decontamination, line_dedup, packing, pii, quality_rules, resharding, substring_dedup, warc
 
 
 def _documents(f):
@@ -13,7 +13,9 @@ def queries() -> dict:
     return {
         "op1_line_dedup": _documents(line_dedup.query),
         "op2_resharding": _documents(resharding.query),
+        "op3_substring_dedup": _documents(substring_dedup.query),
         "op4_decontamination": lambda spark, sf_dir: decontamination.query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+        "op5_warc": lambda spark, sf_dir: warc.query(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op6_pii": _documents(pii.find),
         "op7_quality_rules": _documents(quality_rules.query),
         "op8_packing": _documents(packing.query),
@@ -21,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL}
