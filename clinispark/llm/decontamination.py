@@ -5,7 +5,7 @@ sketch is its k = floor((1 - t) * u) + 1 smallest shingle hashes. A document tha
 lacks at most (1 - t) * u of them, so it holds one of the sketch: testing the sketch against the whole set of the
 document, whatever the document's length, loses no pair. Pairs found so are verified on all shingles.
 
-Words are cut at blanks, lower-cased, and freed of characters at their ends that are neither letters nor digits.
+Texts are lower-cased and freed of ASCII punctuation, then cut at blanks.
 
 Defined cases: null or empty texts and items without words match nothing; an item of fewer than five words is one
 shingle of all of them, sought as a run of words; rows that repeat match each; an empty benchmark or table gives an
@@ -14,36 +14,27 @@ empty result; documents are read whole; columns beside doc_id, item_id and text
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .words import EMPTY, U64, Hashes, windows
+from .words import LOWER, U64, hashed, windows
 
 WIDTH, LEAST = 5, 0.8
+PUNCTUATION = string.punctuation.encode()
 #: Bytes of item shingles up to which all tasks get the whole index; above, sketches and documents meet in a shuffle.
 BROADCAST_BYTES = 32 << 20
 PAIRS = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 
 
-class Normal(Hashes):
-    """Hashes of words without regard to case and edge punctuation; a word of punctuation only hashes to nothing."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        text = word.decode(errors="replace").lower()
-        a, b = 0, len(text)
-        while a < b and not text[a].isalnum():
-            a += 1
-        while b > a and not text[b - 1].isalnum():
-            b -= 1
-        out = xxhash.xxh64_intdigest(text[a:b].encode(), self.seed).to_bytes(8, "little") if a < b else b""
-        if len(word) <= 64:
-            self[word] = out
-        return out
+def normal(text: bytes) -> bytes:
+    """Lower case, and ASCII punctuation deleted."""
+    if text.isascii():
+        return text.translate(LOWER, PUNCTUATION)
+    return text.translate(None, PUNCTUATION).decode().lower().encode()
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -76,29 +67,30 @@ class Index:
             h, o = np.concatenate(sketch[width]), np.concatenate(owner[width])
             order = np.argsort(h, kind="stable")
             self.sketch[width] = h[order], o[order]
+        self.keys = {width: np.unique(h) for width, (h, _) in self.sketch.items()}
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item's place, its shingles, those shared) of items contained in a document."""
         out = []
         for width, (h, o) in self.sketch.items():
-            found = np.unique(windows(words, WIDTH) if width == WIDTH else _short(words, width))
-            if not len(found):
+            found = windows(words, WIDTH) if width == WIDTH else _short(words, width)
+            place = np.minimum(np.searchsorted(self.keys[width], found), len(self.keys[width]) - 1)
+            keys = np.unique(found[self.keys[width][place] == found])
+            if not len(keys):
                 continue
-            at = np.searchsorted(found, h)
-            hit = (at < len(found)) & (found[np.minimum(at, len(found) - 1)] == h)
+            hit = np.isin(h, keys)
             for i in np.unique(o[hit]):
                 s = self.items[i][1]
-                at = np.searchsorted(found, s)
-                shared = int(((at < len(found)) & (found[np.minimum(at, len(found) - 1)] == s)).sum())
+                shared = len(np.intersect1d(s, found))
                 if shared >= self.least * len(s) - 1e-9:
                     out.append((int(i), len(s), shared))
         return out
 
 
 def item_sets(rows: list[tuple[int, bytes]]) -> list[tuple[int, np.ndarray, int]]:
-    hashes, out = Normal(), []
+    out = []
     for item, text in rows:
-        words = hashes.of(text.split())
+        words, _ = hashed([normal(text)])
         width = min(WIDTH, len(words))
         if width:
             s = shingles(words) if width == WIDTH else np.unique(_short(words, width))
@@ -127,12 +119,12 @@ def find(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST) -> Data
 
             from .words import binary
 
-            hashes, one = Normal(), index.value
+            one = index.value
             for batch in batches:
+                words, at = hashed([normal(t or b"") for t in binary(batch.column("text"))])
                 out = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), binary(batch.column("text")), strict=True):
-                    words = hashes.of((text or b"").split()) if text else EMPTY
-                    out += [(doc, one.items[i][0], n, shared, shared / n) for i, n, shared in one.matches(words)]
+                for k, doc in enumerate(batch.column("doc_id").to_pylist()):
+                    out += [(doc, one.items[i][0], n, shared, shared / n) for i, n, shared in one.matches(words[at[k] : at[k + 1]])]
                 yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "n_item_shingles", "n_shared", "containment"), r, strict=True)) for r in out], schema=_pairs())
 
         part = store.columns(docs, "doc_id", "text").mapInArrow(scan, PAIRS)

@@ -12,48 +12,61 @@ repeat count each; an empty table gives an empty result; texts of any length are
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import store
-from .words import Hashes, windows
+from .words import hashed, windows
 
-SYMBOL = re.compile(rb"[#*$%&|<>]")
+BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Metrics and the least distance of the fence from the 90th percentile, since a sketch that is mostly zeros has no spread.
 METRICS = {"symbol_rate": 0.2, "dup_line_rate": 0.3, "repeat_rate": 0.2, "word_length": 2.0}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def measure(text: bytes, hashes: Hashes) -> tuple[int, ...]:
-    """COUNTS of one text."""
-    words = text.split()
-    n = len(words)
-    joined = b"".join(words)
-    chars = len(joined) if joined.isascii() else len(joined.decode())
+def repeated_words(words: np.ndarray, width: int = 8) -> int:
+    """Words in windows of `width` words that occur twice or more."""
+    if len(words) <= width:
+        return 0
+    found = windows(words, width)
+    order = np.sort(found)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return 0
+    marks = np.zeros(len(words) + 1, np.int64)
+    at = np.flatnonzero(np.isin(found, twice))
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + width, -1)
+    return int((np.cumsum(marks) > 0).sum())
+
+
+def repeated_lines(lines: list[bytes]) -> int:
+    """Lines with a word that equal an earlier line."""
+    if len(set(lines)) == len(lines):
+        return 0
     seen: set[bytes] = set()
-    lines = text.split(b"\n")
     dup = 0
     for line in lines:
         if line in seen:
             dup += bool(line.split())
         else:
             seen.add(line)
-    repeat = 0
-    if n >= 9:
-        found = windows(hashes.of(words), 8)
-        order = np.sort(found)
-        twice = order[1:][order[1:] == order[:-1]]
-        if len(twice):
-            marks = np.zeros(n + 1, np.int64)
-            at = np.flatnonzero(np.isin(found, twice))
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + 8, -1)
-            repeat = int((np.cumsum(marks)[:n] > 0).sum())
-    return n, chars, len(SYMBOL.findall(joined)), len(lines), dup, repeat
+    return dup
+
+
+def measure(texts: list[bytes]) -> np.ndarray:
+    """COUNTS of each text, a row a text."""
+    words, starts = hashed(texts)
+    out = np.zeros((len(texts), len(COUNTS)), np.int64)
+    for i, text in enumerate(texts):
+        lines, n = text.split(b"\n"), int(starts[i + 1] - starts[i])
+        blanks = len(text) - len(text.translate(None, BLANKS))
+        chars = len(text) if text.isascii() else len(text.decode())
+        symbols = len(text) - len(text.translate(None, SYMBOLS))
+        out[i] = n, chars - blanks, symbols, len(lines), repeated_lines(lines), repeated_words(words[starts[i] : starts[i + 1]])
+    return out
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -68,13 +81,11 @@ def measured(docs: DataFrame) -> DataFrame:
 
         from .words import binary
 
-        hashes = Hashes()
         for batch in batches:
-            rows = [measure(t or b"", hashes) for t in binary(batch.column("text"))]
-            counts = np.array(rows, np.int64).reshape(-1, len(COUNTS)).T
+            counts = measure([t or b"" for t in binary(batch.column("text"))]).T
             names = batch.schema.names
             kept = [batch.column(i) for i, c in enumerate(names) if c != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, counts)], names=[*rest, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(np.ascontiguousarray(c)) for c in counts]], names=[*rest, *COUNTS])
 
     return docs.mapInArrow(scan, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .exchange import cuts, narrow, pack, pack_sorted, unpack, unpack_sorted
-from .words import BASE, EMPTY, MIX1, U64, Hashes, windows
+from .words import BASE, EMPTY, MIX1, U64, hashed, windows
 
 LENGTH = 35
 #: Perfect difference covers: modulus and cover.
@@ -35,8 +35,6 @@ BLOB = "range int, chunk int, kind int, first binary, second binary, at binary"
 ANSWER = "chunk int, at binary"
 SECOND = BASE ^ MIX1 | U64(1)
 
-_hashes: Hashes | None = None
-
 
 class Stream:
     """The words of a chunk's documents, in an order that only their rows decide."""
@@ -44,14 +42,10 @@ class Stream:
     def __init__(self, table, length: int = LENGTH, period: int = PERIOD):
         from .words import binary
 
-        global _hashes
-        _hashes = _hashes or Hashes()
         docs, texts = table.column("doc_id").to_pylist(), [t or b"" for t in binary(table.column("text"))]
         order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, texts[i]))
         self.docs, self.texts = [docs[i] for i in order], [texts[i] for i in order]
-        found = [_hashes.of(t.split()) for t in self.texts]
-        self.starts = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])
-        self.words = np.concatenate(found) if found else EMPTY
+        self.words, self.starts = hashed(self.texts)
         self.length, self.period = length, period
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +202,6 @@ def dedup_substrings(docs: DataFrame, *, length: int = LENGTH, period: int = PER
 
     by_chunk = dealt.groupBy("chunk")
     anchors = by_chunk.applyInArrow(ask_anchors, BLOB).groupBy("range").applyInArrow(answer, ANSWER)
-    anchors = store.written(anchors, "anchors")
     certain = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(ask_windows, BLOB).groupBy("range").applyInArrow(answer, ANSWER)
     found = anchors.withColumn("kind", F.lit(0)).unionByName(certain.withColumn("kind", F.lit(1)))
     return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(finish, RESULT)

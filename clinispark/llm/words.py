@@ -1,37 +1,94 @@
 """Words of UTF-8 texts as 64-bit hashes, and hashes of their windows, in NumPy.
 
-A word is a run of bytes other than space and 0x09-0x0D, which is how bytes.split() cuts.
+A word is a run of bytes other than space and 0x09-0x0D, which is how bytes.split() cuts. All words of a block of texts
+are hashed together, without a Python object for each.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import xxhash
 
 U64 = np.uint64
 #: An odd multiplier for polynomial window hashes, and the two of a 64-bit finaliser.
 BASE, MIX1, MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 EMPTY = np.zeros(0, U64)
-
-
-class Hashes(dict):
-    """word -> 8 bytes of its hash; forgets all when it holds `most` words, so that memory is bounded."""
-
-    def __init__(self, seed: int = 0, most: int = 200_000):
-        super().__init__()
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = xxhash.xxh64_intdigest(word, self.seed).to_bytes(8, "little")
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), U64)
+_blank = re.compile(rb"[\x20\x09-\x0D]")
+
+
+#: Bytes that are hashed at once; longer texts are cut at blanks.
+BLOCK = 1 << 20
+BLANK = np.zeros(256, bool)
+BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: A random number for each byte value, and the byte base of word hashes.
+BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+STEP = 0xD6E8FEB86659FD93
+_powers: dict[str, np.ndarray] = {}
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP ** i and its inverse modulo 2 ** 64, for i below n."""
+    if len(_powers.get("up", ())) < n:
+        size = max(n, BLOCK + (BLOCK >> 2))
+        for key, base in (("up", STEP), ("down", pow(STEP, -1, 1 << 64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers[key] = np.multiply.accumulate(x)
+    return _powers["up"], _powers["down"]
+
+
+def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    word = ~BLANK[data]
+    edge = np.diff(word, prepend=False, append=False)
+    at = np.flatnonzero(edge)
+    return at[::2], at[1::2]
+
+
+def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of words by differences of one running sum, mixed with the length."""
+    up, down = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * BASE)
+
+
+def _blocks(texts: list[bytes]):
+    """(texts' numbers, joined bytes, offsets) of about BLOCK bytes each; a long text is cut at blanks into several."""
+    numbers, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while True:
+            end = len(text)
+            if end - at > BLOCK:
+                m = _blank.search(text, at + BLOCK)
+                end = m.start() if m else end
+            part = text if end - at == len(text) else text[at:end]
+            numbers.append(i)
+            held.append(part)
+            size += len(part) + 1
+            if size >= BLOCK:
+                yield numbers, held
+                numbers, held, size = [], [], 0
+            if end >= len(text):
+                break
+            at = end
+    if held:
+        yield numbers, held
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and where each text's begin: len(texts) + 1 positions."""
+    counts, out = np.zeros(len(texts) + 1, np.int64), []
+    for numbers, held in _blocks(texts):
+        data = np.frombuffer(b"\n".join(held), np.uint8)
+        starts, ends = _cut(data)
+        out.append(_hash_block(data, starts, ends))
+        first = np.concatenate([[0], np.cumsum([len(h) + 1 for h in held])])
+        np.add.at(counts, np.array(numbers) + 1, np.diff(np.searchsorted(starts, first)))
+    return (np.concatenate(out) if out else EMPTY), np.cumsum(counts)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
