@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, packing, pii, quality_rules, resharding, substring_dedup, warc
+from . import decontamination, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, resharding, substring_dedup, warc
 
 
 def _documents(f):
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op6_pii": _documents(pii.find),
         "op7_quality_rules": _documents(quality_rules.query),
         "op8_packing": _documents(packing.query),
+        "op9_lm_scoring": lambda spark, sf_dir: lm_scoring.query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op10_jaccard_join": _documents(jaccard_join.query),
     }
 
