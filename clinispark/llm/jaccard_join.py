@@ -29,7 +29,7 @@ from .substring_dedup import _rows, runs_of
 from .words import BASE, EMPTY, LOWER, U64, binary, hashed, mixed, windows
 
 WIDTH, PERCENT, RARE = 5, 80, 16
-CHUNK_BYTES, RANGE_TOKENS, BLOCK_TOKENS = 8_000_000, 1_500_000, 3_000_000
+CHUNK_BYTES, RANGE_TOKENS, BLOCK_TOKENS = 8_000_000, 2_500_000, 3_000_000
 SLIM = "doc_id long, n long, key long, check long"
 BLOB = "range int, tokens binary, owner binary, keys binary, sizes binary, df binary"
 CANDIDATE = "key long, n long, tokens binary, ikeys binary"
