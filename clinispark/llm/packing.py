@@ -29,33 +29,86 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian 32-bit numbers; the vocabulary drops white space, so words stand for themselves.
+_memories: dict[str, WordIds] = {}
 
-    Forgets all at `most` words, so that memory is bounded; long words are not kept.
+
+def memory(path: str) -> WordIds:
+    """The memory of this Python worker, kept from task to task."""
+    if path not in _memories:
+        _memories[path] = WordIds(path)
+    return _memories[path]
+
+
+class WordIds:
+    """Ids of texts through a memory of words; the vocabulary drops white space, so words stand for themselves.
+
+    All words of a batch that are not known yet are encoded in one call. The memory has two generations of about `most`
+    words: when the younger is full the older is forgotten, but for words used since. So it is bounded and frequent
+    words stay.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, word: bytes) -> bytes:
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Puts words into the memory: ids of a word are those of its stem and of the point or comma after it."""
+        split = [self._stem(w) for w in words]
+        stems = {s for s, _ in split}
+        lacking = stems.difference(self.known)
+        again = lacking.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._encode(list(lacking - again) + [p for p in (b".", b",") if p not in self.known])
+        for word, (stem, point) in zip(words, split, strict=True):
+            self.known[word] = self.known[stem] + (self.known[point] if point else b"")
+
+    @staticmethod
+    def _stem(word: bytes) -> tuple[bytes, bytes]:
+        """A word in lower case without one last point or comma after a letter: a border of tokens in this vocabulary.
+
+        A special token counts only as it is written, so such words are left alone.
+        """
+        if b"<|" in word:
+            return word, b""
+        low = word.lower()
+        if low[-1:] in (b".", b",") and len(low) > 1 and (low[-2:-1].isalpha() or low[-2] >= 128 and low[:-1].decode()[-1].isalpha()):
+            return low[:-1], low[-1:]
+        return low, b""
+
+    def _encode(self, words: list[bytes]) -> None:
         import numpy as np
 
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = out
+        if not words:
+            return
+        found = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))
+        at = 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.known[word] = ids[at:end]
+            at = end
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each whole text, as those of the words between its ASCII blanks."""
+        cut = [t.split() for t in texts]
+        seen = set().union(*cut)
+        new = seen.difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        if new := list(new - again):
+            self._learn(new)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in cut]
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
         return out
 
-    def of(self, text: bytes) -> bytes:
-        """The ids of a whole text, as those of the words between its ASCII blanks."""
-        return b"".join(map(self.__getitem__, text.split()))
-
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """docs (doc_id, text) -> PIECES."""
@@ -65,12 +118,13 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
 
         from .words import binary
 
-        ids = WordIds(path or tokenizer_path())
+        ids = memory(path or tokenizer_path())
         end = END.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), binary(batch.column("text")), strict=True):
-                every = ids.of(text or b"") + end
+            found = ids.of([t or b"" for t in binary(batch.column("text"))])
+            for doc, every in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                every += end
                 for k, at in enumerate(range(0, len(every), 4 * size)):
                     part = every[at : at + 4 * size]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
