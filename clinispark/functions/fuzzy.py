@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 #: ITRANS letters of the Devanagari block. Consonants carry an inherent a; signs replace it.
 CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ", "k kh g gh ~N ch Ch j jh ~n T Th D Dh N t th d dh n p ph b bh m y r l v sh Sh s h L".split(), strict=True))
@@ -48,13 +49,13 @@ def _romanize(text: str) -> str:
     return re.sub("a$", "", itrans(text).lower().replace(".c", "").replace("ph", "f").replace("ai", "a"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def romanize(text: pd.Series) -> pd.Series:
     """Lower-case romanisation with English loan words in mind; null stays null."""
     return text.map(_romanize, na_action="ignore")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; not symmetric, the span is `a`."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

@@ -51,14 +51,12 @@ def longest_leftmost(matches: Column) -> Column:
 
 def rebuild(tokens: Column, chosen: Column, put) -> Column:
     """Words joined by blanks, with put(match, span text) in place of each chosen span."""
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda i: F.coalesce(
-            F.get(F.transform(F.filter(chosen, lambda m: m["start_word"] == i), lambda m: put(m, F.array_join(F.slice(tokens, m["start_word"] + 1, m["end_word"] - m["start_word"]), " "))), F.lit(0)),
-            F.when(~F.exists(chosen, lambda m: (m["start_word"] < i) & (i < m["end_word"])), F.get(tokens, i)),
-        ),
-    )
-    return F.array_join(F.filter(pieces, lambda p: p.isNotNull()), " ")
+    end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(chosen, i - 1)["end_word"])
+    span = lambda m: F.array_join(F.slice(tokens, m["start_word"] + 1, m["end_word"] - m["start_word"]), " ")
+    pieces = F.transform(chosen, lambda m, i: F.array_join(F.concat(F.slice(tokens, end_before(i) + 1, m["start_word"] - end_before(i)), F.array(put(m, span(m)))), " "))
+    last = F.coalesce(F.try_element_at(chosen, F.lit(-1))["end_word"], F.lit(0))
+    rest = F.slice(tokens, last + 1, F.greatest(F.size(tokens) - last, F.lit(0)))
+    return F.array_join(F.concat(pieces, rest), " ")
 
 
 def replace_spans(text: Column, tokens: Column, chosen: Column) -> Column:

@@ -70,3 +70,8 @@ def first_quoted(x: Column) -> Column:
 
 def falsy_to_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once a row, however often use names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

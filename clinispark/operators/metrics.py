@@ -18,12 +18,15 @@ def entity_keywords(raw: Column, only: str | None = None) -> Column:
     return F.array_distinct(F.filter(found, lambda k: k != ""))
 
 
-def keyword_counts(reference: Column, hypothesis: Column, keywords: Column) -> Column:
-    """struct<present, missed>: keywords found in the reference, and those of them not in the hypothesis, as substrings."""
-    ref, hyp = T.normalize_text(reference), T.normalize_text(hypothesis)
-    present = F.filter(F.transform(keywords, T.normalize_text), lambda k: ref.contains(k))
-    missed = F.filter(present, lambda k: ~hyp.contains(k))
-    return F.struct(F.size(present).cast("long").alias("present"), F.size(missed).cast("long").alias("missed"))
+def keyword_counts(reference: Column, hypothesis: Column, keywords: Column, *, normalized: bool = False) -> Column:
+    """struct<present, missed>: keywords found in the reference, and those of them not in the hypothesis, as substrings.
+
+    A keyword list that all rows share should be normalized once beforehand.
+    """
+    sides = F.struct(T.normalize_text(reference).alias("ref"), T.normalize_text(hypothesis).alias("hyp"))
+    present = T.let(sides, lambda x: F.struct(x["hyp"].alias("hyp"), F.filter(keywords if normalized else F.transform(keywords, T.normalize_text), lambda k: x["ref"].contains(k)).alias("found")))
+    missed = lambda x: F.filter(x["found"], lambda k: ~x["hyp"].contains(k))
+    return T.let(present, lambda x: F.struct(F.size(x["found"]).cast("long").alias("present"), F.size(missed(x)).cast("long").alias("missed")))
 
 
 def micro(counted: DataFrame, digits: int = 4) -> DataFrame:

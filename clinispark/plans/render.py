@@ -9,7 +9,6 @@ from clinispark.sources import lexicon
 
 BANNER = "DRAFT — NOT FOR CLINICAL USE — PHYSICIAN REVIEW REQUIRED"
 MARK, NONE = " ⚑", "—"
-ROW = ["note_id", "section_no", "section", "row_no", "cells", "flagged"]
 
 
 def vitals_table(notes: DataFrame, standard=lexicon.VITALS) -> DataFrame:
@@ -22,47 +21,49 @@ def vitals_table(notes: DataFrame, standard=lexicon.VITALS) -> DataFrame:
     return first.unionByName(rest).select("note_id", "row_no", "name", F.coalesce("value", F.lit(NONE)).alias("value"))
 
 
+def _row(no: int, name: str, row_no, cells, flagged):
+    return F.struct(F.lit(no).alias("section_no"), F.lit(name).alias("section"), row_no.cast("int").alias("row_no"), F.array(*cells).alias("cells"), flagged.alias("flagged"))
+
+
+def _each(no: int, name: str, items, cells, flagged):
+    return F.transform(items, lambda x, i: _row(no, name, i, cells(x), flagged(x)))
+
+
 def rows(notes: DataFrame) -> DataFrame:
-    low = F.col("low_confidence_fields")
-    is_low = lambda key: F.array_contains(low, key)
+    """All rows of each note from one pass: sections are arrays within the note's row."""
+    low, no = F.col("low_confidence_fields"), F.lit(False)
+    is_low = lambda prefix, key: F.array_contains(low, F.concat(F.lit(prefix), key))
     mark = lambda on: F.when(on, F.lit(MARK)).otherwise(F.lit(""))
-    out = []
-
-    def put(df, no, name, cells, flagged=None, row_no=None):
-        out.append(df.select("note_id", F.lit(no).alias("section_no"), F.lit(name).alias("section"), (row_no if row_no is not None else F.lit(0)).cast("int").alias("row_no"), F.array(*cells).alias("cells"), (flagged if flagged is not None else F.lit(False)).alias("flagged")))
-
-    def field(no, label, name):
-        on = is_low(F.lit(name))
-        put(notes.where(F.col(name).isNotNull()), no, label, [F.concat(F.col(name), mark(on))], on)
-
-    put(notes, 0, "Banner", [F.lit(BANNER)])
-    field(1, "Chief Complaint", "chief_complaint")
-    field(2, "History", "history")
-    s = notes.select("note_id", "low_confidence_fields", F.posexplode("symptoms").alias("pos", "x"))
-    on = is_low(F.concat(F.lit("symptoms."), F.col("x.name")))
-    status = F.when(F.col("x.finding_status") != "Present", F.concat(F.lit("["), F.col("x.finding_status"), F.lit("]")))
-    put(s, 3, "Symptoms", [F.concat(F.concat_ws(", ", "x.name", status, "x.severity", F.concat(F.lit("since "), F.col("x.since"))), mark(on))], on, F.col("pos"))
-    v = vitals_table(notes).join(notes.select("note_id", "low_confidence_fields"), "note_id")
-    on = is_low(F.concat(F.lit("vitals."), F.col("name")))
-    put(v, 4, "Vitals", [F.concat(F.col("name"), mark(on)), F.col("value")], on, F.col("row_no"))
-    field(5, "Examination", "examination")
-    d = notes.select("note_id", "low_confidence_fields", F.posexplode("diagnosis").alias("pos", "x"))
-    on = is_low(F.concat(F.lit("diagnosis."), F.col("x.term")))
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    wrapped = lambda a, c, b: empty(F.when(F.col(c) != "", F.concat(F.lit(a), F.col(c), F.lit(b))))
-    put(d, 6, "Diagnosis", [F.concat(F.col("x.term"), wrapped(" [", "x.status", "]"), wrapped(" (SNOMED: ", "x.snomed_id", ")"), mark(on))], on, F.col("pos"))
-    m = notes.select("note_id", F.posexplode("medications").alias("pos", "x"))
-    cells = [F.col("x.drug"), *[F.coalesce(f"x.{k}", F.lit(NONE)) for k in ("dose", "frequency", "timing", "duration")], F.when(F.col("x.validated"), F.lit("✓")).otherwise(F.lit("⚑ No"))]
-    put(m, 7, "Medications", cells, ~F.col("x.validated"), F.col("pos"))
-    for no, label, name in ((8, "Investigations (Ordered)", "investigations"), (9, "Diagnostic Results (Available)", "diagnostic_results")):
-        put(notes.select("note_id", F.posexplode(name).alias("pos", "x")), no, label, [F.col("x")], None, F.col("pos"))
-    field(10, "Advice", "advice")
-    field(11, "Follow-up", "follow_up")
-    put(notes.where(F.size(low) > 0), 12, "Low-confidence fields", [F.array_join(F.array_sort(F.array_distinct(low)), ", ")], F.lit(True))
-    all_rows = out[0]
-    for df in out[1:]:
-        all_rows = all_rows.unionByName(df)
-    return all_rows
+    dash = lambda c: F.coalesce(c, F.lit(NONE))
+    wrapped = lambda a, c, b: F.when(c != "", F.concat(F.lit(a), c, F.lit(b))).otherwise(F.lit(""))
+
+    def field(section_no, label, name):
+        on = is_low("", F.lit(name))
+        return F.when(F.col(name).isNotNull(), F.array(_row(section_no, label, F.lit(0), [F.concat(F.col(name), mark(on))], on)))
+
+    def symptom(x):
+        status = F.when(x["finding_status"] != "Present", F.concat(F.lit("["), x["finding_status"], F.lit("]")))
+        return [F.concat(F.concat_ws(", ", x["name"], status, x["severity"], F.concat(F.lit("since "), x["since"])), mark(is_low("symptoms.", x["name"])))]
+
+    standard = F.array(*map(F.lit, lexicon.VITALS))
+    value = lambda name: F.try_element_at(F.filter("vitals", lambda v: v["name"] == name), F.lit(-1))["value"]
+    names = F.concat(standard, F.array_except(F.col("vitals.name"), standard))
+    sections = [
+        F.array(_row(0, "Banner", F.lit(0), [F.lit(BANNER)], no)),
+        field(1, "Chief Complaint", "chief_complaint"),
+        field(2, "History", "history"),
+        _each(3, "Symptoms", F.col("symptoms"), symptom, lambda x: is_low("symptoms.", x["name"])),
+        _each(4, "Vitals", names, lambda n: [F.concat(n, mark(is_low("vitals.", n))), dash(value(n))], lambda n: is_low("vitals.", n)),
+        field(5, "Examination", "examination"),
+        _each(6, "Diagnosis", F.col("diagnosis"), lambda x: [F.concat(x["term"], wrapped(" [", x["status"], "]"), wrapped(" (SNOMED: ", x["snomed_id"], ")"), mark(is_low("diagnosis.", x["term"])))], lambda x: is_low("diagnosis.", x["term"])),
+        _each(7, "Medications", F.col("medications"), lambda x: [x["drug"], *[dash(x[k]) for k in ("dose", "frequency", "timing", "duration")], F.when(x["validated"], F.lit("✓")).otherwise(F.lit("⚑ No"))], lambda x: ~x["validated"]),
+        _each(8, "Investigations (Ordered)", F.col("investigations"), lambda x: [x], lambda x: no),
+        _each(9, "Diagnostic Results (Available)", F.col("diagnostic_results"), lambda x: [x], lambda x: no),
+        field(10, "Advice", "advice"),
+        field(11, "Follow-up", "follow_up"),
+        F.when(F.size(low) > 0, F.array(_row(12, "Low-confidence fields", F.lit(0), [F.array_join(F.array_sort(F.array_distinct(low)), ", ")], F.lit(True)))),
+    ]
+    return notes.select("note_id", F.explode(F.flatten(F.array_compact(F.array(*sections)))).alias("r")).select("note_id", "r.*")
 
 
 def documents(rendered: DataFrame) -> DataFrame:
