@@ -53,10 +53,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Above this an estimate is Catalyst's stand-in for a plan of unknown size.
+UNKNOWN = 1 << 60
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the tables that df reads, from file listings; no job is run."""
+    """Catalyst's size of the tables that df reads, from file listings without a job; of other plans the bytes of their texts."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size < UNKNOWN:
+        return size
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
+    return df.agg(F.coalesce(F.sum(sum(texts, F.lit(16)).cast("long")), F.lit(0))).first()[0]
 
 
 def parts(total: float, each: float, least: int = 1) -> int:

@@ -1,0 +1,309 @@
+"""Each operator against brute force on a small fixture with nulls, empty and long texts, ties, repeated rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from clinispark.llm import components, decontamination, exchange, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, resharding, substring_dedup, warc
+from clinispark.llm.words import BLOCK, hashed, windows
+
+RNG = random.Random(11)
+VOCAB = ["alpha", "Beta", "gamma,", "delta", "épsilon", "zeta.", "eta", "theta", "iota", "kappa", "lamda", "mu"]
+
+
+def prose(n, rng=RNG):
+    return "".join(rng.choice(VOCAB) + str(rng.randint(0, 400)) + rng.choice([" ", " ", " ", "\n", "\t "]) for _ in range(n))
+
+
+def fixture():
+    base, passage = prose(90), prose(60)
+    rows = [(i, prose(RNG.randint(20, 150)), "en", "s") for i in range(30)]
+    words = base.split(" ")
+    for i in range(30, 42):  # near copies
+        w = list(words)
+        for _ in range(RNG.randint(0, 4)):
+            w[RNG.randrange(len(w))] = "changed" + str(RNG.randint(0, 9))
+        rows.append((i, " ".join(w), "en", "s"))
+    rows += [(42, base, "en", "s"), (43, base, None, None), (44, None, "en", "s"), (45, "", "en", "s"), (46, " \n ", "en", "s")]
+    rows += [(47, prose(30) + passage + prose(10), "de", "s"), (48, passage + prose(40), "de", "s"), (49, passage.upper(), "de", "s")]
+    rows += [(50, "one two three", "en", "s"), (51, "ONE two  three", "en", "s"), (52, "same line here\nsame line here\nx", "en", "s"), (53, "Same line here \ny", "en", "s")]
+    rows += [(54, "word " * 6000, "en", "s"), (None, prose(30), "en", "s"), (55, base, "en", "s"), (55, base, "en", "s")]
+    return rows
+
+
+ROWS = fixture()
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # columns whose names operators use within
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 1, "x", 0) for r in ROWS], SCHEMA + ", n_chars long, chunk int, key string, n long")
+    return df.repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA + ", n_chars long")
+
+
+def ascii_lower(b):
+    return b.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+
+
+def test_words_and_windows():
+    texts = [b"", b"a b", b"  x\x0bq ", ("é " * (BLOCK // 2)).encode(), b"a b"]
+    h, at = hashed(texts)
+    assert np.diff(at).tolist() == [len(t.split()) for t in texts]
+    assert (h[at[1] : at[2]] == h[at[4] : at[5]]).all() and len(set(h.tolist())) == 5
+    x = np.arange(1, 50, dtype=np.uint64)
+    for k in (1, 5, 8, 35):
+        w = windows(np.concatenate([x, x]), k)
+        assert (w[: 49 - k + 1] == w[49:]).all() and len(set(w.tolist())) == 49
+
+
+def test_packing_blobs():
+    x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 999, dtype=np.uint64))
+    assert (exchange.unpack_sorted(exchange.pack_sorted(x)) == x).all() and exchange.cuts(x, 7)[-1] == 999
+
+
+def test_covers():
+    for v, cover in substring_dedup.COVERS.items():
+        assert {(a - b) % v for a in cover for b in cover} == set(range(v))
+
+
+def test_line_dedup(docs, empty):
+    def key(line):
+        return ascii_lower(line.strip(" \t\n\x0b\x0c\r").encode()).decode()
+
+    order = lambda d: (d is None, d or 0)
+    first = {}
+    for d, t, *_ in ROWS:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 10:
+                first[key(line)] = min(first.get(key(line), (True, 0)), order(d))
+    want = collections.Counter()
+    for d, t, *_ in ROWS:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 10 or first[key(x)] >= order(d)]
+        want[d, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
+    assert collections.Counter(map(tuple, line_dedup.query(docs).collect())) == want
+    assert line_dedup.query(empty).count() == 0
+
+
+def test_resharding(docs, empty):
+    out = resharding.query(docs).toPandas()
+    assert len(out) == len(ROWS) and set(out.shard) <= set(range(40))
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    want = collections.Counter((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, *_ in ROWS)
+    assert collections.Counter(zip(out["size"], out.text_crc32, strict=True)) == want
+    assert resharding.query(empty).count() == 0
+
+
+def test_min_cost_flow_moves_least():
+    rng = random.Random(2)
+    for _ in range(40):
+        supply = [rng.randint(0, 20) for _ in range(4)]
+        room = [rng.randint(0, 30) for _ in range(5)]
+        room[0] += max(0, sum(supply) - sum(room))
+        flow = resharding.min_cost_flow(supply, room)
+        assert [sum(f for (i, _), f in flow.items() if i == k) for k in range(4)] == supply
+        assert all(sum(f for (_, j), f in flow.items() if j == k) <= room[k] for k in range(5))
+        assert sum(f for (i, j), f in flow.items() if i == j) == sum(min(s, r) for s, r in zip(supply, room, strict=False))
+
+
+def test_reshard_rewrites(spark, tmp_path):
+    df = spark.createDataFrame([(i, "t" * (i % 17)) for i in range(200)], "doc_id long, text string").selectExpr("*", "cast(doc_id % 3 as int) AS shard")
+    df.write.partitionBy("shard").parquet(str(tmp_path / "old"))
+    moved = resharding.reshard(spark, str(tmp_path / "old"), str(tmp_path / "new"), 4)
+    rows = [r.doc_id for p in moved.collect() for r in spark.read.parquet(p.path).collect()]
+    assert sorted(rows) == list(range(200)) and moved.count() == 4
+
+
+def test_substring_dedup(docs, empty):
+    texts = [(d, (t or "").encode().split()) for d, t, *_ in ROWS]
+    seen = collections.Counter(tuple(w[k : k + 35]) for _, w in texts for k in range(len(w) - 34))
+    want = collections.Counter()
+    for d, w in texts:
+        lost = [False] * len(w)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                lost[k : k + 35] = [True] * 35
+        want[d, len(w), sum(lost), hashlib.sha256(b" ".join(x for x, y in zip(w, lost, strict=True) if not y)).hexdigest()] += 1
+    assert collections.Counter(map(tuple, substring_dedup.query(docs).collect())) == want
+    assert substring_dedup.query(empty).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    def words(t):
+        return "".join(c for c in (t or "").lower() if c not in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").split()
+
+    items = [(i, " ".join(ROWS[i][1].split()[3:25])) for i in range(0, 20, 3)] + [(90, "one two three"), (91, None), (92, "..."), (93, "Nothing like this at all here")]
+    items += [(94, " ".join(ROWS[47][1].split()[2:22] + ["odd"]))]
+    got = {(r.doc_id, r.item_id) for r in decontamination.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for d, t, *_ in ROWS:
+        w = words(t)
+        for i, x in items:
+            v = words(x)
+            n = min(5, len(v))
+            if n:
+                s = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}
+                if len(s & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}) >= 0.8 * len(s):
+                    want.add((d, i))
+    assert got == want and len(got) > 8
+    assert decontamination.find(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert decontamination.find(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    rows = [(1, "u1", "x" * 1200), (2, "u2", "x" * 1200), (3, None, "small"), (4, "u4", "small"), (5, "u5", None), (6, "u6", "é\r\n\r\n" * 400), (7, "u\r\nEvil: 1", "é\r\n\r\n" * 400)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.query(pages).collect()}
+    for i, _, h in rows:
+        b = (h or "").encode()
+        last = max(j for j, _, g in rows if (g or "").encode() == b)
+        again = len(b) >= 1000 and last != i
+        assert got[i] == (len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", last if again else None)
+    path = str(tmp_path / "store")
+    warc.archive(pages, path)
+    found = warc.records(spark, path)
+    for gzip in (False, True):
+        warc.write_files(found, str(tmp_path / f"w{gzip}"), gzip=gzip)
+        back = warc.read_files(spark, str(tmp_path / f"w{gzip}")).collect()
+        mine = {r.header: b"" if "WARC-Type: revisit" in r.header else bytes(r.payload) for r in found.collect()}
+        assert {r.header: bytes(r.block) for r in back} == mine
+    assert warc.query(pages.limit(0)).count() == 0
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(x):
+    ok = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: (lambda e: 16 <= len(e) <= 19 and pii.luhn(e))(re.sub("[ -]", "", s)), "phone": lambda s: 8 <= sum(c.isdigit() for c in s) <= 15}
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k in BASE for m in re.finditer(BASE[k], x) if ok[k](m[0]))
+
+
+def test_pii_random():
+    rng, found = random.Random(7), pii.automaton()
+    for _ in range(4000):
+        x = "".join(rng.choice(["1", "25", "256", ".", ".", "@", "a", "-", " ", "+", "4111111111111111", "(", "b.c", "%", "0", "é", "IBAN ", "http://"]) for _ in range(rng.randint(1, 24)))
+        assert pii.listed(pii.spans(x, found), pii.KINDS[:4]) == base_spans(x)
+
+
+def test_pii_extra(spark, docs, empty):
+    found = pii.automaton()
+    assert pii.mask("see https://a.example/x. IBAN: DE89 3704 0044 0532 0130 00 ok", found).startswith("see <url>. IBAN: <account>")
+    assert pii.find(docs).count() == len(ROWS) and pii.find(empty).count() == 0
+
+
+def test_quality(docs, empty):
+    got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.query(docs).collect())
+    want = collections.Counter()
+    for d, t, *_ in ROWS:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        wins = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        marks = [False] * len(w)
+        for k in range(len(w) - 7):
+            if wins[tuple(w[k : k + 8])] > 1:
+                marks[k : k + 8] = [True] * 8
+        lines = (t or "").split("\n")
+        dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:k] for k, x in enumerate(lines))
+        want[d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, sum(marks), len(w) < 20 or 100 * sum(marks) > 30 * len(w)] += 1
+    assert got == want and quality_rules.query(empty).count() == 0
+
+
+def test_quality_rejects_symbols(spark):
+    rows = [(i, prose(60), "en", "s") for i in range(300)] + [(999, " ".join(w + "###" for w in prose(60).split()), "en", "s")]
+    out = {r.doc_id: r.kept for r in quality_rules.query(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not out.pop(999) and all(out.values())
+
+
+def test_pack(docs, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    odd = ["THE end. <|endoftext|> <|ENDOFTEXT|>", "don't stop... e.g., x.,", "İİ KK É", "…, 12.5, 7."]
+    memory = packing.memory(packing.tokenizer_path())
+    for t, ids in zip(odd, memory.of([t.encode() for t in odd]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    want = collections.Counter()
+    for d, t, *_ in ROWS:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, a in enumerate(range(0, len(ids), 2048)):
+            want[d, k, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())] += 1
+    out = packing.query(docs).toPandas().astype(object)
+    got = collections.Counter((None if d != d else d, *r) for d, *r in out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))
+    assert got == want
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *np.cumsum(g.length.tolist())[:-1].tolist()] and g.length.sum() <= 2048
+    assert packing.query(empty).count() == 0
+
+
+def test_fullest_is_full():
+    rng = random.Random(4)
+    for _ in range(150):
+        counts = {rng.randint(1, 30): rng.randint(1, 4) for _ in range(rng.randint(1, 6))}
+        room, sums = rng.randint(1, 60), {0}
+        for k, n in counts.items():
+            sums = {s + k * i for s in sums for i in range(n + 1)}
+        used = packing.fullest(counts, room, sorted(counts, reverse=True))
+        assert all(n <= counts[k] for k, n in used) and sum(k * n for k, n in used) == max(s for s in sums if s <= room)
+
+
+def test_jaccard(docs, empty):
+    sets = []
+    for d, t, *_ in ROWS:
+        w = ascii_lower((t or "").encode()).split()
+        sets.append((d, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j][1]) >= 80 * len(a | sets[j][1]) and a:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    want = collections.Counter((d, len(s), least.get(root(i))) for i, (d, s) in enumerate(sets))
+    for rare, block in ((16, 3_000_000), (1, 60), (0, 3_000_000)):
+        got = jaccard_join.jaccard_components(docs, rare=rare, block_tokens=block)
+        assert collections.Counter(map(tuple, got.collect())) == want
+    assert jaccard_join.query(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200)] + [(500, 501 + i) for i in range(20)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[300] == got[200] == got[100] == 100 and got[520] == 500 and len(got) == 41 + 3 + 21
+
+
+def test_lm_scoring(spark, docs, empty):
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(30)] + [(0, 0, 0)], "doc_id long, quality int, toxic int")
+    out = lm_scoring.score(docs, labels).toPandas()
+    assert len(out) == len(ROWS) and out.is_target.sum() == 15 and (out.score.isna() == (out.n_tokens == 0)).all()
+    assert lm_scoring.score(empty, labels).count() == 0 and lm_scoring.score(docs, labels.limit(0)).count() == len(ROWS)
+
+
+def test_pipeline(spark, docs, tmp_path):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(ROWS[5][1].split()[:20]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 5 not in left and not left & {44, 45, 46, 50, 54} and {1, 2, 3} <= left
+    names = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, names, str(tmp_path)).columns == names.columns, name
