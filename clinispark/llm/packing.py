@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import store
+from .words import touch, when_idle
 
 SIZE, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,10 +31,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 _memories: dict[str, WordIds] = {}
+when_idle(_memories.clear)
 
 
 def memory(path: str) -> WordIds:
-    """The memory of this Python worker, kept from task to task."""
+    """The memory of this Python worker, kept from task to task until the worker is idle."""
     if path not in _memories:
         _memories[path] = WordIds(path)
     return _memories[path]
@@ -47,7 +49,7 @@ class WordIds:
     words stay.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -96,6 +98,7 @@ class WordIds:
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text, as those of the words between its ASCII blanks."""
+        touch()
         cut = [t.split() for t in texts]
         seen = set().union(*cut)
         new = seen.difference(self.known)

@@ -6,7 +6,10 @@ are hashed together, without a Python object for each.
 
 from __future__ import annotations
 
+import contextlib
 import re
+import threading
+import time
 
 import numpy as np
 
@@ -79,8 +82,43 @@ def _blocks(texts: list[bytes]):
         yield numbers, held
 
 
+_idle = {"last": 0.0, "watched": False, "forget": []}
+
+
+def touch() -> None:
+    """Marks work in this Python worker; two seconds after the last, what it keeps between tasks goes back to the system.
+
+    Spark keeps idle workers, whose memory counts against an executor that runs something else.
+    """
+    _idle["last"] = time.monotonic()
+    if not _idle["watched"]:
+        _idle["watched"] = True
+        threading.Thread(target=_watch, daemon=True).start()
+
+
+def when_idle(forget) -> None:
+    _idle["forget"].append(forget)
+
+
+def _watch() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    while True:
+        time.sleep(0.5)
+        if _idle["last"] and time.monotonic() - _idle["last"] > 2:
+            _idle["last"] = 0.0
+            for forget in _idle["forget"]:
+                forget()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and where each text's begin: len(texts) + 1 positions."""
+    touch()
     counts, out = np.zeros(len(texts) + 1, np.int64), []
     for numbers, held in _blocks(texts):
         data = np.frombuffer(b"\n".join(held), np.uint8)
