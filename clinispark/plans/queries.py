@@ -241,6 +241,7 @@ def _(spark, sf):
 
 
 # Words become single bytes, since the distance there is over bytes; 40 + 40 words have at most 80 codes.
+# So the SQL sees 40 words a turn; the queries take whole turns and are held against brute force in tests/test_queries.py.
 PAIR = f"""SELECT a.conv_id, a.turn, ({WORDS.format(normal('a.text'))})[1:40] AS r, ({WORDS.format(normal('b.text'))})[1:40] AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
 CODED = f"SELECT *, list_distinct(list_concat(r, h)) AS v FROM ({PAIR}) p"
 EDITS = "levenshtein(array_to_string(list_transform(r, lambda w: chr(CAST(33 + list_position(v, w) AS INT))), ''), array_to_string(list_transform(h, lambda w: chr(CAST(33 + list_position(v, w) AS INT))), ''))"
@@ -248,9 +249,9 @@ EDITS = "levenshtein(array_to_string(list_transform(r, lambda w: chr(CAST(33 + l
 
 def _pairs(spark, sf):
     c = table(spark, sf, "conversations")
-    cut = lambda x: F.slice(T.words(T.normalize_text(x)), 1, 40)
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), cut(F.col("text")).alias("h"))
-    return c.select("conv_id", "turn", cut(F.col("text")).alias("r")).join(nxt, ["conv_id", "turn"])
+    whole = lambda x: T.words(T.normalize_text(x))
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), whole(F.col("text")).alias("h"))
+    return c.select("conv_id", "turn", whole(F.col("text")).alias("r")).join(nxt, ["conv_id", "turn"])
 
 
 @query("wer_pairs", f"SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END ELSE round({EDITS} / len(r), 6) END AS wer FROM ({CODED}) c")
