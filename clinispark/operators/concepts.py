@@ -2,26 +2,93 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinispark.functions import scores, spans
+from clinispark.functions import spans
 from clinispark.functions import text as T
 
 LEAST, MARGIN = 0.65, 0.05
 #: Bytes of reference vectors that may go to every task.
 REFERENCE_BYTES = 64 << 20
+#: Vectors of a block, and how many of them are multiplied at a time.
+BLOCK, SLICE = 2048, 256
 
 
-def nearest(found: DataFrame, references: DataFrame) -> DataFrame:
+def _packed(rows: DataFrame) -> DataFrame:
+    """Blocks of vectors: each other column as an array, the vectors as bytes. Null vectors and those with a null stay out."""
+    keys = [c for c in rows.columns if c != "embedding"]
+    kinds = ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in keys)
+
+    def pack(batches):
+        for pdf in batches:
+            pdf = pdf[[x is not None and bool(np.isfinite(np.asarray(x, float)).all()) for x in pdf["embedding"]]]
+            for width, part in pdf.groupby(pdf["embedding"].map(len)):
+                for i in range(0, len(part), BLOCK):
+                    some = part.iloc[i : i + BLOCK]
+                    yield pd.DataFrame([{**{c: some[c].to_numpy() for c in keys}, "width": width, "vectors": np.stack(some["embedding"]).astype("<f8").tobytes()}])
+
+    return rows.mapInPandas(pack, f"{kinds}, width int, vectors binary")
+
+
+def _products(left: DataFrame, right: DataFrame, key: str, out: str, allow) -> DataFrame:
+    """The best allowed vector of each block of `right` for each row of `left`, as `out` and similarity.
+
+    allow(l, r) gives a mask from the key arrays, l's as columns. Block products only find who may be best; the similarity
+    is then summed in the order of scores.dot, so equal vectors tie exactly. Only vectors of one length meet.
+    """
+    lefts, rights = [c for c in left.columns if c != "embedding"], [c for c in right.columns if c != "embedding"]
+    size = right.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
+    spread = left.repartition(max(1, -(-left.count() // BLOCK)))
+    packed = _packed(right).withColumnsRenamed({c: f"_{c}" for c in [*rights, "width", "vectors"]})
+    pairs = _packed(spread).withColumn("block", F.monotonically_increasing_id()).crossJoin(F.broadcast(packed) if size <= REFERENCE_BYTES else packed)
+
+    def compare(batches):
+        held, block = None, None
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                if row["block"] != block:  # the pairs of a left block follow one another
+                    if held is not None:
+                        yield held.drop(columns="at")
+                    held, block = None, row["block"]
+                if row["width"] != row["_width"]:
+                    continue
+                a, b = (np.frombuffer(row[v]).reshape(-1, row["width"]) for v in ("vectors", "_vectors"))
+                ids = {c: np.asarray(row[f"_{c}"]) for c in rights}
+                rank = np.unique(ids[out], return_inverse=True)[1]
+                slack = 4 * np.finfo(float).eps * row["width"] * np.linalg.norm(b, axis=1).max()
+                for i in range(0, len(a), SLICE):
+                    x = a[i : i + SLICE]
+                    mine = {c: np.asarray(row[c])[i : i + SLICE] for c in lefts}
+                    dots = x @ b.T
+                    dots[~allow({c: v[:, None] for c, v in mine.items()}, ids)] = -np.inf
+                    top = dots.max(axis=1)
+                    r, c = np.nonzero((dots >= (top - slack * np.linalg.norm(x, axis=1))[:, None]) & (dots > -np.inf))
+                    exact = np.zeros(len(r))
+                    for k in range(row["width"]):
+                        exact += x[r, k] * b[c, k]
+                    order = np.lexsort((rank[c], -exact, r))
+                    order = order[np.unique(r[order], return_index=True)[1]]
+                    new = pd.DataFrame({key: mine[key][r[order]], **{n: v[c[order]] for n, v in ids.items()}, "similarity": exact[order], "at": i + r[order]})
+                    held = pd.concat([held, new]).sort_values(["at", "similarity", out], ascending=[True, False, True]).drop_duplicates("at")
+        if held is not None:
+            yield held.drop(columns="at")
+
+    kinds = ", ".join(f"{c} {right.schema[c].dataType.simpleString()}" for c in rights)
+    return pairs.mapInPandas(compare, f"{key} {left.schema[key].dataType.simpleString()}, {kinds}, similarity double")
+
+
+def nearest(found: DataFrame, references: DataFrame, *, apart: bool = False) -> DataFrame:
     """found (span_id, embedding) x references (ref_idx, concept_idx, embedding) -> the best reference of each span.
 
-    Exact; ties go to the smaller ref_idx. The lexicon of references is measured before it is broadcast.
+    Exact; ties go to the smaller ref_idx. Both sides may be the same table: with `apart`, no vector is its own reference.
+    The references are measured before they are broadcast.
     """
-    refs = references.select("ref_idx", "concept_idx", F.col("embedding").alias("_ref"))
-    size = refs.agg(F.coalesce(F.sum(F.size("_ref") * 4), F.lit(0))).first()[0]
-    refs = F.broadcast(refs) if size <= REFERENCE_BYTES else refs
-    pairs = found.crossJoin(refs).withColumn("similarity", scores.dot(F.col("embedding"), F.col("_ref")))
+    refs = references.select("ref_idx", "concept_idx", "embedding")
+    allow = lambda m, r: (m["span_id"] != r["ref_idx"]) if apart else np.ones((len(m["span_id"]), len(r["ref_idx"])), bool)
+    pairs = _products(found.select("span_id", "embedding"), refs, "span_id", "ref_idx", allow)
     best = F.max_by(F.struct("ref_idx", "concept_idx", "similarity"), F.struct("similarity", -F.col("ref_idx")))
     return pairs.groupBy("span_id").agg(best.alias("m")).select("span_id", "m.*")
 
@@ -31,9 +98,19 @@ def above(matched: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def gate(matched: DataFrame, found: DataFrame, negatives: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """Matches whose best hard negative of their own concept lies more than margin below; negatives (concept_idx, embedding)."""
-    neg = F.broadcast(negatives.select("concept_idx", F.col("embedding").alias("_neg")))
-    near = matched.join(found, "span_id").join(neg, "concept_idx").groupBy("span_id").agg(F.max(scores.dot(F.col("embedding"), F.col("_neg"))).alias("max_negative"))
+    """Matches whose best hard negative of their own concept lies more than margin below; negatives (concept_idx, embedding).
+
+    With a column neg_idx, negatives come from the table of spans and references, and neither the span nor its match is one.
+    """
+    apart = "neg_idx" in negatives.columns
+    neg = negatives.select("concept_idx", "neg_idx" if apart else F.lit(0).alias("neg_idx"), "embedding")
+    left = matched.join(found, "span_id").select("span_id", "concept_idx", *["ref_idx"] * apart, "embedding")
+
+    def allow(m, n):
+        own = m["concept_idx"] == n["concept_idx"]
+        return own & (m["span_id"] != n["neg_idx"]) & (m["ref_idx"] != n["neg_idx"]) if apart else own
+
+    near = _products(left, neg, "span_id", "neg_idx", allow).groupBy("span_id").agg(F.max("similarity").alias("max_negative"))
     out = matched.join(near, "span_id", "left")
     return out.where(F.col("max_negative").isNull() | (F.col("max_negative") < F.col("similarity") - F.lit(margin)))
 

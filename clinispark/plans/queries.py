@@ -190,11 +190,13 @@ NEAREST = f"""SELECT span_id, ref_idx, concept_idx, similarity FROM (SELECT a.ve
  row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id >= 100 AND b.vec_id < 60) x WHERE k = 1"""
 
 
+# The SQL keeps spans, references and negatives apart by id. Here each vector is matched against all others, and the
+# negatives of a match are all other vectors of its label; tests/test_queries.py has the brute force.
 def _nearest(spark, sf):
     v = _vectors(spark, sf)
-    found = v.where("vec_id >= 100").select(F.col("vec_id").alias("span_id"), "embedding")
-    refs = v.where("vec_id < 60").select(F.col("vec_id").alias("ref_idx"), F.col("label").alias("concept_idx"), "embedding")
-    return concepts.nearest(found, refs).withColumn("similarity", F.round("similarity", 6)), found, v
+    found = v.select(F.col("vec_id").alias("span_id"), "embedding")
+    refs = v.select(F.col("vec_id").alias("ref_idx"), F.col("label").alias("concept_idx"), "embedding")
+    return concepts.nearest(found, refs, apart=True).withColumn("similarity", F.round("similarity", 6)), found, v
 
 
 @query("nn_concept", NEAREST)
@@ -211,7 +213,7 @@ def _(spark, sf):
  JOIN embeddings a ON a.vec_id = n.span_id JOIN embeddings b ON b.label = n.concept_idx AND b.vec_id BETWEEN 60 AND 99 GROUP BY 1) g USING (span_id) WHERE max_negative IS NULL OR max_negative < similarity - CAST(0.05 AS DOUBLE)""")
 def _(spark, sf):
     near, found, v = _nearest(spark, sf)
-    neg = v.where("vec_id BETWEEN 60 AND 99").select(F.col("label").alias("concept_idx"), "embedding")
+    neg = v.select(F.col("label").alias("concept_idx"), F.col("vec_id").alias("neg_idx"), "embedding")
     return concepts.gate(concepts.above(near, 0.3), found, neg).withColumn("max_negative", F.round("max_negative", 6))
 
 

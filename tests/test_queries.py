@@ -1,10 +1,14 @@
 """Registered queries against brute force over whole texts and tables."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from clinispark.functions import scores
 from clinispark.functions import text as T
+from clinispark.operators import concepts
 from clinispark.plans import catalog
 from clinispark.plans import queries as _registered  # noqa: F401  fills the catalog
 from test_functions import edits
@@ -43,3 +47,30 @@ def test_word_edits_of_many_words(spark):
     more = ["w35999", "z"] + [f"w{i}" for i in range(60)]
     df = spark.createDataFrame([(r, h), (h, r), (r, more)], "r array<string>, h array<string>")
     assert [x.d for x in df.select(scores.word_edits(F.col("r"), F.col("h")).alias("d")).collect()] == [edits(r, h), edits(h, r), edits(r, more)]
+
+
+def vectors():
+    rng = random.Random(7)
+    rows = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(230)]
+    rows += [rows[3], rows[3], rows[150], [-x for x in rows[3]]]
+    unit = [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in rows]
+    return [(i, v, i % 40) for i, v in enumerate(unit)]
+
+
+def test_vectors_against_all_others(spark, sf, monkeypatch):
+    monkeypatch.setattr(concepts, "BLOCK", 50)
+    monkeypatch.setattr(concepts, "SLICE", 16)
+    rows = vectors()
+    at = sf(embeddings=(rows, "vec_id long, embedding array<double>, label int"))
+    dot = {(i, j): sum(x * y for x, y in zip(a, b, strict=True)) for i, a, _ in rows for j, b, _ in rows}
+    label = {i: c for i, _, c in rows}
+    best = {i: max((dot[i, j], -j) for j in label if j != i) for i in label}
+    want = {(i, -j, label[-j], round(s, 6)) for i, (s, j) in best.items()}
+    got = {n: {tuple(r) for r in catalog.QUERIES[n](spark, at).select("span_id", "ref_idx", "concept_idx", "similarity").collect()} for n in ("nn_concept", "threshold_match")}
+    assert got["nn_concept"] == want and got["threshold_match"] == {w for w in want if w[3] >= 0.3}
+    least = {}
+    for i, j, c, s in got["threshold_match"]:
+        neg = max((dot[i, k] for k in label if label[k] == c and k not in (i, j)), default=None)
+        if neg is None or neg < s - 0.05:
+            least[i] = neg if neg is None else round(neg, 6)
+    assert {r.span_id: r.max_negative for r in catalog.QUERIES["hardneg_gate"](spark, at).collect()} == least and 0 < len(least) < len(want)
