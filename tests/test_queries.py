@@ -74,3 +74,28 @@ def test_vectors_against_all_others(spark, sf, monkeypatch):
         if neg is None or neg < s - 0.05:
             least[i] = neg if neg is None else round(neg, 6)
     assert {r.span_id: r.max_negative for r in catalog.QUERIES["hardneg_gate"](spark, at).collect()} == least and 0 < len(least) < len(want)
+
+
+def test_keywords_and_cover_of_whole_documents(spark, sf):
+    far = "filler words " * 30
+    texts = [far + "Needle one, here.", far + "needle ONE here and second thing", "second thing", far + "zeta", "filler words zeta words", "zet fill word", ""]
+    items = [(0, "needle one here"), (1, "Second thing."), (2, "zeta"), (3, "absent")]
+    at = sf(documents=(list(enumerate(texts)), "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    keys, want = [norm(k) for _, k in items], {}
+    for i, x in enumerate(texts):
+        there = [k for k in keys if k in norm(x)]
+        hyp = norm(texts[i + 1]) if i + 1 < len(texts) else ""
+        want[i] = (len(there), sum(k not in hyp for k in there))
+    assert {r.doc_id: (r.present, r.missed) for r in catalog.QUERIES["keyword_hits"](spark, at).collect()} == want
+    assert {r.doc_id: r.keyword_wer for r in catalog.QUERIES["keyword_wer"](spark, at).collect()} == {i: round(m / p, 4) if p else 0.0 for i, (p, m) in want.items()}
+    p, m = (sum(x) for x in zip(*want.values(), strict=True))
+    assert tuple(catalog.QUERIES["micro_rates"](spark, at).first()) == (p, m, round(m / p, 4))
+    words = [["".join(c for c in w if c.isascii() and c.isalnum()) for w in x.lower().split()] for x in texts]
+    near = lambda g, c: g == c or (min(len(g), len(c)) >= 3 and (g.startswith(c) or c.startswith(g)))
+    cover = {i: bool(a) and all(any(near(g, c) for c in b) for g in a) for i, (a, b) in enumerate(zip(words, words[1:]))}
+    assert {r.doc_id: r.covered for r in catalog.QUERIES["prefix_cover"](spark, at).collect()} == cover and any(cover.values())
+
+
+def test_cover_needs_every_word(spark, sf):
+    at = sf(documents=([(0, "a b c d e f zeta"), (1, "a b c d e f"), (2, "f e d c b a zetas zeta")], "doc_id long, text string"))
+    assert {r.doc_id: r.covered for r in catalog.QUERIES["prefix_cover"](spark, at).collect()} == {0: False, 1: True}
