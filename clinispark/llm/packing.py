@@ -1,5 +1,6 @@
 """Packing by minimum bin slack: per bin, a bitset subset-sum over the lengths left finds the fullest combination.
 
+Token ids come from `pieces`, whatever the vocabulary: one that it cannot cut by itself goes through the tokenizer whole.
 Only a histogram of lengths, at most `size` entries, comes to the driver. A combination found there is a pattern; it is
 used as often as the counts allow, so there are about as many patterns as lengths. Pieces get a rank within their
 length, and a pattern's place in a length's ranks gives sequence and offset through a join with the pattern table.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import store
-from .words import touch, when_idle
+from .pieces import Ids
 
 SIZE, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,112 +31,45 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_memories: dict[str, WordIds] = {}
-when_idle(_memories.clear)
+_held: dict[str, Ids] = {}
 
 
-def memory(path: str) -> WordIds:
-    """The memory of this Python worker, kept from task to task until the worker is idle."""
-    if path not in _memories:
-        _memories[path] = WordIds(path)
-    return _memories[path]
+def ids_by(path: str) -> Ids:
+    """The tokenizer of this Python worker, kept from task to task; its table has a fixed size."""
+    if path not in _held:
+        _held[path] = Ids(path)
+    return _held[path]
 
 
-class WordIds:
-    """Ids of texts through a memory of words; the vocabulary drops white space, so words stand for themselves.
-
-    All words of a batch that are not known yet are encoded in one call. The memory has two generations of about `most`
-    words: when the younger is full the older is forgotten, but for words used since. So it is bounded and frequent
-    words stay.
-    """
-
-    def __init__(self, path: str, most: int = 400_000):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Puts words into the memory: ids of a word are those of its stem and of the point or comma after it."""
-        split = [self._stem(w) for w in words]
-        stems = {s for s, _ in split}
-        lacking = stems.difference(self.known)
-        again = lacking.intersection(self.older)
-        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        self._encode(list(lacking - again) + [p for p in (b".", b",") if p not in self.known])
-        for word, (stem, point) in zip(words, split, strict=True):
-            self.known[word] = self.known[stem] + (self.known[point] if point else b"")
-
-    @staticmethod
-    def _stem(word: bytes) -> tuple[bytes, bytes]:
-        """A word in lower case without one last point or comma after a letter: a border of tokens in this vocabulary.
-
-        A special token counts only as it is written, so such words are left alone.
-        """
-        if b"<|" in word:
-            return word, b""
-        low = word.lower()
-        if low[-1:] in (b".", b",") and len(low) > 1 and (low[-2:-1].isalpha() or low[-2] >= 128 and low[:-1].decode()[-1].isalpha()):
-            return low[:-1], low[-1:]
-        return low, b""
-
-    def _encode(self, words: list[bytes]) -> None:
-        import numpy as np
-
-        if not words:
-            return
-        found = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))
-        at = 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.known[word] = ids[at:end]
-            at = end
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each whole text, as those of the words between its ASCII blanks."""
-        touch()
-        cut = [t.split() for t in texts]
-        seen = set().union(*cut)
-        new = seen.difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        if new := list(new - again):
-            self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in cut]
-        if len(self.known) > self.most:
-            self.older, self.known = self.known, {}
-        return out
-
-
-def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
-    """docs (doc_id, text) -> PIECES."""
+def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> PIECES, and the ids of each piece as `ids array<int>` where asked for."""
 
     def cut(batches):
+        import numpy as np
         import pyarrow as pa
 
         from .words import binary
 
-        ids = memory(path or tokenizer_path())
-        end = END.to_bytes(4, "little")
+        found = ids_by(path or tokenizer_path())
+        names = re.findall(r"(\w+) \w+", PIECES)
         for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
-            rows = []
-            found = ids.of([t or b"" for t in binary(batch.column("text"))])
-            for doc, every in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-                every += end
-                for k, at in enumerate(range(0, len(every), 4 * size)):
-                    part = every[at : at + 4 * size]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            rows, parts = [], []
+            texts = found.of([t or b"" for t in binary(batch.column("text"))])
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                every = np.append(ids, END).astype("<u4")
+                raw = every.tobytes()
+                for k, at in enumerate(range(0, len(every), size)):
+                    part = raw[4 * at : 4 * (at + size)]
+                    rows.append((doc, k, at, len(part) // 4, zlib.crc32(part)))
+                    if with_ids:
+                        parts.append(every[at : at + size].astype(np.int32))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            names = re.findall(r"(\w+) \w+", PIECES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=names)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)]
+            if with_ids:
+                columns.append(pa.array(parts, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * with_ids)
 
-    return store.columns(docs, "doc_id", "text").mapInArrow(cut, PIECES)
+    return store.columns(docs, "doc_id", "text").mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def fullest(counts: dict[int, int], room: int, order: list[int]) -> list[tuple[int, int]]:
@@ -188,45 +122,52 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, lis
 
 
 def pack(found: DataFrame, size: int = SIZE, block_rows: int = 1_000_000) -> DataFrame:
-    """PIECES -> with sequence_id and offset.
+    """Pieces (PIECES and any further columns) -> with sequence_id and offset.
 
-    Ranks within a length are block offsets plus ranks in blocks, so one frequent length is many tasks' work.
+    Ranks within a length are block offsets plus ranks in blocks, so one frequent length is many tasks' work. Each block of
+    a length takes just the slots that its ranks reach, in a join that is dealt as the ranks are.
     """
     spark = found.sparkSession
     found = store.written(found, "pieces")
     blocks = store.parts(found.count(), block_rows, 16)
-    found = found.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
-    held = found.groupBy("length", "block").agg(F.count("*").alias("n"))
+    blocked = found.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
+    held = blocked.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     held = store.written(held.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "held")
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots, next_rank, sequence = [], dict.fromkeys(histogram, 0), 0
+    by_length: dict[int, list] = {k: [] for k in histogram}
+    next_rank, sequence = dict.fromkeys(histogram, 0), 0
     for times, used in patterns(histogram, size):
         offset = 0
         for length, n in used:
             for _ in range(n):
-                slots.append((length, next_rank[length], sequence, offset))
+                by_length[length].append((next_rank[length], sequence, offset))
                 next_rank[length] += times
                 offset += length
         sequence += times
-    by_length: dict[int, list] = {}
-    for length, first, seq, offset in slots:
-        by_length.setdefault(length, []).append((first, seq, offset))
+    # one row a length, at most `size`; slots of a length ascend by rank
     table = spark.createDataFrame([(k, v) for k, v in by_length.items()], "length long, slots array<struct<first:long,sequence:long,offset:long>>")
+    last = lambda rank: F.size(F.filter("slots", lambda s: s["first"] <= rank))
+    first = last(F.col("before"))
+    near = F.slice("slots", first, last(F.col("before") + F.col("n") - 1) - first + 1)
+    reach = held.join(F.broadcast(table), "length").select(F.col("length").alias("_length"), F.col("block").alias("_block"), "before", near.alias("near"))
     rank = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = found.join(F.broadcast(held.select("length", "block", "before")) if blocks * size <= 1 << 17 else held.select("length", "block", "before"), ["length", "block"])
-    ranked = ranked.withColumn("rank", F.col("before") + rank)
-    # one row a length, at most `size`; slots of a length ascend by rank
-    ranked = ranked.join(F.broadcast(table), "length").withColumn("at", _last_at_or_before(F.col("slots"), F.col("rank")))
-    return ranked.withColumns({"sequence_id": F.col("at.sequence") + F.col("rank") - F.col("at.first"), "offset": F.col("at.offset")}).select(*re.findall(r"(\w+) \w+", PIECES), "sequence_id", "offset")
+    ranked = blocked.withColumn("rank", rank).join(reach.hint("merge"), [F.col("length") == F.col("_length"), F.col("block") == F.col("_block")])
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("rank"))
+    ranked = ranked.withColumn("at", F.element_at(F.filter("near", lambda s: s["first"] <= F.col("rank")), -1))
+    return ranked.withColumns({"sequence_id": F.col("at.sequence") + F.col("rank") - F.col("at.first"), "offset": F.col("at.offset")}).select(*found.columns, "sequence_id", "offset")
 
 
-def _last_at_or_before(slots, rank):
-    """The last of ascending slots whose first is at most rank."""
-    return F.element_at(F.filter(slots, lambda s: s["first"] <= rank), -1)
+def sequences(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
+    """docs (doc_id, text) -> (sequence_id, ids, doc_ids, starts): the packed sequences themselves, at most `size` ids each."""
+    packed = pack(pieces(docs, path, size, with_ids=True), size)
+    held = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
+    out = packed.groupBy("sequence_id").agg(held.alias("held"))
+    return out.select("sequence_id", F.flatten("held.ids").alias("ids"), F.col("held.doc_id").alias("doc_ids"), F.col("held.offset").alias("starts"))
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """Digests of the packed pieces; `sequences` gives the sequences themselves."""
     return pack(pieces(docs))
 
 

@@ -7,9 +7,8 @@ are hashed together, without a Python object for each.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
-import threading
-import time
 
 import numpy as np
 
@@ -28,18 +27,24 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: A random number for each byte value, and the byte base of word hashes.
 BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 STEP = 0xD6E8FEB86659FD93
-_powers: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP ** i and its inverse modulo 2 ** 64, for i below n."""
-    if len(_powers.get("up", ())) < n:
+#: The same for a second, independent hash.
+BYTE2 = np.random.default_rng(20250117).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+STEP2 = 0xC2B2AE3D27D4EB4F
+#: mallopt's name of the threshold (a fixed value of glibc), and the bytes from which arrays are mapped by themselves.
+M_MMAP_THRESHOLD, MAPPED_FROM = -3, 1 << 20
+_powers: dict[tuple[str, int], np.ndarray] = {}
+_lean: list[bool] = []
+
+
+def _tables(n: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """step ** i and its inverse modulo 2 ** 64, for i below n."""
+    if len(_powers.get(("up", step), ())) < n:
         size = max(n, BLOCK + (BLOCK >> 2))
-        for key, base in (("up", STEP), ("down", pow(STEP, -1, 1 << 64))):
+        for key, base in (("up", step), ("down", pow(step, -1, 1 << 64))):
             x = np.full(size, base, np.uint64)
             x[0] = 1
-            _powers[key] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+            _powers[key, step] = np.multiply.accumulate(x)
+    return _powers["up", step], _powers["down", step]
 
 
 def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +55,16 @@ def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[::2], at[1::2]
 
 
-def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of words by differences of one running sum, mixed with the length."""
-    up, down = _tables(len(data) + 1)
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """Polynomial hashes of runs of bytes by differences of one running sum, mixed with the length."""
+    byte, step = (BYTE2, STEP2) if second else (BYTE, STEP)
+    up, down = _tables(len(data) + 1, step)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(byte[data] * up[: len(data)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * BASE)
 
 
-def _blocks(texts: list[bytes]):
+def blocks(texts: list[bytes]):
     """(texts' numbers, joined bytes, offsets) of about BLOCK bytes each; a long text is cut at blanks into several."""
     numbers, held, size = [], [], 0
     for i, text in enumerate(texts):
@@ -82,51 +88,45 @@ def _blocks(texts: list[bytes]):
         yield numbers, held
 
 
-_idle = {"last": 0.0, "watched": False, "forget": []}
-
+def lean() -> None:
+    """Makes this Python worker give large arrays back to the system as soon as they are freed.
 
-def touch() -> None:
-    """Marks work in this Python worker; two seconds after the last, what it keeps between tasks goes back to the system.
-
-    Spark keeps idle workers, whose memory counts against an executor that runs something else.
+    Spark keeps its workers between tasks, and their memory counts against the executor. glibc else raises the size from
+    which blocks are mapped by themselves with every large block freed, and keeps what lies below.
     """
-    _idle["last"] = time.monotonic()
-    if not _idle["watched"]:
-        _idle["watched"] = True
-        threading.Thread(target=_watch, daemon=True).start()
-
-
-def when_idle(forget) -> None:
-    _idle["forget"].append(forget)
-
-
-def _watch() -> None:
-    import ctypes
-
+    if _lean:
+        return
+    _lean.append(True)
     import pyarrow as pa
 
-    while True:
-        time.sleep(0.5)
-        if _idle["last"] and time.monotonic() - _idle["last"] > 2:
-            _idle["last"] = 0.0
-            for forget in _idle["forget"]:
-                forget()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").mallopt(M_MMAP_THRESHOLD, MAPPED_FROM)
 
 
-def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and where each text's begin: len(texts) + 1 positions."""
-    touch()
-    counts, out = np.zeros(len(texts) + 1, np.int64), []
-    for numbers, held in _blocks(texts):
+def _hashed(texts: list[bytes], kinds: tuple[bool, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    lean()
+    counts, out = np.zeros(len(texts) + 1, np.int64), [[] for _ in kinds]
+    for numbers, held in blocks(texts):
         data = np.frombuffer(b"\n".join(held), np.uint8)
         starts, ends = _cut(data)
-        out.append(_hash_block(data, starts, ends))
+        for found, second in zip(out, kinds, strict=True):
+            found.append(hash_runs(data, starts, ends, second))
         first = np.concatenate([[0], np.cumsum([len(h) + 1 for h in held])])
         np.add.at(counts, np.array(numbers) + 1, np.diff(np.searchsorted(starts, first)))
-    return (np.concatenate(out) if out else EMPTY), np.cumsum(counts)
+    return [np.concatenate(found) if found else EMPTY for found in out], np.cumsum(counts)
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and where each text's begin: len(texts) + 1 positions."""
+    (one,), at = _hashed(texts, (False,))
+    return one, at
+
+
+def hashed_twice(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As hashed, with a second hash that is independent of the first."""
+    (one, two), at = _hashed(texts, (False, True))
+    return one, two, at
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from clinispark.llm import components, decontamination, exchange, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, resharding, substring_dedup, warc
+from clinispark.llm import components, decontamination, exchange, jaccard_join, line_dedup, lm_scoring, packing, pieces, pii, quality_rules, resharding, substring_dedup, warc
 from clinispark.llm.words import BLOCK, hashed, windows
 
 RNG = random.Random(11)
@@ -226,26 +226,49 @@ def test_quality_rejects_symbols(spark):
     assert not out.pop(999) and all(out.values())
 
 
+def test_ids_of_any_text():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tok, found, rng = Tokenizer.from_file(path), pieces.Ids(path, places=1 << 10), random.Random(5)
+    assert found.cuts
+    letters = list("abzABZ019'.,!<|>&#- \t\n\r\x0b\x0c\x1c\x00")
+    letters += ["\u00e9", "\u00c9", "\u00df", "\u00ff", "\u00d7", "\u00f7", "\u0130", "\u0131", "\u0301", "\u0307", "\u00a0", "\u2003", "\u0085", "\u00aa", "\u00b5", "\u03a3", "\u0416", "\u6f22", "\ud55c", "\u1112", "\u1161", "\u212b", "\ufb01", "\u200d", "\u00bd", "\U0001f642"]
+    letters += ["'s", "'T", "'re", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "the ", "ing", "\r\u0130,\t"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(100)] + ["don't stop... e.g., x.,", "nowords" * 300]
+        want = tok.encode_batch(texts, add_special_tokens=False)
+        for t, ids, w in zip(texts, found.of([t.encode() for t in texts]), want, strict=True):
+            assert ids.tolist() == w.ids, repr(t)
+    other = packing.tokenizer_path("byte_bpe_50k.json")
+    cased = pieces.Ids(other)
+    assert not cased.cuts and cased.of([b"The Cat"])[0].tolist() == Tokenizer.from_file(other).encode("The Cat", add_special_tokens=False).ids
+
+
 def test_pack(docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    odd = ["THE end. <|endoftext|> <|ENDOFTEXT|>", "don't stop... e.g., x.,", "İİ KK É", "…, 12.5, 7."]
-    memory = packing.memory(packing.tokenizer_path())
-    for t, ids in zip(odd, memory.of([t.encode() for t in odd]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
-    want = collections.Counter()
+    want, texts = collections.Counter(), collections.defaultdict(collections.Counter)
     for d, t, *_ in ROWS:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         for k, a in enumerate(range(0, len(ids), 2048)):
-            want[d, k, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())] += 1
+            part = ids[a : a + 2048]
+            want[d, k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+            texts[d][tuple(part)] += 1
     out = packing.query(docs).toPandas().astype(object)
     got = collections.Counter((None if d != d else d, *r) for d, *r in out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))
     assert got == want
     for _, g in out.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g.offset.tolist() == [0, *np.cumsum(g.length.tolist())[:-1].tolist()] and g.length.sum() <= 2048
+    assert out.sequence_id.nunique() <= -(-int(out.length.sum()) // 2048) + 1
     assert packing.query(empty).count() == 0
+    for r in packing.sequences(docs).collect():
+        ends = [*r.starts[1:], len(r.ids)]
+        for d, a, b in zip(r.doc_ids, r.starts, ends, strict=True):
+            texts[d][tuple(r.ids[a:b])] -= 1
+    assert not any(n for c in texts.values() for n in c.values())
 
 
 def test_fullest_is_full():
@@ -275,17 +298,38 @@ def test_jaccard(docs, empty):
         for j in range(i):
             if 100 * len(a & sets[j][1]) >= 80 * len(a | sets[j][1]) and a:
                 parent[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(sets):
+    least, n_links = {}, collections.Counter()
+    for i, (d, a) in enumerate(sets):
+        n_links[i] = sum(j != i and 100 * len(a & b) >= 80 * len(a | b) for j, (_, b) in enumerate(sets)) if a else 0
         if d is not None:
             least[root(i)] = min(least.get(root(i), d), d)
-    want = collections.Counter((d, len(s), least.get(root(i))) for i, (d, s) in enumerate(sets))
-    for rare, block in ((16, 3_000_000), (1, 60), (0, 3_000_000)):
-        got = jaccard_join.jaccard_components(docs, rare=rare, block_tokens=block)
+    want = collections.Counter((d, len(s), least.get(root(i)), n_links[i]) for i, (d, s) in enumerate(sets))
+    for rare, weight in ((16, 3_000_000), (1, 2000), (0, 3_000_000)):
+        got = jaccard_join.jaccard_components(docs, rare=rare, block_weight=weight).drop("text_hash", "root")
         assert collections.Counter(map(tuple, got.collect())) == want
     assert jaccard_join.query(empty).count() == 0
 
 
+def test_links_of_families():
+    """Sizes from 5 to 60, families and strangers, in slices of few cells and in two tiles."""
+    rng = random.Random(3)
+    base = [rng.sample(range(1000), rng.randint(5, 60)) for _ in range(6)]
+    sets = [{x if rng.random() > 0.04 else rng.randint(0, 2000) for x in rng.choice(base)} for _ in range(80)]
+    tokens = [np.array(sorted(s), np.uint64) for s in sets]
+    n, copies = np.array([len(s) for s in sets]), np.array([rng.randint(1, 3) for _ in sets])
+    like = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    for tiles, cells in ((np.zeros(80, int), 90), (np.zeros(80, int), 10_000), (np.arange(80) % 2, 500)):
+        edges, found = jaccard_join.links(np.arange(80), n, copies, tiles, tokens, 80, cells)
+        ok = lambda i, j, tiles=tiles: i != j and like(i, j) and (not tiles.any() or tiles[i] != tiles[j])
+        assert dict(found) == {i: sum(copies[j] for j in range(80) if ok(i, j)) for i in range(80)}
+        assert all(ok(i, j) for i, j in edges)
+        if not tiles.any():
+            label = list(range(80))
+            for i, j in edges:
+                label = [label[i] if x == label[j] else x for x in label]
+            assert all(label[i] == label[j] for i in range(80) for j in range(80) if ok(i, j))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200)] + [(500, 501 + i) for i in range(20)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
