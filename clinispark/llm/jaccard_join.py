@@ -7,12 +7,17 @@ as pairs within a class, since of more than G shared frequent tokens two share a
 the larger set; a set near the border of its class is indexed for the next one too.
 
 Sets that meet under an index key form candidate blocks, which are verified exactly: only tokens held by two sets or more
-can overlap, so a block brings just these. In a block a search from set to set compares each set with those not yet
-reached, and no pair is written out. A block beyond BLOCK_TOKENS is cut into tiles that meet two by two.
+can overlap, so a block brings just these. In a block all pairs of compatible sizes are counted at once, tokens that many
+sets hold by a matrix product and the others by their postings; what leaves is each set's number of links and a spanning
+forest, never a pair list. A set is a candidate only if shared tokens make up its required overlap, so blocks are families
+of near copies. A block beyond BLOCK_WEIGHT is cut into tiles that meet two by two, each pair counted in one cell.
+
+A set is known by a 64-bit hash and its size; if two sets clash in both, all sets are hashed again with another seed.
 
 Defined cases: null or empty texts have no shingle, are linked with nothing and are their own component; texts with fewer
-words than a shingle have one shingle of all their words; rows that repeat are equal sets; a component's id is the
-smallest doc_id in it, null only where all are null; an empty table gives an empty result; texts are read whole.
+words than a shingle have one shingle of all their words; rows that repeat are equal sets and linked; a component's id is
+the smallest doc_id in it, null only where all are null; an empty table gives an empty result; texts are read whole;
+columns beside doc_id and text are ignored, and `stage` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +34,12 @@ from .substring_dedup import _rows, runs_of
 from .words import BASE, EMPTY, LOWER, U64, binary, hashed, mixed, windows
 
 WIDTH, PERCENT, RARE = 5, 80, 16
-CHUNK_BYTES, RANGE_TOKENS, BLOCK_TOKENS = 8_000_000, 2_500_000, 3_000_000
-SLIM = "doc_id long, n long, key long, check long"
+CHUNK_BYTES, RANGE_TOKENS = 6_000_000, 1_800_000
+#: Weight of a block that is verified in one piece: tokens, and SET_WEIGHT for each set.
+BLOCK_WEIGHT, SET_WEIGHT = 1_500_000, 256
+#: The seed with which Spark's xxhash64 begins.
+TEXT_SEED = 42
+SLIM = "doc_id long, n long, key long, check long, text_hash long"
 BLOB = "range int, tokens binary, owner binary, keys binary, sizes binary, df binary"
 CANDIDATE = "key long, n long, tokens binary, ikeys binary"
 
@@ -50,10 +59,10 @@ def sets_of(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
     return [token_set(words[at[i] : at[i + 1]], width) for i in range(len(texts))]
 
 
-def set_keys(tokens: np.ndarray) -> tuple[int, int]:
+def set_keys(tokens: np.ndarray, seed: int = 0) -> tuple[int, int]:
     """Two signed 64-bit hashes of a set."""
     raw = tokens.tobytes()
-    return tuple(int(np.uint64(xxhash.xxh3_64_intdigest(raw, seed)).astype(np.int64)) for seed in (0, 1))
+    return tuple(int(np.uint64(xxhash.xxh3_64_intdigest(raw, 2 * seed + k)).astype(np.int64)) for k in (0, 1))
 
 
 def chunked(batches, size: int = CHUNK_BYTES):
@@ -92,19 +101,20 @@ def _blobs(tokens: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.nd
 
 
 def _opened(table, ascending: bool = True):
-    """Concatenated tokens, keys, sizes and df of a range's rows."""
-    tokens, keys, sizes, df = [], [], [], []
-    for t, o, k, s, d in zip(*(table.column(c).to_pylist() for c in ("tokens", "owner", "keys", "sizes", "df")), strict=True):
-        t = unpack_sorted(t) if ascending else unpack(t, np.uint64)
-        raw = unpack(o, np.uint8)
-        k = unpack(k, np.uint64)
-        own = unpack(o, np.uint16 if len(raw) == 2 * len(t) else np.uint32)
-        tokens.append(t)
-        keys.append(k[own])
-        sizes.append(unpack(s, np.uint32)[own])
+    """Tokens, keys, sizes and df of a range's rows, one after another."""
+    packed = [table.column(c).to_pylist() for c in ("tokens", "owner", "keys", "sizes", "df")]
+    parts = [unpack_sorted(t) if ascending else unpack(t, U64) for t in packed[0]]
+    ends = np.cumsum([0, *map(len, parts)])
+    tokens = np.concatenate(parts)
+    del parts
+    keys, sizes = np.empty(len(tokens), U64), np.empty(len(tokens), np.uint32)
+    df = np.empty(len(tokens), np.uint32) if packed[4] and packed[4][0] is not None else None
+    for a, b, o, k, n, d in zip(ends[:-1], ends[1:], *packed[1:], strict=True):
+        own = unpack(o, np.uint16 if len(unpack(o, np.uint8)) == 2 * (b - a) else np.uint32)
+        keys[a:b], sizes[a:b] = unpack(k, U64)[own], unpack(n, np.uint32)[own]
         if d is not None:
-            df.append(unpack(d, np.uint32))
-    return np.concatenate(tokens), np.concatenate(keys), np.concatenate(sizes), np.concatenate(df) if df else None
+            df[a:b] = unpack(d, np.uint32)
+    return tokens, keys, sizes, df
 
 
 def shared_tokens(table, buckets: int) -> list[dict]:
@@ -113,20 +123,21 @@ def shared_tokens(table, buckets: int) -> list[dict]:
     order = np.argsort(tokens, kind="stable")
     _, counts = runs_of(tokens[order])
     order = order[np.repeat(counts > 1, counts)]
-    order = order[np.lexsort((keys[order], tokens[order]))]
-    starts, _ = runs_of(tokens[order], keys[order])
+    tokens, keys, sizes = tokens[order], keys[order], sizes[order]
+    order = np.lexsort((sizes, keys, tokens))
+    starts, _ = runs_of(tokens[order], keys[order], sizes[order])
     order = order[starts]
     _, counts = runs_of(tokens[order])
     df = np.repeat(counts, counts)
-    order, df = order[df > 1], df[df > 1]
-    again = np.lexsort((tokens[order], keys[order]))
+    order, df = order[df > 1], df[df > 1].astype(np.uint32)
+    again = np.lexsort((tokens[order], sizes[order], keys[order]))
     order, df = order[again], df[again]
     if not len(order):
         return []
-    k = keys[order]
-    starts, counts = runs_of(k)
+    tokens, keys, sizes = tokens[order], keys[order], sizes[order]
+    starts, counts = runs_of(keys, sizes)
     owner = np.repeat(np.arange(len(starts)), counts)
-    return _blobs(tokens[order], owner, k[starts], sizes[order][starts], buckets, df, by=k)
+    return _blobs(tokens, owner, keys[starts], sizes[starts], buckets, df, by=keys)
 
 
 def index_keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int, rare: int) -> np.ndarray:
@@ -151,9 +162,10 @@ def index_keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int, rare: i
 def candidates(table, percent: int, rare: int) -> list[dict]:
     """Sets of a bucket whose prefixes hold a shared token: all their shared tokens and their index keys."""
     tokens, keys, sizes, df = _opened(table, ascending=False)
-    order = np.lexsort((tokens, df, keys))
+    order = np.lexsort((tokens, df, sizes, keys))
     tokens, keys, sizes, df = tokens[order], keys[order], sizes[order], df[order]
-    starts, counts = runs_of(keys)
+    del order
+    starts, counts = runs_of(keys, sizes)
     out = []
     for a, c in zip(starts, counts, strict=True):
         n = int(sizes[a])
@@ -180,74 +192,124 @@ def meetings(table, percent: int) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in pairs]
 
 
-def forest(keys: list[int], sizes: np.ndarray, tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph of links among the sets."""
-    m = len(keys)
+def overlaps(ids: np.ndarray, ends: np.ndarray, cells: int):
+    """A function (a, b, top) -> shared tokens of sets a to b - 1 with sets a to top - 1.
+
+    ids are small token numbers, set after set. Tokens that a quarter of the sets or more hold are multiplied as a matrix,
+    the others are counted along their postings.
+    """
+    m = len(ends)
+    owner = np.repeat(np.arange(m), np.diff(ends, prepend=0))
+    df = np.bincount(ids)
+    often = df >= max(8, m // 4)
+    column = np.cumsum(often) - 1
+    dense = np.zeros((m, int(often.sum())), np.float32)
+    hit = often[ids]
+    dense[owner[hit], column[ids[hit]]] = 1
+    rare_ids, rare_owner = ids[~hit], owner[~hit]
+    order = np.argsort(rare_ids, kind="stable")
+    posting, by_id = rare_owner[order], rare_ids[order]
+    first = np.searchsorted(by_id, np.arange(len(df) + 1))
+    at = np.searchsorted(rare_owner, np.arange(m + 1))
+
+    def counts(a: int, b: int, top: int) -> np.ndarray:
+        width = top - a
+        both = (dense[a:b] @ dense[a:top].T).astype(np.int32) if dense.shape[1] else np.zeros((b - a, width), np.int32)
+        mine = rare_ids[at[a] : at[b]]
+        row = rare_owner[at[a] : at[b]] - a
+        n = first[mine + 1] - first[mine]
+        for lo, hi in _pieces(n, cells):
+            k = n[lo:hi]
+            step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            docs = posting[np.repeat(first[mine[lo:hi]], k) + step] - a
+            rows = np.repeat(row[lo:hi], k)
+            ok = (docs >= 0) & (docs < width)
+            both += np.bincount(rows[ok] * width + docs[ok], minlength=(b - a) * width).reshape(both.shape).astype(np.int32)
+        return both
+
+    return counts
+
+
+def _pieces(n: np.ndarray, most: int):
+    """Slices of n whose sums are about `most`."""
+    total, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def links(nodes: np.ndarray, sizes: np.ndarray, copies: np.ndarray, tiles: np.ndarray, tokens: list[np.ndarray], percent: int, cells: int = 1_000_000):
+    """(edges of a spanning forest, documents that each set is linked with) among sets; sets of one tile meet only if all are."""
+    order = np.argsort(sizes, kind="stable")
+    nodes, sizes, copies, tiles, tokens = nodes[order], sizes[order], copies[order], tiles[order], [tokens[i] for i in order]
+    m, cross = len(nodes), bool((tiles != tiles[0]).any())
     ids = np.unique(np.concatenate(tokens), return_inverse=True)[1]
-    ends = np.cumsum([len(t) for t in tokens])
-    mine = np.split(ids, ends[:-1])
-    owner = np.repeat(np.arange(m), [len(t) for t in tokens])
-    order = np.argsort(ids, kind="stable")
-    docs, top = owner[order], int(ids.max()) + 1
-    edge = np.searchsorted(ids[order], np.arange(top + 1))
-    open_, left, indexed, out = np.ones(m, bool), m, m, []
-    for seed in range(m):
-        if not open_[seed]:
-            continue
-        open_[seed], left, queue = False, left - 1, [seed]
-        while queue and left:
-            x = queue.pop()
-            if left * 2 < indexed:  # drop those already reached from the postings
-                alive = open_[docs]
-                edge = np.concatenate([[0], np.cumsum(alive)])[edge]
-                docs, indexed = docs[alive], left
-            t = mine[x]
-            both = np.bincount(np.concatenate([docs[a:b] for a, b in zip(edge[t], edge[t + 1], strict=True)]), minlength=m)
-            hit = np.flatnonzero(open_ & (100 * both >= percent * (int(sizes[x]) + sizes - both)) & (both > 0))
-            open_[hit] = False
-            left -= len(hit)
-            queue += hit.tolist()
-            out += [(keys[x], keys[y]) for y in hit]
-    return out
+    counts = overlaps(ids, np.cumsum([len(t) for t in tokens]), cells)
+    label, found, edges = np.arange(m), np.zeros(m, np.int64), []
+    a = 0
+    while a < m:
+        b = min(m, a + max(1, cells // (m - a)))
+        top = int(np.searchsorted(100 * sizes, 100 * 100 * sizes[b - 1] // percent, side="right"))
+        both = counts(a, b, top).astype(np.int64)
+        ok = 100 * both >= percent * (sizes[a:b, None] + sizes[None, a:top] - both)
+        ok &= np.arange(a, top)[None, :] > np.arange(a, b)[:, None]
+        if cross:
+            ok &= tiles[a:b, None] != tiles[None, a:top]
+        found[a:b] += ok @ copies[a:top]
+        found[a:top] += copies[a:b] @ ok
+        for i in np.flatnonzero(ok.any(axis=1)):
+            near = a + np.flatnonzero(ok[i])
+            new = np.unique(label[near], return_index=True)
+            for to, j in zip(*new, strict=True):
+                if to != label[a + i]:
+                    edges.append((int(nodes[a + i]), int(nodes[near[j]])))
+                    label[label == to] = label[a + i]
+        a = b
+    return edges, list(zip(nodes.tolist(), found.tolist(), strict=True))
 
 
 def verified(table, percent: int) -> list[dict]:
-    """Links, as forests, among the sets of each block in the table."""
-    blocks = np.array(table.column("block").to_pylist(), np.int64)
-    keys, sizes = table.column("key").to_pylist(), np.array(table.column("n").to_pylist(), np.int64)
-    packed = table.column("tokens").to_pylist()
-    order = np.lexsort((np.array(keys, np.int64), blocks))
+    """Of each block's cell in the table: its links as a forest (a, b), and (a, null, n) for each set's number of links."""
+    import pyarrow as pa
+
+    number = lambda c: table.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+    blocks, nodes, sizes, copies, tiles = map(number, ("block", "node", "n", "copies", "tile"))
+    packed = table.column("tokens")
+    order = np.lexsort((nodes, blocks))
     starts, counts = runs_of(blocks[order])
     out = []
     for a, c in zip(starts, counts, strict=True):
         at = order[a : a + c]
-        out += [{"a": x, "b": y} for x, y in forest([keys[i] for i in at], sizes[at], [unpack_sorted(packed[i]) for i in at], percent)]
+        edges, found = links(nodes[at], sizes[at], copies[at], tiles[at], [unpack_sorted(b) for b in packed.take(pa.array(at)).to_pylist()], percent)
+        out += [{"a": x, "b": y, "n": 0} for x, y in edges]
+        out += [{"a": x, "b": None, "n": n} for x, n in found if n]
     return out
 
 
-def slim_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """SLIM: each document's set size and the keys of its set."""
+def slim_sets(docs: DataFrame, width: int = WIDTH, seed: int = 0) -> DataFrame:
+    """SLIM: each document's set size, the keys of its set and a hash of its text."""
 
     def scan(batches):
         import pyarrow as pa
 
         for ids, texts in chunked(batches):
-            rows = [(i, len(s), *set_keys(s)) for i, s in zip(ids, sets_of(texts, width), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "n", "key", "check"])
+            rows = [(i, len(s), *set_keys(s, seed), int(U64(xxhash.xxh64_intdigest(t, TEXT_SEED)).astype(np.int64))) for i, t, s in zip(ids, texts, sets_of(texts, width), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "n", "key", "check", "text_hash"])
 
     return docs.mapInArrow(scan, SLIM)
 
 
-def token_blobs(docs: DataFrame, ranges: int, width: int, percent: int) -> DataFrame:
+def token_blobs(docs: DataFrame, ranges: int, width: int, percent: int, seed: int) -> DataFrame:
     """BLOB rows of all tokens of sets that can be similar to a different set."""
     least = 100 // (100 - percent) - 1  # a smaller set is only similar to its equals
 
     def scan(batches):
         for _, texts in chunked(batches):
-            found = {set_keys(s)[0]: s for s in sets_of(texts, width) if len(s) >= least}
+            found = {(set_keys(s, seed)[0], len(s)): s for s in sets_of(texts, width) if len(s) >= least}
             if not found:
                 continue
-            keys = np.array(list(found), np.int64).astype(np.uint64)
+            keys = np.array([k for k, _ in found], np.int64).astype(U64)
             sizes = np.array([len(s) for s in found.values()], np.int64)
             tokens, owner = np.concatenate(list(found.values())), np.repeat(np.arange(len(found)), sizes)
             order = np.argsort(tokens, kind="stable")
@@ -256,16 +318,24 @@ def token_blobs(docs: DataFrame, ranges: int, width: int, percent: int) -> DataF
     return docs.mapInArrow(scan, BLOB)
 
 
-def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, rare: int = RARE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id: components of the links 100 * shared >= percent * union."""
+def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, rare: int = RARE, block_weight: int = BLOCK_WEIGHT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text_hash, n_shingles, component_id, n_links, root.
+
+    Two documents link when 100 * shared >= percent * union; n_links counts all documents linked with one, copies too. root
+    is the same number for all documents of a component and null for those without shingles.
+    """
     docs = store.columns(docs, "doc_id", "text")
-    size = 2 * store.input_bytes(docs)
-    ranges = store.parts(size / 6, RANGE_TOKENS)
+    for seed in range(4):
+        slim = store.written(slim_sets(docs, width, seed), "sets")
+        sets = slim.where("n > 0").groupBy("key", "n").agg(F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+        sets = store.written(sets.withColumn("node", F.monotonically_increasing_id()), "members")
+        if not sets.where("check <> other").limit(1).count():
+            break
+    else:
+        raise RuntimeError("sets clash in 64-bit hash and size under every seed")
+    sets = sets.select("key", "n", "first", "copies", "node")
+    ranges = store.parts(slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], RANGE_TOKENS)
     buckets = store.parts(ranges, 3)
-    slim = store.written(slim_sets(docs, width), "sets")
-    clash = slim.where("n > 0").groupBy("key").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").limit(1).count()
-    if clash:
-        raise RuntimeError("two different sets have one 64-bit key; change the seed of set_keys")
 
     def share(table):
         return _rows(shared_tokens(table, buckets), BLOB)
@@ -273,8 +343,8 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     def choose(table):
         return _rows(candidates(table, percent, rare), CANDIDATE)
 
-    shared = token_blobs(docs, ranges, width, percent).groupBy("range").applyInArrow(share, BLOB)
-    found = store.written(shared.groupBy("range").applyInArrow(choose, CANDIDATE), "candidates")
+    shared = store.dealt(token_blobs(docs, ranges, width, percent, seed), ranges, "range").groupBy("range").applyInArrow(share, BLOB)
+    found = store.written(store.dealt(shared, buckets, "range").groupBy("range").applyInArrow(choose, CANDIDATE), "candidates")
 
     def post(batches):
         for batch in batches:
@@ -289,40 +359,72 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     def meet(table):
         return _rows(meetings(table, percent), "a long, b long")
 
-    edges = found.select("key", "n", "ikeys").mapInArrow(post, BLOB).groupBy("range").applyInArrow(meet, "a long, b long")
+    edges = store.dealt(found.select("key", "n", "ikeys").mapInArrow(post, BLOB), ranges, "range").groupBy("range").applyInArrow(meet, "a long, b long")
     near = store.written(components(edges), "blocks")
-    blocks = found.join(near, F.col("key") == F.col("node")).select("key", "n", "tokens", F.col("root").alias("block"))
-    weight = near.join(found.select("key", "n"), F.col("key") == F.col("node")).groupBy("root").agg(F.sum("n").alias("w"))
+    weight = near.join(found.select("key", "n"), F.col("key") == F.col("node")).groupBy("root").agg(F.sum(F.col("n") + SET_WEIGHT).alias("w"))
     weight = store.written(weight, "weights")
     total = weight.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    bins = store.parts(total, block_tokens // 4)
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("w") / (block_tokens // 2))).cast("int")
-    blocks = blocks.join(weight.select("root", tiles.alias("tiles")), F.col("block") == F.col("root"))
-    tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    bins = store.parts(total, block_weight // 8)
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("w") / (block_weight // 2))).cast("int")
+    homes = near.select(F.col("node").alias("key"), F.col("root").alias("block")).join(weight.select(F.col("root").alias("block"), tiles.alias("tiles")), "block")
+    blocks = found.select("key", "n", "tokens").join(homes.join(sets.select("key", "n", "node", "copies"), "key"), ["key", "n"])
+    blocks = blocks.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    blocks = blocks.withColumn("cell", F.when(F.col("tiles") == 1, F.lit(-1).cast("long")).otherwise(F.least(tile, "other").cast("long") * F.col("tiles") + F.greatest(tile, "other")))
+    # every pair of tiles is a cell, and so is every tile by itself
+    blocks = blocks.withColumn("cell", F.when(F.col("tiles") == 1, F.lit(-1).cast("long")).otherwise(F.least("tile", "other").cast("long") * F.col("tiles") + F.greatest("tile", "other")))
     blocks = blocks.withColumn("bin", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.col("block")))
 
     def verify(table):
-        return _rows(verified(table, percent), "a long, b long")
-
-    links = blocks.select("bin", "cell", "block", "key", "n", "tokens").groupBy("bin", "cell").applyInArrow(verify, "a long, b long")
-    roots = components(links)
-    by_key = slim.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    by_key = by_key.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    by_key = store.written(by_key, "members")
-    least = by_key.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = by_key.join(least, "root").select(F.col("key").alias("k"), "component_id")
-    out = slim.join(named, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return _rows(verified(table, percent), "a long, b long, n long")
+
+    found_links = blocks.select("bin", "cell", "block", "tile", "node", "copies", "n", "tokens").groupBy("bin", "cell").applyInArrow(verify, "a long, b long, n long")
+    found_links = store.written(found_links, "links")
+    roots = components(found_links.where("b IS NOT NULL").select("a", "b"))
+    degree = found_links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    members = sets.join(roots, "node", "left").join(degree, "node", "left").select("key", "n", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
+    members = store.written(members, "rooted")
+    least = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = members.join(least, "root").select(F.col("key").alias("_key"), F.col("n").alias("_n"), "links", "component_id", "root")
+    out = slim.join(named, (F.col("key") == F.col("_key")) & (F.col("n") == F.col("_n")), "left")
+    return out.select(
+        "doc_id",
+        "text_hash",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        "root",
+    )
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return jaccard_components(docs)
+    return jaccard_components(docs).drop("text_hash", "root")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    names = docs.columns
-    stay = jaccard_components(docs).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(names)
+    """One document of each group of near copies: that of the smallest doc_id, then the smallest hash of its text.
+
+    A document without shingles is a group of its own. Of rows that repeat a doc_id and a text one stays.
+    """
+    found = store.written(jaccard_components(docs), "near")
+    linked = found.where("n_links > 0").withColumn("id", F.coalesce("doc_id", F.lit(store.LAST)))
+    first = linked.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("s")).select("s.*")
+    gone = linked.select("doc_id", "id", "text_hash").distinct().join(first, ["id", "text_hash"], "left_anti").select("doc_id", "text_hash")
+    repeats = found.groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
+    return store.without(docs, store.written(gone, "copies"), store.written(repeats, "repeats"))
+
+
+SQL = """
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+k AS (SELECT r, doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(list_sort(sh), chr(10))) END AS k, sh FROM s),
+d AS (SELECT k, any_value(n) AS n, count(*) AS copies, min(doc_id) AS first_doc, any_value(sh) AS sh FROM k WHERE n > 0 GROUP BY k),
+t AS (SELECT k, n, hash(unnest(sh)) AS h FROM d),
+p AS (SELECT a.k AS x, b.k AS y FROM t a JOIN t b ON a.h = b.h AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (WITH RECURSIVE g(x, y) AS (SELECT k, k FROM d UNION SELECT g.x, p.y FROM g JOIN p ON g.y = p.x) SELECT x, y FROM g),
+c AS (SELECT reach.x AS k, min(e.first_doc) AS component_id FROM reach JOIN d e ON e.k = reach.y GROUP BY reach.x),
+l AS (SELECT p.x AS k, sum(e.copies) AS links FROM p JOIN d e ON e.k = p.y GROUP BY p.x)
+SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, CASE WHEN k.n > 0 THEN c.component_id ELSE k.doc_id END AS component_id,
+       CAST(coalesce(l.links, 0) + coalesce(d.copies - 1, 0) AS BIGINT) AS n_links
+FROM k LEFT JOIN d ON d.k = k.k LEFT JOIN c ON c.k = k.k LEFT JOIN l ON l.k = k.k
+"""

@@ -72,6 +72,54 @@ def parts(total: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
+def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """df in n partitions by key, for groups of bounded size: as many tasks as groups, however few the session asks for."""
+    return df.repartition(n, key)
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra ones and their names do not matter."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or a like name that df has no column of, whatever the case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def text_hash(df: DataFrame):
+    """A hash of df's text, null as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all texts."""
+    return df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+
+
+#: Stands for a null doc_id where the smallest counts.
+LAST = (1 << 63) - 1
+
+
+def without(docs: DataFrame, gone: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
+    """docs without the rows (doc_id, text_hash) of `gone`; of rows in `repeats`, alike in both, one stays.
+
+    Texts are shuffled only where `gone` is too large to broadcast, which Catalyst decides by its size.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    h = fresh(docs, "text_hash")
+    keyed = docs.withColumn(h, text_hash(docs))
+
+    def by(right: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        d, t = fresh(left, "gone_id"), fresh(left, "gone_hash")
+        right = right.select(F.col("doc_id").alias(d), F.col("text_hash").alias(t))
+        return left.join(right, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), how)
+
+    out = by(gone, "left_anti", keyed)
+    if repeats is None or not repeats.limit(1).count():
+        return out.select(names)
+    one = by(repeats, "left_semi", out).groupBy("doc_id", h).agg(F.first(F.struct(names)).alias("row"))
+    return by(repeats, "left_anti", out).select(names).unionByName(one.select("row.*"))
