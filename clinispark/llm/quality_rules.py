@@ -1,13 +1,16 @@
 """Quality rules whose cutoffs come from mergeable quantile sketches per language and source.
 
-A sketch counts values in buckets of relative width 2 %, so two sketches merge by adding counts and a quantile is off by
-1 % at most; here a sketch is rows (lang, source, metric, bucket, n). A group of few documents takes the merged sketch of
-its language, a language of few that of all. A document is rejected when a metric lies over the upper fence of its group,
-or when it fails the base rules. The fence lies over the group's 90th percentile by `reach` times the distance from the
-median to the upper quartile, or by the metric's least distance, so it never falls into the bulk of a group.
+A sketch counts the values over zero of a metric in buckets of relative width 1/64, found by integer arithmetic, so two
+sketches merge by adding counts and give the same quantiles in any order. The upper fence of a group of documents is
+q75 + reach * (q75 - q25) of its own values: it follows the group's spread and holds no constant of the metric's scale. Few
+values say little, so a fence is the mean of the group's own, weighed by its number of values, and that of its language,
+weighed by `prior`; a language leans on all documents in the same way. A source full of junk can't raise its cutoff at will:
+no fence lies beyond that of the wider group with twice the reach. A document is rejected when a metric lies over its
+fence, or when it fails the base rules.
 
 Defined cases: a null text has no words and fails the base rules; null lang or source are groups of their own; rows that
-repeat count each; an empty table gives an empty result; texts of any length are read whole.
+repeat count each; metrics without a value over zero anywhere reject nothing; an empty table gives an empty result; texts
+of any length are read whole; other columns are kept by `stage` whatever their names, and ignored by `query`.
 """
 
 from __future__ import annotations
@@ -21,8 +24,13 @@ from . import store
 from .words import hashed, windows
 
 BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
-#: Metrics and the least distance of the fence from the 90th percentile, since a sketch that is mostly zeros has no spread.
-METRICS = {"symbol_rate": 0.2, "dup_line_rate": 0.3, "repeat_rate": 0.2, "word_length": 2.0}
+#: Metrics as ratios of counts.
+METRICS = {"symbol_rate": ("n_symbols", "word_chars"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+REACH, PRIOR = 3.0, 200
+#: Buckets count in units of one millionth; 64 buckets for each power of two.
+UNIT, FINE = 1_000_000, 128
+#: Groups whose fences may go to all tasks; with more, rejected rows are taken out by a join.
+BROADCAST_GROUPS = 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -70,7 +78,7 @@ def measure(texts: list[bytes]) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with COUNTS beside all its columns but text."""
+    """docs (text and any other columns) with COUNTS in place of text."""
     rest = [c for c in docs.columns if c != "text"]
     schema = docs.select(*[f"`{c}`" for c in rest]).schema
     for name in COUNTS:
@@ -90,72 +98,139 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
-def metrics(x: DataFrame) -> DataFrame:
-    rate = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return x.withColumns(
-        {
-            "symbol_rate": rate("n_symbols", "word_chars"),
-            "dup_line_rate": rate("n_dup_lines", "n_lines"),
-            "repeat_rate": rate("n_repeat_words", "n_words"),
-            "word_length": rate("word_chars", "n_words"),
-            "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        }
-    )
+def base_failed():
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def bucket(value, width: float = 0.02):
-    """A value's bucket: 0 for 0, else by the logarithm."""
-    return F.when(value <= 0, F.lit(-(1 << 30))).otherwise(F.ceil(F.log(value) / float(np.log1p(width)))).cast("int")
-
-
-def bucket_value(b, width: float = 0.02):
-    return F.when(b == -(1 << 30), F.lit(0.0)).otherwise(F.exp((b - 0.5) * float(np.log1p(width))))
+def bucket(v: str):
+    """The bucket of a whole number: its leading seven bits and how many follow."""
+    return F.expr(f"cast(greatest(0, length(bin({v})) - 7) * {FINE} + shiftright({v}, greatest(0, length(bin({v})) - 7)) as int)")
 
 
 def sketches(x: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): counts only, so sketches of two tables merge by their sum."""
-    long = x.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS])).alias("v"))
-    return long.select("lang", "source", "v.*").groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
-
-
-def fences(found: DataFrame, *, least: int = 200, reach: float = 6.0) -> DataFrame:
-    """Upper fences (lang, source, then one column a metric) of all groups, from sketches."""
-
-    def of(groups: list[str]) -> DataFrame:
-        merged = found.groupBy(*groups, "metric", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*groups, "metric").orderBy("bucket")
-        merged = merged.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy(*groups, "metric"))})
-        at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), bucket_value(F.col("bucket"))))
-        return merged.groupBy(*groups, "metric").agg(F.first("total").alias("total"), at(0.5).alias("q50"), at(0.75).alias("q75"), at(0.9).alias("q90"))
-
-    slack = F.create_map(*[x for m, v in METRICS.items() for x in (F.lit(m), F.lit(v))])
-    fence = F.col("q90") + F.greatest(reach * (F.col("q75") - F.col("q50")), slack[F.col("metric")])
-    named = lambda df, p: df.withColumn("fence", fence).withColumnsRenamed({"fence": f"{p}_fence", "total": f"{p}_total"}).drop("q50", "q75", "q90")
-    fine, lang, every = named(of(["lang", "source"]), "fine"), named(of(["lang"]), "lang").withColumnRenamed("lang", "_lang").withColumnRenamed("metric", "_m"), named(of([]), "all").withColumnRenamed("metric", "_m2")
-    joined = fine.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_m"))).join(F.broadcast(every), F.col("metric") == F.col("_m2"))
-    chosen = F.when(F.col("fine_total") >= least, F.col("fine_fence")).when(F.col("lang_total") >= least, F.col("lang_fence")).otherwise(F.col("all_fence"))
-    return joined.withColumn("chosen", chosen).groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("chosen"))).alias(f"max_{m}") for m in METRICS])
+    """COUNTS with lang and source -> (lang, source, metric, bucket, n): sketches of two tables merge by their sum."""
+    values = [F.struct(F.lit(m).alias("metric"), F.expr(f"({a} * {UNIT}) div greatest({b}, 1)").alias("v")) for m, (a, b) in METRICS.items()]
+    long = x.where(~base_failed()).select("lang", "source", F.explode(F.array(*values)).alias("x")).select("lang", "source", "x.*").where("v > 0")
+    return long.select("lang", "source", "metric", bucket("v").alias("bucket")).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
+
+
+def quartiles(found: DataFrame, *groups: str) -> DataFrame:
+    """(groups, metric, total, q25, q75) from merged sketches; a quantile is the middle of its bucket."""
+    merged = found.groupBy(*groups, "metric", "bucket").agg(F.sum("n").alias("n"))
+    each = Window.partitionBy(*groups, "metric")
+    merged = merged.withColumns({"upto": F.sum("n").over(each.orderBy("bucket")), "total": F.sum("n").over(each)})
+    at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket")))
+    value = lambda b: (F.col(b) % FINE + 0.5) * F.pow(F.lit(2.0), F.expr(f"{b} div {FINE}")) / UNIT
+    out = merged.groupBy(*groups, "metric").agg(F.first("total").alias("total"), at(1).alias("b25"), at(3).alias("b75"))
+    return out.select(*groups, "metric", "total", value("b25").alias("q25"), value("b75").alias("q75"))
+
+
+def fences(found: DataFrame, *, reach: float = REACH, prior: int = PRIOR) -> DataFrame:
+    """Upper fences (lang, source, then one column a metric) of all groups that a sketch knows."""
+
+    def of(total: str, q25: str, q75: str, wide: str, wide25: str, wide75: str):
+        """A group's own fence leaning on the wider group's, and not beyond that one's with twice the reach."""
+        own = F.col(q75) + reach * (F.col(q75) - F.col(q25))
+        most = F.col(wide75) + 2 * reach * (F.col(wide75) - F.col(wide25))
+        return F.least((F.col(total) * own + prior * F.col(wide)) / (F.col(total) + prior), most)
+
+    named = lambda df, p: df.withColumnsRenamed({"total": f"{p}_n", "q25": f"{p}25", "q75": f"{p}75"})
+    every = named(quartiles(found), "all").withColumn("all_fence", F.col("all75") + reach * (F.col("all75") - F.col("all25")))
+    lang = named(quartiles(found, "lang"), "lang").join(every, "metric").withColumn("lang_fence", of("lang_n", "lang25", "lang75", "all_fence", "all25", "all75"))
+    lang = lang.withColumnsRenamed({"lang": "_lang", "metric": "_metric"})
+    fine = named(quartiles(found, "lang", "source"), "own")
+    # every group has a row for every metric of its language, if only with the language's fence
+    groups = found.select("lang", "source").distinct().join(lang, F.col("lang").eqNullSafe(F.col("_lang")))
+    fine = fine.withColumnsRenamed({"lang": "l2", "source": "s2", "metric": "m2"})
+    both = groups.join(fine, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("_metric") == F.col("m2")), "left")
+    fence = F.when(F.col("own_n").isNull(), F.col("lang_fence")).otherwise(of("own_n", "own25", "own75", "lang_fence", "lang25", "lang75"))
+    both = both.withColumn("fence", fence)
+    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("_metric") == m, F.col("fence"))).alias(f"max_{m}") for m in METRICS])
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source) -> COUNTS, base_failed and kept for each row; other columns but text stay."""
-    x = metrics(store.written(measured(docs), "measured"))
+    """docs (doc_id, text, lang, source) -> COUNTS, base_failed, kept and `over`, the metrics over their fence, for each row."""
+    x = store.written(measured(docs), "measured")
     limits = store.written(fences(sketches(x)), "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     # groups are as many as pairs of language and source: left to the optimizer, which broadcasts only below its size limit
     y = x.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    over = [F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False)) for m in METRICS]
+    over = [F.coalesce(F.col(a) / F.greatest(F.col(b), F.lit(1)) > F.col(f"max_{m}"), F.lit(False)) for m, (a, b) in METRICS.items()]
     failed = F.array_compact(F.array(*[F.when(o, F.lit(m)) for m, o in zip(METRICS, over, strict=True)]))
-    return y.withColumn("over", failed).withColumn("kept", ~F.col("base_failed") & (F.size("over") == 0))
+    y = y.withColumns({"over": failed, "base_failed": base_failed()})
+    return y.withColumn("kept", ~F.col("base_failed") & (F.size("over") == 0))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    out = judged(store.columns(docs, "doc_id", "text", "lang", "source"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("over", ",").alias("over_fence"))
+    return judged(store.columns(docs, "doc_id", "text", "lang", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("over", ",").alias("over_fence"))
+
+
+def keeps(counts: np.ndarray, groups: list[tuple], limits: dict[tuple, tuple]) -> np.ndarray:
+    """Which rows of COUNTS pass the base rules and the fences of their groups."""
+    at = {name: counts[:, i] for i, name in enumerate(COUNTS)}
+    good = (at["n_words"] >= 20) & (100 * at["n_repeat_words"] <= 30 * at["n_words"])
+    none = (None,) * len(METRICS)
+    most = np.array([[np.inf if x is None else x for x in limits.get(g, none)] for g in groups], float).reshape(len(groups), len(METRICS))
+    for i, (a, b) in enumerate(METRICS.values()):
+        good &= ~(at[a] / np.maximum(at[b], 1) > most[:, i])
+    return good
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    names = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    good = judged(keyed.select("doc_id", "text", "lang", "source", "_row")).where("kept").select(F.col("doc_id").alias("_id"), F.col("_row").alias("_good")).distinct()
-    return keyed.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_good")), "left_semi").select(names)
+    """Documents that the rules keep, each row judged by itself.
+
+    The texts are read twice and never shuffled: once for the sketches, once to be judged by the fences, which go to all
+    tasks while they are few.
+    """
+    limits = store.written(fences(sketches(measured(store.columns(docs, "text", "lang", "source")))), "fences")
+    if limits.count() > BROADCAST_GROUPS:
+        keyed = docs.select("doc_id", "text", "lang", "source", store.text_hash(docs).alias("text_hash"))
+        bad = judged(keyed).where("NOT kept").select("doc_id", "text_hash").distinct()
+        return store.without(docs, store.written(bad, "rejected"))
+    known = {(r["lang"], r["source"]): tuple(r[f"max_{m}"] for m in METRICS) for r in limits.collect()}
+    held = spark.sparkContext.broadcast(known)
+
+    def scan(batches):
+        import pyarrow as pa
+
+        from .words import binary
+
+        for batch in batches:
+            groups = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
+            yield batch.filter(pa.array(keeps(measure([t or b"" for t in binary(batch.column("text"))]), groups, held.value)))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, row_number() OVER () AS r,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+v AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+d AS (SELECT r, i FROM v QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+m AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM d) GROUP BY r),
+c AS (SELECT w.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+        CAST(len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(m.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN m ON m.r = w.r),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+x AS (SELECT r, lang, source, base_failed, unnest([{'m': 'symbol_rate', 'a': n_symbols, 'b': word_chars}, {'m': 'dup_line_rate', 'a': n_dup_lines, 'b': n_lines},
+        {'m': 'repeat_rate', 'a': n_repeat_words, 'b': n_words}, {'m': 'word_length', 'a': word_chars, 'b': n_words}], recursive := true) FROM b),
+y AS (SELECT lang, source, m, (a * 1000000) // greatest(b, 1) AS v FROM x WHERE NOT base_failed AND (a * 1000000) // greatest(b, 1) > 0),
+s AS (SELECT lang, source, m, greatest(0, length(bin(v)) - 7) * 128 + (v >> greatest(0, length(bin(v)) - 7)) AS k, count(*) AS n FROM y GROUP BY ALL),
+g AS (SELECT 0 AS level, NULL AS lang, NULL AS source, m, k, sum(n) AS n FROM s GROUP BY m, k
+      UNION ALL SELECT 1, lang, NULL, m, k, sum(n) FROM s GROUP BY lang, m, k UNION ALL SELECT 2, lang, source, m, k, n FROM s),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY k) AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS total FROM g),
+q AS (SELECT level, lang, source, m, CAST(any_value(total) AS DOUBLE) AS total, min(k) FILTER (WHERE 4 * upto >= total) AS k1, min(k) FILTER (WHERE 4 * upto >= 3 * total) AS k3 FROM u GROUP BY level, lang, source, m),
+z AS (SELECT level, lang, source, m, total, (k1 % 128 + 0.5::DOUBLE) * pow(2.0, k1 // 128) / 1000000 AS lo, (k3 % 128 + 0.5::DOUBLE) * pow(2.0, k3 // 128) / 1000000 AS hi FROM q),
+e AS (SELECT l.lang, l.m, l.lo, l.hi, least((l.total * (l.hi + 3.0::DOUBLE * (l.hi - l.lo)) + 200 * (a.hi + 3.0::DOUBLE * (a.hi - a.lo))) / (l.total + 200), a.hi + 6.0::DOUBLE * (a.hi - a.lo)) AS fence
+      FROM z l JOIN z a ON a.level = 0 AND a.m = l.m WHERE l.level = 1),
+f AS (SELECT o.lang, o.source, e.m, CASE WHEN z.total IS NULL THEN e.fence ELSE
+        least((z.total * (z.hi + 3.0::DOUBLE * (z.hi - z.lo)) + 200 * e.fence) / (z.total + 200), e.hi + 6.0::DOUBLE * (e.hi - e.lo)) END AS fence
+      FROM (SELECT DISTINCT lang, source FROM s) o JOIN e ON e.lang IS NOT DISTINCT FROM o.lang
+      LEFT JOIN z ON z.level = 2 AND z.lang IS NOT DISTINCT FROM o.lang AND z.source IS NOT DISTINCT FROM o.source AND z.m = e.m),
+o AS (SELECT x.r, string_agg(x.m, ',' ORDER BY list_position(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length'], x.m)) AS over_fence
+      FROM x JOIN f ON f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source AND f.m = x.m
+      WHERE CAST(x.a AS DOUBLE) / greatest(x.b, 1) > f.fence GROUP BY x.r)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.r IS NULL AS kept, coalesce(over_fence, '') AS over_fence
+FROM b LEFT JOIN o ON o.r = b.r
+"""

@@ -25,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL, "op10_jaccard_join": jaccard_join.SQL}
