@@ -70,7 +70,11 @@ def test_words_and_windows():
 
 def test_packing_blobs():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 999, dtype=np.uint64))
-    assert (exchange.unpack_sorted(exchange.pack_sorted(x)) == x).all() and exchange.cuts(x, 7)[-1] == 999
+    assert (exchange.unpack_sorted(exchange.pack_sorted(x)) == x).all()
+    for n in (1, 7, 5000):
+        cut = list(exchange.filled(x, n))
+        assert [a for _, a, _ in cut] == [0, *[b for _, _, b in cut[:-1]]] and cut[-1][2] == 999
+        assert all(int(v) // ((1 << 64) // n) == r for r, a, b in cut for v in x[a:b])
 
 
 def test_covers():
@@ -337,9 +341,37 @@ def test_components(spark):
 
 
 def test_lm_scoring(spark, docs, empty):
-    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(30)] + [(0, 0, 0)], "doc_id long, quality int, toxic int")
-    out = lm_scoring.score(docs, labels).toPandas()
-    assert len(out) == len(ROWS) and out.is_target.sum() == 15 and (out.score.isna() == (out.n_tokens == 0)).all()
+    """Every loss against plain counters, the document's own counts left out."""
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(30)] + [(0, 0, 0), (55, 1, 0)], "doc_id long, quality int, toxic int")
+    texts = [(d, ascii_lower((t or "").encode()).split()) for d, t, *_ in ROWS]
+    target = [d is not None and (d < 30 and d % 2 == 0 or d == 55) for d, _ in texts]
+
+    def counts(rows):
+        word, context, pair = collections.Counter(), collections.Counter(), collections.Counter()
+        for w in rows:
+            word.update(w)
+            context.update(w)
+            context[None] += bool(w)
+            pair.update(zip([None, *w], w, strict=False))
+        return word, context, pair
+
+    every, mine = counts(w for _, w in texts), counts(w for (_, w), t in zip(texts, target, strict=True) if t)
+    n_every, n_target, v = sum(every[0].values()), sum(mine[0].values()), len(every[0])
+    scale, want = n_target / n_every, collections.Counter()
+    for (d, w), t in zip(texts, target, strict=True):
+        own, row = counts([w]), [d, len(w), t]
+        for (word, context, pair), n, k, leave in ((mine, n_target, 1, t), (every, n_every, scale, True)):
+            loss = 0.0
+            for h, x in zip([None, *w], w, strict=False):
+                c = [k * (a[key] - leave * b[key]) for a, b, key in ((word, own[0], x), (context, own[1], h), (pair, own[2], (h, x)))]
+                p = (c[0] + 1) / (k * (n - leave * len(w)) + v)
+                loss -= np.log((c[2] + lm_scoring.MU * p) / (c[1] + lm_scoring.MU))
+            row.append(round(loss / len(w), 4) if w else None)
+        want[tuple(row)] += 1
+    got = collections.Counter((r.doc_id, r.n_tokens, r.is_target, *[None if x is None else round(x, 4) for x in (r.target_loss, r.background_loss)]) for r in lm_scoring.score(docs, labels).collect())
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    for a, b in zip(sorted(got.elements(), key=key), sorted(want.elements(), key=key), strict=True):
+        assert a[:3] == b[:3] and all(x == y or abs(x - y) < 3e-4 for x, y in zip(a[3:], b[3:], strict=True))
     assert lm_scoring.score(empty, labels).count() == 0 and lm_scoring.score(docs, labels.limit(0)).count() == len(ROWS)
 
 
