@@ -1,15 +1,17 @@
 """Benchmark decontamination by size-partitioned MinHash containment, then exact shingle containment.
 
-Items are partitioned by the size of their shingle set. In a partition whose largest set has u shingles, an item's
-sketch is its k = floor((1 - t) * u) + 1 smallest shingle hashes. A document that holds a share t of an item's shingles
-lacks at most (1 - t) * u of them, so it holds one of the sketch: testing the sketch against the whole set of the
-document, whatever the document's length, loses no pair. Pairs found so are verified on all shingles.
+Items are partitioned by the size of their shingle set. In a partition whose largest set has u shingles an item's sketch is
+its k = floor((1 - t) * u) + HITS smallest shingle hashes, a bottom-k MinHash. The share of a sketch that a document's
+shingles hold estimates the containment of the item, whatever the document's length. A document that holds a share t of the
+n shingles lacks at most (1 - t) * n of them, so at least k - floor((1 - t) * n) of its sketch is there: an estimate below
+that can't belong to a match and the others are candidates. A partition is passed over for documents with fewer shingles
+than its smallest item needs. Candidates are verified on the shingles' words themselves, not on hashes.
 
 Texts are lower-cased and freed of ASCII punctuation, then cut at blanks.
 
 Defined cases: null or empty texts and items without words match nothing; an item of fewer than five words is one
 shingle of all of them, sought as a run of words; rows that repeat match each; an empty benchmark or table gives an
-empty result; documents are read whole; columns beside doc_id, item_id and text are ignored.
+empty result; documents are read whole; columns beside doc_id, item_id and text are ignored, and `stage` keeps them.
 """
 
 from __future__ import annotations
@@ -25,9 +27,12 @@ from .words import LOWER, U64, hashed, windows
 
 WIDTH, LEAST = 5, 0.8
 PUNCTUATION = string.punctuation.encode()
-#: Bytes of item shingles up to which all tasks get the whole index; above, sketches and documents meet in a shuffle.
-BROADCAST_BYTES = 32 << 20
-PAIRS = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
+#: Hits of a sketch that a match has at the least, where its set is the largest of its partition.
+HITS = 3
+#: Bytes of item texts that one index holds; its sketches and words take about eight times that in each worker. A larger
+#: benchmark is taken in slices of this size, each a pass over the documents, so no task ever holds more.
+INDEX_BYTES = 8 << 20
+PAIRS = "doc_id long, text_hash long, item_id long, n_item_shingles long, n_shared long, containment double, estimate double"
 
 
 def normal(text: bytes) -> bytes:
@@ -37,97 +42,90 @@ def normal(text: bytes) -> bytes:
     return text.translate(None, PUNCTUATION).decode().lower().encode()
 
 
-def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    return np.unique(windows(words, width))
+def runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words, apart from those of other widths."""
+    return windows(hashes, width) ^ U64(width * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
-def _short(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of runs of n words, apart from those of other widths."""
-    return windows(words, n) ^ U64(n * 0x9E3779B97F4A7C15 % (1 << 64))
+def phrases(words: list[bytes], width: int) -> set[bytes]:
+    """Distinct runs of `width` words; a blank can't be in a word."""
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
 class Index:
-    """Item sketches by shingle, and all shingles of each item. items: ascending (item_id, shingles, width)."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray, int]], least: float):
-        self.items, self.least = items, least
-        sizes: dict[tuple[int, int], int] = {}
-        for _, s, width in items:
-            part = (width, int(len(s)).bit_length())
-            sizes[part] = max(sizes.get(part, 0), len(s))
-        sketch: dict[int, list[np.ndarray]] = {}
-        owner: dict[int, list[np.ndarray]] = {}
-        for i, (_, s, width) in enumerate(items):
-            u = sizes[(width, int(len(s)).bit_length())]
-            k = min(len(s), int((1 - least) * u + 1e-9) + 1)
-            sketch.setdefault(width, []).append(s[:k])  # ascending hashes: the first are the smallest
-            owner.setdefault(width, []).append(np.full(k, i))
-        self.sketch = {}
-        for width in sketch:
-            h, o = np.concatenate(sketch[width]), np.concatenate(owner[width])
+    """Sketches of items by shingle width and size partition. items: ascending (item_id, words)."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], least: float):
+        self.items, self.least = [], least
+        groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for item, words in items:
+            width = min(WIDTH, len(words))
+            if width:
+                s = np.unique(runs(hashed([b" ".join(words)])[0], width))
+                groups.setdefault((width, len(s).bit_length()), []).append((len(self.items), s))
+                self.items.append((item, width, phrases(words, width)))
+        #: (width, least shingles of a document, ascending sketch hashes, their items, keys, lost + 1 of each item)
+        self.partitions = []
+        for (width, _), held in sorted(groups.items()):
+            lacks = lambda n: int((1 - least) * n + 1e-9)  # noqa: E731  shingles that a match may lack
+            k = lacks(max(len(s) for _, s in held)) + HITS
+            h, owner = np.concatenate([s[:k] for _, s in held]), np.repeat([i for i, _ in held], [min(k, len(s)) for _, s in held])
             order = np.argsort(h, kind="stable")
-            self.sketch[width] = h[order], o[order]
-        self.keys = {width: np.unique(h) for width, (h, _) in self.sketch.items()}
-
-    def matches(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item's place, its shingles, those shared) of items contained in a document."""
-        out = []
-        for width, (h, o) in self.sketch.items():
-            found = windows(words, WIDTH) if width == WIDTH else _short(words, width)
-            place = np.minimum(np.searchsorted(self.keys[width], found), len(self.keys[width]) - 1)
-            keys = np.unique(found[self.keys[width][place] == found])
-            if not len(keys):
+            need = {i: min(k, len(s)) - lacks(len(s)) for i, s in held}
+            size = {i: min(k, len(s)) for i, s in held}
+            self.partitions.append((width, min(len(s) - lacks(len(s)) for _, s in held), h[order], owner[order], np.unique(h), need, size))
+
+    def matches(self, hashes: np.ndarray, text: bytes) -> list[tuple[int, int, int, float]]:
+        """(item_id, its shingles, those shared, estimate) of items contained in a document, given its word hashes and words."""
+        out, found, words = [], {}, None
+        for width, least, h, owner, keys, need, size in self.partitions:
+            if width not in found:
+                found[width] = runs(hashes, width)
+            if len(found[width]) < least:
                 continue
-            hit = np.isin(h, keys)
-            for i in np.unique(o[hit]):
-                s = self.items[i][1]
-                shared = len(np.intersect1d(s, found))
-                if shared >= self.least * len(s) - 1e-9:
-                    out.append((int(i), len(s), shared))
+            place = np.minimum(np.searchsorted(keys, found[width]), len(keys) - 1)
+            here = np.unique(found[width][keys[place] == found[width]])
+            if not len(here):
+                continue
+            items, hits = np.unique(owner[np.isin(h, here)], return_counts=True)
+            for i, n in zip(items.tolist(), hits.tolist(), strict=True):
+                if n < need[i]:
+                    continue
+                words = words if words is not None else text.split()
+                item, _, wanted = self.items[i]
+                shared = len(wanted & phrases(words, width))
+                if shared >= self.least * len(wanted) - 1e-9:
+                    out.append((item, len(wanted), shared, n / size[i]))
         return out
 
 
-def item_sets(rows: list[tuple[int, bytes]]) -> list[tuple[int, np.ndarray, int]]:
-    out = []
-    for item, text in rows:
-        words, _ = hashed([normal(text)])
-        width = min(WIDTH, len(words))
-        if width:
-            s = shingles(words) if width == WIDTH else np.unique(_short(words, width))
-            out.append((item, s, width))
-    return out
-
-
-def find(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST) -> DataFrame:
-    """PAIRS of documents and the benchmark items they contain.
-
-    The index is broadcast while the benchmark is within BROADCAST_BYTES; a larger one is taken in slices of that size,
-    each a pass over the documents, so that no task holds more.
-    """
+def find(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """PAIRS of documents and the benchmark items they contain."""
     spark = docs.sparkSession
     items = store.columns(benchmark, "item_id", "text").where("text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = store.parts(total, BROADCAST_BYTES)
+    slices = store.parts(store.text_bytes(items), index_bytes)
     found = None
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else items
-        rows = [(r["item_id"], r["text"].encode()) for r in part.orderBy("item_id", "text").collect()]
-        index = spark.sparkContext.broadcast(Index(item_sets(rows), least))
+        rows = [(r["item_id"], normal(r["text"].encode()).split()) for r in part.orderBy("item_id", "text").collect()]
+        index = spark.sparkContext.broadcast(Index(rows, least))
 
         def scan(batches, index=index):
             import pyarrow as pa
 
             from .words import binary
 
-            one = index.value
+            one, names = index.value, [f.split()[0] for f in PAIRS.split(", ")]
             for batch in batches:
-                words, at = hashed([normal(t or b"") for t in binary(batch.column("text"))])
+                texts = [normal(t or b"") for t in binary(batch.column("text"))]
+                hashes, at = hashed(texts)
                 out = []
-                for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-                    out += [(doc, one.items[i][0], n, shared, shared / n) for i, n, shared in one.matches(words[at[k] : at[k + 1]])]
-                yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "n_item_shingles", "n_shared", "containment"), r, strict=True)) for r in out], schema=_pairs())
+                for k, (doc, row) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), strict=True)):
+                    out += [(doc, row, item, n, shared, shared / n, e) for item, n, shared, e in one.matches(hashes[at[k] : at[k + 1]], texts[k])]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_pairs())
 
-        part = store.columns(docs, "doc_id", "text").mapInArrow(scan, PAIRS)
+        keyed = docs.select("doc_id", "text", store.text_hash(docs).alias("text_hash"))
+        part = keyed.mapInArrow(scan, PAIRS)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -135,15 +133,28 @@ def find(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST) -> Data
 def _pairs():
     import pyarrow as pa
 
-    return pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item_shingles", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())])
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in PAIRS.split(", "))])
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return find(docs, benchmark)
+    """Pairs with the exact containment; the estimate stays with `find`."""
+    return find(docs, benchmark).drop("text_hash", "estimate")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    names = docs.columns
-    bad = store.written(find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(names)
+    """Documents that contain no benchmark item, each row judged by its own text."""
+    found = find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return store.without(docs, store.written(found.select("doc_id", "text_hash").distinct(), "leaks"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS r, item_id, list_filter(regexp_split_to_array(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT r, item_id, ws, least(5, len(ws)) AS w FROM i WHERE len(ws) > 0),
+s AS (SELECT DISTINCT r, item_id, w, array_to_string(ws[k:k + w - 1], ' ') AS p FROM (SELECT *, unnest(range(1, len(ws) - w + 2)) AS k FROM n)),
+z AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+h AS (SELECT DISTINCT r, doc_id, w, array_to_string(ws[k:k + w - 1], ' ') AS p FROM (SELECT d.*, v.w, unnest(range(1, len(ws) - v.w + 2)) AS k FROM d, (SELECT DISTINCT w FROM n) v))
+SELECT h.doc_id, s.item_id, any_value(z.n) AS n_item_shingles, count(*) AS n_shared, CAST(count(*) AS DOUBLE) / any_value(z.n) AS containment
+FROM h JOIN s ON s.p = h.p AND s.w = h.w JOIN z ON z.r = s.r GROUP BY h.r, h.doc_id, s.r, s.item_id HAVING count(*) >= 0.8::DOUBLE * any_value(z.n) - 1e-9
+"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import zstandard
+from pyspark.sql import DataFrame
 
 _pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -34,11 +35,29 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
-def cuts(values: np.ndarray, n: int) -> np.ndarray:
-    """Where ascending uint64 values pass from one of n equal ranges to the next: n + 1 positions."""
-    step = (1 << 64) // n
-    edges = np.array([i * step for i in range(n)], np.uint64)
-    return np.append(np.searchsorted(values, edges), len(values))
+def filled(values: np.ndarray, n: int):
+    """(range, start, end) of each of n equal ranges that ascending uint64 values fill."""
+    if not len(values):
+        return
+    ids = np.minimum(values // np.uint64((1 << 64) // n), np.uint64(n - 1)) if n > 1 else np.zeros(len(values), np.uint64)
+    new = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+    for a, b in zip([0, *new.tolist()], [*new.tolist(), len(values)], strict=True):
+        yield int(ids[a]), a, b
+
+
+def collapsed(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, more, copies): rows that are alike within a batch are one, so many equal rows stay few."""
+    names = ["doc_id", "text", *more]
+    schema = docs.select(*[f"`{c}`" for c in names]).schema.add("copies", "long")
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([([], "count_all")])
+            yield from table.select([*names, "count_all"]).rename_columns([*names, "copies"]).combine_chunks().to_batches()
+
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(scan, schema)
 
 
 def narrow(values: np.ndarray) -> np.ndarray:

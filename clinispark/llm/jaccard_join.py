@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import components
-from .exchange import cuts, narrow, pack, pack_sorted, unpack, unpack_sorted
+from .exchange import filled, narrow, pack, pack_sorted, unpack, unpack_sorted
 from .substring_dedup import _rows, runs_of
 from .words import BASE, EMPTY, LOWER, U64, binary, hashed, mixed, windows
 
@@ -89,11 +89,8 @@ def groups(n: int) -> int:
 
 def _blobs(tokens: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, ranges: int, df: np.ndarray | None = None, by: np.ndarray | None = None) -> list[dict]:
     """One row per range of tokens, or of `by` where given; arrays ascend by it. keys and sizes are by owner."""
-    edge, out = cuts(tokens if by is None else by, ranges), []
-    for r in range(ranges):
-        a, b = edge[r], edge[r + 1]
-        if a == b:
-            continue
+    out = []
+    for r, a, b in filled(tokens if by is None else by, ranges):
         used, local = np.unique(owner[a:b], return_inverse=True)
         t = tokens[a:b]
         out.append({"range": r, "tokens": pack_sorted(t) if by is None else pack(t), "owner": pack(narrow(local)), "keys": pack(keys[used]), "sizes": pack(sizes[used].astype(np.uint32)), "df": None if df is None else pack(df[a:b].astype(np.uint32))})

@@ -11,7 +11,7 @@ of hashes with its counts there, and gets the totals of all chunks back in the s
 
 Defined cases: null or empty texts have no token and null losses; without labelled documents the target model knows only
 the vocabulary; a doc_id with several labels is a target if one of them has quality 1; rows that repeat count each; a
-null doc_id is never a target; an empty table gives an empty result; texts are read whole.
+null doc_id is never a target; an empty table gives an empty result; texts are read whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,88 +21,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .exchange import cuts, pack, pack_sorted, unpack, unpack_sorted
+from .exchange import collapsed, filled, pack, pack_sorted, unpack, unpack_sorted
 from .substring_dedup import _rows, runs_of
-from .words import BASE, EMPTY, LOWER, U64, binary, hashed, mixed
+from .words import BASE, LOWER, U64, binary, hashed, mixed
 
 CHUNK_BYTES, RANGE_HASHES, MU = 8_000_000, 1_500_000, 4.0
-SURVEY = "doc_id long, n long, range int, words binary"
+SURVEY = "doc_id long, chunk int, n long, range int, words binary"
 ASK = "range int, chunk int, hashes binary, every binary, target binary"
 ANSWER = "chunk int, range int, every binary, target binary"
-RESULT = "doc_id long, n_tokens long, is_target boolean, target_loss double, background_loss double, score double"
+RESULT = "doc_id long, n_tokens long, is_target boolean, target_loss double, background_loss double, score double, copies int"
 START = U64(0x5851F42D4C957F2D)
 ONE = U64(1)
 
 
-def survey(docs: DataFrame, ranges: int) -> DataFrame:
-    """SURVEY: tokens of each document, and the distinct words of chunks by range."""
+def survey(dealt: DataFrame, ranges: int) -> DataFrame:
+    """SURVEY: tokens of each (doc_id, chunk), and the distinct words of a batch by range."""
 
     def scan(batches):
-        from .jaccard_join import chunked
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                words, at = hashed([(t or b"").translate(LOWER) for t in binary(part.column("text"))])
+                found = np.unique(words)
+                columns = (part.column(c).to_pylist() for c in ("doc_id", "chunk", "copies"))
+                rows = [{"doc_id": d, "chunk": c, "n": int(n) * k, "range": None, "words": None} for d, c, k, n in zip(*columns, np.diff(at), strict=True)]
+                rows += [{"doc_id": None, "chunk": None, "n": None, "range": r, "words": pack_sorted(found[a:b])} for r, a, b in filled(found, ranges)]
+                yield from _rows(rows, SURVEY).to_batches()
 
-        for ids, texts in chunked(batches, CHUNK_BYTES):
-            words, at = hashed([t.translate(LOWER) for t in texts])
-            found = np.unique(words)
-            edge = cuts(found, ranges)
-            rows = [{"doc_id": d, "n": int(n), "range": None, "words": None} for d, n in zip(ids, np.diff(at), strict=True)]
-            rows += [{"doc_id": None, "n": None, "range": r, "words": pack_sorted(found[a:b])} for r, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
-            yield from _rows(rows, SURVEY).to_batches()
-
-    return docs.mapInArrow(scan, SURVEY)
+    return dealt.mapInArrow(scan, SURVEY)
 
 
 class Chunk:
-    """Words and bigrams of a chunk's documents, in an order that only their rows decide."""
+    """Words and bigrams of a chunk's documents, in an order that only their rows decide.
+
+    One stable sort of all hashes gives the distinct ones with their counts, each token's place among them, and, since
+    documents follow one another, how often a token occurs in its own document.
+    """
 
     def __init__(self, table, targets: set[int]):
-        docs, texts = table.column("doc_id").to_pylist(), [(t or b"").translate(LOWER) for t in binary(table.column("text"))]
-        order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, texts[i]))
-        self.docs, texts = [docs[i] for i in order], [texts[i] for i in order]
+        docs, texts, copies = table.column("doc_id").to_pylist(), [(t or b"").translate(LOWER) for t in binary(table.column("text"))], table.column("copies").to_pylist()
+        order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, texts[i], copies[i]))
+        self.docs, texts, self.copies = [docs[i] for i in order], [texts[i] for i in order], np.array([copies[i] for i in order], np.int64)
         words, self.starts = hashed(texts)
+        del texts
         self.is_target = np.array([d in targets for d in self.docs], bool)
-        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.starts))
+        sizes = np.diff(self.starts)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        first = self.starts[:-1][sizes > 0]
+        n = len(words)
+        # words end in a set bit and bigrams in a clear one, so ranges can hold both
+        every = np.empty(2 * n + len(first), U64)
+        every[:n] = mixed(words) | ONE
         before = np.empty_like(words)
         before[1:] = words[:-1]
-        first = self.starts[:-1][np.diff(self.starts) > 0]
         before[first] = START
-        # words end in a set bit and bigrams in a clear one, so ranges can hold both
-        self.word = mixed(words) | ONE
-        self.context = mixed(before) | ONE
-        self.context[first] = START | ONE
-        self.bigram = mixed(before * BASE + words) & ~ONE
-        self.first = first
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, ascending, with how often they are here and in target documents."""
-        every = np.concatenate([self.word, self.bigram, np.full(len(self.first), START | ONE)])
-        mine = self.is_target[self.owner] if len(self.owner) else np.zeros(0, bool)
-        target = np.concatenate([mine, mine, mine[self.first] if len(mine) else mine])
+        every[n : 2 * n] = mixed(before * BASE + words) & ~ONE
+        every[2 * n :] = START | ONE
+        of = np.concatenate([owner, owner, owner[first]])
+        del words, before
         order = np.argsort(every, kind="stable")
-        starts, n = runs_of(every[order])
-        t = np.add.reduceat(target[order].astype(np.int64), starts) if len(starts) else n
-        return every[order][starts], n, t
-
-    def own(self, hashes: np.ndarray) -> np.ndarray:
-        """How often each token's hash occurs in its own document."""
-        order = np.lexsort((hashes, self.owner))
-        _, n = runs_of(self.owner[order], hashes[order])
-        out = np.empty(len(hashes), np.int64)
-        out[order] = np.repeat(n, n)
-        return out
-
-    def own_context(self) -> np.ndarray:
-        """How often each token's context occurs in its own document as a word; the start once."""
-        both = np.concatenate([self.word, self.context])
-        owner = np.concatenate([self.owner, self.owner])
-        weight = np.concatenate([np.ones(len(self.word), np.int64), np.zeros(len(self.word), np.int64)])
-        order = np.lexsort((both, owner))
-        starts, n = runs_of(owner[order], both[order])
-        total = np.add.reduceat(weight[order], starts) if len(starts) else n
-        out = np.empty(len(both), np.int64)
-        out[order] = np.repeat(total, n)
-        out = out[len(self.word) :]
-        out[self.first] = 1
-        return out
+        every, of = every[order], of[order]
+        starts, lengths = runs_of(every)
+        #: distinct hashes, ascending, and how often they are here and in target documents
+        self.hashes = every[starts]
+        weight = self.copies[of]
+        self.every = np.add.reduceat(weight, starts) if len(starts) else weight
+        self.target = np.add.reduceat(weight * self.is_target[of], starts) if len(starts) else weight
+        _, own = runs_of(every, of)
+        place, mine = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(starts)), lengths)
+        mine[order] = np.repeat(own, own)
+        #: places of each token's word, of the word before it and of both, and their counts in the token's document
+        context, own_context = np.empty(n, np.int64), np.empty(n, np.int64)
+        context[1:], own_context[1:] = place[: n - 1], mine[: n - 1]
+        context[first], own_context[first] = place[2 * n :], 1
+        self.place = (place[:n], context, place[n : 2 * n])
+        self.own = (mine[:n], own_context, mine[n : 2 * n])
+        self.sizes, self.owner = sizes, owner
 
 
 def losses(c_word, c_context, c_bigram, total: float, vocabulary: int, mu: float) -> np.ndarray:
@@ -111,30 +106,30 @@ def losses(c_word, c_context, c_bigram, total: float, vocabulary: int, mu: float
 
 
 def score(docs: DataFrame, labels: DataFrame, *, mu: float = MU) -> DataFrame:
-    """docs (doc_id, text) and labels (doc_id, quality) -> RESULT."""
+    """docs (doc_id, text) and labels (doc_id, quality) -> RESULT without copies."""
     docs = store.columns(docs, "doc_id", "text")
-    size = 2 * store.input_bytes(docs)
+    size = store.text_bytes(docs)
     chunks, ranges = store.parts(size, CHUNK_BYTES), store.parts(size / 9, RANGE_HASHES)
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    dealt = collapsed(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     wanted = store.columns(labels, "doc_id", "quality").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    found = store.written(survey(docs, ranges), "survey")
+    found = store.written(survey(dealt, ranges), "survey")
     n_every = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_target = found.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    marks = found.where("doc_id IS NOT NULL").select("doc_id", "chunk", "n").join(wanted, "doc_id", "left_semi")
+    n_target = marks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    marks = marks.select("doc_id", "chunk").distinct()
 
     def distinct(table):
         n = len(np.unique(np.concatenate([unpack_sorted(b) for b in table.column("words").to_pylist()])))
         return _rows([{"n": n}], "n long")
 
-    vocabulary = found.where("range IS NOT NULL").select("range", "words").groupBy("range").applyInArrow(distinct, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    vocabulary = store.dealt(found.where("range IS NOT NULL").select("range", "words"), ranges, "range").groupBy("range").applyInArrow(distinct, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     scale = n_target / n_every if n_every and n_target else 1.0
 
     def ask(key, left, right):
-        h, n, t = Chunk(left, set(right.column("doc_id").to_pylist())).counts()
-        edge, rows = cuts(h, ranges), []
-        for r in range(ranges):
-            a, b = edge[r], edge[r + 1]
-            if a < b:
-                rows.append({"range": r, "chunk": key[0].as_py(), "hashes": pack_sorted(h[a:b]), "every": pack(n[a:b].astype(np.uint32)), "target": pack(t[a:b].astype(np.uint32))})
+        one = Chunk(left, set(right.column("doc_id").to_pylist()))
+        rows = []
+        for r, a, b in filled(one.hashes, ranges):
+            rows.append({"range": r, "chunk": key[0].as_py(), "hashes": pack_sorted(one.hashes[a:b]), "every": pack(one.every[a:b].astype(np.uint32)), "target": pack(one.target[a:b].astype(np.uint32))})
         return _rows(rows, ASK)
 
     def answer(key, table):
@@ -155,31 +150,29 @@ def score(docs: DataFrame, labels: DataFrame, *, mu: float = MU) -> DataFrame:
         ids = right.column("doc_id").to_pylist()
         one = Chunk(left, {d for d in ids if d is not None})
         rows = sorted((r, e, t) for d, r, e, t in zip(ids, *(right.column(c).to_pylist() for c in ("range", "every", "target")), strict=True) if d is None)
-        hashes, _, _ = one.counts()
         every = np.concatenate([unpack(e, np.int64) for _, e, _ in rows]) if rows else np.zeros(0, np.int64)
         target = np.concatenate([unpack(t, np.int64) for _, _, t in rows]) if rows else every
-        at = [np.searchsorted(hashes, x) for x in (one.word, one.context, one.bigram)]
-        own = [one.own(one.word), one.own_context(), one.own(one.bigram)]
-        sizes = np.diff(one.starts)
-        own_n = np.repeat(sizes, sizes)
-        mine = one.is_target[one.owner].astype(np.int64) if len(one.owner) else own_n
-        t_loss = losses(*[target[a] - mine * o for a, o in zip(at, own, strict=True)], n_target - mine * own_n, vocabulary, mu) if len(own_n) else np.zeros(0)
-        b_loss = losses(*[scale * (every[a] - o) for a, o in zip(at, own, strict=True)], scale * (n_every - own_n), vocabulary, mu) if len(own_n) else np.zeros(0)
+        own_n = one.sizes[one.owner]
+        mine = one.is_target[one.owner].astype(np.int64)
+        t_loss = losses(*[target[a] - mine * o for a, o in zip(one.place, one.own, strict=True)], n_target - mine * own_n, vocabulary, mu)
+        b_loss = losses(*[scale * (every[a] - o) for a, o in zip(one.place, one.own, strict=True)], scale * (n_every - own_n), vocabulary, mu)
         cum = [np.concatenate([[0.0], np.cumsum(x)]) for x in (t_loss, b_loss)]
         out = []
         for i, (d, a, b) in enumerate(zip(one.docs, one.starts[:-1], one.starts[1:], strict=True)):
             t, g = (round(float(c[b] - c[a]) / (b - a), 6) if b > a else None for c in cum)
-            out.append({"doc_id": d, "n_tokens": int(b - a), "is_target": bool(one.is_target[i]), "target_loss": t, "background_loss": g, "score": None if t is None else round(t - g, 6)})
+            out.append({"doc_id": d, "n_tokens": int(b - a), "is_target": bool(one.is_target[i]), "target_loss": t, "background_loss": g, "score": None if t is None else round(t - g, 6), "copies": int(one.copies[i])})
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
         return pa.Table.from_pylist(out, schema=pa.schema([(f.split()[0], k) for f, k in zip(RESULT.split(", "), kinds, strict=True)]))
 
-    texts = docs.withColumn("chunk", chunk).groupBy("chunk")
-    marks = wanted.withColumn("chunk", chunk)
-    answers = texts.cogroup(marks.groupBy("chunk")).applyInArrow(ask, ASK).groupBy("range").applyInArrow(answer, ANSWER)
+    of_chunk = lambda df: store.dealt(df, chunks, "chunk").groupBy("chunk")
+    texts = of_chunk(dealt)
+    asked = store.dealt(texts.cogroup(of_chunk(marks)).applyInArrow(ask, ASK), ranges, "range")
+    answers = asked.groupBy("range").applyInArrow(answer, ANSWER)
     known = answers.withColumn("doc_id", F.lit(None).cast("long")).unionByName(marks.withColumns({"range": F.lit(None).cast("int"), "every": F.lit(None).cast("binary"), "target": F.lit(None).cast("binary")}))
-    return texts.cogroup(known.groupBy("chunk")).applyInArrow(finish, RESULT)
+    out = texts.cogroup(of_chunk(known)).applyInArrow(finish, RESULT)
+    return out.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 For a cover D modulo v, any two word positions i and j have a shift below v after which both lie in D modulo v. So two
 equal runs of `length` words share an anchor: a window of length - v + 1 words at cover positions of both. Only anchors
 are hashed and exchanged; where one occurs again, the runs that can hold it are extended: windows of the full length
-around it are hashed to 128 bits and exchanged in turn, and those that occur again are certain.
+around it are hashed to 128 bits, by two independent hashes of every word, and exchanged in turn; those that occur again
+are taken as equal.
 
-Documents are dealt to chunks of bounded bytes by a hash of doc_id and text. In a chunk all texts are one stream of
+Documents are dealt to chunks of bounded bytes by a hash of doc_id and text; rows alike in both are counted as they are
+read, so a chunk gets few of them. In a chunk all texts are one stream of
 words; hashes go out as one blob per range of values, each hash at most once per chunk, and answers come back as
 positions in the stream. No group of equal passages ever meets as rows.
 
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .exchange import cuts, narrow, pack, pack_sorted, unpack, unpack_sorted
-from .words import BASE, EMPTY, MIX1, U64, hashed, windows
+from .exchange import collapsed, filled, pack, pack_sorted, unpack, unpack_sorted
+from .words import BASE, EMPTY, MIX1, U64, hashed_twice, windows
 
 LENGTH = 35
 #: Perfect difference covers: modulus and cover.
@@ -42,10 +44,12 @@ class Stream:
     def __init__(self, table, length: int = LENGTH, period: int = PERIOD):
         from .words import binary
 
-        docs, texts = table.column("doc_id").to_pylist(), [t or b"" for t in binary(table.column("text"))]
-        order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, texts[i]))
-        self.docs, self.texts = [docs[i] for i in order], [texts[i] for i in order]
-        self.words, self.starts = hashed(self.texts)
+        docs, texts, copies = table.column("doc_id").to_pylist(), [t or b"" for t in binary(table.column("text"))], table.column("copies").to_pylist()
+        order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, texts[i], copies[i]))
+        # a row that repeats stands twice, so that its windows repeat; the second has no row of its own
+        twice = [(i, n) for i in order for n in ([copies[i], 0] if copies[i] > 1 else [1])]
+        self.docs, self.texts, self.copies = [docs[i] for i, _ in twice], [texts[i] for i, _ in twice], [n for _, n in twice]
+        self.words, self.second, self.starts = hashed_twice(self.texts)
         self.length, self.period = length, period
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +83,7 @@ class Stream:
         """128-bit hashes of the full windows at starts, ascending, and the starts."""
         if not len(at):
             return EMPTY, EMPTY, at
-        first, second = windows(self.words, self.length)[at], windows(self.words, self.length, SECOND)[at]
+        first, second = windows(self.words, self.length)[at], windows(self.second, self.length, SECOND)[at]
         order = np.lexsort((second, first))
         return first[order], second[order], at[order]
 
@@ -101,11 +105,9 @@ def requests(chunk: int, ranges: int, first: np.ndarray, at: np.ndarray, second:
     h, p = first[starts], at[starts].astype(np.uint32)
     p = np.where(counts > 1, np.uint32(0xFFFFFFFF), p)
     g = None if second is None else second[starts]
-    edge, out = cuts(h, ranges), []
-    for r in range(ranges):
-        a, b = edge[r], edge[r + 1]
-        if a < b:
-            out.append({"range": r, "chunk": chunk, "kind": 0, "first": pack_sorted(h[a:b]), "second": None if g is None else pack(g[a:b]), "at": pack(p[a:b])})
+    out = []
+    for r, a, b in filled(h, ranges):
+        out.append({"range": r, "chunk": chunk, "kind": 0, "first": pack_sorted(h[a:b]), "second": None if g is None else pack(g[a:b]), "at": pack(p[a:b])})
     return out
 
 
@@ -151,16 +153,17 @@ def _several(*keys: np.ndarray) -> np.ndarray:
     return np.repeat(counts > 1, counts)
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, copies int"
 
 
 def dedup_substrings(docs: DataFrame, *, length: int = LENGTH, period: int = PERIOD, with_text: bool = True) -> DataFrame:
-    """docs (doc_id, text) -> RESULT: words outside repeated windows, joined by one blank."""
+    """docs (doc_id, text) -> RESULT without copies: words outside repeated windows, joined by one blank."""
     docs = store.columns(docs, "doc_id", "text")
-    size = 2 * store.input_bytes(docs)
+    size = store.text_bytes(docs)
     chunks = store.parts(size, CHUNK_BYTES)
     ranges = store.parts(size * 0.16 * len(COVERS[period]) / period, RANGE_HASHES)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    dealt = collapsed(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    dealt = store.dealt(dealt, chunks, "chunk")
 
     def ask_anchors(key, table):
         h, at = Stream(table, length, period).anchors()
@@ -193,19 +196,36 @@ def dedup_substrings(docs: DataFrame, *, length: int = LENGTH, period: int = PER
         np.add.at(cover, gone + length, -1)
         lost = np.cumsum(cover)[:-1] > 0
         out = []
-        for doc, text, a, b in zip(stream.docs, stream.texts, stream.starts[:-1], stream.starts[1:], strict=True):
+        for doc, text, n_rows, a, b in zip(stream.docs, stream.texts, stream.copies, stream.starts[:-1], stream.starts[1:], strict=True):
+            if not n_rows:
+                continue
             words, bad = text.split(), lost[a:b]
             n = int(bad.sum())
             kept = b" ".join(words if not n else [w for w, x in zip(words, bad, strict=True) if not x])
-            out.append({"doc_id": doc, "n_words": len(words), "n_removed": n, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode() if with_text else None})
+            out.append({"doc_id": doc, "n_words": len(words), "n_removed": n, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode() if with_text else None, "copies": n_rows})
         return _rows(out, RESULT)
 
     by_chunk = dealt.groupBy("chunk")
-    anchors = by_chunk.applyInArrow(ask_anchors, BLOB).groupBy("range").applyInArrow(answer, ANSWER)
-    certain = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(ask_windows, BLOB).groupBy("range").applyInArrow(answer, ANSWER)
+    by_range = lambda df: store.dealt(df, ranges, "range").groupBy("range")
+    of_chunk = lambda df: store.dealt(df, chunks, "chunk").groupBy("chunk")
+    anchors = by_range(by_chunk.applyInArrow(ask_anchors, BLOB)).applyInArrow(answer, ANSWER)
+    certain = by_range(by_chunk.cogroup(of_chunk(anchors)).applyInArrow(ask_windows, BLOB)).applyInArrow(answer, ANSWER)
     found = anchors.withColumn("kind", F.lit(0)).unionByName(certain.withColumn("kind", F.lit(1)))
-    return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(finish, RESULT)
+    out = by_chunk.cogroup(of_chunk(found)).applyInArrow(finish, RESULT)
+    return out.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies")
 
 
 def query(docs: DataFrame) -> DataFrame:
     return dedup_substrings(docs, with_text=False).drop("kept_text")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+v AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+t AS (SELECT r, i FROM v QUALIFY count(*) OVER (PARTITION BY k) > 1),
+m AS (SELECT w.r, p, word, coalesce(max(t.i) OVER (PARTITION BY w.r ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) > 0 AS gone FROM w LEFT JOIN t ON t.r = w.r AND t.i = p)
+SELECT d.doc_id, CAST(len(any_value(d.ws)) AS BIGINT) AS n_words, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN m ON m.r = d.r GROUP BY d.r, d.doc_id
+"""
