@@ -1,8 +1,10 @@
 """Minimum-cost-flow resharding: from old shard sizes and new capacities, the block transfers that move the fewest bytes.
 
-The driver sees only a table of blocks (old shard x chunk, and single documents too large for a block), whose number is
-set by parameters and not by the rows. A flow over old and new shards gives the bytes to move; blocks fill them in
-order, and one block at each border is cut between rows. The law is `bytes`: shard sizes come out near equal.
+A block is a run of rows of one file; a row is a block where there are few. The driver sees only blocks, whose number is
+bounded by BLOCKS and the number of files and not by the rows. A flow over old and new shards ships the bytes of every block
+and gives the bytes of each transfer; blocks, largest first, then take the transfer of their shard with the most left, and
+files of shards that lose or gain a block are rewritten, without a shuffle. The law is `bytes`: shard sizes come out near
+equal. Only a block larger than a whole shard, which no flow can level, is set down first, in its own shard if it can.
 
 Defined cases: a null text has no bytes, so its size is 16; documents with equal text are not kept together, since one
 group of copies may be larger than a shard; rows that repeat are rows like others; a null doc_id is a value like
@@ -13,13 +15,15 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import store
 
-HEADER = 16
+HEADER, OLD, NEW = 16, 32, 40
+#: Blocks that a table is cut into, besides one for each file, and the most that are broadcast.
+BLOCKS, BROADCAST_BLOCKS = 8192, 100_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda i, j: int(i != j)) -> dict[tuple[int, int], int]:
@@ -73,39 +77,27 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda i, j: int(
     return {k: v for k, v in flow.items() if v}
 
 
-def plan(blocks: list[tuple[int, int, int]], single: list[tuple[int, int]], n_old: int, n_new: int):
-    """Where blocks go: blocks are (old shard, chunk, bytes), single documents are (old shard, bytes).
-
-    Returns (pieces, places): pieces are (old, chunk, first byte, shard), rows that begin at or after a first byte go to
-    its shard until the next piece of the block; places are the shards of the single documents, in their order.
-    """
-    total = sum(b for *_, b in blocks) + sum(b for _, b in single)
-    load, places = [0] * n_new, [0] * len(single)
-    level = total / n_new
-    for k in sorted(range(len(single)), key=lambda k: (-single[k][1], k)):
-        old, b = single[k]
-        to = old if old < n_new and load[old] + b <= level else min(range(n_new), key=lambda j: (load[j], j))
-        places[k] = to
-        load[to] += b
-    rest = sum(b for *_, b in blocks)
-    room = _fill(load, rest)
+def plan(blocks: list[tuple[int, int]], n_old: int, n_new: int) -> list[int]:
+    """The new shard of each block (old shard, bytes)."""
+    places, load, rest = [0] * len(blocks), [0] * n_new, sum(b for _, b in blocks)
+    order = sorted(range(len(blocks)), key=lambda k: (-blocks[k][1], k))
+    while order and blocks[order[0]][1] * n_new > sum(load) + rest:
+        old, b = blocks[k := order.pop(0)]
+        places[k] = old if old < n_new and not load[old] else min(range(n_new), key=lambda j: (load[j], j))
+        load[places[k]] += b
+        rest -= b
     supply = [0] * n_old
-    for old, _, b in blocks:
-        supply[old] += b
-    flow = min_cost_flow(supply, room)
-    pieces = []
-    for old in range(n_old):
-        todo = [[j, f] for _, j, f in sorted((j != old, j, f) for (i, j), f in flow.items() if i == old)]
-        for _, chunk, b in sorted(x for x in blocks if x[0] == old):
-            at = 0
-            while at < b:
-                while len(todo) > 1 and not todo[0][1]:
-                    todo.pop(0)
-                pieces.append((old, chunk, at, todo[0][0]))
-                take = min(todo[0][1], b - at) if len(todo) > 1 else b - at
-                todo[0][1] -= take
-                at += take
-    return pieces, places
+    for k in order:
+        supply[blocks[k][0]] += blocks[k][1]
+    left: list[dict[int, int]] = [{} for _ in range(n_old)]
+    for (i, j), amount in min_cost_flow(supply, _fill(load, rest)).items():
+        left[i][j] = amount
+    for k in order:
+        old, b = blocks[k]
+        places[k] = max(left[old], key=lambda j: (left[old][j], j == old, -j), default=old % n_new)
+        if places[k] in left[old]:
+            left[old][places[k]] -= b
+    return places
 
 
 def _fill(load: list[int], rest: int) -> list[int]:
@@ -122,86 +114,89 @@ def _fill(load: list[int], rest: int) -> list[int]:
     return room
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + HEADER).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-
-
-def assign(rows: DataFrame, *, n_old: int = 32, n_new: int = 40, chunks: int = 64, max_block_rows: int = 2_000_000) -> DataFrame:
-    """rows (doc_id, size, text_crc32, old_shard, ...) -> with shard and slot, sizes of the new shards near equal.
-
-    `chunks` is raised where blocks would pass max_block_rows.
+def size_of(text):
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + HEADER).cast("long")
+
+
+class Layout:
+    """Where the blocks of a table in shard=<i> folders lie and go."""
+
+    def __init__(self, spark: SparkSession, path: str, schema, n_new: int, blocks: int = BLOCKS):
+        self.spark, self.path, self.schema, self.n_new = spark, path, schema, n_new
+        rows = self.rows()
+        count = rows.count()
+        self.height = store.parts(count, blocks)
+        held = rows.groupBy("shard", "file", self._block()).agg(F.sum(size_of(F.col("text"))).alias("bytes"), F.count("*").alias("n"))
+        held = sorted(tuple(r) for r in held.collect())
+        self.n_old = 1 + max([r[0] for r in held], default=0)
+        places = plan([(r[0], r[3]) for r in held], self.n_old, n_new)
+        self.moves, self.sizes, self.moved = [], [[0, 0] for _ in range(n_new)], 0
+        changed = set()
+        for (old, file, block, size, n), to in zip(held, places, strict=True):
+            self.moves.append((old, file, block, to, self.sizes[to][0]))
+            self.sizes[to][0] += n
+            self.sizes[to][1] += size
+            if old != to:
+                self.moved += size
+                changed |= {old, to}
+        #: shards whose files are written anew; the others stay where they are
+        self.affected = sorted(changed)
+
+    def rows(self) -> DataFrame:
+        """The old table with the file and the place of each row; names of its own are kept apart in a struct."""
+        table = self.spark.read.schema(StructType([*self.schema.fields, StructField("shard", IntegerType())])).parquet(self.path)
+        return table.select("shard", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"), F.struct(*[F.col(f"`{c}`") for c in self.schema.names]).alias("held"), F.col("text"))
+
+    def _block(self):
+        return F.expr(f"place div {self.height}").cast("long").alias("block")
+
+    def placed(self) -> DataFrame:
+        """(held, old_shard, shard, slot) of all rows."""
+        moves = self.spark.createDataFrame(self.moves, "shard int, file string, block long, to int, first_slot long")
+        moves = F.broadcast(moves) if len(self.moves) <= BROADCAST_BLOCKS else moves
+        rows = self.rows().withColumn("block", self._block()).join(moves, ["shard", "file", "block"])  # a task names its files alike in all folders
+        slot = F.col("first_slot") + F.col("place") - F.col("block") * self.height
+        return rows.select("held", F.col("shard").alias("old_shard"), F.col("to").alias("shard"), slot.alias("slot"))
+
+    def rewrite(self, path: str) -> DataFrame:
+        """Writes the affected shards under path -> (shard, path, rows, bytes) of all new shards that hold a row."""
+        self.placed().where(F.col("shard").isin(self.affected)).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+        lies = [(j, f"{path if j in self.affected else self.path}/shard={j}", n, b) for j, (n, b) in enumerate(self.sizes) if n]
+        return self.spark.createDataFrame(lies, "shard int, path string, rows long, bytes long")
+
+    def read(self, path: str) -> DataFrame:
+        """(held, old_shard, shard, slot) from the files as they lie after `rewrite`."""
+        placed = self.placed()
+        new = self.spark.read.schema(placed.schema).parquet(path).select("held", "old_shard", "shard", "slot")
+        return new.unionByName(placed.where(~F.col("shard").isin(self.affected)))
+
+
+def reshard(spark: SparkSession, old_path: str, new_path: str, n_new: int) -> DataFrame:
+    """Moves a table kept in shard=<i> folders to n_new near-equal shards -> (shard, path, rows, bytes): where each lies.
+
+    Rows lie as (held, old_shard, slot) in shards that were written anew; the others stay where and as they are.
     """
-    spark = rows.sparkSession
-    rows = store.written(rows, "rows")
-    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    chunks = max(chunks, store.parts(stats["n"], n_old * max_block_rows))
-    large = max(stats["b"] // (n_new * chunks), 1)
-    # at most n_new * chunks rows are this large
-    blocked = rows.where(F.col("size") < large).withColumn("chunk", F.pmod(F.xxhash64("text_crc32", "doc_id", F.lit(7)), F.lit(chunks)).cast("int"))
-    blocks = [tuple(r) for r in blocked.groupBy("old_shard", "chunk").agg(F.sum("size")).collect()]
-    order = Window.partitionBy("old_shard", "size", "doc_id", "text_crc32").orderBy(F.lit(0))
-    singles = rows.where(F.col("size") >= large).groupBy("old_shard", "size", "doc_id", "text_crc32").count()
-    single_keys = [r for r in singles.collect() for _ in range(r["count"])]
-    single_keys.sort(key=lambda r: (r["old_shard"], r["size"], r["doc_id"] is None, r["doc_id"] or 0, r["text_crc32"]))
-    pieces, places = plan(blocks, [(r["old_shard"], r["size"]) for r in single_keys], n_old, n_new)
-    at = Window.partitionBy("old_shard", "chunk").orderBy("doc_id", "size", "text_crc32")
-    placed = blocked.withColumn("first_byte", F.coalesce(F.sum("size").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    by_block: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for old, chunk, first, shard in pieces:
-        by_block.setdefault((old, chunk), []).append((first, shard))
-    moves = spark.createDataFrame([(o, c, v) for (o, c), v in by_block.items()], "old_shard int, chunk int, cuts array<struct<first:long,shard:int>>")
-    # the moves are as many as the blocks, a number set by parameters; a row goes where its middle lies
-    placed = placed.join(F.broadcast(moves), ["old_shard", "chunk"])
-    placed = placed.withColumn("shard", F.expr("element_at(filter(cuts, x -> x.first <= first_byte + size div 2), -1).shard"))
-    placed = placed.select(*rows.columns, "shard", F.col("chunk").alias("unit"))
-    seen: dict[tuple, int] = {}
-    single_rows = []
-    for r, shard in zip(single_keys, places, strict=True):
-        k = (r["old_shard"], r["size"], r["doc_id"], r["text_crc32"])
-        seen[k] = seen.get(k, 0) + 1
-        single_rows.append((*k, seen[k], shard))
-    if single_rows:
-        homes = spark.createDataFrame(single_rows, "_old int, _size long, _doc long, _crc long, _nth int, _to int")
-        lone = rows.where(F.col("size") >= large).withColumn("_n", F.row_number().over(order))
-        same = [F.col("old_shard") == F.col("_old"), F.col("size") == F.col("_size"), F.col("text_crc32") == F.col("_crc"), F.col("_n") == F.col("_nth"), F.col("doc_id").eqNullSafe(F.col("_doc"))]
-        lone = lone.join(F.broadcast(homes), same).select(*rows.columns, F.col("_to").alias("shard"), F.lit(-1).alias("unit"))
-        placed = placed.unionByName(lone)
-    placed = store.written(placed, "placed")
-    # slots: units of a shard in order, then rows within their unit; no window spans a shard
-    unit = ["shard", "old_shard", "unit"]
-    held = sorted(tuple(r) for r in placed.groupBy(*unit).count().collect())
-    firsts, last, run = [], None, 0
-    for shard, old, u, n in held:
-        run = run if shard == last else 0
-        firsts.append((shard, old, u, run))
-        last, run = shard, run + n
-    firsts = spark.createDataFrame(firsts, "shard int, old_shard int, unit int, first_slot long")
-    rank = F.row_number().over(Window.partitionBy(*unit).orderBy("doc_id", "size", "text_crc32")) - 1
-    return placed.withColumn("_rank", rank).join(F.broadcast(firsts), unit).withColumn("slot", F.col("first_slot") + F.col("_rank")).drop("_rank", "first_slot", "unit")
+    schema = spark.read.parquet(old_path).schema
+    schema = StructType([f for f in schema if f.name != "shard"])
+    return Layout(spark, old_path, schema, n_new).rewrite(new_path)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    rows = sized(store.columns(docs, "doc_id", "text")).withColumn("old_shard", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int"))
-    return assign(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
-
-
-def reshard(spark, old_path: str, new_path: str, n_new: int, chunks: int = 16) -> DataFrame:
-    """Moves a table kept in shard=<i> folders to n_new near-equal shards.
-
-    Only shards that lose or gain a row are read in full and written under new_path; the others stay where they are.
-    Returns (shard, path, rows, bytes): where each new shard lies.
-    """
-    table = spark.read.parquet(old_path)
-    n_old = (table.agg(F.max("shard")).first()[0] or 0) + 1
-    crc, same = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), ["shard", "doc_id", "_crc"]
-    table = table.withColumn("_crc", crc).withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
-    rows = table.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + HEADER).cast("long").alias("size"), F.col("_crc").alias("text_crc32"), F.col("shard").alias("old_shard"), F.col("_nth").alias("nth"))
-    moved = store.written(assign(rows, n_old=n_old, n_new=n_new, chunks=chunks), "moved")
-    crossing = moved.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    affected = sorted(r["s"] for r in crossing.collect())
-    homes = moved.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias("_d"), F.col("text_crc32").alias("_c"), F.col("nth").alias("_n"), F.col("old_shard").alias("_from"), F.col("shard").alias("_to"))
-    found = table.where(F.col("shard").isin(affected)).join(homes, [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("_crc") == F.col("_c"), F.col("_nth") == F.col("_n"), F.col("shard") == F.col("_from")])
-    found.withColumn("shard", F.col("_to")).drop("_d", "_c", "_n", "_from", "_to", "_crc", "_nth").write.partitionBy("shard").parquet(new_path)
-    where = F.when(F.col("shard").isin(affected), F.lit(new_path)).otherwise(F.lit(old_path))
-    return moved.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).withColumn("path", F.concat(where, F.lit("/shard="), F.col("shard").cast("string")))
+    """Writes docs as old shards, as the scan deals them, reshards them to NEW and reads the digests from the new files."""
+    spark, docs = docs.sparkSession, store.columns(docs, "doc_id", "text")
+    old, new = store.new_dir(spark, "old-shards"), store.new_dir(spark, "new-shards")
+    docs.withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(OLD))).write.option("compression", "zstd").partitionBy("shard").parquet(old)
+    layout = Layout(spark, old, docs.schema, NEW)
+    layout.rewrite(new)
+    rows = layout.read(new)
+    text = F.coalesce(F.col("held.text"), F.lit(""))
+    return rows.select(
+        F.col("held.doc_id").alias("doc_id"),
+        size_of(F.col("held.text")).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard",
+    )

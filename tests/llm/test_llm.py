@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -106,8 +107,10 @@ def test_resharding(docs, empty):
     assert len(out) == len(ROWS) and set(out.shard) <= set(range(40))
     for _, g in out.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
-    want = collections.Counter((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, *_ in ROWS)
-    assert collections.Counter(zip(out["size"], out.text_crc32, strict=True)) == want
+    want = collections.Counter((-1 if d is None else d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, *_ in ROWS)
+    assert collections.Counter(zip(out.doc_id.fillna(-1).astype(int), out["size"], out.text_crc32, strict=True)) == want
+    sizes = sorted(out.groupby("shard")["size"].sum())
+    assert sizes[-1] == out["size"].max() and set(out.law) == {"bytes"} and out.grown_shard.isna().all()
     assert resharding.query(empty).count() == 0
 
 
@@ -123,12 +126,29 @@ def test_min_cost_flow_moves_least():
         assert sum(f for (i, j), f in flow.items() if i == j) == sum(min(s, r) for s, r in zip(supply, room, strict=False))
 
 
+def test_plan_levels_and_moves_least():
+    rng = random.Random(6)
+    for _ in range(30):
+        n_old, n_new = rng.randint(1, 6), rng.randint(1, 9)
+        blocks = [(rng.randrange(n_old), rng.choice([rng.randint(16, 60), rng.randint(16, 3000)])) for _ in range(400)]
+        places = resharding.plan(blocks, n_old, n_new)
+        load = [sum(b for (_, b), j in zip(blocks, places, strict=True) if j == k) for k in range(n_new)]
+        level, old = sum(load) / n_new, [sum(b for i, b in blocks if i == k) for k in range(n_old)]
+        assert max(load) - min(load) <= 60 * n_old
+        moved = sum(b for (i, b), j in zip(blocks, places, strict=True) if i != j)
+        assert moved <= sum(old) - sum(min(x, level) for x in old[:n_new]) + 60 * n_old * n_new
+    assert sorted(resharding.plan([(0, 1000), (0, 10), (0, 10)], 1, 3)) == [0, 1, 2] and resharding.plan([], 2, 3) == []
+
+
 def test_reshard_rewrites(spark, tmp_path):
-    df = spark.createDataFrame([(i, "t" * (i % 17)) for i in range(200)], "doc_id long, text string").selectExpr("*", "cast(doc_id % 3 as int) AS shard")
+    df = spark.createDataFrame([(i, "t" * (i % 17), -i) for i in range(200)], "doc_id long, text string, slot int").selectExpr("*", "cast(doc_id % 3 as int) AS shard")
     df.write.partitionBy("shard").parquet(str(tmp_path / "old"))
-    moved = resharding.reshard(spark, str(tmp_path / "old"), str(tmp_path / "new"), 4)
-    rows = [r.doc_id for p in moved.collect() for r in spark.read.parquet(p.path).collect()]
-    assert sorted(rows) == list(range(200)) and moved.count() == 4
+    moved = resharding.reshard(spark, str(tmp_path / "old"), str(tmp_path / "new"), 4).collect()
+    rows = [r.held for p in moved for r in spark.read.parquet(p.path).collect()]
+    assert sorted(rows) == [(i, "t" * (i % 17), -i) for i in range(200)] and len(moved) == 4 and max(r.bytes for r in moved) - min(r.bytes for r in moved) <= 40
+    same = spark.createDataFrame([(i, "x") for i in range(90)], "doc_id long, text string").selectExpr("*", "cast(doc_id % 3 as int) AS shard")
+    same.write.partitionBy("shard").parquet(str(tmp_path / "level"))
+    assert all("/level/" in r.path for r in resharding.reshard(spark, str(tmp_path / "level"), str(tmp_path / "none"), 3).collect())
 
 
 def test_substring_dedup(docs, empty):
@@ -187,6 +207,27 @@ def test_warc(spark, tmp_path):
     assert warc.query(pages.limit(0)).count() == 0
 
 
+def test_warc_ties(spark):
+    big, other = "y" * 1500, "z" * 1500
+    rows = [(9, "b", big), (9, "a", big), (9, "a", big), (None, "n", big), (3, "c", big), (None, "p", other), (None, "o", other), (4, "s", "small"), (4, "s", "small")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to, r.header_digest_ok) for r in warc.query(pages).collect())
+    want = {(9, "response", None): 1, (9, "revisit", 9): 2, (None, "revisit", 9): 1, (3, "revisit", 9): 1, (None, "response", None): 1, (None, "revisit", None): 1, (4, "response", None): 2}
+    assert got == collections.Counter({(*k, True): n for k, n in want.items()})
+
+
+def test_warc_any_bytes(spark, tmp_path):
+    """Payloads that are not UTF-8 come back byte for byte."""
+    body = bytes(range(256)) * 5
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(body)}\r\n\r\n"
+    found = spark.createDataFrame([(head, body), (head, body[::-1])], "header string, payload binary")
+    for gzip in (False, True):
+        warc.write_files(found, str(tmp_path / f"b{gzip}"), gzip=gzip)
+        assert sorted(bytes(r.block) for r in warc.read_files(spark, str(tmp_path / f"b{gzip}")).collect()) == sorted([body, body[::-1]])
+    with pytest.raises(ValueError):
+        list(warc.split_records(io.BytesIO(head.encode() + b"short")))
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
