@@ -3,16 +3,20 @@
 `archive` writes two tables in a folder: payloads (digest, size, zstd bytes), one row a digest, and headers (the exact
 header block of each record and the digest of its payload). `records` joins them, checks each payload against its digest
 and yields the original records; a wrong payload raises. `write_files` writes records as .warc files through Spark's
-text writer, `read_files` parses .warc and .warc.gz files that Spark lists.
-
-Defined cases: null html is an empty payload; null url is an empty target; of equal pages with one page_id all are
-records, and the first in byte order of its url counts as the response; an empty table gives empty tables; payloads of
-any length are kept whole; columns beside page_id, url and html are ignored.
+text writer, which puts bytes out as they are; `read_files` parses .warc and .warc.gz files that Spark lists, record by
+record. `query` goes all the way: archive, rebuilt records, WARC files, and the records read back from those.
+
+Defined cases: null html is an empty payload; null url is an empty target; of records with equal payloads the response is
+that with the largest page_id, then the first url in byte order, then the first row read, and a null page_id comes after all
+others; all others revisit it, those of the same page_id or a null one too; record ids hold a row number, so they never
+clash; an empty table gives empty tables; payloads of any length are kept whole; columns beside page_id, url and html are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +27,8 @@ from . import store
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
-FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Records of a WARC file, and bytes that a reading task hands on at a time.
+FILE_RECORDS, BATCH_BYTES = 20_000, 8 << 20
 
 
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -34,23 +39,22 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def header(x: DataFrame) -> DataFrame:
-    """The record header block of each row with `response`, as text that ends with an empty line."""
-    revisit = F.col("response").isNotNull() & (F.col("response") != F.col("page_id"))
-    uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    me = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    """The record header block of each row with `best`, the (page_id, row) that holds its payload, or null for its own."""
+    revisit = F.col("best").isNotNull() & (F.col("best.row") != F.col("row"))
+    uri = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"), F.lit(">"))
     lines = [
         F.lit("WARC/1.1"),
         F.when(revisit, F.lit("WARC-Type: revisit")).otherwise(F.lit("WARC-Type: response")),
-        F.concat(F.lit("WARC-Record-ID: "), uri(me)),
+        F.concat(F.lit("WARC-Record-ID: "), uri(F.col("page_id"), F.col("row"))),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", "")),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), uri(F.col("response")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), uri(F.col("best.page_id"), F.col("best.row")))),
         F.lit("Content-Type: text/html"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("n")).cast("string")),
     ]
-    return x.withColumn("header", F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF)))
+    return x.withColumns({"revisit": revisit, "header": F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF))})
 
 
 def archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
@@ -67,15 +71,18 @@ def archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
 
     packed = x.select("digest", "n", "payload").mapInArrow(squeezed, "digest string, n long, z binary")
     packed.groupBy("digest").agg(F.first("n").alias("n"), F.first("z").alias("z")).write.option("compression", "none").parquet(f"{path}/payloads")
-    slim = x.drop("payload")
-    last = slim.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("response")).withColumnRenamed("digest", "_d")
-    slim = slim.join(last, F.col("digest") == F.col("_d"), "left").drop("_d")
-    header(slim).select("page_id", "digest", "header").write.option("compression", "zstd").parquet(f"{path}/headers")
+    slim = store.written(x.drop("payload").withColumn("row", F.monotonically_increasing_id()), "pages")
+    first = F.struct(F.col("page_id").isNull().alias("nameless"), F.bitwise_not("page_id").alias("down"), "url", "row", "page_id")
+    best = slim.where(F.col("n") >= least).groupBy(F.col("digest").alias("_d")).agg(F.min(first).alias("best"))
+    slim = slim.join(best.select("_d", F.struct("best.page_id", "best.row").alias("best")), F.col("digest") == F.col("_d"), "left")
+    header(slim).select("page_id", "digest", "revisit", "header").write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, header, payload) of every record, joined back and verified."""
+def records(spark: SparkSession, path: str, *, revisits: bool = True) -> DataFrame:
+    """(page_id, header, payload) of every record, joined back and verified; without the payloads of revisits if so asked."""
     heads, bodies = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
+    rest = heads.where("revisit").select("page_id", "header", F.lit(b"").alias("payload"))
+    heads = heads if revisits else heads.where("NOT revisit")
 
     def opened(batches):
         import pyarrow as pa
@@ -90,7 +97,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                 out.append(payload)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("header"), pa.array(out, pa.binary())], names=["page_id", "header", "payload"])
 
-    return heads.join(bodies, "digest").select("page_id", "digest", "header", "n", "z").mapInArrow(opened, "page_id long, header string, payload binary")
+    full = heads.join(bodies, "digest").select("page_id", "digest", "header", "n", "z").mapInArrow(opened, "page_id long, header string, payload binary")
+    return full if revisits else full.unionByName(rest)
 
 
 def field(name: str):
@@ -98,80 +106,108 @@ def field(name: str):
     return F.nullif(F.regexp_extract("header", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
+def page_of(uri):
+    return F.regexp_extract(F.coalesce(uri, F.lit("")), r"<urn:page:(-?\d+):", 1).try_cast("long")
+
+
 def parsed(found: DataFrame) -> DataFrame:
-    """FIELDS from rebuilt records: all from the header and payload that were read back."""
-    ref = field("WARC-Refers-To")
-    return found.select(
-        F.regexp_extract(field("WARC-Record-ID"), r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-        field("WARC-Type").alias("record_type"),
-        F.regexp_extract(F.coalesce(ref, F.lit("")), r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
-        (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.sha1("payload"))).alias("header_digest_ok"),
-        F.octet_length("header").cast("long").alias("header_bytes"),
+    """(header, block) as read from files -> page_id, payload_bytes, payload_digest, record_type, refers_to, header_digest_ok.
+
+    A revisit has the payload of the response that it refers to.
+    """
+    mine = F.col("type") == "response"
+    x = found.select(
+        field("WARC-Record-ID").alias("uri"),
+        field("WARC-Type").alias("type"),
+        field("WARC-Refers-To").alias("refers"),
+        F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("told"),
+        F.octet_length("block").cast("long").alias("n"),
+        F.sha1("block").alias("sha1"),
+    )
+    x = store.written(x, "read-back")
+    held = x.where(mine).select(F.col("uri").alias("_uri"), F.col("n").alias("_n"), F.col("sha1").alias("_sha1"))
+    again = x.where(~mine).join(held, F.col("refers") == F.col("_uri"), "left").withColumns({"n": F.col("_n"), "sha1": F.col("_sha1")}).select(x.columns)
+    return x.where(mine).unionByName(again).select(
+        page_of(F.col("uri")).alias("page_id"),
+        F.col("n").alias("payload_bytes"),
+        F.col("sha1").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        page_of(F.col("refers")).alias("refers_to"),
+        (F.col("told") == F.col("sha1")).alias("header_digest_ok"),
     )
 
 
 def query(pages: DataFrame) -> DataFrame:
-    path = store.new_dir(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    path, files = store.new_dir(spark, "warc"), store.new_dir(spark, "warc-files")
     archive(store.columns(pages, "page_id", "url", "html"), path)
-    return parsed(records(pages.sparkSession, path))
+    write_files(records(spark, path, revisits=False), files, gzip=True)
+    return parsed(read_files(spark, files))
 
 
 def write_files(found: DataFrame, path: str, *, gzip: bool = False) -> None:
-    """Records (header, payload) as WARC files: a revisit's block is empty, a record ends with two line ends."""
+    """Records (header, payload) as WARC files: a revisit's block is empty, a record ends with two line ends.
+
+    A binary column cast to string keeps its bytes, and the text writer writes them unchanged, UTF-8 or not.
+    """
     block = F.when(field("WARC-Type") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
-    out = found.select(F.concat(F.col("header"), block).alias("value")).write.option("lineSep", CRLF * 2)
+    out = found.select(F.concat(F.col("header"), block).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS)
     (out.option("compression", "gzip") if gzip else out).text(path)
 
 
-def split_records(data: bytes):
-    """(header, block) of each record in a file's bytes, by Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+def split_records(stream):
+    """(header, block) of each record in a binary stream, by Content-Length."""
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        head, length = [line], None
+        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+            head.append(line)
+            if line.lower().startswith(b"content-length:"):
+                length = int(line.split(b":", 1)[1])
+        if not line:
             raise ValueError("a record has no end of its header")
-        head = data[at : end + 4]
-        length = next((int(line.split(b":", 1)[1]) for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")), None)
-        if length is None or end + 4 + length > len(data):
+        block = stream.read(length or 0)
+        if length is None or len(block) < length:
             raise ValueError("a record is cut short or has no Content-Length")
-        yield head, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        yield b"".join([*head, line]), block
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, nth, header, block) of WARC files, plain or gzip; one file is one task's work, so files should be split small."""
+    """(path, nth, header, block) of WARC files, plain or gzip.
+
+    A file is one task's work: its bytes as they lie are held, its records are opened one after another.
+    """
+    shape = "path string, nth long, header string, block binary"
 
     def parse(batches):
         import gzip
 
         import pyarrow as pa
 
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.binary())
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in shape.split(", ")])
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                for n, (head, block) in enumerate(split_records(data)):
-                    yield pa.RecordBatch.from_pydict({"path": [name], "nth": pa.array([n], pa.int64()), "header": [head.decode(errors="replace")], "block": pa.array([block], pa.binary())})
+                stream, rows, held = io.BytesIO(data), [], 0
+                stream = gzip.GzipFile(fileobj=stream) if data[:2] == b"\x1f\x8b" else stream
+                for n, (head, block) in enumerate(split_records(io.BufferedReader(stream, 1 << 20))):
+                    rows.append((name, n, head.decode(errors="replace"), block))
+                    held += len(head) + len(block)
+                    if held > BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "path string, nth long, header string, block binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, shape)
 
 
 SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS d, html FROM p),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM d)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to,
-       true AS header_digest_ok,
-       CAST(strlen(u) AS BIGINT) AS header_bytes
-FROM (SELECT m.*, concat('WARC/1.1', e'\\r\\n', CASE WHEN n >= 1000 AND m.page_id <> last THEN 'WARC-Type: revisit' ELSE 'WARC-Type: response' END, e'\\r\\n',
-  'WARC-Record-ID: <urn:page:', m.page_id, '>', e'\\r\\n', 'WARC-Target-URI: ', coalesce(g.url, ''), e'\\r\\n', 'WARC-Date: 2024-01-01T00:00:00Z', e'\\r\\n',
-  'WARC-Payload-Digest: sha1:', d, e'\\r\\n',
-  CASE WHEN n >= 1000 AND m.page_id <> last THEN concat('WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest', e'\\r\\n', 'WARC-Refers-To: <urn:page:', last, '>', e'\\r\\n') ELSE '' END,
-  'Content-Type: text/html', e'\\r\\n', 'Content-Length: ', CASE WHEN n >= 1000 AND m.page_id <> last THEN 0 ELSE n END, e'\\r\\n', e'\\r\\n') AS u
-  FROM m JOIN pages g ON g.page_id = m.page_id)
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+m AS (SELECT *, first_value(page_id) OVER w AS last, row_number() OVER w AS nth FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST, url, r))
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN strlen(html) >= 1000 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 1000 AND nth > 1 THEN last END AS refers_to, true AS header_digest_ok
+FROM m
 """
