@@ -1,8 +1,9 @@
 """Personal data by anchor expansion: an Aho-Corasick automaton finds at-signs, schemes and identifier cues, and local
 parsers expand each hit to the left and right and check it.
 
-Kinds: email, ip, card, phone (the base), then url (scheme or www.) and account (an IBAN with a right checksum, or a
-number of 6 to 20 digits and letters after a cue word). Spans of one kind never overlap; offsets are code points.
+Kinds: email, ip, card, phone (the base), then url (scheme or www.), account (an IBAN with a right checksum, or a number of
+6 to 20 digits and letters after a cue word) and secret (what a password or token cue assigns, or a key of a known form).
+Schemes and cues count in upper and lower case alike. Spans of one kind never overlap; offsets are code points.
 
 Defined cases: null and empty texts have no span; a text of any length is scanned whole; rows that repeat are scanned
 each; a null doc_id stays null; an empty table gives an empty result; columns beside doc_id and text are ignored.
@@ -18,14 +19,22 @@ from pyspark.sql import DataFrame
 
 from . import store
 
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 DIGITS = frozenset("0123456789")
 ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 LOCAL, DOMAIN, PHONE = ALNUM | frozenset("._%+-"), ALNUM | {"-"}, DIGITS | frozenset(" ().-")
 SCHEMES = ("http://", "https://", "ftp://", "www.")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLD = str.maketrans(UPPER, LOWER)
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "passport", "customer id", "ssn")
 URL = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
 AFTER_CUE = re.compile(r"(?i)\s*(?:number|no\.?|nr\.?|num\.?|id)?\s*[:#=]?\s*([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})")
+ASSIGNED = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "apikey", "api key", "access key", "access_key", "private_key")
+#: What an assignment gives: quoted, or a run of at least 8 key letters; either holds a digit.
+VALUE = re.compile(r"[\"']?\s*(?:=>|:=|=|:)\s*(?:\"([^\"\r\n]{8,200})\"|'([^'\r\n]{8,200})'|([A-Za-z0-9_+/.~-]{8,200}={0,2}))")
+#: Forms of keys that name themselves: the text that begins them and the whole key.
+KEYS = {"akia": r"AKIA[A-Z0-9]{16}", "asia": r"ASIA[A-Z0-9]{16}", "ghp_": r"ghp_[A-Za-z0-9]{36}", "aiza": r"AIza[A-Za-z0-9_-]{35}", "xoxb-": r"xoxb-[A-Za-z0-9-]{20,}", "sk_live_": r"sk_live_[A-Za-z0-9]{16,}"}
+KEY = re.compile("|".join(f"(?:{k})" for k in KEYS.values()))
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 
 
@@ -40,16 +49,32 @@ def automaton() -> ahocorasick.Automaton:
         for e in DIGITS:
             for sep in ("", " ", "-"):
                 add(d + sep + e, "card")
-    for s in SCHEMES:
-        for form in {s, s.upper(), s.capitalize()}:
-            add(form, "url")
-    for s in CUES:
-        for form in {s, s.upper(), s.capitalize(), s.title()}:
-            add(form, "account")
+    for kind, words in (("url", SCHEMES), ("account", CUES), ("secret", ASSIGNED), ("secret", KEYS)):
+        for s in words:
+            add(s, kind)
     found.make_automaton()
     return found
 
 
+def folded(text: str) -> str:
+    """text with A-Z in lower case and as many code points."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(FOLD)
+
+
+def secret_at(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The key that begins at `start`, or what is assigned after a cue that ends at `end`."""
+    if m := KEY.match(text, start):
+        return m.span() if m.end() == len(text) or text[m.end()] not in ALNUM else None
+    m = VALUE.match(text, end)
+    if not m or end < len(text) and text[end] in ALNUM:
+        return None
+    a, b = m.span(m.lastindex)
+    while b > a and m.lastindex == 3 and text[b - 1] in ".-":
+        b -= 1
+    return (a, b) if b - a >= 8 and any(c in DIGITS for c in text[a:b]) else None
+
+
 def email_at(text: str, at: int, floor: int) -> tuple[int, int] | None:
     """The address around the at-sign, not reaching left of floor."""
     start = at
@@ -149,7 +174,7 @@ def account_after(text: str, at: int) -> tuple[int, int] | None:
 def spans(text: str, found: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     seen = dict.fromkeys(KINDS, 0)  # each kind's scan has come so far
-    for last, (kind, length) in found.iter(text):
+    for last, (kind, length) in found.iter(folded(text)):
         start = last - length + 1
         if start < seen[kind]:
             continue
@@ -176,6 +201,10 @@ def spans(text: str, found: ahocorasick.Automaton) -> dict[str, list[tuple[int,
             if m and (start == 0 or text[start - 1] not in ALNUM) and (end := start + len(text[start : m.end()].rstrip(".,;:!?)"))) > last + 1:
                 out[kind].append((start, end))
                 seen[kind] = end
+        elif kind == "secret":
+            if (start == 0 or text[start - 1] not in ALNUM) and (hit := secret_at(text, start, last + 1)):
+                out[kind].append(hit)
+                seen[kind] = hit[1]
         elif (start == 0 or text[start - 1] not in ALNUM) and (last + 1 == len(text) or text[last + 1] not in ALNUM) and (hit := account_after(text, last + 1)):
             out[kind].append(hit)
             seen[kind] = hit[1]
@@ -197,11 +226,11 @@ def listed(hits: dict[str, list[tuple[int, int]]], kinds) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in sorted(hits[k]))
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> a row each with counts of the base kinds, a digest of their spans, and all spans."""
+    """docs (doc_id, text) -> a row each with counts of the base kinds, a digest of their spans, all spans and their number."""
 
     def scan(batches):
         import pyarrow as pa
@@ -211,6 +240,6 @@ def find(docs: DataFrame) -> DataFrame:
             rows = [spans(t or "", found) for t in batch.column("text").to_pylist()]
             counts = [pa.array([len(r[k]) for r in rows], pa.int64()) for k in KINDS[:4]]
             digests = [hashlib.sha256(listed(r, KINDS[:4]).encode()).hexdigest() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array([listed(r, KINDS) for r in rows], pa.string())], names=[f.split()[0] for f in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array([listed(r, KINDS) for r in rows], pa.string()), pa.array([sum(map(len, r.values())) for r in rows], pa.int64())], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return store.columns(docs, "doc_id", "text").mapInArrow(scan, SCHEMA)
