@@ -185,13 +185,13 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings")
 
 
-DOT = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6)"
+EXACT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+DOT = f"round({EXACT}, 6)"
 NEAREST = f"""SELECT span_id, ref_idx, concept_idx, similarity FROM (SELECT a.vec_id AS span_id, b.vec_id AS ref_idx, b.label AS concept_idx, {DOT} AS similarity,
- row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id >= 100 AND b.vec_id < 60) x WHERE k = 1"""
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY {EXACT} DESC, b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) x WHERE k = 1"""
 
 
-# The SQL keeps spans, references and negatives apart by id. Here each vector is matched against all others, and the
-# negatives of a match are all other vectors of its label; tests/test_queries.py has the brute force.
+# Each vector is matched against all others; the negatives of a match are all other vectors of its label.
 def _nearest(spark, sf):
     v = _vectors(spark, sf)
     found = v.select(F.col("vec_id").alias("span_id"), "embedding")
@@ -209,20 +209,21 @@ def _(spark, sf):
     return concepts.above(_nearest(spark, sf)[0], 0.3)
 
 
-@query("hardneg_gate", f"""SELECT n.*, max_negative FROM (SELECT * FROM ({NEAREST}) n WHERE similarity >= 0.3) n LEFT JOIN (SELECT n.span_id, max({DOT}) AS max_negative FROM ({NEAREST}) n
- JOIN embeddings a ON a.vec_id = n.span_id JOIN embeddings b ON b.label = n.concept_idx AND b.vec_id BETWEEN 60 AND 99 GROUP BY 1) g USING (span_id) WHERE max_negative IS NULL OR max_negative < similarity - CAST(0.05 AS DOUBLE)""")
+@query("hardneg_gate", f"""WITH n AS (SELECT * FROM ({NEAREST}) n WHERE similarity >= 0.3), g AS (SELECT n.span_id, max({EXACT}) AS m FROM n
+ JOIN embeddings a ON a.vec_id = n.span_id JOIN embeddings b ON b.label = n.concept_idx AND b.vec_id <> n.span_id AND b.vec_id <> n.ref_idx GROUP BY 1)
+ SELECT n.*, round(m, 6) AS max_negative FROM n LEFT JOIN g USING (span_id) WHERE m IS NULL OR m < similarity - CAST(0.05 AS DOUBLE)""")
 def _(spark, sf):
     near, found, v = _nearest(spark, sf)
     neg = v.select(F.col("label").alias("concept_idx"), F.col("vec_id").alias("neg_idx"), "embedding")
     return concepts.gate(concepts.above(near, 0.3), found, neg).withColumn("max_negative", F.round("max_negative", 6))
 
 
-HITS = f"""SELECT d.doc_id, b.item_id, {normal('b.text')} AS k, contains({normal('d.text')}, {normal('b.text')}) AS present, contains({normal('left(d.text, 200)')}, {normal('b.text')}) AS kept FROM documents d, benchmark b"""
+HITS = f"""SELECT d.doc_id, contains(d.norm, b.k) AS present, contains(d.hyp, b.k) AS kept FROM (SELECT d.doc_id, {normal('d.text')} AS norm, coalesce({normal('n.text')}, '') AS hyp
+ FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1) d, (SELECT {normal('text')} AS k FROM benchmark) b"""
 KEYED = f"SELECT doc_id, CAST(count(*) FILTER (WHERE present) AS BIGINT) AS present, CAST(count(*) FILTER (WHERE present AND NOT kept) AS BIGINT) AS missed FROM ({HITS}) h GROUP BY doc_id"
 
 
-# The SQL takes the first 200 characters of a document as the hypothesis. Here it is the whole next document, as in jaccard;
-# a document without a next one has no hypothesis and misses all. tests/test_queries.py has the brute force.
+# The hypothesis of a document is the whole next document, as in jaccard; one without a next one misses all.
 def _keyed(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     docs = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("hyp")), "doc_id", "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))
@@ -245,11 +246,12 @@ def _(spark, sf):
     return metrics.micro(_keyed(spark, sf))
 
 
-# Words become single bytes, since the distance there is over bytes; 40 + 40 words have at most 80 codes.
-# So the SQL sees 40 words a turn; the queries take whole turns and are held against brute force in tests/test_queries.py.
-PAIR = f"""SELECT a.conv_id, a.turn, ({WORDS.format(normal('a.text'))})[1:40] AS r, ({WORDS.format(normal('b.text'))})[1:40] AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
-CODED = f"SELECT *, list_distinct(list_concat(r, h)) AS v FROM ({PAIR}) p"
-EDITS = "levenshtein(array_to_string(list_transform(r, lambda w: chr(CAST(33 + list_position(v, w) AS INT))), ''), array_to_string(list_transform(h, lambda w: chr(CAST(33 + list_position(v, w) AS INT))), ''))"
+# The distance there is over bytes, so shared words become single ones, and words of one side only, which never match, one
+# letter a side. A pair with more than 90 distinct shared words would need more letters than there are: it errs, not lies.
+PAIR = f"""SELECT a.conv_id, a.turn, {WORDS.format(normal('a.text'))} AS r, {WORDS.format(normal('b.text'))} AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
+CODED = f"SELECT *, CASE WHEN len(list_intersect(r, h)) <= 90 THEN list_intersect(r, h) ELSE error('too many shared words') END AS v FROM ({PAIR}) p"
+LETTERS = "array_to_string(list_transform({0}, lambda w: CASE WHEN list_contains(v, w) THEN chr(CAST(35 + list_position(v, w) AS INT)) ELSE '{1}' END), '')"
+EDITS = f"levenshtein({LETTERS.format('r', '!')}, {LETTERS.format('h', '#')})"
 
 
 def _pairs(spark, sf):
@@ -374,8 +376,9 @@ def _(spark, sf):
     return _sides(spark, sf).select("doc_id", F.round(scores.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
-# The SQL takes the first six sorted words as gold; here all words of the document are.
-@query("prefix_cover", f"SELECT a.doc_id, len(a.w[1:6]) > 0 AND len(list_filter(a.w[1:6], lambda g: len(list_filter(b.w, lambda c: g = c OR (length(g) >= 3 AND length(c) >= 3 AND (starts_with(g, c) OR starts_with(c, g))))) = 0)) = 0 AS covered FROM (SELECT doc_id, list_sort(w) AS w FROM ({SIDE}) s) a JOIN ({SIDE}) b ON b.doc_id = a.doc_id + 1")
+@query("prefix_cover", f"""WITH g AS (SELECT a.doc_id, unnest(a.w) AS g, b.w FROM ({SIDE}) a JOIN ({SIDE}) b ON b.doc_id = a.doc_id + 1)
+ SELECT a.doc_id, len(a.w) > 0 AND coalesce(bool_and(list_contains(g.w, g) OR len(list_filter(g.w, lambda c: length(g) >= 3 AND length(c) >= 3 AND (starts_with(g, c) OR starts_with(c, g)))) > 0), true) AS covered
+ FROM ({SIDE}) a JOIN ({SIDE}) b ON b.doc_id = a.doc_id + 1 LEFT JOIN g ON g.doc_id = a.doc_id GROUP BY a.doc_id, a.w""")
 def _(spark, sf):
     return _sides(spark, sf).select("doc_id", scores.covered(F.col("a"), F.col("b")).alias("covered"))
 
