@@ -25,11 +25,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges (a long, b long) -> (node, root), root the least node of its component; a row for each node of an edge."""
+    """edges (a long, b long) -> (node, root), root the least node of its component; a row for each node of an edge.
+
+    edges should be a written table: Python stages in one task would each hold a worker.
+    """
     edges = store.written(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
     before = None
     for _ in range(rounds):
-        edges = store.written(_star(_star(edges, True), False), "edges")
+        old, edges = edges, store.written(_star(_star(edges, True), False), "edges")
+        store.drop(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -113,10 +113,10 @@ def find(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST, index_b
         def scan(batches, index=index):
             import pyarrow as pa
 
-            from .words import binary
+            from .words import binary, slices
 
             one, names = index.value, [f.split()[0] for f in PAIRS.split(", ")]
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [normal(t or b"") for t in binary(batch.column("text"))]
                 hashes, at = hashed(texts)
                 out = []

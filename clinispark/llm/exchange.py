@@ -53,7 +53,9 @@ def collapsed(docs: DataFrame, *more: str) -> DataFrame:
     def scan(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        from .words import slices
+
+        for batch in slices(batches, 5000):
             table = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([([], "count_all")])
             yield from table.select([*names, "count_all"]).rename_columns([*names, "copies"]).combine_chunks().to_batches()
 

@@ -31,7 +31,7 @@ from . import store
 from .components import components
 from .exchange import filled, narrow, pack, pack_sorted, unpack, unpack_sorted
 from .substring_dedup import _rows, runs_of
-from .words import BASE, EMPTY, LOWER, U64, binary, hashed, mixed, windows
+from .words import BASE, EMPTY, LOWER, U64, binary, hashed, mixed, slices, windows
 
 WIDTH, PERCENT, RARE = 5, 80, 16
 CHUNK_BYTES, RANGE_TOKENS = 6_000_000, 1_800_000
@@ -68,9 +68,8 @@ def set_keys(tokens: np.ndarray, seed: int = 0) -> tuple[int, int]:
 def chunked(batches, size: int = CHUNK_BYTES):
     """(ids, texts) of about `size` bytes each."""
     ids, texts, held = [], [], 0
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
+    for part in slices(batches, 512):
+        if part.num_rows:
             new = [t or b"" for t in binary(part.column("text"))]
             ids += part.column("doc_id").to_pylist()
             texts += new
@@ -331,7 +330,8 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     else:
         raise RuntimeError("sets clash in 64-bit hash and size under every seed")
     sets = sets.select("key", "n", "first", "copies", "node")
-    ranges = store.parts(slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], RANGE_TOKENS)
+    total = slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = store.parts(total, store.grown(RANGE_TOKENS, 6 * total))  # a token is about six bytes of text
     buckets = store.parts(ranges, 3)
 
     def share(table):
@@ -357,6 +357,7 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
         return _rows(meetings(table, percent), "a long, b long")
 
     edges = store.dealt(found.select("key", "n", "ikeys").mapInArrow(post, BLOB), ranges, "range").groupBy("range").applyInArrow(meet, "a long, b long")
+    edges = store.written(edges, "meetings")
     near = store.written(components(edges), "blocks")
     weight = near.join(found.select("key", "n"), F.col("key") == F.col("node")).groupBy("root").agg(F.sum(F.col("n") + SET_WEIGHT).alias("w"))
     weight = store.written(weight, "weights")
@@ -376,10 +377,12 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
 
     found_links = blocks.select("bin", "cell", "block", "tile", "node", "copies", "n", "tokens").groupBy("bin", "cell").applyInArrow(verify, "a long, b long, n long")
     found_links = store.written(found_links, "links")
+    store.drop(found, edges, near, weight)
     roots = components(found_links.where("b IS NOT NULL").select("a", "b"))
     degree = found_links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     members = sets.join(roots, "node", "left").join(degree, "node", "left").select("key", "n", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
     members = store.written(members, "rooted")
+    store.drop(found_links)
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     named = members.join(least, "root").select(F.col("key").alias("_key"), F.col("n").alias("_n"), "links", "component_id", "root")
     out = slim.join(named, (F.col("key") == F.col("_key")) & (F.col("n") == F.col("_n")), "left")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import store
 from .exchange import collapsed, filled, pack, pack_sorted, unpack, unpack_sorted
 from .substring_dedup import _rows, runs_of
-from .words import BASE, LOWER, U64, binary, hashed, mixed
+from .words import BASE, LOWER, U64, binary, hashed, mixed, slices
 
 CHUNK_BYTES, RANGE_HASHES, MU = 8_000_000, 1_500_000, 4.0
 SURVEY = "doc_id long, chunk int, n long, range int, words binary"
@@ -34,21 +34,20 @@ START = U64(0x5851F42D4C957F2D)
 ONE = U64(1)
 
 
-def survey(dealt: DataFrame, ranges: int) -> DataFrame:
-    """SURVEY: tokens of each (doc_id, chunk), and the distinct words of a batch by range."""
+def survey(docs: DataFrame, ranges: int) -> DataFrame:
+    """SURVEY of docs (doc_id, text, chunk): tokens of each row, and the distinct words of a batch by range."""
 
     def scan(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+        for part in slices(batches, 2000):
+            if part.num_rows:
                 words, at = hashed([(t or b"").translate(LOWER) for t in binary(part.column("text"))])
                 found = np.unique(words)
-                columns = (part.column(c).to_pylist() for c in ("doc_id", "chunk", "copies"))
-                rows = [{"doc_id": d, "chunk": c, "n": int(n) * k, "range": None, "words": None} for d, c, k, n in zip(*columns, np.diff(at), strict=True)]
+                columns = (part.column(c).to_pylist() for c in ("doc_id", "chunk"))
+                rows = [{"doc_id": d, "chunk": c, "n": int(n), "range": None, "words": None} for d, c, n in zip(*columns, np.diff(at), strict=True)]
                 rows += [{"doc_id": None, "chunk": None, "n": None, "range": r, "words": pack_sorted(found[a:b])} for r, a, b in filled(found, ranges)]
                 yield from _rows(rows, SURVEY).to_batches()
 
-    return dealt.mapInArrow(scan, SURVEY)
+    return docs.mapInArrow(scan, SURVEY)
 
 
 class Chunk:
@@ -109,10 +108,11 @@ def score(docs: DataFrame, labels: DataFrame, *, mu: float = MU) -> DataFrame:
     """docs (doc_id, text) and labels (doc_id, quality) -> RESULT without copies."""
     docs = store.columns(docs, "doc_id", "text")
     size = store.text_bytes(docs)
-    chunks, ranges = store.parts(size, CHUNK_BYTES), store.parts(size / 9, RANGE_HASHES)
-    dealt = collapsed(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    chunks, ranges = store.parts(size, store.grown(CHUNK_BYTES, size)), store.parts(size / 9, store.grown(RANGE_HASHES, size))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+    dealt = collapsed(docs).withColumn("chunk", chunk)
     wanted = store.columns(labels, "doc_id", "quality").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    found = store.written(survey(dealt, ranges), "survey")
+    found = store.written(survey(docs.withColumn("chunk", chunk), ranges), "survey")
     n_every = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     marks = found.where("doc_id IS NOT NULL").select("doc_id", "chunk", "n").join(wanted, "doc_id", "left_semi")
     n_target = marks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -48,11 +48,11 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids:
         import numpy as np
         import pyarrow as pa
 
-        from .words import binary
+        from .words import binary, slices
 
         found = ids_by(path or tokenizer_path())
         names = re.findall(r"(\w+) \w+", PIECES)
-        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
+        for batch in slices(batches, 512):
             rows, parts = [], []
             texts = found.of([t or b"" for t in binary(batch.column("text"))])
             for doc, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
@@ -141,12 +141,12 @@ def pack(found: DataFrame, size: int = SIZE, block_rows: int = 1_000_000) -> Dat
         offset = 0
         for length, n in used:
             for _ in range(n):
-                by_length[length].append((next_rank[length], sequence, offset))
+                by_length[length].append({"first": next_rank[length], "sequence": sequence, "offset": offset})
                 next_rank[length] += times
                 offset += length
         sequence += times
     # one row a length, at most `size`; slots of a length ascend by rank
-    table = spark.createDataFrame([(k, v) for k, v in by_length.items()], "length long, slots array<struct<first:long,sequence:long,offset:long>>")
+    table = store.table(spark, list(by_length.items()), "length long, slots array<struct<first:long,sequence:long,offset:long>>")
     last = lambda rank: F.size(F.filter("slots", lambda s: s["first"] <= rank))
     first = last(F.col("before"))
     near = F.slice("slots", first, last(F.col("before") + F.col("n") - 1) - first + 1)

@@ -27,7 +27,7 @@ SPLIT = {
 }
 END = "</w>"
 #: Places of the table, and ids that a place holds; longer pieces are merged anew in each block.
-PLACES, INLINE = 1 << 20, 8
+PLACES, INLINE = 1 << 19, 8
 HARD = U64(0xA0761D6478BD642F)
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
 

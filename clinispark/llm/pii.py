@@ -235,8 +235,10 @@ def find(docs: DataFrame) -> DataFrame:
     def scan(batches):
         import pyarrow as pa
 
+        from .words import slices
+
         found = automaton()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [spans(t or "", found) for t in batch.column("text").to_pylist()]
             counts = [pa.array([len(r[k]) for r in rows], pa.int64()) for k in KINDS[:4]]
             digests = [hashlib.sha256(listed(r, KINDS[:4]).encode()).hexdigest() for r in rows]

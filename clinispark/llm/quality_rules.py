@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import store
-from .words import hashed, windows
+from .words import hashed, slices, windows
 
 BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Metrics as ratios of counts.
@@ -89,7 +89,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
         from .words import binary
 
-        for batch in batches:
+        for batch in slices(batches):
             counts = measure([t or b"" for t in binary(batch.column("text"))]).T
             names = batch.schema.names
             kept = [batch.column(i) for i, c in enumerate(names) if c != "text"]
@@ -194,7 +194,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         from .words import binary
 
-        for batch in batches:
+        for batch in slices(batches):
             groups = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
             yield batch.filter(pa.array(keeps(measure([t or b"" for t in binary(batch.column("text"))]), groups, held.value)))
 

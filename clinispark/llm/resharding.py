@@ -152,7 +152,7 @@ class Layout:
 
     def placed(self) -> DataFrame:
         """(held, old_shard, shard, slot) of all rows."""
-        moves = self.spark.createDataFrame(self.moves, "shard int, file string, block long, to int, first_slot long")
+        moves = store.table(self.spark, self.moves, "shard int, file string, block long, to int, first_slot long")
         moves = F.broadcast(moves) if len(self.moves) <= BROADCAST_BLOCKS else moves
         rows = self.rows().withColumn("block", self._block()).join(moves, ["shard", "file", "block"])  # a task names its files alike in all folders
         slot = F.col("first_slot") + F.col("place") - F.col("block") * self.height
@@ -162,7 +162,7 @@ class Layout:
         """Writes the affected shards under path -> (shard, path, rows, bytes) of all new shards that hold a row."""
         self.placed().where(F.col("shard").isin(self.affected)).write.option("compression", "zstd").partitionBy("shard").parquet(path)
         lies = [(j, f"{path if j in self.affected else self.path}/shard={j}", n, b) for j, (n, b) in enumerate(self.sizes) if n]
-        return self.spark.createDataFrame(lies, "shard int, path string, rows long, bytes long")
+        return store.table(self.spark, lies, "shard int, path string, rows long, bytes long")
 
     def read(self, path: str) -> DataFrame:
         """(held, old_shard, shard, slot) from the files as they lie after `rewrite`."""

@@ -1,25 +1,30 @@
-"""Shared folder, written tables and size estimates that the operators here have in common."""
+"""Shared folder, written tables, sizes and ways of dealing rows that the operators here have in common."""
 
 from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list = []
+_lies: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine only, one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="clinispark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,21 +55,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and a lost executor costs nothing."""
     path = new_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _lies[id(out)] = (weakref.ref(out), path)
+    return out
 
 
-#: Above this an estimate is Catalyst's stand-in for a plan of unknown size.
-UNKNOWN = 1 << 60
+def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows from the driver, by Arrow: a list given to Spark as it is would start Python workers in every executor."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], schema=kind), StructType.fromDDL(schema))
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the tables that df reads, from file listings without a job; of other plans the bytes of their texts."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    if size < UNKNOWN:
-        return size
-    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
-    return df.agg(F.coalesce(F.sum(sum(texts, F.lit(16)).cast("long")), F.lit(0))).first()[0]
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of `written` that nothing will read again."""
+    for df in tables:
+        ref, path = _lies.pop(id(df), (lambda: None, None))
+        if ref() is df:
+            drop_dir(df.sparkSession, path)
 
 
 def parts(total: float, each: float, least: int = 1) -> int:
@@ -72,9 +83,21 @@ def parts(total: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
+#: Partitions at most of what is dealt by number; further groups share them.
+MOST_PARTITIONS = 50_000
+
+
 def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
-    """df in n partitions by key, for groups of bounded size: as many tasks as groups, however few the session asks for."""
-    return df.repartition(n, key)
+    """df dealt by the numbers 0 to n - 1 in `key`, a group of bounded size in each partition, whatever the session's count."""
+    return df.repartitionById(min(n, MOST_PARTITIONS), key)
+
+
+def grown(base: float, size: float, start: float = 1e12, most: float = 8.0) -> int:
+    """`base` up to an input of `start` bytes, then with the square root of the size up to `most` times that.
+
+    Chunks and ranges meet pairwise, so both grow a little with the input: at 100 TB a pair still shares several values.
+    """
+    return int(base * min(most, max(1.0, (size / start) ** 0.5)))
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .exchange import collapsed, filled, pack, pack_sorted, unpack, unpack_sorted
-from .words import BASE, EMPTY, MIX1, U64, hashed_twice, windows
+from .words import BASE, EMPTY, MIX1, U64, hashed_twice, trim, windows
 
 LENGTH = 35
 #: Perfect difference covers: modulus and cover.
@@ -139,7 +139,9 @@ def _rows(rows: list[dict], names: str):
 
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     schema = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in names.split(", "))])
-    return pa.Table.from_pylist(rows, schema=schema)
+    table = pa.Table.from_pylist(rows, schema=schema)
+    trim()
+    return table
 
 
 def _gathered(table) -> np.ndarray:
@@ -160,8 +162,8 @@ def dedup_substrings(docs: DataFrame, *, length: int = LENGTH, period: int = PER
     """docs (doc_id, text) -> RESULT without copies: words outside repeated windows, joined by one blank."""
     docs = store.columns(docs, "doc_id", "text")
     size = store.text_bytes(docs)
-    chunks = store.parts(size, CHUNK_BYTES)
-    ranges = store.parts(size * 0.16 * len(COVERS[period]) / period, RANGE_HASHES)
+    chunks = store.parts(size, store.grown(CHUNK_BYTES, size))
+    ranges = store.parts(size * 0.16 * len(COVERS[period]) / period, store.grown(RANGE_HASHES, size))
     dealt = collapsed(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     dealt = store.dealt(dealt, chunks, "chunk")
 

@@ -21,7 +21,7 @@ _blank = re.compile(rb"[\x20\x09-\x0D]")
 
 
 #: Bytes that are hashed at once; longer texts are cut at blanks.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: A random number for each byte value, and the byte base of word hashes.
@@ -31,7 +31,7 @@ STEP = 0xD6E8FEB86659FD93
 BYTE2 = np.random.default_rng(20250117).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 STEP2 = 0xC2B2AE3D27D4EB4F
 #: mallopt's name of the threshold (a fixed value of glibc), and the bytes from which arrays are mapped by themselves.
-M_MMAP_THRESHOLD, MAPPED_FROM = -3, 1 << 20
+M_MMAP_THRESHOLD, MAPPED_FROM = -3, 4 << 20
 _powers: dict[tuple[str, int], np.ndarray] = {}
 _lean: list[bool] = []
 
@@ -129,6 +129,34 @@ def hashed_twice(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return one, two, at
 
 
+def slices(batches, rows: int = 1000, size: int = 4 << 20):
+    """Arrow batches in parts of at most `rows` rows and, unless one row is larger, about `size` bytes of text.
+
+    Free memory goes back to the system when the last is done.
+    """
+    import pyarrow.compute as pc
+
+    lean()
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            held = total[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(total, held + size, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory of this Python worker back to the system; Spark keeps the worker for later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * MIX1
     x = (x ^ (x >> U64(27))) * MIX2
