@@ -73,3 +73,16 @@ def roman_key(r: Column) -> Column:
 def ratio_can_reach(a: Column, b: Column, least: float) -> Column:
     """Whether lengths allow the ratio: it is at most 2 min / (a + b)."""
     return 2.0 * F.least(F.length(a), F.length(b)) >= F.lit(least) * (F.length(a) + F.length(b))
+
+
+def letters_can_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the letters that both hold allow the ratio: matching blocks can't be longer than those."""
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+    return 2.0 * common >= F.lit(least) * (F.length(a) + F.length(b))
+
+
+@pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed form; null stays null."""
+    return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

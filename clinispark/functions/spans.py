@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clinispark.functions import text as T
+
 MATCH = "array<struct<start_word:int,end_word:int,label:string,score:double,nth:int>>"
 
 
@@ -49,21 +51,29 @@ def longest_leftmost(matches: Column) -> Column:
     return choose(matches, before)
 
 
-def rebuild(tokens: Column, chosen: Column, put) -> Column:
-    """Words joined by blanks, with put(match, span text) in place of each chosen span."""
-    end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(chosen, i - 1)["end_word"])
-    span = lambda m: F.array_join(F.slice(tokens, m["start_word"] + 1, m["end_word"] - m["start_word"]), " ")
-    pieces = F.transform(chosen, lambda m, i: F.array_join(F.concat(F.slice(tokens, end_before(i) + 1, m["start_word"] - end_before(i)), F.array(put(m, span(m)))), " "))
-    last = F.coalesce(F.try_element_at(chosen, F.lit(-1))["end_word"], F.lit(0))
-    rest = F.slice(tokens, last + 1, F.greatest(F.size(tokens) - last, F.lit(0)))
-    return F.array_join(F.concat(pieces, rest), " ")
+def rebuild(text: Column, tokens: Column, chosen: Column, put) -> Column:
+    """text unchanged without a match, else its words joined by blanks, with put(match, span text) for each chosen span.
+
+    Words and matches are bound once a row: the lambdas name them again and again, and each naming would compute them anew.
+    """
+
+    def of(x: Column) -> Column:
+        words, taken = x["words"], x["taken"]
+        end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(taken, i - 1)["end_word"])
+        span = lambda m: F.array_join(F.slice(words, m["start_word"] + 1, m["end_word"] - m["start_word"]), " ")
+        pieces = F.transform(taken, lambda m, i: F.array_join(F.concat(F.slice(words, end_before(i) + 1, m["start_word"] - end_before(i)), F.array(put(m, span(m)))), " "))
+        last = F.coalesce(F.try_element_at(taken, F.lit(-1))["end_word"], F.lit(0))
+        rest = F.slice(words, last + 1, F.greatest(F.size(words) - last, F.lit(0)))
+        return F.when(F.size(taken) == 0, text).otherwise(F.array_join(F.concat(pieces, rest), " "))
+
+    return T.let(F.struct(tokens.alias("words"), chosen.alias("taken")), of)
 
 
 def replace_spans(text: Column, tokens: Column, chosen: Column) -> Column:
-    """text unchanged without a match, else rebuilt with labels for spans."""
-    return F.when(F.size(chosen) == 0, text).otherwise(rebuild(tokens, chosen, lambda m, _: m["label"]))
+    """text with labels for the chosen spans."""
+    return rebuild(text, tokens, chosen, lambda m, _: m["label"])
 
 
 def gloss(text: Column, tokens: Column, chosen: Column) -> Column:
-    """text unchanged without a match, else with each label in parentheses after its span."""
-    return F.when(F.size(chosen) == 0, text).otherwise(rebuild(tokens, chosen, lambda m, span: F.concat(span, F.lit(" ("), m["label"], F.lit(")"))))
+    """text with each label in parentheses after its span."""
+    return rebuild(text, tokens, chosen, lambda m, span: F.concat(span, F.lit(" ("), m["label"], F.lit(")")))

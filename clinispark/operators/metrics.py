@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +22,71 @@ def entity_keywords(raw: Column, only: str | None = None) -> Column:
     return F.array_distinct(F.filter(found, lambda k: k != ""))
 
 
-def keyword_counts(reference: Column, hypothesis: Column, keywords: Column, *, normalized: bool = False) -> Column:
-    """struct<present, missed>: keywords found in the reference, and those of them not in the hypothesis, as substrings.
-
-    A keyword list that all rows share should be normalized once beforehand.
-    """
+def keyword_counts(reference: Column, hypothesis: Column, keywords: Column) -> Column:
+    """struct<present, missed>: a row's own keywords in the reference, and those of them not in the hypothesis, as substrings."""
     sides = F.struct(T.normalize_text(reference).alias("ref"), T.normalize_text(hypothesis).alias("hyp"))
-    present = T.let(sides, lambda x: F.struct(x["hyp"].alias("hyp"), F.filter(keywords if normalized else F.transform(keywords, T.normalize_text), lambda k: x["ref"].contains(k)).alias("found")))
+    present = T.let(sides, lambda x: F.struct(x["hyp"].alias("hyp"), F.filter(F.transform(keywords, T.normalize_text), lambda k: x["ref"].contains(k)).alias("found")))
     missed = lambda x: F.filter(x["found"], lambda k: ~x["hyp"].contains(k))
     return T.let(present, lambda x: F.struct(F.size(x["found"]).cast("long").alias("present"), F.size(missed(x)).cast("long").alias("missed")))
 
 
+#: Bytes of keywords that one automaton holds; more are taken in parts.
+KEYWORD_BYTES = 32 << 20
+_automata: dict = {}
+
+
+def _automaton(held):
+    """The automaton of a broadcast keyword list, built once in a Python worker."""
+    import ahocorasick
+
+    if held.value[0] not in _automata:
+        _automata.clear()
+        found = ahocorasick.Automaton()
+        for word, times in held.value[1]:
+            found.add_word(word, (word, times))
+        found.make_automaton()
+        _automata[held.value[0]] = found
+    return _automata[held.value[0]]
+
+
+def _counter(held):
+    """A function (reference, hypothesis) -> struct<present, missed> for a broadcast keyword list."""
+
+    @F.pandas_udf("present long, missed long")
+    def count(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+        found, out = _automaton(held) if held.value[1] else None, []
+        for a, b in zip(ref, hyp, strict=True):
+            mine = dict(v for _, v in found.iter(a)) if found and a else {}
+            there = {v[0] for _, v in found.iter(b)} if mine and b else set()
+            out.append((sum(mine.values()), sum(t for w, t in mine.items() if w not in there)))
+        return pd.DataFrame(out, columns=["present", "missed"])
+
+    return count
+
+
+def shared_counts(pairs: DataFrame, keywords: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
+    """pairs of normalized texts -> with present and missed, for a keyword list (keyword) that all pairs share.
+
+    One Aho-Corasick scan of each text finds all keywords in it, so the work grows with the texts and not with the list. A
+    keyword that the list repeats counts each time; an empty one is in every text.
+    """
+    words = keywords.where("keyword IS NOT NULL").groupBy("keyword").agg(F.count("*").alias("times")).withColumn("bytes", F.octet_length("keyword").cast("long"))
+    total = words.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    n = max(1, -(-total // KEYWORD_BYTES))
+    counts = []
+    for i in range(n):
+        part = words.where(F.pmod(F.xxhash64("keyword"), F.lit(n)) == i) if n > 1 else words
+        rows = [(r["keyword"], r["times"]) for r in part.where("keyword <> ''").collect()]
+        held = pairs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+
+        counts.append(_counter(held)(F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(hypothesis), F.lit(""))))
+    empty = words.where("keyword = ''").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    names = [f"_c{i}" for i in range(n)]
+    out = pairs.withColumns(dict(zip(names, counts, strict=True)))
+    total_of = lambda k: functools.reduce(lambda x, y: x + y, [F.col(c)[k] for c in names])
+    return out.withColumns({"present": total_of("present") + F.lit(empty), "missed": total_of("missed")}).drop(*names)
+
+
 def micro(counted: DataFrame, digits: int = 4) -> DataFrame:
     """Sums of present and missed, and their ratio."""
     sums = counted.agg(F.coalesce(F.sum("present"), F.lit(0)).alias("present"), F.coalesce(F.sum("missed"), F.lit(0)).alias("missed"))

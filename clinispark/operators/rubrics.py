@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinispark.functions import scores
 from clinispark.functions import text as T
+from clinispark.sources.tables import parts, small
+
+#: The labels of a rubric record, and the endings that a frequency loses.
+LABELS = ("Rubric ID:", "Category ID:", "Criterion:")
+MEAL_LEADS, MEALS, MEAL_STEMS = ("before", "after", "with"), ("food", "meal", "meals"), ("eat",)
+SPANS = ("day", "week", "month")
+
 
-#: The form of a rubric record, and meal and duration endings of a frequency.
-RECORD = r"Rubric ID:\s*(\d+)\s*\nCategory ID:\s*([^\n]+)\s*\nCriterion:\s*([^\n]+(?:\n(?!Rubric ID:)[^\n]*)*)"
-SUFFIX = r"(?i)\s+(?:before|after|with)\s+(?:food|meals?|eat\w*)|\s+for\s+\d+\s+(?:day|week|month)\w*"
+def _any(words, tail: str = "") -> str:
+    return "|".join(f"{w}{tail}" for w in words)
+
+
+#: A blank, a lead and a meal; or a blank, `for`, a number and a span of time in any form.
+SUFFIX = rf"(?i)\s+(?:{_any(MEAL_LEADS)})\s+(?:{_any(sorted(MEALS, key=len, reverse=True))}|{_any(MEAL_STEMS, tail=chr(92) + 'w*')})|\s+for\s+\d+\s+(?:{_any(SPANS)})\w*"
 
 FIELDS = {"medications": ("drug", "dose", "frequency", "timing"), "symptoms": ("name", "severity"), "vitals": ("name", "value"), "diagnosis": ("term", "status")}
 
 
 def parse(notes: DataFrame) -> DataFrame:
-    """notes (note_id, rubrics) -> note_id, rubric_id, category, criterion."""
-    part = lambda i: F.regexp_extract_all("rubrics", F.lit(RECORD), F.lit(i))
-    rows = notes.select("note_id", F.inline(F.arrays_zip(part(1).alias("i"), part(2).alias("c"), part(3).alias("t"))))
-    return rows.select("note_id", F.col("i").cast("long").alias("rubric_id"), F.lower(T.strip(F.col("c"))).alias("category"), T.strip(F.col("t")).alias("criterion"))
+    """notes (note_id, rubrics) -> note_id, rubric_id, category, criterion.
+
+    A record runs from one "Rubric ID:" to the next that begins a line; what follows each of its labels is that field, the
+    number and the category to the end of their line, the criterion to the end of the record. Others are no records.
+    """
+    start, category, criterion = LABELS
+    after = lambda x, label: F.when(F.instr(x, label) > 0, F.substr(x, F.instr(x, label) + F.lit(len(label))))
+    line = lambda x: T.strip(F.substring_index(x, "\n", 1))
+    each = notes.select("note_id", F.posexplode(F.split("rubrics", rf"(?:^|\n)[^\n]*?{start}")).alias("nth", "record")).where("nth > 0")
+    rest = after(F.col("record"), category)
+    found = each.select("note_id", line(F.col("record")).alias("number"), line(rest).alias("category"), T.strip(after(rest, criterion)).alias("criterion"))
+    found = found.where(F.col("number").rlike(r"^\d+$") & (F.col("category") != "") & (F.col("criterion") != ""))
+    return found.select("note_id", F.col("number").cast("long").alias("rubric_id"), F.lower("category").alias("category"), "criterion")
 
 
 def frequency_group(values: DataFrame, frequencies: DataFrame) -> DataFrame:
     """values (value, normalised) -> value, grp: its frequency group by whole text, a slash part, or the longest key within."""
     bare = F.trim(F.regexp_replace("value", SUFFIX, ""))
     each = values.select("value").distinct().withColumn("bare", bare)
-    inside = each.join(F.broadcast(frequencies), F.col("bare").contains(F.col("key")))
-    parts = F.transform(F.split("bare", "/"), lambda p: F.trim(p))
-    place = F.array_position(parts, F.col("key"))
+    inside = functools.reduce(DataFrame.unionByName, [each.join(p, F.col("bare").contains(F.col("key"))) for p in parts(frequencies)])
+    place = F.array_position(F.transform(F.split("bare", "/"), lambda p: F.trim(p)), F.col("key"))
     rank = F.when(F.col("bare") == F.col("key"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")))
     rank = rank.when(place > 0, F.struct(F.lit(1).alias("a"), place.cast("int").alias("b"), F.lit(0).alias("c")))
     rank = rank.otherwise(F.struct(F.lit(2).alias("a"), (-F.length("key")).alias("b"), F.col("ordinal").alias("c")))
@@ -53,7 +73,7 @@ def note_values(notes: DataFrame) -> DataFrame:
 
 def match(criteria: DataFrame, values: DataFrame, categories: DataFrame, frequencies: DataFrame) -> DataFrame:
     """Each criterion with representable and matched. An unknown category is representable and matches nothing."""
-    known = criteria.join(F.broadcast(categories), "category", "left").withColumn("representable", F.coalesce("representable", F.lit(True)))
+    known = criteria.join(small(categories), "category", "left").withColumn("representable", F.coalesce("representable", F.lit(True)))
     known = known.withColumn("gold", T.plain(T.first_quoted(F.col("criterion"))))
     pairs = known.where("field IS NOT NULL").join(values.withColumn("candidate", T.plain(F.col("value"))), ["note_id", "field"])
     is_freq = F.col("category") == "medication_frequency"
@@ -67,8 +87,8 @@ def match(criteria: DataFrame, values: DataFrame, categories: DataFrame, frequen
 
 
 def rollup(matched: DataFrame) -> DataFrame:
-    """Counts and recall by category and in all; without representable criteria a category has no recall, the whole 0."""
+    """Counts and recall by category, in order of name, and in all; without representable criteria a category has no recall, the whole 0."""
     rep = F.col("representable")
     out = matched.rollup("category").agg(F.count("*").alias("total"), F.count_if(rep).alias("representable"), F.count_if(rep & F.col("matched")).alias("matched"), F.grouping("category").alias("_all"))
     recall = F.when(F.col("representable") > 0, F.round(F.col("matched") / F.col("representable"), 3)).when(F.col("_all") == 1, 0.0)
-    return out.withColumn("recall", recall).withColumn("category", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("category"))).drop("_all")
+    return out.withColumn("recall", recall).withColumn("category", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("category"))).orderBy("_all", "category").drop("_all")

@@ -227,8 +227,9 @@ KEYED = f"SELECT doc_id, CAST(count(*) FILTER (WHERE present) AS BIGINT) AS pres
 def _keyed(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     docs = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("hyp")), "doc_id", "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))
-    items = table(spark, sf, "benchmark").agg(F.collect_list(T.normalize_text(F.col("text"))).alias("keywords"))  # the keyword list is a parameter, not data
-    return docs.crossJoin(F.broadcast(items)).select("doc_id", metrics.keyword_counts(F.col("text"), F.col("hyp"), F.col("keywords"), normalized=True).alias("c")).select("doc_id", "c.*")
+    pairs = docs.select("doc_id", T.normalize_text(F.col("text")).alias("reference"), T.normalize_text(F.col("hyp")).alias("hypothesis"))
+    words = table(spark, sf, "benchmark").select(T.normalize_text(F.col("text")).alias("keyword"))
+    return metrics.shared_counts(pairs, words).select("doc_id", "present", "missed")
 
 
 @query("keyword_hits", KEYED)

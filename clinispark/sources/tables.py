@@ -28,6 +28,22 @@ def take(df: DataFrame, key: str, wanted: list) -> DataFrame:
     return df.join(F.broadcast(places), key)
 
 
+#: Rows of a lexicon that may go to every task.
+SMALL = 200_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, else left to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def parts(df: DataFrame, most: int = SMALL) -> list[DataFrame]:
+    """df in parts of about `most` rows, each marked for broadcast: for joins without an equality, part by part."""
+    n = -(-df.count() // most)
+    place = F.pmod(F.xxhash64(*df.columns), F.lit(max(n, 1)))
+    return [F.broadcast(df.where(place == i) if n > 1 else df) for i in range(max(n, 1))]
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -37,3 +53,38 @@ def report(df: DataFrame, *order: str, width: int = 24, most: int = 1000) -> str
     rows = df.orderBy(*order).limit(most).collect() if order else df.limit(most).collect()
     line = lambda cells: "".join(f"{'-' if c is None else c!s:<{width}}" for c in cells).rstrip()
     return "\n".join([line(df.columns), *map(line, rows)])
+
+
+def write_frozen(df: DataFrame, key: str, path: str, dataset: str, most: int = 10_000) -> list:
+    """Writes the keys of a chosen set, in order, with the name of their dataset as one JSON file; returns them."""
+    keys = [r[0] for r in df.select(key).limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"a frozen set holds at most {most} keys")
+    df.sparkSession.createDataFrame([(dataset, keys)], f"dataset string, ids array<{df.schema[key].dataType.simpleString()}>").coalesce(1).write.mode("overwrite").json(path)
+    return keys
+
+
+def write_results(summary: DataFrame, samples: DataFrame, path: str, *order: str) -> None:
+    """Two JSON tables under path: summary/ and samples/, UTF-8 as it is, the samples in order within their files."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    (samples.sortWithinPartitions(*order) if order else samples).write.mode("overwrite").json(f"{path}/samples")
+
+
+def preflight(spark: SparkSession, *paths: str, backends: dict | None = None) -> None:
+    """Fails at the driver, before a run, if an input is missing or a backend does not answer.
+
+    backends are names with a function that raises or returns False where the backend is not there.
+    """
+    lacking = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            lacking.append(f"no input at {path}")
+    for name, probe in (backends or {}).items():
+        try:
+            if probe() is False:
+                lacking.append(f"{name} does not answer")
+        except Exception as e:  # whatever a backend raises, the run can't start
+            lacking.append(f"{name}: {type(e).__name__}: {e}")
+    if lacking:
+        raise RuntimeError("; ".join(lacking))
