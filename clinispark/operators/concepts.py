@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clinispark.functions import spans
 from clinispark.functions import text as T
+from clinispark.sources import backends
+from clinispark.sources.tables import small
 
 LEAST, MARGIN = 0.65, 0.05
 #: Bytes of reference vectors that may go to every task.
@@ -119,7 +124,7 @@ def lexicon_spans(turns: DataFrame, terms: DataFrame) -> DataFrame:
     """turns (recording_id, turn_idx, text) and terms (span, label, score) -> matches of each turn as an array."""
     each = turns.select("recording_id", "turn_idx", F.posexplode(spans.ngrams(T.words(F.col("text")))).alias("nth", "s")).select("recording_id", "turn_idx", "nth", "s.*")
     hit = F.struct("start_word", "end_word", "label", "score", "nth")
-    return each.join(F.broadcast(terms), "span").groupBy("recording_id", "turn_idx").agg(F.array_sort(F.collect_list(hit)).alias("matches"))
+    return each.join(small(terms), "span").groupBy("recording_id", "turn_idx").agg(F.array_sort(F.collect_list(hit)).alias("matches"))
 
 
 def gloss_turns(turns: DataFrame, matches: DataFrame) -> DataFrame:
@@ -127,3 +132,32 @@ def gloss_turns(turns: DataFrame, matches: DataFrame) -> DataFrame:
     joined = turns.join(matches, ["recording_id", "turn_idx"], "left")
     chosen = spans.best_score(F.coalesce("matches", F.array().cast(spans.MATCH)))
     return joined.withColumn("text", spans.gloss(F.col("text"), T.words(F.col("text")), chosen)).drop("matches")
+
+
+def reference_terms(concepts: DataFrame) -> DataFrame:
+    """concepts (concept_idx, term, variants) -> (ref_idx, concept_idx, text): each term, then its variants, in order."""
+    each = concepts.select("concept_idx", F.posexplode(F.concat(F.array("term"), F.coalesce("variants", F.array().cast("array<string>")))).alias("nth", "text"))
+    order = Window.partitionBy(F.lit(0)).orderBy("concept_idx", "nth")  # a lexicon: as many rows as it has wordings
+    return each.select((F.row_number().over(order) - 1).alias("ref_idx"), "concept_idx", "text")
+
+
+def embedding_matches(turns: DataFrame, concepts: DataFrame, embedder: Callable, *, least: float = LEAST, margin: float = MARGIN) -> DataFrame:
+    """turns (recording_id, turn_idx, text) and a concept lexicon -> matches of each turn, as gloss_turns takes them.
+
+    Each distinct span of one to three words is embedded once, matched with its nearest wording, and kept if it is close
+    enough and further from all hard negatives of that concept.
+    """
+    keys = ["recording_id", "turn_idx"]
+    each = turns.select(*keys, F.posexplode(spans.ngrams(T.words(F.col("text")))).alias("nth", "s")).select(*keys, "nth", "s.*")
+    refs = reference_terms(concepts)
+    negatives = concepts.select("concept_idx", F.explode("hard_negatives").alias("text"))
+    wanted = refs.select("text").unionByName(negatives.select("text"))
+    known = backends.embed(wanted, embedder)
+    refs = refs.join(known, "text").select("ref_idx", "concept_idx", "embedding")
+    negatives = negatives.join(known, "text").select("concept_idx", "embedding")
+    found = backends.embed(each.select(F.col("span").alias("text")), embedder).withColumnRenamed("text", "span_id")
+    near = gate(above(nearest(found, refs), least), found, negatives, margin)
+    terms = small(concepts.select("concept_idx", F.col("term").alias("label")))
+    labels = near.join(terms, "concept_idx").select(F.col("span_id").alias("span"), "label", F.col("similarity").alias("score"))
+    hit = F.struct("start_word", "end_word", "label", "score", "nth")
+    return each.join(labels, "span").groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("matches"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinispark.operators import concepts, drugs, notes, roles
+from clinispark.operators import concepts as C
+from clinispark.operators import drugs, notes, roles
 from clinispark.plans import render
 from clinispark.sources import backends
 
@@ -18,10 +19,15 @@ def turns_of(clips: DataFrame, diarizer: Callable, transcriber: Callable) -> Dat
     return roles.with_roles(turns, roles.assign(roles.scores(turns)))
 
 
-def normalized(turns: DataFrame, drug_names: DataFrame, scripts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """turns with drug names rewritten and, given terms (span, label, score), concepts glossed."""
+def normalized(turns: DataFrame, drug_names: DataFrame, scripts: DataFrame, terms: DataFrame | None = None, concepts: DataFrame | None = None, embedder: Callable | None = None) -> DataFrame:
+    """turns with drug names rewritten and concepts glossed.
+
+    With a concept lexicon and an embedder, spans are matched by embedding; with terms (span, label, score), word by word.
+    """
     out = drugs.rewrite(turns, drug_names, scripts)
-    return concepts.gloss_turns(out, concepts.lexicon_spans(out, terms)) if terms is not None else out
+    if concepts is not None and embedder is not None:
+        return C.gloss_turns(out, C.embedding_matches(out, concepts, embedder))
+    return C.gloss_turns(out, C.lexicon_spans(out, terms)) if terms is not None else out
 
 
 def notes_of(turns: DataFrame, drug_names: DataFrame, extractor: Callable) -> DataFrame:
@@ -30,7 +36,7 @@ def notes_of(turns: DataFrame, drug_names: DataFrame, extractor: Callable) -> Da
     return notes.build(backends.extract(text, extractor), drug_names)
 
 
-def run(clips: DataFrame, drug_names: DataFrame, scripts: DataFrame, diarizer: Callable, transcriber: Callable, extractor: Callable, terms: DataFrame | None = None) -> DataFrame:
-    """clips -> rendered rows of every recording."""
-    turns = normalized(turns_of(clips, diarizer, transcriber), drug_names, scripts, terms)
+def run(clips: DataFrame, drug_names: DataFrame, scripts: DataFrame, diarizer: Callable, transcriber: Callable, extractor: Callable, **gloss) -> DataFrame:
+    """clips -> rendered rows of every recording; gloss as in `normalized`."""
+    turns = normalized(turns_of(clips, diarizer, transcriber), drug_names, scripts, **gloss)
     return render.rows(notes_of(turns, drug_names, extractor))

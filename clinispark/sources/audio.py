@@ -27,12 +27,21 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels).T, rate
 
 
-def resample(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
-    """Mono samples at another rate, by linear interpolation."""
+def resample(x: np.ndarray, rate: int, to: int = RATE, zeros: int = 16) -> np.ndarray:
+    """Mono samples at another rate: a sinc with a Hann window of `zeros` zero crossings a side, cut off at the lower half rate."""
     if rate == to or not len(x):
         return x
-    n = max(1, round(len(x) * to / rate))
-    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x).astype(np.float32)
+    n, low = max(1, round(len(x) * to / rate)), min(1.0, to / rate)
+    reach = int(np.ceil(zeros / low))
+    padded = np.pad(x.astype(np.float64), reach + 1)
+    out = np.empty(n, np.float32)
+    for i in range(0, n, 1 << 14):
+        at = np.arange(i, min(n, i + (1 << 14))) * rate / to
+        near = np.floor(at).astype(np.int64)[:, None] + np.arange(-reach, reach + 2)
+        away = (at[:, None] - near) * low
+        taps = np.sinc(away) * np.where(np.abs(away) < zeros, 0.5 + 0.5 * np.cos(np.pi * away / zeros), 0.0)
+        out[i : i + len(at)] = (padded[np.clip(near + reach + 1, 0, len(padded) - 1)] * taps).sum(1) / taps.sum(1)
+    return out
 
 
 def trim(x: np.ndarray, top_db: float = TOP_DB) -> np.ndarray:
@@ -60,15 +69,18 @@ def clips(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def preprocess(found: DataFrame, denoise=None) -> DataFrame:
-    """(path, content) -> CLIP: 16 kHz mono, trimmed; denoise is an optional samples -> samples hook, off by default."""
+def preprocess(found: DataFrame, denoise=None, decoder=None) -> DataFrame:
+    """(path, content) -> CLIP: 16 kHz mono, trimmed; denoise is an optional samples -> samples hook, off by default.
+
+    decoder(bytes) -> (channels x samples, rate) opens files that are no PCM WAV, where its libraries are installed.
+    """
 
     def run(frames):
         for f in frames:
             rows = []
             for path, data in zip(f["path"], f["content"], strict=True):
                 try:
-                    x, rate = decode(bytes(data))
+                    x, rate = decode(bytes(data)) if decoder is None or bytes(data[:4]) == b"RIFF" else decoder(bytes(data))
                     y = resample(x.mean(axis=0), rate)
                     y = trim(denoise(y) if denoise else y)
                     rows.append((path, RATE, len(y) / RATE, encode(y), None))

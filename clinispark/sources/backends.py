@@ -1,4 +1,4 @@
-"""Models behind functions: a backend is built once per Python worker and mapped over batches.
+"""Models behind functions: a backend is built once in a Python worker, kept from task to task, and mapped over batches.
 
 diarizer(wav) -> [(start, end, speaker)], transcriber(wav, start, end) -> [text chunks], embedder([text]) -> matrix,
 extractor(transcript) -> reply text. A factory takes no argument and returns the backend; secrets come from its closure
@@ -7,6 +7,7 @@ or the session's settings, never from code.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -34,11 +35,34 @@ def setting(spark: SparkSession, key: str) -> str:
     return value
 
 
+_built: dict[str, object] = {}
+
+
+def kept(factory: Callable) -> Callable:
+    """factory as a function that builds its backend once in a Python worker; equal factories share it, a new one replaces it.
+
+    A worker holds one backend, as the models are large and a worker's stages follow one another.
+    """
+    from pyspark import cloudpickle
+
+    key = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+    def get():
+        if key not in _built:
+            _built.clear()
+            _built[key] = factory()
+        return _built[key]
+
+    return get
+
+
 def diarize(clips: DataFrame, factory: Callable) -> DataFrame:
     """clips (recording_id, wav) -> SEGMENTS."""
 
+    model_of = kept(factory)
+
     def run(frames):
-        model = factory()
+        model = model_of()
         for f in frames:
             rows = [(r, float(a), float(b), s) for r, w in zip(f["recording_id"], f["wav"], strict=True) for a, b, s in sorted(model(w))]
             yield pd.DataFrame(rows, columns=["recording_id", "start", "end", "speaker"])
@@ -49,8 +73,10 @@ def diarize(clips: DataFrame, factory: Callable) -> DataFrame:
 def transcribe(clips: DataFrame, segments: DataFrame, factory: Callable) -> DataFrame:
     """Turns (recording_id, turn_idx, speaker, text, start, end) of segments with speech."""
 
+    model_of = kept(factory)
+
     def run(frames):
-        model = factory()
+        model = model_of()
         for f in frames:
             f["text"] = [" ".join(t for c in model(w, a, b) if (t := c.strip())) for w, a, b in zip(f["wav"], f["start"], f["end"], strict=True)]
             yield f.drop(columns="wav")
@@ -77,8 +103,10 @@ def pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
 def embed(texts: DataFrame, factory: Callable, batch: int = 256) -> DataFrame:
     """texts (text) -> (text, embedding) of distinct texts; forward passes of bounded size."""
 
+    model_of = kept(factory)
+
     def run(frames):
-        model = factory()
+        model = model_of()
         for f in frames:
             for i in range(0, len(f), batch):
                 part = f.iloc[i : i + batch]
@@ -100,8 +128,10 @@ def extract(transcripts: DataFrame, factory: Callable, attempts: int = 2) -> Dat
             return False
         return True
 
+    model_of = kept(factory)
+
     def run(frames):
-        model = factory()
+        model = model_of()
         for f in frames:
             rows = []
             for note, text in zip(f["note_id"], f["transcript"], strict=True):
