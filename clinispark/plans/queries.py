@@ -163,11 +163,33 @@ def _(spark, sf):
     return drugs.rewrite(turns, spark.createDataFrame([], "drug string"), lexicon.scripts(spark), use_fuzzy=False)
 
 
-@query("drug_scan_fuzzy")
+# Romanised by hand; the fuzzy ones by twice the letters in matching blocks over all letters: rivaro + aban of rivaroksaban and
+# rivaroxaban 20/23, glipiz + d of glipizad and glipizide 14/17, tenolol of etenolol and atenolol 14/16, dapagliflo + in of
+# dapagliflojin and dapagliflozin 24/26; doksisaklin and doxycycline share too little.
+EXACT_SCANS = [(1, 0, "सैल्बुटामोल और रामिप्रिल", "salbutamol और ramipril"), (1, 1, "रोज टाम्सुलोसिन", "रोज tamsulosin"), (2, 0, "डोक्सीसाइक्लिन", "डोक्सीसाइक्लिन"), (2, 1, "मेड्रोल, no", "मेड्रोल, no"), (2, 2, "टेल्मा  रात को", "telma रात को")]
+# With the fuzzy tier a longer window that is close enough wins over the exact one in it: salbutamolaur and salbutamol 20/23,
+# rojtamsulosin and tamsulosin 20/23.
+WIDER = {(1, 0): "salbutamol ramipril", (1, 1): "tamsulosin"}
+FUZZY_SCANS = [*[(r, t, x, WIDER.get((r, t), w)) for r, t, x, w in EXACT_SCANS], (3, 0, "रिवारोक्साबैन ग्लिपिज़ाइड", "rivaroxaban glipizide"), (3, 1, "सुबह एटेनोलोल दो", "सुबह atenolol दो"), (3, 2, "डैपाग्लिफ्लोजिन", "dapagliflozin"), (4, 0, "कफ सिरप नेक्सियम", "cough syrup नेक्सियम")]
+
+
+def _scan_sql(rows: list[tuple]) -> str:
+    return f"SELECT CAST(r AS BIGINT) AS recording_id, CAST(t AS INT) AS turn_idx, text FROM {values('r, t, text', [(r, t, w) for r, t, _, w in rows])} s"
+
+
+def _scan(spark, rows: list[tuple], use_fuzzy: bool):
+    turns = literal(spark, "recording_id, turn_idx, text", "long, int, string", [(r, t, x) for r, t, x, _ in rows])
+    return drugs.rewrite(turns, lexicon.drugs(spark), lexicon.scripts(spark), use_fuzzy=use_fuzzy)
+
+
+@query("drug_scan_exact", _scan_sql(EXACT_SCANS))
 def _(spark, sf):
-    more = [*SCANS, (4, 0, "सैल्बुटामोल और डोक्सीसाइक्लिन"), (4, 1, "एमोक्सिसिलिन क्लेवुलेनिक एसिड")]
-    turns = literal(spark, "recording_id, turn_idx, text", "long, int, string", more)
-    return drugs.rewrite(turns, lexicon.drugs(spark), lexicon.scripts(spark))
+    return _scan(spark, EXACT_SCANS, False)
+
+
+@query("drug_scan_fuzzy", _scan_sql(FUZZY_SCANS))
+def _(spark, sf):
+    return _scan(spark, FUZZY_SCANS, True)
 
 
 ROMAN = ["paaraa", "shiinn", "amoxxicillin", "ranitidin", "buun an", "vitamiin cc"]
@@ -307,20 +329,75 @@ def _(spark, sf):
     return _notes(spark).select("note_id", "outcome", F.array_join("low_confidence_fields", ",").alias("flags"), size("medications").alias("n_medications"), size("diagnosis").alias("n_diagnoses"), size("vitals").alias("n_vitals"))
 
 
-VITAL_ROWS = [("a", 0, "Height", "—"), ("a", 1, "Weight", "—"), ("a", 2, "BP", "130/90"), ("a", 3, "Temperature", "—"), ("a", 4, "SpO2", "—"), ("a", 5, "Pulse", "98"), ("a", 9, "Waist", "90 cm")]
+# The replies as DuckDB reads them: without their fence, and only if all entries of a list have its type.
+OBJECTS = ("symptoms", "vitals", "diagnosis", "medications")
+PARSED = f"""r AS (SELECT note_id, trim(regexp_replace(regexp_replace(raw, '^```[^\n]*\n', ''), '\n```\\s*$', '')) AS bare FROM {values('note_id, raw, transcript', REPLIES)} t),
+ j AS (SELECT note_id, CASE WHEN json_valid(bare) THEN CAST(bare AS JSON) END AS j FROM r),
+ o AS (SELECT note_id, j, CASE WHEN j IS NULL THEN 'malformed' WHEN len(list_filter([{', '.join(f"json_extract(j, '$.{k}[0]')" for k in OBJECTS)}], lambda e: e IS NOT NULL AND json_type(e) <> 'OBJECT')) > 0 THEN 'mistyped' ELSE 'ok' END AS outcome FROM j)"""
+FIELDS = {"symptoms": ("name", "finding_status", "severity", "since"), "vitals": ("name", "value"), "diagnosis": ("term", "snomed_id", "status"), "medications": ("drug", "dose", "frequency", "timing", "duration")}
+
+
+def _entries(kind: str) -> str:
+    first, *rest = FIELDS[kind]
+    part = lambda k: f"nullif(trim(json_extract_string(e, '$.{k}')), '')"
+    part_or = lambda k: f"coalesce({part(k)}, 'Present')" if k == "finding_status" else part(k)
+    keep = f"{part(first)} IS NOT NULL" + (f" AND coalesce({part('value')}, '0') <> '0'" if kind == "vitals" else "")
+    cells = " || '|' || ".join(f"coalesce({part_or(k)}, '')" for k in FIELDS[kind])
+    return f"SELECT note_id, '{kind}' AS field, CAST(row_number() OVER (PARTITION BY note_id ORDER BY i) - 1 AS INT) AS pos, {cells} AS entry FROM (SELECT note_id, i, json_extract(j, '$.{kind}[' || i || ']') AS e FROM o, range(0, 20) x(i) WHERE outcome = 'ok') y WHERE e IS NOT NULL AND {keep}"
 
 
-@query("vitals_table", f"SELECT note_id, CAST(row_no AS INT) AS row_no, name, value FROM {values('note_id, row_no, name, value', VITAL_ROWS)} t")
+@query("note_shape", f"WITH {PARSED} " + " UNION ALL ".join(_entries(k) for k in OBJECTS))
+def _(spark, sf):
+    made = notes.cleaned(notes.parse(literal(spark, "note_id, raw, transcript", "string, string, string", REPLIES)))
+    cells = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("field"), i.alias("pos"), F.concat_ws("|", *[F.coalesce(x[k], F.lit("")) for k in FIELDS[kind]]).alias("entry"))
+    return made.select("note_id", F.inline(F.concat(*[F.transform(kind, cells(kind)) for kind in OBJECTS])))
+
+
+@query("note_fallback", f"""WITH {PARSED} SELECT note_id, outcome, CASE WHEN outcome = 'ok' THEN coalesce(array_to_string(CAST(json_extract(j, '$.low_confidence_fields') AS VARCHAR[]), ','), '')
+ ELSE 'chief_complaint,history,diagnosis,medications' END AS flags, CASE WHEN outcome = 'ok' THEN nullif(json_extract_string(j, '$.chief_complaint'), '') END AS chief_complaint FROM o""")
+def _(spark, sf):
+    made = notes.cleaned(notes.parse(literal(spark, "note_id, raw, transcript", "string, string, string", REPLIES)))
+    return made.select("note_id", "outcome", F.array_join("low_confidence_fields", ",").alias("flags"), "chief_complaint")
+
+
+@query("vitals_table", f"""WITH {PARSED}, v AS ({_entries('vitals')}), w AS (SELECT *, string_split(entry, '|')[1] AS name, string_split(entry, '|')[2] AS value FROM v WHERE note_id = 'a'),
+ l AS (SELECT name, arg_max(value, pos) AS value, min(pos) AS pos FROM w GROUP BY name), s AS (SELECT unnest({strings(lexicon.VITALS)}) AS name, generate_subscripts({strings(lexicon.VITALS)}, 1) - 1 AS row_no)
+ SELECT 'a' AS note_id, CAST(row_no AS INT) AS row_no, s.name, coalesce(value, '{render.NONE}') AS value FROM s LEFT JOIN l ON l.name = s.name
+ UNION ALL SELECT 'a', CAST(pos + {len(lexicon.VITALS)} AS INT), name, value FROM l WHERE NOT list_contains({strings(lexicon.VITALS)}, name)""")
 def _(spark, sf):
     return render.vitals_table(_notes(spark).where("note_id = 'a'"))
 
 
-@query("render_rows")
+# What the notes come to on paper, worked out by hand: the banner and the standard vitals of every note, then what it holds.
+EMPTY = "chief_complaint, diagnosis, history, medications"
+PAPER = [
+    ("a", 1, "Chief Complaint", 0, "fever", False), ("a", 3, "Symptoms", 0, "Fever, high", False), ("a", 3, "Symptoms", 1, "Cough, [Absent], since 2 days", False),
+    ("a", 4, "Vitals", 6, "Waist | 90 cm", False), ("a", 6, "Diagnosis", 0, "Viral Fever [Confirmed]", False), ("a", 6, "Diagnosis", 1, "Pulmonary Embolism (SNOMED: 59282003)", False),
+    ("a", 7, "Medications", 0, "Tab Paracetamol | 650 mg | 1-0-1 | — | — | ✓", False), ("a", 7, "Medications", 1, "Mysterol | — | — | — | 5 days | ⚑ No", True),
+    ("a", 8, "Investigations (Ordered)", 0, "CBC", False), ("a", 8, "Investigations (Ordered)", 1, "ESR", False), ("a", 10, "Advice", 0, "rest ⚑", True),
+    ("a", 12, "Low-confidence fields", 0, "advice, diagnosis.Pulmonary Embolism.no_transcript_overlap, medications.Mysterol.dose_unknown, medications.Mysterol.unvalidated", True),
+    ("b", 12, "Low-confidence fields", 0, EMPTY, True), ("c", 12, "Low-confidence fields", 0, EMPTY, True), ("d", 6, "Diagnosis", 0, "Dengue", False),
+]
+TAKEN = [("a", "BP", "130/90"), ("a", "Pulse", "98")]
+
+
+@query("render_rows", f"""SELECT note_id, CAST(section_no AS INT) AS section_no, section, CAST(row_no AS INT) AS row_no, cells, flagged FROM {values('note_id, section_no, section, row_no, cells, flagged', PAPER)} p
+ UNION ALL SELECT n, 0, 'Banner', 0, '{render.BANNER}', false FROM (SELECT unnest(['a', 'b', 'c', 'd']) AS n) x
+ UNION ALL SELECT n, 4, 'Vitals', CAST(i AS INT), v.name || ' | ' || coalesce(value, '{render.NONE}'), false FROM (SELECT unnest(['a', 'b', 'c', 'd']) AS n) x, (SELECT unnest({strings(lexicon.VITALS)}) AS name, generate_subscripts({strings(lexicon.VITALS)}, 1) - 1 AS i) v
+ LEFT JOIN {values('note_id, name, value', TAKEN)} t ON t.note_id = n AND t.name = v.name""")
 def _(spark, sf):
-    return render.rows(_notes(spark))
+    return render.rows(_notes(spark)).withColumn("cells", F.array_join("cells", " | "))
+
+
+NOTHING = '{"symptoms":[],"vitals":[],"diagnosis":[],"medications":[],"investigations":[],"diagnostic_results":[],"low_confidence_fields":["chief_complaint","history","diagnosis","medications"]}'
+JSON_ROWS = [
+    ("a", '{"chief_complaint":"fever","advice":"rest","symptoms":[{"name":"Fever","finding_status":"Present","severity":"high"},{"name":"Cough","finding_status":"Absent","since":"2 days"}],"vitals":[{"name":"BP","value":"120/80"},{"name":"Pulse","value":"98"},{"name":"BP","value":"130/90"},{"name":"Waist","value":"90 cm"}],"diagnosis":[{"term":"Viral Fever","status":"Confirmed"},{"term":"Pulmonary Embolism","snomed_id":"59282003"}],"medications":[{"drug":"Tab Paracetamol","dose":"650 mg","frequency":"1-0-1","validated":true},{"drug":"Mysterol","duration":"5 days","validated":false}],"investigations":["CBC","ESR"],"diagnostic_results":[],"low_confidence_fields":["advice","diagnosis.Pulmonary Embolism.no_transcript_overlap","medications.Mysterol.unvalidated","medications.Mysterol.dose_unknown"]}'),
+    ("b", NOTHING), ("c", NOTHING),
+    ("d", '{"symptoms":[],"vitals":[],"diagnosis":[{"term":"Dengue"}],"medications":[],"investigations":[],"diagnostic_results":[],"low_confidence_fields":[]}'),
+]
 
 
-@query("note_json")
+@query("note_json", f"SELECT note_id, json FROM {values('note_id, json', JSON_ROWS)} t")
 def _(spark, sf):
     return notes.as_json(_notes(spark))
 
