@@ -32,8 +32,9 @@ def rate(part: Column, whole: Column, digits: int, empty: float | None = 0.0) ->
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays as sets; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Of two arrays as sets; 0 if either is empty. The union is counted from the two sizes, not built."""
+    sides = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_distinct(a)).alias("a"), F.size(F.array_distinct(b)).alias("b"))
+    return T.let(sides, lambda x: F.when((x["a"] == 0) | (x["b"] == 0), 0.0).otherwise(x["both"] / (x["a"] + x["b"] - x["both"])))
 
 
 def covered(gold: Column, candidate: Column, least: int = 3) -> Column:
