@@ -11,14 +11,17 @@ MATCH = "array<struct<start_word:int,end_word:int,label:string,score:double,nth:
 
 
 def ngrams(tokens: Column, most: int = 3) -> Column:
-    """array<struct<span,start_word,end_word>>: all runs of 1 to `most` words, shorter ones first, left to right."""
+    """array<struct<span,start_word,end_word>>: all runs of 1 to `most` words, shorter ones first, left to right.
 
-    def of(n: int) -> Column:
-        last = F.size(tokens) - n
+    The words are bound once a row, since the lambda names them for every run.
+    """
+
+    def of(words: Column, n: int) -> Column:
+        last = F.size(words) - n
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.array_join(F.slice(tokens, i + 1, n), " ").alias("span"), i.alias("start_word"), (i + n).alias("end_word")))
+        return F.transform(at, lambda i: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("span"), i.alias("start_word"), (i + n).alias("end_word")))
 
-    return F.concat(*[of(n) for n in range(1, most + 1)])
+    return T.let(tokens, lambda words: F.concat(*[of(words, n) for n in range(1, most + 1)]))
 
 
 def choose(matches: Column, before) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"(?U)\s+"
+#: All code points of white space.
+SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that word scoring ignores, and marks stripped from a token's ends.
 PUNCTUATION = ".,?!;:।॥\"'()[]{}"
 EDGE = ".,?!।"
@@ -17,18 +18,24 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def collapse(x: Column) -> Column:
-    return strip(F.regexp_replace(x, SPACE, " "))
+def blanked(x: Column, more: str = "") -> Column:
+    """x with a blank for each white space, and for each character of `more`."""
+    return F.translate(x, SPACES + more, " " * len(SPACES + more))
+
+
+def collapse(x: Column, more: str = "") -> Column:
+    """x with one blank for each run of white space and of `more`, none at its ends."""
+    return F.trim(F.regexp_replace(blanked(x, more), " {2,}", " "))
 
 
 def words(x: Column) -> Column:
     """Words between white space; none for null or blank text."""
-    return F.filter(F.split(F.coalesce(x, F.lit("")), SPACE), lambda w: w != "")
+    return F.filter(F.split(blanked(F.coalesce(x, F.lit(""))), " "), lambda w: w != "")
 
 
 def normalize_text(x: Column) -> Column:
     """Lower case, punctuation to blanks, blanks collapsed."""
-    return collapse(F.translate(F.lower(x), PUNCTUATION, " " * len(PUNCTUATION)))
+    return collapse(F.lower(x), PUNCTUATION)
 
 
 def normalize_name(x: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 import pandas as pd
@@ -42,49 +41,47 @@ def _automaton(held):
     if held.value[0] not in _automata:
         _automata.clear()
         found = ahocorasick.Automaton()
-        for word, times in held.value[1]:
-            found.add_word(word, (word, times))
+        for word, ids in held.value[1]:
+            found.add_word(word, ids)
         found.make_automaton()
         _automata[held.value[0]] = found
     return _automata[held.value[0]]
 
 
-def _counter(held):
-    """A function (reference, hypothesis) -> struct<present, missed> for a broadcast keyword list."""
+def _hits(held):
+    """A function text -> numbers of the keywords in it, for a broadcast keyword list."""
 
-    @F.pandas_udf("present long, missed long")
-    def count(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-        found, out = _automaton(held) if held.value[1] else None, []
-        for a, b in zip(ref, hyp, strict=True):
-            mine = dict(v for _, v in found.iter(a)) if found and a else {}
-            there = {v[0] for _, v in found.iter(b)} if mine and b else set()
-            out.append((sum(mine.values()), sum(t for w, t in mine.items() if w not in there)))
-        return pd.DataFrame(out, columns=["present", "missed"])
+    @F.pandas_udf("array<int>")
+    def hits(text: pd.Series) -> pd.Series:
+        found = _automaton(held) if held.value[1] else None
+        return pd.Series([sorted({i for _, ids in found.iter(x) for i in ids}) if found and x else [] for x in text])
 
-    return count
+    return hits
 
 
-def shared_counts(pairs: DataFrame, keywords: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
-    """pairs of normalized texts -> with present and missed, for a keyword list (keyword) that all pairs share.
+def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str = "norm") -> DataFrame:
+    """texts with `hits`: the numbers of the keywords (keyword) in each normalized text, as substrings.
 
-    One Aho-Corasick scan of each text finds all keywords in it, so the work grows with the texts and not with the list. A
-    keyword that the list repeats counts each time; an empty one is in every text.
+    One Aho-Corasick scan of a text finds all of them, so the work grows with the texts and not with the list. Each entry of
+    the list has its own number, repeated ones too; an empty keyword is in every text.
     """
-    words = keywords.where("keyword IS NOT NULL").groupBy("keyword").agg(F.count("*").alias("times")).withColumn("bytes", F.octet_length("keyword").cast("long"))
-    total = words.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    n = max(1, -(-total // KEYWORD_BYTES))
-    counts = []
+    words = keywords.where("keyword IS NOT NULL").select("keyword", F.octet_length("keyword").cast("long").alias("bytes"))
+    n = max(1, -(-words.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // KEYWORD_BYTES))
+    counts = words.groupBy("keyword").agg(F.count("*").alias("times"))
+    columns, first = [], 0
     for i in range(n):
-        part = words.where(F.pmod(F.xxhash64("keyword"), F.lit(n)) == i) if n > 1 else words
-        rows = [(r["keyword"], r["times"]) for r in part.where("keyword <> ''").collect()]
-        held = pairs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
-
-        counts.append(_counter(held)(F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(hypothesis), F.lit(""))))
-    empty = words.where("keyword = ''").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    names = [f"_c{i}" for i in range(n)]
-    out = pairs.withColumns(dict(zip(names, counts, strict=True)))
-    total_of = lambda k: functools.reduce(lambda x, y: x + y, [F.col(c)[k] for c in names])
-    return out.withColumns({"present": total_of("present") + F.lit(empty), "missed": total_of("missed")}).drop(*names)
+        part = counts.where(F.pmod(F.xxhash64("keyword"), F.lit(n)) == i) if n > 1 else counts
+        rows, always = [], []
+        for r in part.orderBy("keyword").collect():
+            ids = list(range(first, first + r["times"]))
+            first += len(ids)
+            if r["keyword"]:
+                rows.append((r["keyword"], ids))
+            else:
+                always = ids
+        held = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+        columns.append(F.concat(F.array(*map(F.lit, always)).cast("array<int>"), _hits(held)(F.coalesce(F.col(text), F.lit("")))))
+    return texts.withColumn("hits", F.concat(*columns) if n > 1 else columns[0])
 
 
 def micro(counted: DataFrame, digits: int = 4) -> DataFrame:

@@ -245,13 +245,24 @@ HITS = f"""SELECT d.doc_id, contains(d.norm, b.k) AS present, contains(d.hyp, b.
 KEYED = f"SELECT doc_id, CAST(count(*) FILTER (WHERE present) AS BIGINT) AS present, CAST(count(*) FILTER (WHERE present AND NOT kept) AS BIGINT) AS missed FROM ({HITS}) h GROUP BY doc_id"
 
 
+def with_next(df, *columns: str):
+    """df (doc_id, columns) -> (doc_id, columns, then those of the next document as next_*), from one pass over df.
+
+    Each row goes to its own key and to the one before it, so what the columns cost is paid once.
+    """
+    me = F.struct(*[F.col(c) for c in columns])
+    both = df.select(F.inline(F.array(F.struct("doc_id", me.alias("me"), F.lit(None).cast(df.select(me.alias("x")).schema["x"].dataType).alias("other")), F.struct((F.col("doc_id") - 1).alias("doc_id"), F.lit(None).cast(df.select(me.alias("x")).schema["x"].dataType).alias("me"), me.alias("other")))))
+    held = both.groupBy("doc_id").agg(F.first("me", ignorenulls=True).alias("me"), F.first("other", ignorenulls=True).alias("other"))
+    return held.where("me IS NOT NULL").select("doc_id", *[F.col(f"me.{c}").alias(c) for c in columns], *[F.col(f"other.{c}").alias(f"next_{c}") for c in columns], F.col("other").isNotNull().alias("has_next"))
+
+
 # The hypothesis of a document is the whole next document, as in jaccard; one without a next one misses all.
 def _keyed(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    docs = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("hyp")), "doc_id", "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))
-    pairs = docs.select("doc_id", T.normalize_text(F.col("text")).alias("reference"), T.normalize_text(F.col("hyp")).alias("hypothesis"))
+    docs = table(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
     words = table(spark, sf, "benchmark").select(T.normalize_text(F.col("text")).alias("keyword"))
-    return metrics.shared_counts(pairs, words).select("doc_id", "present", "missed")
+    pairs = with_next(metrics.keyword_hits(docs, words).select("doc_id", "hits"), "hits")
+    missed = F.size(F.array_except("hits", F.coalesce("next_hits", F.array().cast("array<int>"))))
+    return pairs.select("doc_id", F.size("hits").cast("long").alias("present"), missed.cast("long").alias("missed"))
 
 
 @query("keyword_hits", KEYED)
@@ -446,7 +457,7 @@ SIDE = "SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(low
 
 def _sides(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.array_distinct(F.filter(F.split(T.plain(F.col("text")), " "), lambda w: w != "")).alias("w"))
-    return d.withColumnsRenamed({"w": "a"}).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("b")), "doc_id")
+    return with_next(d, "w").where("has_next").select("doc_id", F.col("w").alias("a"), F.col("next_w").alias("b"))
 
 
 @query("jaccard", f"SELECT a.doc_id, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) END AS overlap FROM ({SIDE}) a JOIN ({SIDE}) b ON b.doc_id = a.doc_id + 1")
