@@ -29,15 +29,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges should be a written table: Python stages in one task would each hold a worker.
     """
-    edges = store.written(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    edges = edges.select("a", "b").where("a <> b")
+    rows = edges.count()
+    edges = store.written(edges.mapInArrow(_contract, "a long, b long").distinct(), "edges", rows)
     before = None
     for _ in range(rounds):
-        old, edges = edges, store.written(_star(_star(edges, True), False), "edges")
+        old, edges = edges, store.written(_star(_star(edges, True), False), "edges", rows)
         store.drop(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = now
+        before, rows = now, now[0]
     raise RuntimeError("components did not settle")
 
 

@@ -322,9 +322,10 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     """
     docs = store.columns(docs, "doc_id", "text")
     for seed in range(4):
-        slim = store.written(slim_sets(docs, width, seed), "sets")
+        slim = store.written(store.few(slim_sets(docs, width, seed)), "sets")
+        n_docs = slim.count()
         sets = slim.where("n > 0").groupBy("key", "n").agg(F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-        sets = store.written(sets.withColumn("node", F.monotonically_increasing_id()), "members")
+        sets = store.written(sets.withColumn("node", F.monotonically_increasing_id()), "members", n_docs)
         if not sets.where("check <> other").limit(1).count():
             break
     else:
@@ -358,9 +359,9 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
 
     edges = store.dealt(found.select("key", "n", "ikeys").mapInArrow(post, BLOB), ranges, "range").groupBy("range").applyInArrow(meet, "a long, b long")
     edges = store.written(edges, "meetings")
-    near = store.written(components(edges), "blocks")
+    near = store.written(components(edges), "blocks", n_docs)
     weight = near.join(found.select("key", "n"), F.col("key") == F.col("node")).groupBy("root").agg(F.sum(F.col("n") + SET_WEIGHT).alias("w"))
-    weight = store.written(weight, "weights")
+    weight = store.written(weight, "weights", n_docs)
     total = weight.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     bins = store.parts(total, block_weight // 8)
     tiles = F.greatest(F.lit(1), F.ceil(F.col("w") / (block_weight // 2))).cast("int")
@@ -376,12 +377,13 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
         return _rows(verified(table, percent), "a long, b long, n long")
 
     found_links = blocks.select("bin", "cell", "block", "tile", "node", "copies", "n", "tokens").groupBy("bin", "cell").applyInArrow(verify, "a long, b long, n long")
+    found_links = store.few(found_links)
     found_links = store.written(found_links, "links")
     store.drop(found, edges, near, weight)
     roots = components(found_links.where("b IS NOT NULL").select("a", "b"))
     degree = found_links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     members = sets.join(roots, "node", "left").join(degree, "node", "left").select("key", "n", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
-    members = store.written(members, "rooted")
+    members = store.written(members, "rooted", n_docs)
     store.drop(found_links)
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     named = members.join(least, "root").select(F.col("key").alias("_key"), F.col("n").alias("_n"), "links", "component_id", "root")
@@ -405,12 +407,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without shingles is a group of its own. Of rows that repeat a doc_id and a text one stays.
     """
-    found = store.written(jaccard_components(docs), "near")
+    found = store.written(store.few(jaccard_components(docs)), "near")
+    rows = found.count()
     linked = found.where("n_links > 0").withColumn("id", F.coalesce("doc_id", F.lit(store.LAST)))
     first = linked.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("s")).select("s.*")
     gone = linked.select("doc_id", "id", "text_hash").distinct().join(first, ["id", "text_hash"], "left_anti").select("doc_id", "text_hash")
     repeats = found.groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
-    return store.without(docs, store.written(gone, "copies"), store.written(repeats, "repeats"))
+    return store.without(docs, store.written(gone, "copies", rows), store.written(repeats, "repeats", rows))
 
 
 SQL = """

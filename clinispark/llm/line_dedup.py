@@ -66,7 +66,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
         #: One number of buckets for all runs: that of shuffle partitions, so that a batch's keys are dealt alike.
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = store.partitions(spark)
         self.levels: list[list[str]] = []
         self.paths: dict[str, str] = {}
 
@@ -93,17 +93,22 @@ class LineRuns:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(table)
-        if len(self.levels[level]) < self.fanout:
-            return
-        old, self.levels[level] = self.levels[level], []
-        tables = [self.spark.table(t).where("kept_in IS NULL").select(*KEY, "first_doc") for t in old]
-        merged = tables[0]
-        for i, right in enumerate(tables[1:]):
-            right = right.withColumnRenamed("first_doc", f"f{i}").hint("merge")
-            merged = merged.join(right, KEY, "full").select(*KEY, F.coalesce("first_doc", f"f{i}").alias("first_doc"))
-        self._push(self._save(merged.withColumn("kept_in", F.lit(None).cast("long")), f"level{level + 1}"), level + 1)
-        for t in old:
-            self._drop(t)
+
+    def compact(self) -> None:
+        """Merges full levels, from the lowest up; called before a batch comes, so a last batch isn't merged for nothing."""
+        for level in range(len(self.levels) + 1):
+            if level >= len(self.levels) or len(self.levels[level]) < self.fanout:
+                continue
+            old, self.levels[level] = self.levels[level], []
+            tables = [self.spark.table(t).where("kept_in IS NULL").select(*KEY, "first_doc") for t in old]
+            merged = tables[0]
+            with _set(self.spark, ORDERED):
+                for i, right in enumerate(tables[1:]):
+                    right = right.withColumnRenamed("first_doc", f"f{i}").hint("merge")
+                    merged = merged.join(right, KEY, "full").select(*KEY, F.coalesce("first_doc", f"f{i}").alias("first_doc"))
+                self._push(self._save(merged.withColumn("kept_in", F.lit(None).cast("long")), f"level{level + 1}"), level + 1)
+            for t in old:
+                self._drop(t)
 
     def marked(self, occurrences: DataFrame) -> DataFrame:
         """(h1, h2, first_doc, last_doc, n, kept_in) of a batch's keys: kept_in is the document of an older run, if one knows the key."""
@@ -116,6 +121,7 @@ class LineRuns:
 
     def add(self, occurrences: DataFrame) -> DataFrame:
         """(doc, row, pos, h1, h2) of a batch -> (doc, row, pos) of the lines to drop; the batch's new keys become a run."""
+        self.compact()
         with _set(self.spark, ORDERED):
             table = self._save(self.marked(occurrences), "batch")
         keys = self.spark.table(table)
@@ -127,7 +133,7 @@ class LineRuns:
         hot = F.broadcast(repeated.where(often).drop("n"))
         at_once = occurrences.join(hot, KEY)
         rest = occurrences.join(hot, KEY, "left_anti").join(repeated.where(~often).drop("n"), KEY)
-        dropped = store.written(at_once.unionByName(rest).where("doc > home").select("doc", "row", "pos"), "dropped")
+        dropped = store.written(at_once.unionByName(rest).where("doc > home").select("doc", "row", "pos"), "dropped", total)
         self._push(table, 0)
         return dropped
 
@@ -147,8 +153,10 @@ def dedup_lines(docs: DataFrame, *, min_length: int = 10, batches: int = 4, fano
     )
     edges = docs.select(F.percentile_approx(doc, [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     batch = sum([(F.col("doc") > F.lit(e)).cast("int") for e in edges or []], F.lit(0))
-    path = store.new_dir(spark, "lines")
-    lines.withColumn("batch", batch).write.option("compression", "zstd").partitionBy("batch").parquet(path)
+    path, each = store.new_dir(spark, "lines"), store.parts(store.partitions(spark), 8)
+    # a task writes lines of one batch
+    lines = lines.withColumn("batch", batch).repartitionById(each * batches, F.col("batch") * each + F.pmod(F.col("row"), F.lit(each)).cast("int"))
+    lines.write.option("compression", "zstd").partitionBy("batch").parquet(path)
     found = spark.read.schema("doc long, row long, pos int, h1 long, h2 long, batch int").parquet(path)
     runs, dropped = LineRuns(spark, fanout), None
     for i in range(len(edges or []) + 1):

@@ -128,12 +128,13 @@ def pack(found: DataFrame, size: int = SIZE, block_rows: int = 1_000_000) -> Dat
     a length takes just the slots that its ranks reach, in a join that is dealt as the ranks are.
     """
     spark = found.sparkSession
-    found = store.written(found, "pieces")
-    blocks = store.parts(found.count(), block_rows, 16)
+    found = store.written(store.few(found), "pieces")
+    rows = found.count()
+    blocks = store.parts(rows, block_rows, 16)
     blocked = found.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
     held = blocked.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    held = store.written(held.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "held")
+    held = store.written(held.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "held", min(rows, blocks * size))
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     by_length: dict[int, list] = {k: [] for k in histogram}
     next_rank, sequence = dict.fromkeys(histogram, 0), 0

@@ -150,8 +150,8 @@ def fences(found: DataFrame, *, reach: float = REACH, prior: int = PRIOR) -> Dat
 
 def judged(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source) -> COUNTS, base_failed, kept and `over`, the metrics over their fence, for each row."""
-    x = store.written(measured(docs), "measured")
-    limits = store.written(fences(sketches(x)), "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    x = store.written(store.few(measured(docs)), "measured")
+    limits = fences(sketches(x)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     # groups are as many as pairs of language and source: left to the optimizer, which broadcasts only below its size limit
     y = x.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     over = [F.coalesce(F.col(a) / F.greatest(F.col(b), F.lit(1)) > F.col(f"max_{m}"), F.lit(False)) for m, (a, b) in METRICS.items()]
@@ -181,12 +181,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The texts are read twice and never shuffled: once for the sketches, once to be judged by the fences, which go to all
     tasks while they are few.
     """
-    limits = store.written(fences(sketches(measured(store.columns(docs, "text", "lang", "source")))), "fences")
-    if limits.count() > BROADCAST_GROUPS:
+    # the bound is tested on the rows that come, so no more than it allows ever reach the driver
+    limits = fences(sketches(measured(store.columns(docs, "text", "lang", "source")))).limit(BROADCAST_GROUPS + 1).collect()
+    if len(limits) > BROADCAST_GROUPS:
         keyed = docs.select("doc_id", "text", "lang", "source", store.text_hash(docs).alias("text_hash"))
         bad = judged(keyed).where("NOT kept").select("doc_id", "text_hash").distinct()
-        return store.without(docs, store.written(bad, "rejected"))
-    known = {(r["lang"], r["source"]): tuple(r[f"max_{m}"] for m in METRICS) for r in limits.collect()}
+        return store.without(docs, store.written(store.few(bad), "rejected"))
+    known = {(r["lang"], r["source"]): tuple(r[f"max_{m}"] for m in METRICS) for r in limits}
     held = spark.sparkContext.broadcast(known)
 
     def scan(batches):

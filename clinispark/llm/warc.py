@@ -71,7 +71,7 @@ def archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
 
     packed = x.select("digest", "n", "payload").mapInArrow(squeezed, "digest string, n long, z binary")
     packed.groupBy("digest").agg(F.first("n").alias("n"), F.first("z").alias("z")).write.option("compression", "none").parquet(f"{path}/payloads")
-    slim = store.written(x.drop("payload").withColumn("row", F.monotonically_increasing_id()), "pages")
+    slim = store.written(store.few(x.drop("payload")).withColumn("row", F.monotonically_increasing_id()), "pages")
     first = F.struct(F.col("page_id").isNull().alias("nameless"), F.bitwise_not("page_id").alias("down"), "url", "row", "page_id")
     best = slim.where(F.col("n") >= least).groupBy(F.col("digest").alias("_d")).agg(F.min(first).alias("best"))
     slim = slim.join(best.select("_d", F.struct("best.page_id", "best.row").alias("best")), F.col("digest") == F.col("_d"), "left")
@@ -124,7 +124,7 @@ def parsed(found: DataFrame) -> DataFrame:
         F.octet_length("block").cast("long").alias("n"),
         F.sha1("block").alias("sha1"),
     )
-    x = store.written(x, "read-back")
+    x = store.written(store.few(x), "read-back")
     held = x.where(mine).select(F.col("uri").alias("_uri"), F.col("n").alias("_n"), F.col("sha1").alias("_sha1"))
     again = x.where(~mine).join(held, F.col("refers") == F.col("_uri"), "left").withColumns({"n": F.col("_n"), "sha1": F.col("_sha1")}).select(x.columns)
     return x.where(mine).unionByName(again).select(

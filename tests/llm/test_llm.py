@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from clinispark.llm import components, decontamination, exchange, jaccard_join, line_dedup, lm_scoring, packing, pieces, pii, quality_rules, resharding, substring_dedup, warc
@@ -440,11 +441,205 @@ def test_lm_scoring(spark, docs, empty):
     assert lm_scoring.score(empty, labels).count() == 0 and lm_scoring.score(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def brute_quality(rows):
+    """Rows (doc_id, text, lang, source) that base rules and fences keep, with plain counters."""
+
+    def counts(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        wins = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        marks = [False] * len(w)
+        for k in range(len(w) - 7):
+            if wins[tuple(w[k : k + 8])] > 1:
+                marks[k : k + 8] = [True] * 8
+        lines = (t or "").split("\n")
+        worded = [x for x in lines if re.search(r"[^\x20\x09-\x0D]", x)]
+        return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t or ""), "n_lines": len(lines), "n_dup_lines": len(worded) - len(set(worded)), "n_repeat_words": sum(marks)}
+
+    def bucket(v):
+        e = max(0, v.bit_length() - 7)
+        return ((v >> e) + 0.5) * 2.0**e / 1_000_000
+
+    def quartiles(values):
+        values = sorted(values)
+        at = lambda k: values[-(-k * len(values) // 4) - 1]
+        return (float(len(values)), at(1), at(3)) if values else None
+
+    each = [counts(t) for _, t, *_ in rows]
+    base = [c["n_words"] >= 20 and 100 * c["n_repeat_words"] <= 30 * c["n_words"] for c in each]
+    good = list(base)
+    for a, b in quality_rules.METRICS.values():
+        value = [bucket(v) if ok and (v := c[a] * 1_000_000 // max(c[b], 1)) else None for c, ok in zip(each, base, strict=True)]
+        of = lambda test, value=value: quartiles([v for v, r in zip(value, rows, strict=True) if v is not None and test(r)])
+        every = of(lambda r: True)
+        if every is None:
+            continue
+
+        def fence(own, wide, wide_fence, reach=quality_rules.REACH, prior=quality_rules.PRIOR):
+            if own is None:
+                return wide_fence
+            return min((own[0] * (own[2] + reach * (own[2] - own[1])) + prior * wide_fence) / (own[0] + prior), wide[2] + 2 * reach * (wide[2] - wide[1]))
+
+        top = every[2] + quality_rules.REACH * (every[2] - every[1])
+        for i, r in enumerate(rows):
+            lang = of(lambda x, r=r: x[2] == r[2])
+            if lang:
+                good[i] &= not each[i][a] / max(each[i][b], 1) > fence(of(lambda x, r=r: x[2:4] == r[2:4]), lang, fence(lang, every, top))
+    return good
+
+
+def brute_lines(rows):
+    key = lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r").encode()).decode()
+    order = lambda d: (d is None, d or 0)
+    first, out = {}, []
+    for d, t, *_ in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 10:
+                first[key(x)] = min(first.get(key(x), (True, 0)), order(d))
+    for d, t, *rest in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 10 or first[key(x)] >= order(d)]
+        if len(kept) == len(lines):
+            out.append((d, t, *rest))
+        elif "\n".join(kept).strip(" \t\n\x0b\x0c\r"):
+            out.append((d, "\n".join(kept), *rest))
+    return out
+
+
+def brute_near(rows):
+    def shingles(t):
+        w = ascii_lower((t or "").encode()).split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, left, out = [shingles(t) for _, t, *_ in rows], set(range(len(rows))), []
+    while left:
+        group, queue = set(), [min(left)]
+        while queue:
+            i = queue.pop()
+            if i in left:
+                left.discard(i)
+                group.add(i)
+                queue += [j for j in left if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        out.append(rows[min(group, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, xxhash.xxh64_intdigest((rows[i][1] or "").encode(), 42) ^ 1 << 63))])
+    return out
+
+
+def brute_leaks(rows, items):
+    def words(t):
+        return "".join(c for c in (t or "").lower() if c not in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").split()
+
+    def leaks(t):
+        w = words(t)
+        for x in items:
+            v = words(x)
+            n = min(5, len(v))
+            s = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if n else set()
+            if s and len(s & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}) >= 0.8 * len(s):
+                return True
+        return False
+
+    return [r for r in rows if not leaks(r[1])]
+
+
+def test_quality_kept(docs):
+    want = collections.Counter(zip((r[0] for r in ROWS), brute_quality(ROWS), strict=True))
+    got = collections.Counter((r.doc_id, r.kept) for r in quality_rules.query(docs).collect())
+    assert got == want and any(k for _, k in want) and not all(k for _, k in want)
+
+
+def test_fences_follow_the_spread(spark):
+    """Two sources, one with twice the median and four times the spread, get different fences in every metric."""
+    rng, rows = random.Random(8), []
+    for i in range(800):
+        wide = i % 2
+        words = [rng.choice("ab") * max(1, int(rng.gauss(8 if wide else 5, 2.4 if wide else 0.6))) + str(rng.randint(0, 10**6)) for _ in range(120)]
+        for k in range(rng.randint(1, 1 + (30 if wide else 5))):
+            words[k] = "#" + words[k]
+        words += words[:9] if rng.random() < 0.7 else words[: rng.randint(9, 25 if wide else 11)]
+        lines = [" ".join(words[k : k + 5]) for k in range(0, len(words), 5)]
+        lines += lines[: rng.randint(1, 9 if wide else 2)]
+        rows.append((i, "\n".join(lines), "en", f"s{wide}"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {r.source: r for r in quality_rules.fences(quality_rules.sketches(quality_rules.measured(df.select("text", "lang", "source")))).collect()}
+    for m in quality_rules.METRICS:
+        assert found["s1"][f"max_{m}"] > 1.05 * found["s0"][f"max_{m}"], m
+    # a group of few documents, whatever its own values, has nearly the fence of its language
+    few = spark.createDataFrame(rows + [(9000 + i, "ab " * 20 + prose(60), "en", "tiny") for i in range(3)], SCHEMA)
+    found = {r.source: r.max_word_length for r in quality_rules.fences(quality_rules.sketches(quality_rules.measured(few.select("text", "lang", "source")))).collect()}
+    alone = quality_rules.fences(quality_rules.sketches(quality_rules.measured(few.where("source = 'tiny'").select("text", "lang", "source")))).first().max_word_length
+    assert alone < 0.9 * found["tiny"] and 0.95 * min(found["s0"], found["s1"]) < found["tiny"] < max(found["s0"], found["s1"])
+
+
+def test_sketches_merge(docs):
+    x = quality_rules.measured(docs.select("doc_id", "text", "lang", "source"))
+    whole = quality_rules.sketches(x)
+    parts = quality_rules.sketches(x.where("doc_id < 30")).unionByName(quality_rules.sketches(x.where("doc_id >= 30 OR doc_id IS NULL")))
+    by = lambda df: {tuple(r) for r in df.groupBy("lang", "source", "metric", "bucket").agg({"n": "sum"}).collect()}
+    assert by(whole) == by(parts)
+
+
+def test_runs_are_joined_as_they_lie(spark, docs):
+    """No run is dealt or sorted again: of two runs and a batch only the batch is."""
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    rows = docs.selectExpr("coalesce(doc_id, 99) AS doc", "xxhash64(text) AS row", "0 AS pos", "xxhash64(text) AS h1", "xxhash64(1, text) AS h2")
+    runs.add(rows.where("doc < 20"))
+    runs.add(rows.where("doc BETWEEN 20 AND 40"))
+    with line_dedup._set(spark, line_dedup.ORDERED):
+        plan = runs.marked(rows.where("doc > 40"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    runs.add(rows.where("doc > 40"))
+    runs.add(rows.where("doc > 1000"))
+    assert [len(x) for x in runs.levels] == [1, 1]
+    keys = collections.Counter((r.h1, r.h2) for run in runs.runs() for r in run.collect())
+    assert set(keys.values()) == {1} and len(keys) == rows.select("h1", "h2").distinct().count()
+    runs.close()
+
+
+CLASH = "_d _r _doc _row _gone _lines gone row lines held kept_text n_lines n_dropped _id _bad id text_hash gone_id n key kept over base_failed n_words max_word_length _lang component_id root n_links".split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_clashing_columns(spark, docs, tmp_path, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    spark.createDataFrame([(1, " ".join(ROWS[5][1].split()[:20]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = plain.selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in CLASH])
+    got = [r.asDict() for r in stage(spark, wide, str(tmp_path)).collect()]
+    assert got and list(got[0]) == wide.columns
+    assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in got for c in CLASH)
+    want = collections.Counter(tuple(r) for r in stage(spark, plain, str(tmp_path)).collect())
+    assert collections.Counter(tuple(r[c] for c in plain.columns) for r in got) == want
+    # without rows, and without n_chars
+    assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0
+    assert stage(spark, plain.drop("n_chars"), str(tmp_path)).columns == ["doc_id", "text", "lang", "source"]
+
+
+def test_stages_judge_each_row(spark, tmp_path):
+    """Null and repeated doc_ids: a row goes by its own text, and one of each group of copies stays."""
+    clean, leak = prose(60), prose(40)
+    rows = [(None, clean), (None, clean + " leak " + leak), (7, prose(50)), (7, "x " + leak), (8, clean), (None, prose(33)), (8, clean)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = collections.Counter((r.doc_id, r.text) for r in decontamination.stage(spark, df, str(tmp_path)).collect())
+    assert left == collections.Counter(rows[i] for i in (0, 2, 4, 5, 6))
+    left = collections.Counter((r.doc_id, r.text) for r in jaccard_join.stage(spark, df, str(tmp_path)).collect())
+    assert left == collections.Counter(rows[i] for i in (1, 2, 3, 4, 5))
+
+
 def test_pipeline(spark, docs, tmp_path):
+    """Every row of run() against a chain of plain stages."""
+    from tokenizers import Tokenizer
+
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, " ".join(ROWS[5][1].split()[:20]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    left = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert 5 not in left and not left & {44, 45, 46, 50, 54} and {1, 2, 3} <= left
-    names = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, names, str(tmp_path)).columns == names.columns, name
+    item = " ".join(ROWS[5][1].split()[:20])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    rows = [r for r, ok in zip(ROWS, brute_quality(ROWS), strict=True) if ok]
+    rows = brute_leaks(brute_near(brute_lines(rows)), [item])
+    tok, want = Tokenizer.from_file(packing.tokenizer_path()), collections.Counter()
+    for d, t, *_ in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[d, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    left = {d for d, *_ in want}
+    assert got == want and 5 not in left and not left & {44, 45, 46, 50, 54} and {1, 2, 3} <= left
