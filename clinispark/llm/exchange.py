@@ -62,5 +62,13 @@ def collapsed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*[f"`{c}`" for c in names]).mapInArrow(scan, schema)
 
 
+def merged(docs: list, texts: list[bytes], copies: list[int]) -> list[tuple]:
+    """(doc_id, text, copies) in an order that only the rows decide, each pair once however its copies came."""
+    held: dict[tuple, int] = {}
+    for d, t, n in zip(docs, texts, copies, strict=True):
+        held[d, t] = held.get((d, t), 0) + n
+    return [(d, t, held[d, t]) for d, t in sorted(held, key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
+
+
 def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint16 if len(values) == 0 or int(values.max()) < 1 << 16 else np.uint32)

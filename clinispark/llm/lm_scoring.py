@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .exchange import collapsed, filled, pack, pack_sorted, unpack, unpack_sorted
+from .exchange import collapsed, filled, merged, pack, pack_sorted, unpack, unpack_sorted
 from .substring_dedup import _rows, runs_of
 from .words import BASE, LOWER, U64, binary, hashed, mixed, slices
 
@@ -58,11 +58,10 @@ class Chunk:
     """
 
     def __init__(self, table, targets: set[int]):
-        docs, texts, copies = table.column("doc_id").to_pylist(), [(t or b"").translate(LOWER) for t in binary(table.column("text"))], table.column("copies").to_pylist()
-        order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, texts[i], copies[i]))
-        self.docs, texts, self.copies = [docs[i] for i in order], [texts[i] for i in order], np.array([copies[i] for i in order], np.int64)
+        rows = merged(table.column("doc_id").to_pylist(), [(t or b"").translate(LOWER) for t in binary(table.column("text"))], table.column("copies").to_pylist())
+        self.docs, texts, self.copies = [d for d, _, _ in rows], [t for _, t, _ in rows], np.array([n for _, _, n in rows], np.int64)
         words, self.starts = hashed(texts)
-        del texts
+        del rows, texts
         self.is_target = np.array([d in targets for d in self.docs], bool)
         sizes = np.diff(self.starts)
         owner = np.repeat(np.arange(len(sizes)), sizes)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .exchange import collapsed, filled, pack, pack_sorted, unpack, unpack_sorted
+from .exchange import collapsed, filled, merged, pack, pack_sorted, unpack, unpack_sorted
 from .words import BASE, EMPTY, MIX1, U64, hashed_twice, trim, windows
 
 LENGTH = 35
@@ -44,11 +44,10 @@ class Stream:
     def __init__(self, table, length: int = LENGTH, period: int = PERIOD):
         from .words import binary
 
-        docs, texts, copies = table.column("doc_id").to_pylist(), [t or b"" for t in binary(table.column("text"))], table.column("copies").to_pylist()
-        order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, texts[i], copies[i]))
+        rows = merged(table.column("doc_id").to_pylist(), [t or b"" for t in binary(table.column("text"))], table.column("copies").to_pylist())
         # a row that repeats stands twice, so that its windows repeat; the second has no row of its own
-        twice = [(i, n) for i in order for n in ([copies[i], 0] if copies[i] > 1 else [1])]
-        self.docs, self.texts, self.copies = [docs[i] for i, _ in twice], [texts[i] for i, _ in twice], [n for _, n in twice]
+        twice = [(d, t, k) for d, t, n in rows for k in ([n, 0] if n > 1 else [1])]
+        self.docs, self.texts, self.copies = [d for d, _, _ in twice], [t for _, t, _ in twice], [n for _, _, n in twice]
         self.words, self.second, self.starts = hashed_twice(self.texts)
         self.length, self.period = length, period
 

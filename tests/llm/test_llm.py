@@ -35,7 +35,7 @@ def fixture():
     rows += [(42, base, "en", "s"), (43, base, None, None), (44, None, "en", "s"), (45, "", "en", "s"), (46, " \n ", "en", "s")]
     rows += [(47, prose(30) + passage + prose(10), "de", "s"), (48, passage + prose(40), "de", "s"), (49, passage.upper(), "de", "s")]
     rows += [(50, "one two three", "en", "s"), (51, "ONE two  three", "en", "s"), (52, "same line here\nsame line here\nx", "en", "s"), (53, "Same line here \ny", "en", "s")]
-    rows += [(54, "word " * 6000, "en", "s"), (None, prose(30), "en", "s"), (55, base, "en", "s"), (55, base, "en", "s")]
+    rows += [(54, "word " * 6000, "en", "s"), (None, prose(30), "en", "s"), (55, base, "en", "s"), (55, base, "en", "s"), (None, base, "en", "s"), (None, base, "en", "s"), (None, base, "en", "s")]
     return rows
 
 
