@@ -47,5 +47,11 @@ def transcripts(turns: DataFrame) -> DataFrame:
     return turns.groupBy("recording_id").agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("transcript"))
 
 
+def hypotheses(turns: DataFrame) -> DataFrame:
+    """turns (recording_id, turn_idx, text) -> the texts of a recording in order, joined by blanks."""
+    held = F.array_sort(F.collect_list(F.struct("turn_idx", "text")))
+    return turns.groupBy("recording_id").agg(F.trim(F.array_join(F.transform(held, lambda x: x["text"]), " ")).alias("hypothesis"))
+
+
 def speaker_count(segments: DataFrame) -> DataFrame:
     return segments.groupBy("recording_id").agg(F.countDistinct("speaker").alias("speakers"))

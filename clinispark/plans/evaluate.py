@@ -35,11 +35,17 @@ def speech(samples: DataFrame, hypotheses: DataFrame) -> tuple[DataFrame, DataFr
 def extraction(samples: DataFrame, extractor: Callable, drugs: DataFrame, categories: DataFrame, frequencies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """samples (note_id, transcript, rubrics) -> (one row a criterion, recall by category and in all).
 
+    A criterion is shown by its first 80 characters, with the first five values of the field that answers it.
+
     A note whose extraction fails is empty, so its representable criteria count as missed.
     """
     found = notes.build(backends.extract(samples.select("note_id", "transcript"), extractor), drugs)
-    each = rubrics.match(rubrics.parse(samples), rubrics.note_values(found), categories, frequencies)
-    return each, rubrics.rollup(each)
+    values = rubrics.note_values(found)
+    each = rubrics.match(rubrics.parse(samples), values, categories, frequencies)
+    held = values.groupBy("note_id", "field").agg(F.slice(F.array_sort(F.collect_list("value")), 1, 5).alias("values"))
+    fields = tables.small(categories.select("category", "field"))
+    shown = each.join(fields, "category", "left").join(held, ["note_id", "field"], "left").withColumn("criterion", F.substring("criterion", 1, 80))
+    return shown, rubrics.rollup(each)
 
 
 def save(each: DataFrame, summary: DataFrame, path: str, *order: str) -> str:

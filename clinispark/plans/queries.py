@@ -10,7 +10,7 @@ from clinispark.operators import concepts, drugs, metrics, notes, roles, rubrics
 from clinispark.plans import render
 from clinispark.plans.catalog import query
 from clinispark.sources import lexicon
-from clinispark.sources.tables import head, scan, table, take
+from clinispark.sources.tables import head, scan, shown, table, take
 
 Q = "'"
 
@@ -74,8 +74,7 @@ def _(spark, sf):
 
 @query("hypothesis_concat", "SELECT conv_id AS recording_id, trim(string_agg(text, ' ' ORDER BY turn)) AS hypothesis FROM conversations GROUP BY conv_id")
 def _(spark, sf):
-    held = F.array_sort(F.collect_list(F.struct("turn_idx", "text")))
-    return _turns(spark, sf).groupBy("recording_id").agg(F.trim(F.array_join(F.transform(held, lambda x: x["text"]), " ")).alias("hypothesis"))
+    return roles.hypotheses(_turns(spark, sf))
 
 
 @query("speaker_count", "SELECT conv_id AS recording_id, count(DISTINCT role) AS speakers FROM conversations GROUP BY conv_id")
@@ -326,20 +325,10 @@ REPLIES = [
     ("c", '{"symptoms":["fever"]}', "x"),
     ("d", '{"diagnosis":[{"term":"Dengue"}],"medications":null}', "रोगी"),
 ]
-# What the four replies come to, worked out by hand: the expected rows are the oracle.
-FLAGS = [("a", "ok", "advice,diagnosis.Pulmonary Embolism.no_transcript_overlap,medications.Mysterol.unvalidated,medications.Mysterol.dose_unknown", 2, 2, 4), ("b", "malformed", "chief_complaint,history,diagnosis,medications", 0, 0, 0), ("c", "mistyped", "chief_complaint,history,diagnosis,medications", 0, 0, 0), ("d", "ok", "", 0, 1, 0)]
-
-
 def _notes(spark):
     return notes.build(literal(spark, "note_id, raw, transcript", "string, string, string", REPLIES), lexicon.drugs(spark))
 
 
-@query("note_flags", f"SELECT note_id, outcome, flags, CAST(n_medications AS BIGINT) AS n_medications, CAST(n_diagnoses AS BIGINT) AS n_diagnoses, CAST(n_vitals AS BIGINT) AS n_vitals FROM {values('note_id, outcome, flags, n_medications, n_diagnoses, n_vitals', FLAGS)} t")
-def _(spark, sf):
-    size = lambda c: F.size(c).cast("long")
-    return _notes(spark).select("note_id", "outcome", F.array_join("low_confidence_fields", ",").alias("flags"), size("medications").alias("n_medications"), size("diagnosis").alias("n_diagnoses"), size("vitals").alias("n_vitals"))
-
-
 # The replies as DuckDB reads them: without their fence, and only if all entries of a list have its type.
 OBJECTS = ("symptoms", "vitals", "diagnosis", "medications")
 PARSED = f"""r AS (SELECT note_id, trim(regexp_replace(regexp_replace(raw, '^```[^\n]*\n', ''), '\n```\\s*$', '')) AS bare FROM {values('note_id, raw, transcript', REPLIES)} t),
@@ -357,6 +346,25 @@ def _entries(kind: str) -> str:
     return f"SELECT note_id, '{kind}' AS field, CAST(row_number() OVER (PARTITION BY note_id ORDER BY i) - 1 AS INT) AS pos, {cells} AS entry FROM (SELECT note_id, i, json_extract(j, '$.{kind}[' || i || ']') AS e FROM o, range(0, 20) x(i) WHERE outcome = 'ok') y WHERE e IS NOT NULL AND {keep}"
 
 
+LATIN = "list_filter(list_transform(regexp_extract_all({}, '[A-Za-z]+'), lambda t: lower(t)), lambda t: length(t) >= 4)"
+FLAGS = f"""WITH {PARSED}, s AS (SELECT note_id, list_filter({LATIN.format('transcript')}, lambda t: t NOT IN {T.ROLE_WORDS}) AS said FROM {values('note_id, raw, transcript', REPLIES)} t),
+ g AS (SELECT note_id, pos, string_split(entry, '|')[1] AS term FROM ({_entries('diagnosis')}) e),
+ m AS (SELECT note_id, pos, string_split(entry, '|')[1] AS name, string_split(entry, '|')[2] AS dose FROM ({_entries('medications')}) e),
+ v AS ({TIER.replace('NAMES_', '(SELECT DISTINCT name FROM m) q')}),
+ f AS (SELECT note_id, 0 AS part, pos, 0 AS k, 'diagnosis.' || term || '.no_transcript_overlap' AS flag FROM g JOIN s USING (note_id) WHERE len(said) > 0 AND len({LATIN.format('term')}) > 0 AND len(list_intersect({LATIN.format('term')}, said)) = 0
+   UNION ALL SELECT note_id, 1, pos, 0, 'medications.' || name || '.unvalidated' FROM m LEFT JOIN v USING (name) WHERE tier IS NULL UNION ALL SELECT note_id, 1, pos, 1, 'medications.' || name || '.dose_unknown' FROM m WHERE dose = ''),
+ n AS (SELECT note_id, list(flag ORDER BY part, pos, k) AS new FROM f GROUP BY note_id),
+ w AS (SELECT note_id, outcome, CASE WHEN outcome = 'ok' THEN coalesce(CAST(json_extract(j, '$.low_confidence_fields') AS VARCHAR[]), []) ELSE ['chief_complaint', 'history', 'diagnosis', 'medications'] END AS own FROM o)
+ SELECT note_id, outcome, array_to_string(list_concat(own, list_filter(coalesce(new, []), lambda x: NOT list_contains(own, x))), ',') AS flags, (SELECT count(*) FROM m WHERE m.note_id = w.note_id) AS n_medications,
+  (SELECT count(*) FROM g WHERE g.note_id = w.note_id) AS n_diagnoses, (SELECT count(*) FROM ({_entries('vitals')}) e WHERE e.note_id = w.note_id) AS n_vitals FROM w LEFT JOIN n USING (note_id)"""
+
+
+@query("note_flags", FLAGS)
+def _(spark, sf):
+    size = lambda c: F.size(c).cast("long")
+    return _notes(spark).select("note_id", "outcome", F.array_join("low_confidence_fields", ",").alias("flags"), size("medications").alias("n_medications"), size("diagnosis").alias("n_diagnoses"), size("vitals").alias("n_vitals"))
+
+
 @query("note_shape", f"WITH {PARSED} " + " UNION ALL ".join(_entries(k) for k in OBJECTS))
 def _(spark, sf):
     made = notes.cleaned(notes.parse(literal(spark, "note_id, raw, transcript", "string, string, string", REPLIES)))
@@ -414,14 +422,14 @@ def _(spark, sf):
 
 
 RUBRIC = "Rubric ID: 1\nCategory ID: medication_frequency\nCriterion: says 'twice a day'\nRubric ID: 2\nCategory ID: Symptom_Name\nCriterion: has 'fever'\nand more\nRubric ID: 3\nCategory ID: lifestyle_habit_name\nCriterion: 'smoker'\nRubric ID: 4\nCategory ID: odd_thing\nCriterion: 'x'\nRubric ID: 5\nCategory ID: diagnosis_name\nCriterion: 'Malaria'"
-CRITERIA = [("a", 1, "medication_frequency", "says 'twice a day'"), ("a", 2, "symptom_name", "has 'fever'\nand more"), ("a", 3, "lifestyle_habit_name", "'smoker'"), ("a", 4, "odd_thing", "'x'"), ("a", 5, "diagnosis_name", "'Malaria'")]
 
 
 def _criteria(spark):
     return rubrics.parse(literal(spark, "note_id, rubrics", "string, string", [("a", RUBRIC)]))
 
 
-@query("rubric_parse", f"SELECT note_id, CAST(rubric_id AS BIGINT) AS rubric_id, category, criterion FROM {values('note_id, rubric_id, category, criterion', CRITERIA)} t")
+@query("rubric_parse", f"""SELECT 'a' AS note_id, CAST(trim(string_split(x, chr(10))[1]) AS BIGINT) AS rubric_id, lower(trim(regexp_extract(x, 'Category ID: ([^\n]*)', 1))) AS category, trim(substr(x, strpos(x, 'Criterion:') + 10), E' \n') AS criterion
+ FROM (SELECT unnest(string_split({Q + RUBRIC.replace(Q, Q + Q) + Q}, 'Rubric ID:')[2:]) AS x) t""")
 def _(spark, sf):
     return _criteria(spark)
 
@@ -493,6 +501,11 @@ def _(spark, sf):
     return top.select("doc_id", "source", F.substring("text", 1, 80).alias("start"))
 
 
+@query("report_values", "SELECT source, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:5], ' ') AS first_ids FROM documents GROUP BY source")
+def _(spark, sf):
+    return shown(table(spark, sf, "documents"), ["source"], F.col("doc_id")).withColumn("first_ids", F.array_join(F.col("shown").cast("array<string>"), " ")).drop("shown")
+
+
 @query("multi_scan", "SELECT source, CAST(2 * count(*) AS BIGINT) AS n FROM documents GROUP BY source")
 def _(spark, sf):
     return scan(spark, f"{sf}/documents.parquet", f"{sf}/documents.parquet").groupBy("source").agg(F.count("*").alias("n"))

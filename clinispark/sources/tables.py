@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,19 @@ def parts(df: DataFrame, most: int = SMALL) -> list[DataFrame]:
     return [F.broadcast(df.where(place == i) if n > 1 else df) for i in range(max(n, 1))]
 
 
+def shown(df: DataFrame, keys: list[str], value, most: int = 5) -> DataFrame:
+    """(keys, n, shown): how many rows each key has, and its `most` smallest values for a report.
+
+    Spark cuts each key to `most` rows before the shuffle, since only the first numbers of a window are asked for.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_value"))
+    first = df.select(*keys, value.alias("_value")).withColumn("_nth", nth).where(F.col("_nth") <= most)
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+    tops = first.groupBy(*keys).agg(F.array_sort(F.collect_list("_value")).alias("shown"))
+    return counts.join(tops, same(counts, tops), "left").select(*[counts[k] for k in keys], "n", F.coalesce("shown", F.array().cast(tops.schema["shown"].dataType)).alias("shown"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
