@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .exchange import collapsed, filled, merged, pack, pack_sorted, unpack, unpack_sorted
-from .words import BASE, EMPTY, MIX1, U64, hashed_twice, trim, windows
+from .words import BASE, EMPTY, MIX1, U64, hashed, hashed_twice, trim, windows
 
 LENGTH = 35
 #: Perfect difference covers: modulus and cover.
@@ -41,14 +41,17 @@ SECOND = BASE ^ MIX1 | U64(1)
 class Stream:
     """The words of a chunk's documents, in an order that only their rows decide."""
 
-    def __init__(self, table, length: int = LENGTH, period: int = PERIOD):
+    def __init__(self, table, length: int = LENGTH, period: int = PERIOD, twice: bool = True):
         from .words import binary
 
         rows = merged(table.column("doc_id").to_pylist(), [t or b"" for t in binary(table.column("text"))], table.column("copies").to_pylist())
         # a row that repeats stands twice, so that its windows repeat; the second has no row of its own
-        twice = [(d, t, k) for d, t, n in rows for k in ([n, 0] if n > 1 else [1])]
-        self.docs, self.texts, self.copies = [d for d, _, _ in twice], [t for _, t, _ in twice], [n for _, _, n in twice]
-        self.words, self.second, self.starts = hashed_twice(self.texts)
+        each = [(d, t, k) for d, t, n in rows for k in ([n, 0] if n > 1 else [1])]
+        self.docs, self.texts, self.copies = [d for d, _, _ in each], [t for _, t, _ in each], [n for _, _, n in each]
+        if twice:
+            self.words, self.second, self.starts = hashed_twice(self.texts)
+        else:  # anchors need one hash
+            self.words, self.starts = hashed(self.texts)
         self.length, self.period = length, period
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +170,7 @@ def dedup_substrings(docs: DataFrame, *, length: int = LENGTH, period: int = PER
     dealt = store.dealt(dealt, chunks, "chunk")
 
     def ask_anchors(key, table):
-        h, at = Stream(table, length, period).anchors()
+        h, at = Stream(table, length, period, twice=False).anchors()
         return _rows(requests(key[0].as_py(), ranges, h, at), BLOB)
 
     def known(stream, table):
