@@ -22,8 +22,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from . import store
 
 HEADER, OLD, NEW = 16, 32, 40
-#: Bytes of text in a file of an old shard that the query writes.
-FILE_BYTES = 256 << 20
+#: Bytes of text in a file of an old shard that the query writes, and files of a shard at most.
+FILE_BYTES, SHARD_FILES = 8 << 20, 4096
 #: Blocks that a table is cut into, besides one for each file, and the most that are broadcast.
 BLOCKS, BROADCAST_BLOCKS = 8192, 100_000
 
@@ -187,9 +187,9 @@ def query(docs: DataFrame) -> DataFrame:
     """Writes docs as OLD shards, row by row in turn, reshards them to NEW and reads the digests from the new files."""
     spark, docs = docs.sparkSession, store.columns(docs, "doc_id", "text")
     old, new = store.new_dir(spark, "old-shards"), store.new_dir(spark, "new-shards")
-    files = store.parts(store.text_bytes(docs), OLD * FILE_BYTES)
+    files = min(SHARD_FILES, store.parts(store.text_bytes(docs), OLD * FILE_BYTES))
     dealt = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.expr(f"cast(row % {OLD} as int)"))
-    dealt = dealt.repartitionById(OLD * files, F.expr(f"cast(shard * {files} + row div {OLD} % {files} as int)")).drop("row")
+    dealt = dealt.repartitionById(OLD * files, F.expr(f"cast(shard * {files} + row div {OLD} % {files} as int)")).sortWithinPartitions("shard", "row").drop("row")
     dealt.write.option("compression", "zstd").partitionBy("shard").parquet(old)
     layout = Layout(spark, old, docs.schema, NEW)
     layout.rewrite(new)
