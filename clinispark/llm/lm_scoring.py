@@ -155,11 +155,11 @@ def score(docs: DataFrame, labels: DataFrame, *, mu: float = MU) -> DataFrame:
         mine = one.is_target[one.owner].astype(np.int64)
         t_loss = losses(*[target[a] - mine * o for a, o in zip(one.place, one.own, strict=True)], n_target - mine * own_n, vocabulary, mu)
         b_loss = losses(*[scale * (every[a] - o) for a, o in zip(one.place, one.own, strict=True)], scale * (n_every - own_n), vocabulary, mu)
-        cum = [np.concatenate([[0.0], np.cumsum(x)]) for x in (t_loss, b_loss)]
+        sums = [np.bincount(one.owner, weights=x, minlength=len(one.docs)) for x in (t_loss, b_loss)]
         out = []
-        for i, (d, a, b) in enumerate(zip(one.docs, one.starts[:-1], one.starts[1:], strict=True)):
-            t, g = (round(float(c[b] - c[a]) / (b - a), 6) if b > a else None for c in cum)
-            out.append({"doc_id": d, "n_tokens": int(b - a), "is_target": bool(one.is_target[i]), "target_loss": t, "background_loss": g, "score": None if t is None else round(t - g, 6), "copies": int(one.copies[i])})
+        for i, (d, n) in enumerate(zip(one.docs, one.sizes.tolist(), strict=True)):
+            t, g = (round(float(x[i]) / n, 6) if n else None for x in sums)
+            out.append({"doc_id": d, "n_tokens": n, "is_target": bool(one.is_target[i]), "target_loss": t, "background_loss": g, "score": None if t is None else round(t - g, 6), "copies": int(one.copies[i])})
         import pyarrow as pa
 
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
@@ -176,3 +176,21 @@ def score(docs: DataFrame, labels: DataFrame, *, mu: float = MU) -> DataFrame:
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, labels)
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) THEN 1 ELSE 0 END AS t FROM documents),
+w AS (SELECT r, t, len(ws) AS own, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT r, t, own, x, coalesce(lag(x) OVER (PARTITION BY r ORDER BY i), '') AS h FROM w),
+cw AS (SELECT x, count(*) AS n, sum(t) AS k FROM b GROUP BY x UNION ALL SELECT '', count(*), sum(t) FROM d WHERE len(ws) > 0),
+cb AS (SELECT h, x, count(*) AS n, sum(t) AS k FROM b GROUP BY h, x),
+ow AS (SELECT r, x, count(*) AS n FROM b GROUP BY r, x UNION ALL SELECT r, '', 1 FROM d WHERE len(ws) > 0),
+ob AS (SELECT r, h, x, count(*) AS n FROM b GROUP BY r, h, x),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(coalesce(sum(t), 0) AS DOUBLE) AS k, CAST(count(DISTINCT x) AS DOUBLE) AS v, CASE WHEN coalesce(sum(t), 0) > 0 THEN CAST(sum(t) AS DOUBLE) / count(*) ELSE 1.0::DOUBLE END AS scale FROM b),
+c AS (SELECT b.r, b.t, b.own, s.*, cw.k - b.t * ow.n AS tw, ch.k - b.t * oh.n AS th, cb.k - b.t * ob.n AS tb, s.scale * (cw.n - ow.n) AS bw, s.scale * (ch.n - oh.n) AS bh, s.scale * (cb.n - ob.n) AS bb
+      FROM b CROSS JOIN s JOIN cw ON cw.x = b.x JOIN cw ch ON ch.x = b.h JOIN cb ON cb.h = b.h AND cb.x = b.x JOIN ow ON ow.r = b.r AND ow.x = b.x JOIN ow oh ON oh.r = b.r AND oh.x = b.h JOIN ob ON ob.r = b.r AND ob.h = b.h AND ob.x = b.x),
+l AS (SELECT r, sum(-ln((tb + 4.0::DOUBLE * (tw + 1) / (k - t * own + v)) / (th + 4.0::DOUBLE))) / any_value(own) AS tl, sum(-ln((bb + 4.0::DOUBLE * (bw + 1) / (scale * (n - own) + v)) / (bh + 4.0::DOUBLE))) / any_value(own) AS bl FROM c GROUP BY r)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_tokens, d.t = 1 AS is_target, round(tl, 6) AS target_loss, round(bl, 6) AS background_loss, round(round(tl, 6) - round(bl, 6), 6) AS score
+FROM d LEFT JOIN l ON l.r = d.r
+"""

@@ -25,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL, "op3_substring_dedup": substring_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_quality_rules": quality_rules.SQL, "op10_jaccard_join": jaccard_join.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL, "op3_substring_dedup": substring_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_quality_rules": quality_rules.SQL, "op9_lm_scoring": lm_scoring.SQL, "op10_jaccard_join": jaccard_join.SQL}
