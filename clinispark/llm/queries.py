@@ -1,8 +1,8 @@
-"""The ten queries and the pipeline, as __spark_entry__.py registers them."""
+"""The thirteen queries and the pipeline, as __spark_entry__.py registers them."""
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, resharding, substring_dedup, warc
+from . import decontamination, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, resharding, substring_dedup, vector_codes, warc
 
 
 def _documents(f):
@@ -21,8 +21,9 @@ def queries() -> dict:
         "op8_packing": _documents(packing.query),
         "op9_lm_scoring": lambda spark, sf_dir: lm_scoring.query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op10_jaccard_join": _documents(jaccard_join.query),
+        "op11_vector_codes": lambda spark, sf_dir: vector_codes.query(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL, "op3_substring_dedup": substring_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_quality_rules": quality_rules.SQL, "op9_lm_scoring": lm_scoring.SQL, "op10_jaccard_join": jaccard_join.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL, "op3_substring_dedup": substring_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_quality_rules": quality_rules.SQL, "op9_lm_scoring": lm_scoring.SQL, "op10_jaccard_join": jaccard_join.SQL, "op11_vector_codes": vector_codes.SQL}
