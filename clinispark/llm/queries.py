@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, resharding, substring_dedup, vector_codes, warc
+from . import chat_format, decontamination, hard_negatives, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, resharding, substring_dedup, vector_codes, warc
 
 
 def _documents(f):
@@ -23,8 +23,9 @@ def queries() -> dict:
         "op10_jaccard_join": _documents(jaccard_join.query),
         "op11_vector_codes": lambda spark, sf_dir: vector_codes.query(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
         "op12_chat_format": lambda spark, sf_dir: chat_format.query(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+        "op13_hard_negatives": lambda spark, sf_dir: hard_negatives.query(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL, "op3_substring_dedup": substring_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_quality_rules": quality_rules.SQL, "op9_lm_scoring": lm_scoring.SQL, "op10_jaccard_join": jaccard_join.SQL, "op11_vector_codes": vector_codes.SQL, "op12_chat_format": chat_format.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_warc": warc.SQL, "op3_substring_dedup": substring_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_quality_rules": quality_rules.SQL, "op9_lm_scoring": lm_scoring.SQL, "op10_jaccard_join": jaccard_join.SQL, "op11_vector_codes": vector_codes.SQL, "op12_chat_format": chat_format.SQL, "op13_hard_negatives": hard_negatives.SQL}
