@@ -249,7 +249,7 @@ class Grown:
             good, ints = integers(batch.column("embedding"), SCALE)
             return good, padded(ints, width, limit)
 
-        n = rows.count()
+        n, piece = rows.count(), max(1, block // 8)
         some = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * width)))
         sample = rows.select("embedding").orderBy(F.xxhash64("vec_id", "embedding")).limit(some).toArrow().combine_chunks()
         self.tree = tree = Tree(opened(sample)[1].astype(float), min(LEAVES, store.parts(n, block)))
@@ -264,8 +264,8 @@ class Grown:
                 out = []
                 for f in np.unique(leaf):
                     mine = order[np.searchsorted(leaf[order], f) : np.searchsorted(leaf[order], f, side="right")]
-                    for i in range(0, len(mine), block // 8):
-                        at = mine[i : i + block // 8]
+                    for i in range(0, len(mine), piece):
+                        at = mine[i : i + piece]
                         far = ((x[at] - tree.center[tree.ends[f]]) ** 2).sum(1).max() ** 0.5
                         ids, labels = (part.column(c).take(pa.array(at)).to_pylist() for c in ("vec_id", "label"))
                         out.append({"leaf": int(f), "n": len(at), "ids": ids, "labels": labels, "vectors": pack(x[at].astype(np.int32).reshape(-1)), "far": float(far)})

@@ -109,7 +109,7 @@ class Codebooks:
     """Entries of each part, with the integer sums and counts of what is assigned to them."""
 
     def __init__(self, seeds: np.ndarray, parts: int):
-        self.entries = np.ascontiguousarray(seeds.reshape(len(seeds), parts, -1).transpose(1, 0, 2))
+        self.entries = np.ascontiguousarray(seeds.reshape(len(seeds), parts, seeds.shape[1] // parts).transpose(1, 0, 2))
         self.sums = self.entries.astype(object) * 0
         self.counts = np.zeros(self.entries.shape[:2], object)
         self.changed = np.ones(parts, bool)
