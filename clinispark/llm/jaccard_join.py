@@ -6,13 +6,19 @@ index; a rare token in the extended prefix is indexed alone; frequent tokens are
 as pairs within a class, since of more than G shared frequent tokens two share a class. G depends on the size class of
 the larger set; a set near the border of its class is indexed for the next one too.
 
-Sets that meet under an index key form candidate blocks, which are verified exactly: only tokens held by two sets or more
-can overlap, so a block brings just these. In a block all pairs of compatible sizes are counted at once, tokens that many
-sets hold by a matrix product and the others by their postings; what leaves is each set's number of links and a spanning
-forest, never a pair list. A set is a candidate only if shared tokens make up its required overlap, so blocks are families
-of near copies. A block beyond BLOCK_WEIGHT is cut into tiles that meet two by two, each pair counted in one cell.
+Sets that meet under an index key are compared there at once, by the parities of their tokens' hashes in as many bits as
+they have tokens: where two differ in more bits than similar sets may differ in tokens, they are apart for certain. So the
+pairs that stay are almost all links, and what stands beside each other in a corpus of templates does not become one block.
+(Bits stop at 2048: of sets beyond some 4,600 tokens all that meet stay.) Under a key that many sets share, a set is
+compared with those that no earlier one has reached.
 
-A set is known by a 64-bit hash and its size; if two sets clash in both, all sets are hashed again with another seed.
+Components of the pairs that stay are blocks, which are verified exactly: only tokens held by two sets or more can overlap,
+so a block brings just these. In a block all pairs of compatible sizes are counted at once, tokens that many sets hold by a
+matrix product and the others by their postings; what leaves is each set's number of links and a spanning forest, never a
+pair list. A block beyond BLOCK_WEIGHT is cut into tiles that meet two by two, each pair counted in one cell: the work is the
+square of a family of near copies, whose links are as many.
+
+A set is known by two independent 64-bit hashes and its size.
 
 Defined cases: null or empty texts have no shingle, are linked with nothing and are their own component; texts with fewer
 words than a shingle have one shingle of all their words; rows that repeat are equal sets and linked; a component's id is
@@ -40,8 +46,10 @@ BLOCK_WEIGHT, SET_WEIGHT = 1_500_000, 256
 #: The seed with which Spark's xxhash64 begins.
 TEXT_SEED = 42
 SLIM = "doc_id long, n long, key long, check long, text_hash long"
-BLOB = "range int, tokens binary, owner binary, keys binary, sizes binary, df binary"
-CANDIDATE = "key long, n long, tokens binary, ikeys binary"
+BLOB = "range int, tokens binary, owner binary, keys binary, checks binary, sizes binary, df binary, maps binary, lone binary"
+CANDIDATE = "key long, check long, n long, tokens binary, ikeys binary"
+#: Words of 64 parities that a set has at most; words compared at a time; sets under a key of which all pairs are listed.
+WORDS, AT_ONCE, LISTED = 32, 4_000_000, 64
 
 
 def token_set(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -59,10 +67,10 @@ def sets_of(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
     return [token_set(words[at[i] : at[i + 1]], width) for i in range(len(texts))]
 
 
-def set_keys(tokens: np.ndarray, seed: int = 0) -> tuple[int, int]:
+def set_keys(tokens: np.ndarray) -> tuple[int, int]:
     """Two signed 64-bit hashes of a set."""
     raw = tokens.tobytes()
-    return tuple(int(np.uint64(xxhash.xxh3_64_intdigest(raw, 2 * seed + k)).astype(np.int64)) for k in (0, 1))
+    return tuple(int(np.uint64(xxhash.xxh3_64_intdigest(raw, k)).astype(np.int64)) for k in (0, 1))
 
 
 def chunked(batches, size: int = CHUNK_BYTES):
@@ -86,54 +94,63 @@ def groups(n: int) -> int:
     return max(1, (1 << (n.bit_length() - 1)) // 32)
 
 
-def _blobs(tokens: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, ranges: int, df: np.ndarray | None = None, by: np.ndarray | None = None) -> list[dict]:
-    """One row per range of tokens, or of `by` where given; arrays ascend by it. keys and sizes are by owner."""
+def _blobs(tokens: np.ndarray, owner: np.ndarray, keys: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ranges: int, df: np.ndarray | None = None, by: np.ndarray | None = None, maps: list | None = None, lone: np.ndarray | None = None) -> list[dict]:
+    """One row per range of tokens, or of `by` where given; arrays ascend by it. keys, checks, sizes, maps and lone are by owner."""
     out = []
     for r, a, b in filled(tokens if by is None else by, ranges):
         used, local = np.unique(owner[a:b], return_inverse=True)
         t = tokens[a:b]
-        out.append({"range": r, "tokens": pack_sorted(t) if by is None else pack(t), "owner": pack(narrow(local)), "keys": pack(keys[used]), "sizes": pack(sizes[used].astype(np.uint32)), "df": None if df is None else pack(df[a:b].astype(np.uint32))})
+        row = {"range": r, "tokens": pack_sorted(t) if by is None else pack(t), "owner": pack(narrow(local)), "keys": pack(keys[used]), "checks": pack(checks[used]), "sizes": pack(sizes[used].astype(np.uint32))}
+        row |= {"df": None if df is None else pack(df[a:b].astype(np.uint32)), "maps": None if maps is None else np.concatenate([maps[i] for i in used]).tobytes()}
+        out.append(row | {"lone": None if lone is None else pack(lone[used].astype(np.uint32))})
     return out
 
 
-def _opened(table, ascending: bool = True):
-    """Tokens, keys, sizes and df of a range's rows, one after another."""
-    packed = [table.column(c).to_pylist() for c in ("tokens", "owner", "keys", "sizes", "df")]
-    parts = [unpack_sorted(t) if ascending else unpack(t, U64) for t in packed[0]]
-    ends = np.cumsum([0, *map(len, parts)])
-    tokens = np.concatenate(parts)
-    del parts
-    keys, sizes = np.empty(len(tokens), U64), np.empty(len(tokens), np.uint32)
-    df = np.empty(len(tokens), np.uint32) if packed[4] and packed[4][0] is not None else None
-    for a, b, o, k, n, d in zip(ends[:-1], ends[1:], *packed[1:], strict=True):
-        own = unpack(o, np.uint16 if len(unpack(o, np.uint8)) == 2 * (b - a) else np.uint32)
-        keys[a:b], sizes[a:b] = unpack(k, U64)[own], unpack(n, np.uint32)[own]
-        if d is not None:
-            df[a:b] = unpack(d, np.uint32)
-    return tokens, keys, sizes, df
+class Opened:
+    """A range's rows, one after another: tokens and df, each token's owner, and keys, checks, sizes, maps and lone tokens of the owners."""
+
+    def __init__(self, table, ascending: bool = True):
+        tokens, owner, keys, checks, sizes, df, maps, lone = [table.column(c).to_pylist() for c in ("tokens", "owner", "keys", "checks", "sizes", "df", "maps", "lone")]
+        parts = [unpack_sorted(t) if ascending else unpack(t, U64) for t in tokens]
+        self.keys, self.checks = (np.concatenate([unpack(x, U64) for x in column]) for column in (keys, checks))
+        each = [unpack(x, np.uint32) for x in sizes]
+        self.sizes, first = np.concatenate(each).astype(np.int64), np.cumsum([0, *map(len, each)])
+        self.own = np.concatenate([unpack(o, np.uint16 if len(unpack(o, np.uint8)) == 2 * len(t) else np.uint32).astype(np.uint32) + np.uint32(f) for o, t, f in zip(owner, parts, first[:-1], strict=True)])
+        self.tokens = np.concatenate(parts)
+        self.df = None if df[0] is None else np.concatenate([unpack(d, np.uint32) for d in df])
+        self.maps = None if maps[0] is None else np.concatenate([np.frombuffer(m, U64) for m in maps])
+        self.lone = None if lone[0] is None else np.concatenate([unpack(v, np.uint32) for v in lone]).astype(np.int64)
+
+    def same(self) -> np.ndarray:
+        """A number for each owner; owners that are one set have one."""
+        order = np.lexsort((self.sizes, self.checks, self.keys))
+        starts, counts = runs_of(self.keys[order], self.checks[order], self.sizes[order])
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(np.arange(len(starts)), counts)
+        return out
 
 
 def shared_tokens(table, buckets: int) -> list[dict]:
     """Of a range of tokens: those in two sets or more, dealt to buckets by set."""
-    tokens, keys, sizes, _ = _opened(table)
-    order = np.argsort(tokens, kind="stable")
-    _, counts = runs_of(tokens[order])
+    x = Opened(table)
+    number = x.same()
+    first = np.zeros(int(number.max()) + 1, np.int64)
+    first[number] = np.arange(len(number))
+    order = np.argsort(x.tokens, kind="stable")
+    _, counts = runs_of(x.tokens[order])
     order = order[np.repeat(counts > 1, counts)]
-    tokens, keys, sizes = tokens[order], keys[order], sizes[order]
-    order = np.lexsort((sizes, keys, tokens))
-    starts, _ = runs_of(tokens[order], keys[order], sizes[order])
-    order = order[starts]
-    _, counts = runs_of(tokens[order])
+    tokens, sets = x.tokens[order], number[x.own[order]]
+    order = np.lexsort((sets, tokens))
+    starts, _ = runs_of(tokens[order], sets[order])
+    tokens, sets = tokens[order[starts]], sets[order[starts]]
+    _, counts = runs_of(tokens)
     df = np.repeat(counts, counts)
-    order, df = order[df > 1], df[df > 1].astype(np.uint32)
-    again = np.lexsort((tokens[order], sizes[order], keys[order]))
-    order, df = order[again], df[again]
-    if not len(order):
+    tokens, sets, df = tokens[df > 1], sets[df > 1], df[df > 1].astype(np.uint32)
+    if not len(tokens):
         return []
-    tokens, keys, sizes = tokens[order], keys[order], sizes[order]
-    starts, counts = runs_of(keys, sizes)
-    owner = np.repeat(np.arange(len(starts)), counts)
-    return _blobs(tokens, owner, keys[starts], sizes[starts], buckets, df, by=keys)
+    order = np.lexsort((tokens, sets))  # numbers ascend by key
+    tokens, sets, df = tokens[order], sets[order], df[order]
+    return _blobs(tokens, sets, x.keys[first], x.checks[first], x.sizes[first], buckets, df, by=x.keys[first][sets])
 
 
 def index_keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int, rare: int) -> np.ndarray:
@@ -157,35 +174,124 @@ def index_keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int, rare: i
 
 def candidates(table, percent: int, rare: int) -> list[dict]:
     """Sets of a bucket whose prefixes hold a shared token: all their shared tokens and their index keys."""
-    tokens, keys, sizes, df = _opened(table, ascending=False)
-    order = np.lexsort((tokens, df, sizes, keys))
-    tokens, keys, sizes, df = tokens[order], keys[order], sizes[order], df[order]
-    del order
-    starts, counts = runs_of(keys, sizes)
+    x = Opened(table, ascending=False)
+    number = x.same()
+    order = np.lexsort((x.tokens, x.df, number[x.own]))
+    tokens, df, own = x.tokens[order], x.df[order], x.own[order]
+    starts, counts = runs_of(number[own])
     out = []
     for a, c in zip(starts, counts, strict=True):
-        n = int(sizes[a])
+        n = int(x.sizes[own[a]])
         need, g = -(-percent * n // 100), groups(n * 100 // percent)
         if c < need or n - need + 1 + g <= n - c:  # too few shared tokens to reach the similarity, or none in the prefix
             continue
         found = index_keys(tokens[a : a + c], df[a : a + c], n, percent, rare)
         if len(found):
-            out.append({"key": int(keys[a].astype(np.int64)), "n": n, "tokens": pack_sorted(np.sort(tokens[a : a + c])), "ikeys": pack_sorted(found)})
+            key, check = (int(v[own[a]].astype(np.int64)) for v in (x.keys, x.checks))
+            out.append({"key": key, "check": check, "n": n, "tokens": pack_sorted(np.sort(tokens[a : a + c])), "ikeys": pack_sorted(found)})
     return out
 
 
-def meetings(table, percent: int) -> list[dict]:
-    """Edges between sets that share an index key, as stars: to the least set among those of compatible sizes."""
-    ikeys, keys, sizes, _ = _opened(table)
-    order = np.lexsort((keys, sizes, ikeys))
-    ikeys, keys, sizes = ikeys[order], keys[order], sizes[order].astype(np.int64)
-    new = np.ones(len(ikeys), bool)
-    new[1:] = (ikeys[1:] != ikeys[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])
-    starts = np.flatnonzero(new)
-    signed = keys.astype(np.int64)
-    least = np.repeat(np.minimum.reduceat(signed, starts), np.diff(np.append(starts, len(keys))))
-    pairs = np.unique(np.stack([least, signed], 1)[least != signed], axis=0)
-    return [{"a": int(a), "b": int(b)} for a, b in pairs]
+def map_words(n: np.ndarray) -> np.ndarray:
+    """Words of parities of sets of n tokens: a power of two of bits, that of n rounded up, 64 at least."""
+    bits = 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+    return np.clip(bits // 64, 1, WORDS)
+
+
+def parities(tokens: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens each bit stands for, odd or even; the number of shared ones' bits follows from the set's size n."""
+    bits = int(map_words(np.array([n]))[0]) * 64
+    odd = np.bincount((mixed(tokens) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+
+
+class Maps:
+    """Sets with parities of their shared tokens, of which pairs are told apart."""
+
+    def __init__(self, sizes: np.ndarray, lone: np.ndarray, flat: np.ndarray, percent: int):
+        self.sizes, self.lone, self.flat, self.percent = sizes, lone, flat, percent
+        self.words = map_words(sizes)
+        self.at = np.cumsum(self.words) - self.words
+        self.made = 0
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs may be similar: differing bits are differing tokens, and tokens that no other set holds differ always."""
+        self.made += len(a)
+        out = np.zeros(len(a), bool)
+        most = (100 - self.percent) * (self.sizes[a] + self.sizes[b]) // (100 + self.percent) - self.lone[a] - self.lone[b]
+        least = np.minimum(self.words[a], self.words[b])
+        for w in np.unique(least[most >= 0]):
+            rows = np.flatnonzero((least == w) & (most >= 0))
+            for i in range(0, len(rows), max(1, AT_ONCE // int(w))):
+                part = rows[i : i + max(1, AT_ONCE // int(w))]
+                differ = self.folded(a[part], int(w)) ^ self.folded(b[part], int(w))
+                out[part] = np.bitwise_count(differ).sum(1, dtype=np.int64) <= most[part]
+        return out
+
+    def folded(self, at: np.ndarray, w: int) -> np.ndarray:
+        """Parities in w words; those in more are folded, which sums them."""
+        out = self.flat[self.at[at][:, None] + np.arange(w)]
+        for k in range(1, int(self.words[at].max(initial=w)) // w):
+            wide = self.words[at] > k * w
+            out[wide] ^= self.flat[self.at[at[wide]][:, None] + k * w + np.arange(w)]
+        return out
+
+
+def meetings(table, percent: int) -> tuple[list[dict], int]:
+    """(edges between sets that share an index key and may be similar, as a forest under each key; pairs compared)."""
+    x = Opened(table)
+    sets = Maps(x.sizes, x.lone, x.maps, percent)
+    order = np.lexsort((x.keys[x.own], x.sizes[x.own], x.tokens))
+    own, ikeys = x.own[order].astype(np.int64), x.tokens[order]
+    starts, counts = runs_of(ikeys)
+    edges = [np.zeros((0, 2), np.int64)]
+    for a, c in zip(starts[counts > LISTED], counts[counts > LISTED], strict=True):
+        edges.append(spread(sets, own[a : a + c]))
+    small = np.repeat((counts > 1) & (counts <= LISTED), counts)
+    group, own = np.repeat(np.arange(len(starts)), counts)[small], own[small]
+    if len(own):
+        n, wide = sets.sizes[own], int(sets.sizes.max()) * 100 // percent + 1
+        to = np.searchsorted(group * wide + n, group * wide + 100 * n // percent, side="right")
+        ahead = to - np.arange(len(own)) - 1
+        for lo, hi in _pieces(ahead, AT_ONCE // 4):
+            k = ahead[lo:hi]
+            left = np.repeat(np.arange(lo, hi), k)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+            both = np.unique(own[left] * len(x.sizes) + own[right])
+            a, b = both // len(x.sizes), both % len(x.sizes)
+            ok = sets.near(a, b)
+            edges.append(np.stack([a[ok], b[ok]], 1))
+    found = x.keys[np.unique(np.concatenate(edges), axis=0)].astype(np.int64).reshape(-1, 2)
+    return [{"a": int(min(p)), "b": int(max(p))} for p in found.tolist() if p[0] != p[1]], sets.made
+
+
+def spread(sets: Maps, own: np.ndarray) -> np.ndarray:
+    """A spanning forest of the pairs among many sets, ascending by size, that may be similar.
+
+    Sets just reached are compared, some at a time, with those not yet reached; a family of near copies is reached at once.
+    """
+    rest, new, edges = own, own[:0], []
+    while len(rest):
+        if not len(new):
+            new, rest = rest[:1], rest[1:]
+        some, new = new[:LISTED], new[LISTED:]
+        n = sets.sizes[some]
+        fit = rest[(100 * sets.sizes[rest] >= sets.percent * n.min()) & (sets.percent * sets.sizes[rest] <= 100 * n.max())]
+        hit = []
+        for i in range(0, len(fit), AT_ONCE // (4 * LISTED)):
+            part = fit[i : i + AT_ONCE // (4 * LISTED)]
+            a, b = np.repeat(some, len(part)), np.tile(part, len(some))
+            low, high = np.minimum(sets.sizes[a], sets.sizes[b]), np.maximum(sets.sizes[a], sets.sizes[b])
+            can = 100 * low >= sets.percent * high
+            a, b = a[can], b[can]
+            ok = sets.near(a, b)
+            _, at = np.unique(b[ok], return_index=True)
+            hit.append(np.stack([a[ok][at], b[ok][at]], 1))
+        hit = np.concatenate(hit) if hit else np.zeros((0, 2), np.int64)
+        edges.append(hit)
+        rest = rest[~np.isin(rest, hit[:, 1])]
+        new = np.concatenate([new, hit[:, 1]])
+    return np.concatenate(edges)
 
 
 def overlaps(ids: np.ndarray, ends: np.ndarray, cells: int):
@@ -283,37 +389,49 @@ def verified(table, percent: int) -> list[dict]:
     return out
 
 
-def slim_sets(docs: DataFrame, width: int = WIDTH, seed: int = 0) -> DataFrame:
+def slim_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """SLIM: each document's set size, the keys of its set and a hash of its text."""
 
     def scan(batches):
         import pyarrow as pa
 
         for ids, texts in chunked(batches):
-            rows = [(i, len(s), *set_keys(s, seed), int(U64(xxhash.xxh64_intdigest(t, TEXT_SEED)).astype(np.int64))) for i, t, s in zip(ids, texts, sets_of(texts, width), strict=True)]
+            rows = [(i, len(s), *set_keys(s), int(U64(xxhash.xxh64_intdigest(t, TEXT_SEED)).astype(np.int64))) for i, t, s in zip(ids, texts, sets_of(texts, width), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "n", "key", "check", "text_hash"])
 
     return docs.mapInArrow(scan, SLIM)
 
 
-def token_blobs(docs: DataFrame, ranges: int, width: int, percent: int, seed: int) -> DataFrame:
+def token_blobs(docs: DataFrame, ranges: int, width: int, percent: int) -> DataFrame:
     """BLOB rows of all tokens of sets that can be similar to a different set."""
     least = 100 // (100 - percent) - 1  # a smaller set is only similar to its equals
 
     def scan(batches):
         for _, texts in chunked(batches):
-            found = {(set_keys(s, seed)[0], len(s)): s for s in sets_of(texts, width) if len(s) >= least}
+            found = {(*set_keys(s), len(s)): s for s in sets_of(texts, width) if len(s) >= least}
             if not found:
                 continue
-            keys = np.array([k for k, _ in found], np.int64).astype(U64)
+            keys, checks = (np.array([k[i] for k in found], np.int64).astype(U64) for i in (0, 1))
             sizes = np.array([len(s) for s in found.values()], np.int64)
             tokens, owner = np.concatenate(list(found.values())), np.repeat(np.arange(len(found)), sizes)
             order = np.argsort(tokens, kind="stable")
-            yield from _rows(_blobs(tokens[order], owner[order], keys, sizes, ranges), BLOB).to_batches()
+            yield from _rows(_blobs(tokens[order], owner[order], keys, checks, sizes, ranges), BLOB).to_batches()
 
     return docs.mapInArrow(scan, BLOB)
 
 
+def posted(table, ranges: int) -> list[dict]:
+    """Rows of CANDIDATE by ranges of their index keys, with their parities and how many tokens each holds alone."""
+    ikeys, held = ([unpack_sorted(b) for b in table.column(c).to_pylist()] for c in ("ikeys", "tokens"))
+    tokens, owner = np.concatenate(ikeys), np.repeat(np.arange(len(ikeys)), [len(e) for e in ikeys])
+    order = np.argsort(tokens, kind="stable")
+    keys, checks = (np.array(table.column(c).to_pylist(), np.int64).astype(U64) for c in ("key", "check"))
+    sizes = np.array(table.column("n").to_pylist(), np.int64)
+    maps = [parities(t, int(n)) for t, n in zip(held, sizes, strict=True)]
+    lone = sizes - np.array([len(t) for t in held])
+    return _blobs(tokens[order], owner[order], keys, checks, sizes, ranges, maps=maps, lone=lone)
+
+
 def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, rare: int = RARE, block_weight: int = BLOCK_WEIGHT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text_hash, n_shingles, component_id, n_links, root.
 
@@ -321,16 +439,10 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     is the same number for all documents of a component and null for those without shingles.
     """
     docs = store.columns(docs, "doc_id", "text")
-    for seed in range(4):
-        slim = store.written(store.few(slim_sets(docs, width, seed)), "sets")
-        n_docs = slim.count()
-        sets = slim.where("n > 0").groupBy("key", "n").agg(F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-        sets = store.written(sets.withColumn("node", F.monotonically_increasing_id()), "members", n_docs)
-        if not sets.where("check <> other").limit(1).count():
-            break
-    else:
-        raise RuntimeError("sets clash in 64-bit hash and size under every seed")
-    sets = sets.select("key", "n", "first", "copies", "node")
+    slim = store.written(store.few(slim_sets(docs, width)), "sets")
+    n_docs = slim.count()
+    sets = slim.where("n > 0").groupBy("key", "check", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    sets = store.written(sets.withColumn("node", F.monotonically_increasing_id()), "members", n_docs)
     total = slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = store.parts(total, store.grown(RANGE_TOKENS, 6 * total))  # a token is about six bytes of text
     buckets = store.parts(ranges, 3)
@@ -341,23 +453,18 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     def choose(table):
         return _rows(candidates(table, percent, rare), CANDIDATE)
 
-    shared = store.dealt(token_blobs(docs, ranges, width, percent, seed), ranges, "range").groupBy("range").applyInArrow(share, BLOB)
+    shared = store.dealt(token_blobs(docs, ranges, width, percent), ranges, "range").groupBy("range").applyInArrow(share, BLOB)
     found = store.written(store.dealt(shared, buckets, "range").groupBy("range").applyInArrow(choose, CANDIDATE), "candidates")
 
     def post(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                each = [unpack_sorted(b) for b in part.column("ikeys").to_pylist()]
-                tokens, owner = np.concatenate(each), np.repeat(np.arange(len(each)), [len(e) for e in each])
-                order = np.argsort(tokens, kind="stable")
-                keys = np.array(part.column("key").to_pylist(), np.int64).astype(np.uint64)
-                yield from _rows(_blobs(tokens[order], owner[order], keys, np.array(part.column("n").to_pylist(), np.int64), ranges), BLOB).to_batches()
+                yield from _rows(posted(batch.slice(start, 1000), ranges), BLOB).to_batches()
 
     def meet(table):
-        return _rows(meetings(table, percent), "a long, b long")
+        return _rows(meetings(table, percent)[0], "a long, b long")
 
-    edges = store.dealt(found.select("key", "n", "ikeys").mapInArrow(post, BLOB), ranges, "range").groupBy("range").applyInArrow(meet, "a long, b long")
+    edges = store.dealt(found.select("key", "check", "n", "tokens", "ikeys").mapInArrow(post, BLOB), ranges, "range").groupBy("range").applyInArrow(meet, "a long, b long")
     edges = store.written(edges, "meetings")
     near = store.written(components(edges), "blocks", n_docs)
     weight = near.join(found.select("key", "n"), F.col("key") == F.col("node")).groupBy("root").agg(F.sum(F.col("n") + SET_WEIGHT).alias("w"))
@@ -366,7 +473,7 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     bins = store.parts(total, block_weight // 8)
     tiles = F.greatest(F.lit(1), F.ceil(F.col("w") / (block_weight // 2))).cast("int")
     homes = near.select(F.col("node").alias("key"), F.col("root").alias("block")).join(weight.select(F.col("root").alias("block"), tiles.alias("tiles")), "block")
-    blocks = found.select("key", "n", "tokens").join(homes.join(sets.select("key", "n", "node", "copies"), "key"), ["key", "n"])
+    blocks = found.select("key", "check", "n", "tokens").join(homes.join(sets.select("key", "check", "n", "node", "copies"), "key"), ["key", "check", "n"])
     blocks = blocks.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     # every pair of tiles is a cell, and so is every tile by itself
@@ -382,12 +489,12 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     store.drop(found, edges, near, weight)
     roots = components(found_links.where("b IS NOT NULL").select("a", "b"))
     degree = found_links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    members = sets.join(roots, "node", "left").join(degree, "node", "left").select("key", "n", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
+    members = sets.join(roots, "node", "left").join(degree, "node", "left").select("key", "check", "n", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
     members = store.written(members, "rooted", n_docs)
     store.drop(found_links)
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = members.join(least, "root").select(F.col("key").alias("_key"), F.col("n").alias("_n"), "links", "component_id", "root")
-    out = slim.join(named, (F.col("key") == F.col("_key")) & (F.col("n") == F.col("_n")), "left")
+    named = members.join(least, "root").select(F.col("key").alias("_key"), F.col("check").alias("_check"), F.col("n").alias("_n"), "links", "component_id", "root")
+    out = slim.join(named, (F.col("key") == F.col("_key")) & (F.col("check") == F.col("_check")) & (F.col("n") == F.col("_n")), "left")
     return out.select(
         "doc_id",
         "text_hash",
