@@ -6,7 +6,7 @@ index; a rare token in the extended prefix is indexed alone; frequent tokens are
 as pairs within a class, since of more than G shared frequent tokens two share a class. G depends on the size class of
 the larger set; a set near the border of its class is indexed for the next one too.
 
-Sets that meet under an index key are compared there at once, by the parities of their tokens' hashes in as many bits as
+Sets that meet under an index key, in the prefixes that follow from both their sizes, are compared there at once, by the parities of their tokens' hashes in as many bits as
 they have tokens: where two differ in more bits than similar sets may differ in tokens, they are apart for certain. So the
 pairs that stay are almost all links, and what stands beside each other in a corpus of templates does not become one block.
 (Bits stop at 2048: of sets beyond some 4,600 tokens all that meet stay.) Under a key that many sets share, a set is
@@ -47,7 +47,7 @@ BLOCK_WEIGHT, SET_WEIGHT = 1_500_000, 256
 TEXT_SEED = 42
 SLIM = "doc_id long, n long, key long, check long, text_hash long"
 BLOB = "range int, tokens binary, owner binary, keys binary, checks binary, sizes binary, df binary, maps binary, lone binary"
-CANDIDATE = "key long, check long, n long, tokens binary, ikeys binary"
+CANDIDATE = "key long, check long, n long, tokens binary, ikeys binary, places binary"
 #: Words of 64 parities that a set has at most; words compared at a time; sets under a key of which all pairs are listed.
 WORDS, AT_ONCE, LISTED = 32, 4_000_000, 64
 
@@ -153,23 +153,31 @@ def shared_tokens(table, buckets: int) -> list[dict]:
     return _blobs(tokens, sets, x.keys[first], x.checks[first], x.sizes[first], buckets, df, by=x.keys[first][sets])
 
 
-def index_keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int, rare: int) -> np.ndarray:
-    """Index keys of a set of n tokens, given those shared with other sets in order of (df, token)."""
+def index_keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int, rare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set of n tokens, ascending, given those shared with other sets in order of (df, token).
+
+    With each comes its place in the set's order, of two tokens the later one's; tokens of no other set stand first.
+    """
     lone, need = n - len(tokens), -(-percent * n // 100)
     sizes = {groups(n), groups(n * 100 // percent)}
-    out = []
+    out, places = [], []
     for g in sizes:
         head = tokens[: max(0, n - need + 1 + g - lone)]
         often = df[: len(head)] > rare
         out.append(mixed(head[~often] ^ U64(1)))
-        t = head[often]
+        places.append(np.flatnonzero(~often))
+        t, at = head[often], np.flatnonzero(often)
         klass = mixed(t) % U64(g)
         for c in range(g) if len(t) > 1 else ():
-            x = t[klass == U64(c)]
+            x = np.flatnonzero(klass == U64(c))
             i, j = np.triu_indices(len(x), 1)
-            low, high = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
-            out.append(mixed(low * BASE + high + U64(g)))
-    return np.unique(np.concatenate(out))
+            i, j = x[i], x[j]
+            out.append(mixed(np.minimum(t[i], t[j]) * BASE + np.maximum(t[i], t[j]) + U64(g)))
+            places.append(at[j])
+    keys, places = np.concatenate(out), np.concatenate(places) + lone
+    order = np.lexsort((places, keys))
+    starts, _ = runs_of(keys[order])
+    return keys[order[starts]], places[order[starts]].astype(np.uint32)
 
 
 def candidates(table, percent: int, rare: int) -> list[dict]:
@@ -185,10 +193,10 @@ def candidates(table, percent: int, rare: int) -> list[dict]:
         need, g = -(-percent * n // 100), groups(n * 100 // percent)
         if c < need or n - need + 1 + g <= n - c:  # too few shared tokens to reach the similarity, or none in the prefix
             continue
-        found = index_keys(tokens[a : a + c], df[a : a + c], n, percent, rare)
+        found, places = index_keys(tokens[a : a + c], df[a : a + c], n, percent, rare)
         if len(found):
             key, check = (int(v[own[a]].astype(np.int64)) for v in (x.keys, x.checks))
-            out.append({"key": key, "check": check, "n": n, "tokens": pack_sorted(np.sort(tokens[a : a + c])), "ikeys": pack_sorted(found)})
+            out.append({"key": key, "check": check, "n": n, "tokens": pack_sorted(np.sort(tokens[a : a + c])), "ikeys": pack_sorted(found), "places": pack(places)})
     return out
 
 
@@ -214,6 +222,21 @@ class Maps:
         self.at = np.cumsum(self.words) - self.words
         self.made = 0
 
+    def extra(self, n: np.ndarray) -> np.ndarray:
+        """G of the largest set that one of n tokens can be similar to, by which prefixes are extended."""
+        bits = np.floor(np.log2(np.maximum(1, n * 100 // self.percent))).astype(np.int64)
+        return np.maximum(1, (1 << bits) // 32)
+
+    def largest(self, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The size up to which another set can be similar to one of n tokens and meet it under a key at that place."""
+        room = (n + self.extra(n) - place) * (100 + self.percent) // self.percent - n
+        return np.minimum(100 * n // self.percent, room)
+
+    def within(self, n: np.ndarray, place: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether the place lies in the prefix of a set of n tokens that a similar one of `other` tokens must meet."""
+        need = -(-self.percent * (n + other) // (100 + self.percent))
+        return (place <= n - need + self.extra(np.minimum(n, other))) & (100 * np.minimum(n, other) >= self.percent * np.maximum(n, other))
+
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs may be similar: differing bits are differing tokens, and tokens that no other set holds differ always."""
         self.made += len(a)
@@ -238,60 +261,64 @@ class Maps:
 
 
 def meetings(table, percent: int) -> tuple[list[dict], int]:
-    """(edges between sets that share an index key and may be similar, as a forest under each key; pairs compared)."""
+    """(edges between sets that share an index key and may be similar, as a forest under each key; pairs compared).
+
+    Similar sets share enough tokens within prefixes that follow from both their sizes, so a pair counts under a key only if
+    the key stands in these: a set whose key stands late meets only smaller sets, or none.
+    """
     x = Opened(table)
     sets = Maps(x.sizes, x.lone, x.maps, percent)
     order = np.lexsort((x.keys[x.own], x.sizes[x.own], x.tokens))
-    own, ikeys = x.own[order].astype(np.int64), x.tokens[order]
-    starts, counts = runs_of(ikeys)
+    own, place = x.own[order].astype(np.int64), x.df[order].astype(np.int64)
+    starts, counts = runs_of(x.tokens[order])
+    group, n = np.repeat(np.arange(len(starts)), counts), sets.sizes[own]
+    top, wide = sets.largest(n, place), int(sets.sizes.max(initial=1)) * 100 // percent + 2
+    ahead = np.maximum(0, np.searchsorted(group * wide + n, group * wide + np.maximum(top, 0), side="right") - np.arange(len(own)) - 1)
+    pairs = np.add.reduceat(ahead, starts) if len(starts) else np.zeros(0, np.int64)
     edges = [np.zeros((0, 2), np.int64)]
-    for a, c in zip(starts[counts > LISTED], counts[counts > LISTED], strict=True):
-        edges.append(spread(sets, own[a : a + c]))
-    small = np.repeat((counts > 1) & (counts <= LISTED), counts)
-    group, own = np.repeat(np.arange(len(starts)), counts)[small], own[small]
-    if len(own):
-        n, wide = sets.sizes[own], int(sets.sizes.max()) * 100 // percent + 1
-        to = np.searchsorted(group * wide + n, group * wide + 100 * n // percent, side="right")
-        ahead = to - np.arange(len(own)) - 1
-        for lo, hi in _pieces(ahead, AT_ONCE // 4):
-            k = ahead[lo:hi]
-            left = np.repeat(np.arange(lo, hi), k)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
-            both = np.unique(own[left] * len(x.sizes) + own[right])
-            a, b = both // len(x.sizes), both % len(x.sizes)
-            ok = sets.near(a, b)
-            edges.append(np.stack([a[ok], b[ok]], 1))
+    for g in np.flatnonzero(pairs > LISTED * counts):
+        a, c = starts[g], counts[g]
+        edges.append(spread(sets, own[a : a + c], place[a : a + c]))
+    ahead[np.repeat(pairs > LISTED * counts, counts)] = 0
+    for lo, hi in _pieces(ahead, AT_ONCE // 4):
+        k = ahead[lo:hi]
+        left = np.repeat(np.arange(lo, hi), k)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+        ok = sets.within(n[right], place[right], n[left])
+        both = np.unique(own[left[ok]] * len(x.sizes) + own[right[ok]])
+        a, b = both // len(x.sizes), both % len(x.sizes)
+        ok = sets.near(a, b)
+        edges.append(np.stack([a[ok], b[ok]], 1))
     found = x.keys[np.unique(np.concatenate(edges), axis=0)].astype(np.int64).reshape(-1, 2)
     return [{"a": int(min(p)), "b": int(max(p))} for p in found.tolist() if p[0] != p[1]], sets.made
 
 
-def spread(sets: Maps, own: np.ndarray) -> np.ndarray:
-    """A spanning forest of the pairs among many sets, ascending by size, that may be similar.
+def spread(sets: Maps, own: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A spanning forest of the pairs among many sets under a key, ascending by size, that may be similar.
 
     Sets just reached are compared, some at a time, with those not yet reached; a family of near copies is reached at once.
     """
-    rest, new, edges = own, own[:0], []
+    n, rest, new, edges = sets.sizes[own], np.arange(len(own)), np.zeros(0, np.int64), []
     while len(rest):
         if not len(new):
             new, rest = rest[:1], rest[1:]
         some, new = new[:LISTED], new[LISTED:]
-        n = sets.sizes[some]
-        fit = rest[(100 * sets.sizes[rest] >= sets.percent * n.min()) & (sets.percent * sets.sizes[rest] <= 100 * n.max())]
-        hit = []
+        fit = rest[(100 * n[rest] >= sets.percent * n[some].min()) & (sets.percent * n[rest] <= 100 * n[some].max())]
+        hit = [np.zeros((0, 2), np.int64)]
         for i in range(0, len(fit), AT_ONCE // (4 * LISTED)):
             part = fit[i : i + AT_ONCE // (4 * LISTED)]
             a, b = np.repeat(some, len(part)), np.tile(part, len(some))
-            low, high = np.minimum(sets.sizes[a], sets.sizes[b]), np.maximum(sets.sizes[a], sets.sizes[b])
-            can = 100 * low >= sets.percent * high
-            a, b = a[can], b[can]
-            ok = sets.near(a, b)
+            ok = sets.within(n[a], place[a], n[b]) & sets.within(n[b], place[b], n[a])
+            a, b = a[ok], b[ok]
+            ok = sets.near(own[a], own[b])
             _, at = np.unique(b[ok], return_index=True)
             hit.append(np.stack([a[ok][at], b[ok][at]], 1))
-        hit = np.concatenate(hit) if hit else np.zeros((0, 2), np.int64)
+        _, at = np.unique(np.concatenate(hit)[:, 1], return_index=True)
+        hit = np.concatenate(hit)[at]
         edges.append(hit)
         rest = rest[~np.isin(rest, hit[:, 1])]
         new = np.concatenate([new, hit[:, 1]])
-    return np.concatenate(edges)
+    return own[np.concatenate(edges)]
 
 
 def overlaps(ids: np.ndarray, ends: np.ndarray, cells: int):
@@ -421,7 +448,7 @@ def token_blobs(docs: DataFrame, ranges: int, width: int, percent: int) -> DataF
 
 
 def posted(table, ranges: int) -> list[dict]:
-    """Rows of CANDIDATE by ranges of their index keys, with their parities and how many tokens each holds alone."""
+    """Rows of CANDIDATE by ranges of their index keys, with their parities and how many tokens each holds alone; df holds the keys' places."""
     ikeys, held = ([unpack_sorted(b) for b in table.column(c).to_pylist()] for c in ("ikeys", "tokens"))
     tokens, owner = np.concatenate(ikeys), np.repeat(np.arange(len(ikeys)), [len(e) for e in ikeys])
     order = np.argsort(tokens, kind="stable")
@@ -429,7 +456,8 @@ def posted(table, ranges: int) -> list[dict]:
     sizes = np.array(table.column("n").to_pylist(), np.int64)
     maps = [parities(t, int(n)) for t, n in zip(held, sizes, strict=True)]
     lone = sizes - np.array([len(t) for t in held])
-    return _blobs(tokens[order], owner[order], keys, checks, sizes, ranges, maps=maps, lone=lone)
+    places = np.concatenate([unpack(b, np.uint32) for b in table.column("places").to_pylist()])
+    return _blobs(tokens[order], owner[order], keys, checks, sizes, ranges, places[order], maps=maps, lone=lone)
 
 
 def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, rare: int = RARE, block_weight: int = BLOCK_WEIGHT) -> DataFrame:
@@ -464,7 +492,7 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     def meet(table):
         return _rows(meetings(table, percent)[0], "a long, b long")
 
-    edges = store.dealt(found.select("key", "check", "n", "tokens", "ikeys").mapInArrow(post, BLOB), ranges, "range").groupBy("range").applyInArrow(meet, "a long, b long")
+    edges = store.dealt(found.select("key", "check", "n", "tokens", "ikeys", "places").mapInArrow(post, BLOB), ranges, "range").groupBy("range").applyInArrow(meet, "a long, b long")
     edges = store.written(edges, "meetings")
     near = store.written(components(edges), "blocks", n_docs)
     weight = near.join(found.select("key", "n"), F.col("key") == F.col("node")).groupBy("root").agg(F.sum(F.col("n") + SET_WEIGHT).alias("w"))

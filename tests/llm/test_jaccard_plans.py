@@ -10,10 +10,10 @@ import pytest
 from clinispark.llm import jaccard_join as J
 
 
-def templated(n, seed=7):
+def templated(n, words, seed=7):
     """Documents of 14 out of 400 stock sentences; a few have a near copy."""
     rng = random.Random(seed)
-    stock = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 3000)) for _ in range(rng.randint(6, 12))) for _ in range(400)]
+    stock = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 3000)) for _ in range(rng.randint(*words))) for _ in range(400)]
     out = [" ".join(rng.sample(stock, 14)) for _ in range(n)]
     for i in range(0, n, 50):
         out[i + 1] = out[i] + " more"
@@ -44,10 +44,11 @@ def compared(texts, rare=J.RARE):
     return made, blocks, {k[0]: v for k, v in sets.items()}, [(e["a"], e["b"]) for e in edges]
 
 
-def test_templates_make_no_large_block():
+@pytest.mark.parametrize("words", [(6, 12), (15, 25)])
+def test_templates_make_no_large_block(words):
     made, largest = {}, {}
     for n in (2000, 4000, 8000):
-        texts = templated(n)
+        texts = templated(n, words)
         made[n], blocks, sets, edges = compared(texts)
         largest[n] = max(blocks.values())
         assert sum(c * c for c in blocks.values()) <= 8 * n  # what is verified grows with the documents
