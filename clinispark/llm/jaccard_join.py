@@ -18,7 +18,7 @@ matrix product and the others by their postings; what leaves is each set's numbe
 pair list. A block beyond BLOCK_WEIGHT is cut into tiles that meet two by two, each pair counted in one cell: the work is the
 square of a family of near copies, whose links are as many.
 
-A set is known by two independent 64-bit hashes and its size.
+A set is known by 96 bits of two independent hashes and its size.
 
 Defined cases: null or empty texts have no shingle, are linked with nothing and are their own component; texts with fewer
 words than a shingle have one shingle of all their words; rows that repeat are equal sets and linked; a component's id is
@@ -47,7 +47,7 @@ BLOCK_WEIGHT, SET_WEIGHT = 1_500_000, 256
 TEXT_SEED = 42
 SLIM = "doc_id long, n long, key long, check long, text_hash long"
 BLOB = "range int, tokens binary, owner binary, keys binary, checks binary, sizes binary, df binary, maps binary, lone binary"
-CANDIDATE = "key long, check long, n long, tokens binary, ikeys binary, places binary"
+CANDIDATE = "key long, check long, n long, posts long, tokens binary, ikeys binary, places binary"
 #: Words of 64 parities that a set has at most; words compared at a time; sets under a key of which all pairs are listed.
 WORDS, AT_ONCE, LISTED = 32, 4_000_000, 64
 
@@ -68,9 +68,9 @@ def sets_of(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
 
 
 def set_keys(tokens: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit hashes of a set."""
+    """A signed 64-bit hash of a set and 32 bits of another."""
     raw = tokens.tobytes()
-    return tuple(int(np.uint64(xxhash.xxh3_64_intdigest(raw, k)).astype(np.int64)) for k in (0, 1))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(raw, 0)).astype(np.int64)), xxhash.xxh3_64_intdigest(raw, 1) >> 32
 
 
 def chunked(batches, size: int = CHUNK_BYTES):
@@ -94,13 +94,13 @@ def groups(n: int) -> int:
     return max(1, (1 << (n.bit_length() - 1)) // 32)
 
 
-def _blobs(tokens: np.ndarray, owner: np.ndarray, keys: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ranges: int, df: np.ndarray | None = None, by: np.ndarray | None = None, maps: list | None = None, lone: np.ndarray | None = None) -> list[dict]:
+def _blobs(tokens: np.ndarray, owner: np.ndarray, keys: np.ndarray, checks: np.ndarray | None, sizes: np.ndarray, ranges: int, df: np.ndarray | None = None, by: np.ndarray | None = None, maps: list | None = None, lone: np.ndarray | None = None) -> list[dict]:
     """One row per range of tokens, or of `by` where given; arrays ascend by it. keys, checks, sizes, maps and lone are by owner."""
     out = []
     for r, a, b in filled(tokens if by is None else by, ranges):
         used, local = np.unique(owner[a:b], return_inverse=True)
         t = tokens[a:b]
-        row = {"range": r, "tokens": pack_sorted(t) if by is None else pack(t), "owner": pack(narrow(local)), "keys": pack(keys[used]), "checks": pack(checks[used]), "sizes": pack(sizes[used].astype(np.uint32))}
+        row = {"range": r, "tokens": pack_sorted(t) if by is None else pack(t), "owner": pack(narrow(local)), "keys": pack(keys[used]), "checks": None if checks is None else pack(checks[used].astype(np.uint32)), "sizes": pack(sizes[used].astype(np.uint32))}
         row |= {"df": None if df is None else pack(df[a:b].astype(np.uint32)), "maps": None if maps is None else np.concatenate([maps[i] for i in used]).tobytes()}
         out.append(row | {"lone": None if lone is None else pack(lone[used].astype(np.uint32))})
     return out
@@ -112,7 +112,8 @@ class Opened:
     def __init__(self, table, ascending: bool = True):
         tokens, owner, keys, checks, sizes, df, maps, lone = [table.column(c).to_pylist() for c in ("tokens", "owner", "keys", "checks", "sizes", "df", "maps", "lone")]
         parts = [unpack_sorted(t) if ascending else unpack(t, U64) for t in tokens]
-        self.keys, self.checks = (np.concatenate([unpack(x, U64) for x in column]) for column in (keys, checks))
+        self.keys = np.concatenate([unpack(x, U64) for x in keys])
+        self.checks = None if checks[0] is None else np.concatenate([unpack(x, np.uint32) for x in checks])
         each = [unpack(x, np.uint32) for x in sizes]
         self.sizes, first = np.concatenate(each).astype(np.int64), np.cumsum([0, *map(len, each)])
         self.own = np.concatenate([unpack(o, np.uint16 if len(unpack(o, np.uint8)) == 2 * len(t) else np.uint32).astype(np.uint32) + np.uint32(f) for o, t, f in zip(owner, parts, first[:-1], strict=True)])
@@ -195,8 +196,8 @@ def candidates(table, percent: int, rare: int) -> list[dict]:
             continue
         found, places = index_keys(tokens[a : a + c], df[a : a + c], n, percent, rare)
         if len(found):
-            key, check = (int(v[own[a]].astype(np.int64)) for v in (x.keys, x.checks))
-            out.append({"key": key, "check": check, "n": n, "tokens": pack_sorted(np.sort(tokens[a : a + c])), "ikeys": pack_sorted(found), "places": pack(places)})
+            key, check = int(x.keys[own[a]].astype(np.int64)), int(x.checks[own[a]])
+            out.append({"key": key, "check": check, "n": n, "posts": len(found), "tokens": pack_sorted(np.sort(tokens[a : a + c])), "ikeys": pack_sorted(found), "places": pack(places)})
     return out
 
 
@@ -438,7 +439,7 @@ def token_blobs(docs: DataFrame, ranges: int, width: int, percent: int) -> DataF
             found = {(*set_keys(s), len(s)): s for s in sets_of(texts, width) if len(s) >= least}
             if not found:
                 continue
-            keys, checks = (np.array([k[i] for k in found], np.int64).astype(U64) for i in (0, 1))
+            keys, checks = (np.array([k[i] for k in found], np.int64).astype(kind) for i, kind in ((0, U64), (1, np.uint32)))
             sizes = np.array([len(s) for s in found.values()], np.int64)
             tokens, owner = np.concatenate(list(found.values())), np.repeat(np.arange(len(found)), sizes)
             order = np.argsort(tokens, kind="stable")
@@ -452,12 +453,12 @@ def posted(table, ranges: int) -> list[dict]:
     ikeys, held = ([unpack_sorted(b) for b in table.column(c).to_pylist()] for c in ("ikeys", "tokens"))
     tokens, owner = np.concatenate(ikeys), np.repeat(np.arange(len(ikeys)), [len(e) for e in ikeys])
     order = np.argsort(tokens, kind="stable")
-    keys, checks = (np.array(table.column(c).to_pylist(), np.int64).astype(U64) for c in ("key", "check"))
+    keys = np.array(table.column("key").to_pylist(), np.int64).astype(U64)
     sizes = np.array(table.column("n").to_pylist(), np.int64)
     maps = [parities(t, int(n)) for t, n in zip(held, sizes, strict=True)]
     lone = sizes - np.array([len(t) for t in held])
     places = np.concatenate([unpack(b, np.uint32) for b in table.column("places").to_pylist()])
-    return _blobs(tokens[order], owner[order], keys, checks, sizes, ranges, places[order], maps=maps, lone=lone)
+    return _blobs(tokens[order], owner[order], keys, None, sizes, ranges, places[order], maps=maps, lone=lone)
 
 
 def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, rare: int = RARE, block_weight: int = BLOCK_WEIGHT) -> DataFrame:
@@ -484,15 +485,18 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     shared = store.dealt(token_blobs(docs, ranges, width, percent), ranges, "range").groupBy("range").applyInArrow(share, BLOB)
     found = store.written(store.dealt(shared, buckets, "range").groupBy("range").applyInArrow(choose, CANDIDATE), "candidates")
 
+    posts = found.agg(F.coalesce(F.sum("posts"), F.lit(0))).first()[0]
+    spread_over = store.parts(posts, store.grown(RANGE_TOKENS // 2, 6 * total))
+
     def post(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                yield from _rows(posted(batch.slice(start, 1000), ranges), BLOB).to_batches()
+                yield from _rows(posted(batch.slice(start, 1000), spread_over), BLOB).to_batches()
 
     def meet(table):
         return _rows(meetings(table, percent)[0], "a long, b long")
 
-    edges = store.dealt(found.select("key", "check", "n", "tokens", "ikeys", "places").mapInArrow(post, BLOB), ranges, "range").groupBy("range").applyInArrow(meet, "a long, b long")
+    edges = store.dealt(found.select("key", "n", "tokens", "ikeys", "places").mapInArrow(post, BLOB), spread_over, "range").groupBy("range").applyInArrow(meet, "a long, b long")
     edges = store.written(edges, "meetings")
     near = store.written(components(edges), "blocks", n_docs)
     weight = near.join(found.select("key", "n"), F.col("key") == F.col("node")).groupBy("root").agg(F.sum(F.col("n") + SET_WEIGHT).alias("w"))

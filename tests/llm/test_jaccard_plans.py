@@ -23,7 +23,7 @@ def templated(n, words, seed=7):
 def compared(texts, rare=J.RARE):
     """(pairs compared under index keys, blocks as lists of sets, sets) by the operator's own steps."""
     sets = {(*J.set_keys(s), len(s)): s for s in J.sets_of(texts)}
-    keys, checks = (np.array([k[i] for k in sets], np.int64).astype(np.uint64) for i in (0, 1))
+    keys, checks = (np.array([k[i] for k in sets], np.int64).astype(kind) for i, kind in ((0, np.uint64), (1, np.uint32)))
     sizes = np.array([len(s) for s in sets.values()])
     tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens, kind="stable")
