@@ -197,8 +197,8 @@ def spans(text: str, found: ahocorasick.Automaton) -> dict[str, list[tuple[int,
                 if 8 <= sum(c in DIGITS for c in text[hit[0] : hit[1]]) <= 15:
                     out[kind].append(hit)
         elif kind == "url":
-            m = URL.match(text, last + 1)
-            if m and (start == 0 or text[start - 1] not in ALNUM) and (end := start + len(text[start : m.end()].rstrip(".,;:!?)"))) > last + 1:
+            m = (start == 0 or text[start - 1] not in ALNUM) and URL.match(text, last + 1)
+            if m and (end := start + len(text[start : m.end()].rstrip(".,;:!?)"))) > last + 1:
                 out[kind].append((start, end))
                 seen[kind] = end
         elif kind == "secret":

@@ -1,12 +1,17 @@
 """Quality rules whose cutoffs come from mergeable quantile sketches per language and source.
 
-A sketch counts the values over zero of a metric in buckets of relative width 1/64, found by integer arithmetic, so two
-sketches merge by adding counts and give the same quantiles in any order. The upper fence of a group of documents is
-q75 + reach * (q75 - q25) of its own values: it follows the group's spread and holds no constant of the metric's scale. Few
-values say little, so a fence is the mean of the group's own, weighed by its number of values, and that of its language,
-weighed by `prior`; a language leans on all documents in the same way. A source full of junk can't raise its cutoff at will:
-no fence lies beyond that of the wider group with twice the reach. A document is rejected when a metric lies over its
-fence, or when it fails the base rules.
+A sketch counts the values of a metric in buckets of relative width 1/64, those of zero apart, found by integer arithmetic,
+so two sketches merge by adding counts and give the same quantiles in any order. The upper fence of a group of documents is
+q75 + reach * (q75 - q25) of its own values over zero: it follows the group's spread and holds no constant of the metric's
+scale. Few values say little, so a fence is the mean of the group's own, weighed by its number of values, and that of its
+language, weighed by `prior`; a language leans on all documents in the same way. A source full of junk can't raise its
+cutoff at will: no fence lies beyond that of the wider group with twice the reach. Nor can junk that makes up most of the
+values over zero, where it stands apart: halfway between the median of all values, zeros among them, and one of the upper
+quantiles TOPS there is a cut if at least LEAST documents, and eight times as many as lie in the third below the cut, lie
+beyond it, if it is a tenth or more, and if the quantile is half again the median. No fence lies beyond the cut of its group
+or, where that has fewer than `prior` documents, of its language or in the same way of all. So junk of up to half of all documents is found wherever its level is, while values that thin
+out steadily have no cut. A document is rejected when a metric lies over
+its fence, or when it fails the base rules.
 
 Defined cases: a null text has no words and fails the base rules; null lang or source are groups of their own; rows that
 repeat count each; metrics without a value over zero anywhere reject nothing; an empty table gives an empty result; texts
@@ -27,6 +32,8 @@ BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Metrics as ratios of counts.
 METRICS = {"symbol_rate": ("n_symbols", "word_chars"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
 REACH, PRIOR = 3.0, 200
+#: Quantiles (of 1000) that may lie in a cluster of junk, how many documents one has, and the least cut.
+TOPS, LEAST, LOWEST = (999, 990, 970, 900, 750), 10, 0.1
 #: Buckets count in units of one millionth; 64 buckets for each power of two.
 UNIT, FINE = 1_000_000, 128
 #: Groups whose fences may go to all tasks; with more, rejected rows are taken out by a join.
@@ -110,19 +117,33 @@ def bucket(v: str):
 def sketches(x: DataFrame) -> DataFrame:
     """COUNTS with lang and source -> (lang, source, metric, bucket, n): sketches of two tables merge by their sum."""
     values = [F.struct(F.lit(m).alias("metric"), F.expr(f"({a} * {UNIT}) div greatest({b}, 1)").alias("v")) for m, (a, b) in METRICS.items()]
-    long = x.where(~base_failed()).select("lang", "source", F.explode(F.array(*values)).alias("x")).select("lang", "source", "x.*").where("v > 0")
+    long = x.where(~base_failed()).select("lang", "source", F.explode(F.array(*values)).alias("x")).select("lang", "source", "x.*")
     return long.select("lang", "source", "metric", bucket("v").alias("bucket")).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(found: DataFrame, *groups: str) -> DataFrame:
-    """(groups, metric, total, q25, q75) from merged sketches; a quantile is the middle of its bucket."""
+def value(b: str):
+    """The middle of a bucket."""
+    return (F.col(b) % FINE + 0.5) * F.pow(F.lit(2.0), F.expr(f"{b} div {FINE}")) / UNIT
+
+
+def quartiles(found: DataFrame, *groups: str, tops: tuple[int, ...] = TOPS, least: int = LEAST) -> DataFrame:
+    """(groups, metric, every, total, q25, q75, cut) from merged sketches; a quantile is the middle of its bucket.
+
+    total and the quartiles are of the values over zero; cut is the least one, null where there is none.
+    """
     merged = found.groupBy(*groups, "metric", "bucket").agg(F.sum("n").alias("n"))
     each = Window.partitionBy(*groups, "metric")
-    merged = merged.withColumns({"upto": F.sum("n").over(each.orderBy("bucket")), "total": F.sum("n").over(each)})
-    at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket")))
-    value = lambda b: (F.col(b) % FINE + 0.5) * F.pow(F.lit(2.0), F.expr(f"{b} div {FINE}")) / UNIT
-    out = merged.groupBy(*groups, "metric").agg(F.first("total").alias("total"), at(1).alias("b25"), at(3).alias("b75"))
-    return out.select(*groups, "metric", "total", value("b25").alias("q25"), value("b75").alias("q75"))
+    merged = merged.withColumns({"upto": F.sum("n").over(each.orderBy("bucket")), "every": F.sum("n").over(each), "zeros": F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(each), "v": value("bucket")})
+    of_all = lambda k: F.min(F.when(1000 * F.col("upto") >= k * F.col("every"), F.col("v"))).over(each)
+    merged = merged.withColumns({f"at{k}": of_all(k) for k in (500, *tops)})
+    low, middle = F.col("bucket") > 0, F.col("at500")
+    at = lambda k: F.min(F.when(low & (4 * (F.col("upto") - F.col("zeros")) >= k * (F.col("every") - F.col("zeros"))), F.col("v")))
+    cut = {k: middle + 0.5 * (F.col(f"at{k}") - middle) for k in tops}
+    beyond = lambda k: F.sum(F.when(F.col("v") > cut[k], F.col("n")).otherwise(0))
+    below = lambda k: F.sum(F.when((F.col("v") <= cut[k]) & (F.col("v") > middle + (F.col(f"at{k}") - middle) / 3), F.col("n")).otherwise(0))
+    apart = lambda k: F.first((cut[k] >= LOWEST) & (F.col(f"at{k}") >= 1.5 * middle))
+    cuts = [F.when(apart(k) & (beyond(k) >= least) & (8 * below(k) <= beyond(k)), F.first(cut[k])) for k in tops]
+    return merged.groupBy(*groups, "metric").agg(F.first("every").alias("every"), F.first(F.col("every") - F.col("zeros")).alias("total"), at(1).alias("q25"), at(3).alias("q75"), F.array_min(F.array_compact(F.array(*cuts))).alias("cut"))
 
 
 def fences(found: DataFrame, *, reach: float = REACH, prior: int = PRIOR) -> DataFrame:
@@ -132,20 +153,19 @@ def fences(found: DataFrame, *, reach: float = REACH, prior: int = PRIOR) -> Dat
         """A group's own fence leaning on the wider group's, and not beyond that one's with twice the reach."""
         own = F.col(q75) + reach * (F.col(q75) - F.col(q25))
         most = F.col(wide75) + 2 * reach * (F.col(wide75) - F.col(wide25))
-        return F.least((F.col(total) * own + prior * F.col(wide)) / (F.col(total) + prior), most)
-
-    named = lambda df, p: df.withColumnsRenamed({"total": f"{p}_n", "q25": f"{p}25", "q75": f"{p}75"})
-    every = named(quartiles(found), "all").withColumn("all_fence", F.col("all75") + reach * (F.col("all75") - F.col("all25")))
-    lang = named(quartiles(found, "lang"), "lang").join(every, "metric").withColumn("lang_fence", of("lang_n", "lang25", "lang75", "all_fence", "all25", "all75"))
-    lang = lang.withColumnsRenamed({"lang": "_lang", "metric": "_metric"})
-    fine = named(quartiles(found, "lang", "source"), "own")
-    # every group has a row for every metric of its language, if only with the language's fence
-    groups = found.select("lang", "source").distinct().join(lang, F.col("lang").eqNullSafe(F.col("_lang")))
-    fine = fine.withColumnsRenamed({"lang": "l2", "source": "s2", "metric": "m2"})
-    both = groups.join(fine, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("_metric") == F.col("m2")), "left")
-    fence = F.when(F.col("own_n").isNull(), F.col("lang_fence")).otherwise(of("own_n", "own25", "own75", "lang_fence", "lang25", "lang75"))
-    both = both.withColumn("fence", fence)
-    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("_metric") == m, F.col("fence"))).alias(f"max_{m}") for m in METRICS])
+        return F.when(F.col(total) > 0, F.least((F.col(total) * own + prior * F.col(wide)) / (F.col(total) + prior), most)).otherwise(F.col(wide))
+
+    named = lambda p, *groups: quartiles(found, *groups).withColumnsRenamed({"every": f"{p}_every", "total": f"{p}_n", "q25": f"{p}25", "q75": f"{p}75", "cut": f"{p}_cut"})
+    every = named("all").where("all_n > 0").withColumn("all_fence", F.col("all75") + reach * (F.col("all75") - F.col("all25")))
+    lang = named("lang", "lang").where("lang_n > 0").join(every, "metric")
+    cut = lambda p, wide: F.when(F.col(f"{p}_every") >= prior, F.col(f"{p}_cut")).otherwise(F.least(f"{p}_cut", wide))
+    lang = lang.withColumns({"lang_fence": of("lang_n", "lang25", "lang75", "all_fence", "all25", "all75"), "lang_cut": cut("lang", "all_cut")})
+    # a group has a row for every metric, and a fence where its language has one
+    fine = named("own", "lang", "source").withColumnsRenamed({"lang": "_lang", "source": "_source", "metric": "_metric"})
+    both = fine.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric")), "left")
+    fence = F.when(F.col("lang_fence").isNotNull(), F.least(of("own_n", "own25", "own75", "lang_fence", "lang25", "lang75"), cut("own", "lang_cut")))
+    both = both.select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_metric").alias("m"), fence.alias("fence"))
+    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("m") == m, F.col("fence"))).alias(f"max_{m}") for m in METRICS])
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -216,19 +236,24 @@ c AS (SELECT w.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 x AS (SELECT r, lang, source, base_failed, unnest([{'m': 'symbol_rate', 'a': n_symbols, 'b': word_chars}, {'m': 'dup_line_rate', 'a': n_dup_lines, 'b': n_lines},
         {'m': 'repeat_rate', 'a': n_repeat_words, 'b': n_words}, {'m': 'word_length', 'a': word_chars, 'b': n_words}], recursive := true) FROM b),
-y AS (SELECT lang, source, m, (a * 1000000) // greatest(b, 1) AS v FROM x WHERE NOT base_failed AND (a * 1000000) // greatest(b, 1) > 0),
+y AS (SELECT lang, source, m, (a * 1000000) // greatest(b, 1) AS v FROM x WHERE NOT base_failed),
 s AS (SELECT lang, source, m, greatest(0, length(bin(v)) - 7) * 128 + (v >> greatest(0, length(bin(v)) - 7)) AS k, count(*) AS n FROM y GROUP BY ALL),
 g AS (SELECT 0 AS level, NULL AS lang, NULL AS source, m, k, sum(n) AS n FROM s GROUP BY m, k
       UNION ALL SELECT 1, lang, NULL, m, k, sum(n) FROM s GROUP BY lang, m, k UNION ALL SELECT 2, lang, source, m, k, n FROM s),
-u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY k) AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS total FROM g),
-q AS (SELECT level, lang, source, m, CAST(any_value(total) AS DOUBLE) AS total, min(k) FILTER (WHERE 4 * upto >= total) AS k1, min(k) FILTER (WHERE 4 * upto >= 3 * total) AS k3 FROM u GROUP BY level, lang, source, m),
-z AS (SELECT level, lang, source, m, total, (k1 % 128 + 0.5::DOUBLE) * pow(2.0, k1 // 128) / 1000000 AS lo, (k3 % 128 + 0.5::DOUBLE) * pow(2.0, k3 // 128) / 1000000 AS hi FROM q),
-e AS (SELECT l.lang, l.m, l.lo, l.hi, least((l.total * (l.hi + 3.0::DOUBLE * (l.hi - l.lo)) + 200 * (a.hi + 3.0::DOUBLE * (a.hi - a.lo))) / (l.total + 200), a.hi + 6.0::DOUBLE * (a.hi - a.lo)) AS fence
-      FROM z l JOIN z a ON a.level = 0 AND a.m = l.m WHERE l.level = 1),
-f AS (SELECT o.lang, o.source, e.m, CASE WHEN z.total IS NULL THEN e.fence ELSE
-        least((z.total * (z.hi + 3.0::DOUBLE * (z.hi - z.lo)) + 200 * e.fence) / (z.total + 200), e.hi + 6.0::DOUBLE * (e.hi - e.lo)) END AS fence
-      FROM (SELECT DISTINCT lang, source FROM s) o JOIN e ON e.lang IS NOT DISTINCT FROM o.lang
-      LEFT JOIN z ON z.level = 2 AND z.lang IS NOT DISTINCT FROM o.lang AND z.source IS NOT DISTINCT FROM o.source AND z.m = e.m),
+u AS (SELECT *, (k % 128 + 0.5::DOUBLE) * pow(2.0, k // 128) / 1000000 AS v, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY k) AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS every,
+        sum(CASE WHEN k = 0 THEN n ELSE 0 END) OVER (PARTITION BY level, lang, source, m) AS zeros FROM g),
+q AS (SELECT level, lang, source, m, any_value(every) AS every, CAST(any_value(every) - any_value(zeros) AS DOUBLE) AS total, min(v) FILTER (WHERE k > 0 AND 4 * (upto - zeros) >= every - zeros) AS lo,
+        min(v) FILTER (WHERE k > 0 AND 4 * (upto - zeros) >= 3 * (every - zeros)) AS hi, min(v) FILTER (WHERE 1000 * upto >= 500 * every) AS mid FROM u GROUP BY level, lang, source, m),
+t AS (SELECT level, lang, source, m, p, min(v) FILTER (WHERE 1000 * upto >= p * every) AS top FROM u, (SELECT unnest([999, 990, 970, 900, 750]) AS p) ps GROUP BY level, lang, source, m, p),
+j AS (SELECT q.level, q.lang, q.source, q.m, p, top, mid, mid + 0.5::DOUBLE * (top - mid) AS cut, mid + (top - mid) / 3 AS below FROM q JOIN t ON t.level = q.level AND t.m = q.m AND t.lang IS NOT DISTINCT FROM q.lang AND t.source IS NOT DISTINCT FROM q.source),
+h AS (SELECT level, lang, source, m, min(cut) AS cut FROM (SELECT j.level, j.lang, j.source, j.m, j.p, any_value(j.cut) AS cut, any_value(j.cut >= 0.1::DOUBLE AND j.top >= 1.5::DOUBLE * j.mid) AS apart, coalesce(sum(n) FILTER (WHERE v > j.cut), 0) AS above, coalesce(sum(n) FILTER (WHERE v <= j.cut AND v > below), 0) AS under
+        FROM j JOIN u ON u.level = j.level AND u.m = j.m AND u.lang IS NOT DISTINCT FROM j.lang AND u.source IS NOT DISTINCT FROM j.source GROUP BY ALL) WHERE apart AND above >= 10 AND 8 * under <= above GROUP BY level, lang, source, m),
+z AS (SELECT q.*, h.cut FROM q LEFT JOIN h ON h.level = q.level AND h.m = q.m AND h.lang IS NOT DISTINCT FROM q.lang AND h.source IS NOT DISTINCT FROM q.source),
+e AS (SELECT l.lang, l.m, l.lo, l.hi, least((l.total * (l.hi + 3.0::DOUBLE * (l.hi - l.lo)) + 200 * (a.hi + 3.0::DOUBLE * (a.hi - a.lo))) / (l.total + 200), a.hi + 6.0::DOUBLE * (a.hi - a.lo)) AS fence, CASE WHEN l.every >= 200 THEN l.cut ELSE least(l.cut, a.cut) END AS cut
+      FROM z l JOIN z a ON a.level = 0 AND a.m = l.m WHERE l.level = 1 AND l.total > 0),
+f AS (SELECT z.lang, z.source, e.m, least(CASE WHEN z.every >= 200 THEN z.cut ELSE least(z.cut, e.cut) END, CASE WHEN z.total = 0 THEN e.fence ELSE
+        least((z.total * (z.hi + 3.0::DOUBLE * (z.hi - z.lo)) + 200 * e.fence) / (z.total + 200), e.hi + 6.0::DOUBLE * (e.hi - e.lo)) END) AS fence
+      FROM z JOIN e ON e.lang IS NOT DISTINCT FROM z.lang AND z.m = e.m WHERE z.level = 2),
 o AS (SELECT x.r, string_agg(x.m, ',' ORDER BY list_position(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length'], x.m)) AS over_fence
       FROM x JOIN f ON f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source AND f.m = x.m
       WHERE CAST(x.a AS DOUBLE) / greatest(x.b, 1) > f.fence GROUP BY x.r)

@@ -460,30 +460,42 @@ def brute_quality(rows):
         return ((v >> e) + 0.5) * 2.0**e / 1_000_000
 
     def quartiles(values):
-        values = sorted(values)
+        every = sorted(values)
+        values = [v for v in every if v > bucket(0)]
         at = lambda k: values[-(-k * len(values) // 4) - 1]
-        return (float(len(values)), at(1), at(3)) if values else None
+        of_all = lambda k: every[-(-k * len(every) // 1000) - 1]
+        cuts = []
+        for k in quality_rules.TOPS if every else ():
+            middle, rest = of_all(500), of_all(k) - of_all(500)
+            beyond = sum(v > middle + 0.5 * rest for v in every)
+            apart = middle + 0.5 * rest >= quality_rules.LOWEST and of_all(k) >= 1.5 * middle
+            if apart and beyond >= quality_rules.LEAST and 8 * sum(middle + rest / 3 < v <= middle + 0.5 * rest for v in every) <= beyond:
+                cuts.append(middle + 0.5 * rest)
+        return (float(len(values)), *((at(1), at(3)) if values else (None, None)), min(cuts, default=float("inf")), len(every))
 
     each = [counts(t) for _, t, *_ in rows]
     base = [c["n_words"] >= 20 and 100 * c["n_repeat_words"] <= 30 * c["n_words"] for c in each]
     good = list(base)
     for a, b in quality_rules.METRICS.values():
-        value = [bucket(v) if ok and (v := c[a] * 1_000_000 // max(c[b], 1)) else None for c, ok in zip(each, base, strict=True)]
+        value = [bucket(c[a] * 1_000_000 // max(c[b], 1)) if ok else None for c, ok in zip(each, base, strict=True)]
         of = lambda test, value=value: quartiles([v for v, r in zip(value, rows, strict=True) if v is not None and test(r)])
         every = of(lambda r: True)
-        if every is None:
+        if not every[0]:
             continue
 
         def fence(own, wide, wide_fence, reach=quality_rules.REACH, prior=quality_rules.PRIOR):
-            if own is None:
+            if not own[0]:
                 return wide_fence
             return min((own[0] * (own[2] + reach * (own[2] - own[1])) + prior * wide_fence) / (own[0] + prior), wide[2] + 2 * reach * (wide[2] - wide[1]))
 
+        cut = lambda own, wide: own[3] if own[4] >= quality_rules.PRIOR else min(own[3], wide)
         top = every[2] + quality_rules.REACH * (every[2] - every[1])
         for i, r in enumerate(rows):
             lang = of(lambda x, r=r: x[2] == r[2])
-            if lang:
-                good[i] &= not each[i][a] / max(each[i][b], 1) > fence(of(lambda x, r=r: x[2:4] == r[2:4]), lang, fence(lang, every, top))
+            if lang[0]:
+                own = of(lambda x, r=r: x[2:4] == r[2:4])
+                most = min(fence(own, lang, fence(lang, every, top)), cut(own, cut(lang, every[3])))
+                good[i] &= not each[i][a] / max(each[i][b], 1) > most
     return good
 
 
