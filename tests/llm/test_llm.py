@@ -563,7 +563,7 @@ def test_fences_follow_the_spread(spark):
     rng, rows = random.Random(8), []
     for i in range(800):
         wide = i % 2
-        words = [rng.choice("ab") * max(1, int(rng.gauss(8 if wide else 5, 2.4 if wide else 0.6))) + str(rng.randint(0, 10**6)) for _ in range(120)]
+        words = [rng.choice("ab") * max(1, int(rng.gauss(8 if wide else 5, 2.4 if wide else 0.6))) + str(rng.randint(0, 10**6)) for _ in range(rng.randint(100, 140))]
         for k in range(rng.randint(1, 1 + (30 if wide else 5))):
             words[k] = "#" + words[k]
         words += words[:9] if rng.random() < 0.7 else words[: rng.randint(9, 25 if wide else 11)]
