@@ -9,20 +9,11 @@ from pyspark.sql import functions as F
 
 from clinispark.functions import scores
 from clinispark.functions import text as T
+from clinispark.sources import lexicon
 from clinispark.sources.tables import parts, small
 
-#: The labels of a rubric record, and the endings that a frequency loses.
+#: The labels of a rubric record.
 LABELS = ("Rubric ID:", "Category ID:", "Criterion:")
-MEAL_LEADS, MEALS, MEAL_STEMS = ("before", "after", "with"), ("food", "meal", "meals"), ("eat",)
-SPANS = ("day", "week", "month")
-
-
-def _any(words, tail: str = "") -> str:
-    return "|".join(f"{w}{tail}" for w in words)
-
-
-#: A blank, a lead and a meal; or a blank, `for`, a number and a span of time in any form.
-SUFFIX = rf"(?i)\s+(?:{_any(MEAL_LEADS)})\s+(?:{_any(sorted(MEALS, key=len, reverse=True))}|{_any(MEAL_STEMS, tail=chr(92) + 'w*')})|\s+for\s+\d+\s+(?:{_any(SPANS)})\w*"
 
 FIELDS = {"medications": ("drug", "dose", "frequency", "timing"), "symptoms": ("name", "severity"), "vitals": ("name", "value"), "diagnosis": ("term", "status")}
 
@@ -43,10 +34,35 @@ def parse(notes: DataFrame) -> DataFrame:
     return found.select("note_id", F.col("number").cast("long").alias("rubric_id"), F.lower("category").alias("category"), "criterion")
 
 
-def frequency_group(values: DataFrame, frequencies: DataFrame) -> DataFrame:
+def without_endings(value: Column, endings: list[tuple] = lexicon.ENDINGS) -> Column:
+    """value as words between single blanks, less every ending of the lexicon that stands in it.
+
+    An ending is a lead word, whether a number follows, and a word; where the lexicon says so, longer forms of that word too.
+    """
+    words = T.words(value)
+    low = F.transform(words, F.lower)
+
+    def at(x: Column, i: Column) -> Column:
+        """How many words an ending takes that begins at place i, else 0."""
+        word = lambda k: F.coalesce(F.get(x, i + k), F.lit(""))
+        out = F.lit(0)
+        for lead, number, last, longer in endings:
+            k = 2 if number else 1
+            fits = word(k).startswith(last) if longer else word(k) == last
+            out = F.when((word(0) == lead) & fits & (word(1).rlike("^[0-9]+$") if number else F.lit(True)), k + 1).otherwise(out)
+        return F.when(i > 0, out).otherwise(0)
+
+    def cut(x: Column) -> Column:
+        marks = F.transform(x["low"], lambda _, i: at(x["low"], i))
+        inside = lambda i: F.exists(F.sequence(F.lit(0), F.lit(2)), lambda k: (i >= k) & (F.coalesce(F.get(marks, i - k), F.lit(0)) > k))
+        return F.array_join(F.filter(x["words"], lambda _, i: ~inside(i)), " ")
+
+    return T.let(F.struct(words.alias("words"), low.alias("low")), cut)
+
+
+def frequency_group(values: DataFrame, frequencies: DataFrame, endings: list[tuple] = lexicon.ENDINGS) -> DataFrame:
     """values (value, normalised) -> value, grp: its frequency group by whole text, a slash part, or the longest key within."""
-    bare = F.trim(F.regexp_replace("value", SUFFIX, ""))
-    each = values.select("value").distinct().withColumn("bare", bare)
+    each = values.select("value").distinct().withColumn("bare", without_endings(F.col("value"), endings))
     inside = functools.reduce(DataFrame.unionByName, [each.join(p, F.col("bare").contains(F.col("key"))) for p in parts(frequencies)])
     place = F.array_position(F.transform(F.split("bare", "/"), lambda p: F.trim(p)), F.col("key"))
     rank = F.when(F.col("bare") == F.col("key"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")))
