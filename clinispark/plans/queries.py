@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clinispark.functions import scores, spans
 from clinispark.functions import text as T
-from clinispark.operators import concepts, drugs, metrics, roles, rubrics
+from clinispark.operators import concepts, drugs, intervals, metrics, roles, rubrics
 from clinispark.plans.catalog import query
 from clinispark.sources import lexicon
 from clinispark.sources.tables import head, scan, shown, table, take
@@ -311,3 +311,35 @@ def _(spark, sf):
 @query("transcript_tokens", "SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda t: lower(t))), lambda t: length(t) >= 4 AND t NOT IN ('doctor', 'patient', 'unknown'))), ' ') AS tokens FROM conversations")
 def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.long_latin_tokens(F.col("text"))), " ").alias("tokens"))
+
+
+GAP = 6 * 3600 * 10**6
+SESSIONS = f"""e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+ g AS (SELECT user_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {GAP} THEN 1 ELSE 0 END AS new FROM e),
+ r AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS session FROM g),
+ s AS MATERIALIZED (SELECT user_id, CAST(session AS INT) AS session, min(t) AS a, max(t) AS b FROM r GROUP BY ALL)"""
+
+
+def _sessions(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return intervals.sessions(e, "user_id", "at", GAP)
+
+
+# Sessions of users with an even number against those of the others: which one each overlaps most, ties to the earlier.
+@query("session_overlap", f"""WITH {SESSIONS}, p AS (SELECT x.user_id, x.session, y.user_id AS other, y.session AS other_session, least(x.b, y.b) - greatest(x.a, y.a) AS overlap, y.a FROM s x JOIN s y
+   ON x.user_id % 2 = 0 AND y.user_id % 2 = 1 AND x.a < y.b AND y.a < x.b AND x.a < x.b AND y.a < y.b),
+ k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id, session ORDER BY overlap DESC, a, other) = 1)
+ SELECT s.user_id, s.session, k.other, k.other_session, k.overlap FROM s LEFT JOIN k ON k.user_id = s.user_id AND k.session = s.session WHERE s.user_id % 2 = 0""")
+def _(spark, sf):
+    s = _sessions(spark, sf)
+    found = intervals.largest(s.where("user_id % 2 = 0"), s.where("user_id % 2 = 1"), [], ["user_id", "session"], ["start", "user_id"])
+    return found.select("left.user_id", "left.session", F.col("right.user_id").alias("other"), F.col("right.session").alias("other_session"), "overlap")
+
+
+# How long each session of a user shares with sessions of others in the same hundred of users.
+@query("shared_time", f"""WITH {SESSIONS} SELECT x.user_id, x.session, count(*) AS n, CAST(sum(least(x.b, y.b) - greatest(x.a, y.a)) AS BIGINT) AS shared
+ FROM s x JOIN s y ON x.user_id // 100 = y.user_id // 100 AND x.user_id <> y.user_id AND x.a < y.b AND y.a < x.b AND x.a < x.b AND y.a < y.b GROUP BY ALL""")
+def _(spark, sf):
+    s = _sessions(spark, sf).withColumn("hundred", F.expr("user_id div 100"))
+    pairs = intervals.overlaps(s, s, ["hundred"]).where("left.user_id <> right.user_id")
+    return pairs.groupBy("left.user_id", "left.session").agg(F.count("*").alias("n"), F.sum("overlap").alias("shared"))
