@@ -12,61 +12,36 @@ from pyspark.sql.window import Window
 
 from clinispark.functions import spans
 from clinispark.functions import text as T
+from clinispark.operators import metric_index
 from clinispark.sources import backends
 from clinispark.sources.tables import small
 
 LEAST, MARGIN = 0.65, 0.05
 #: Bytes of reference vectors that may go to every task.
 REFERENCE_BYTES = 64 << 20
-#: Vectors of a block, and how many of them are multiplied at a time.
-BLOCK, SLICE = 2048, 256
+#: Vectors that are multiplied at a time with a block.
+SLICE = 256
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """Blocks of vectors: each other column as an array, the vectors as bytes. Null vectors and those with a null stay out."""
-    keys = [c for c in rows.columns if c != "embedding"]
-    kinds = ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in keys)
-
-    def pack(batches):
-        for pdf in batches:
-            pdf = pdf[[x is not None and bool(np.isfinite(np.asarray(x, float)).all()) for x in pdf["embedding"]]]
-            for width, part in pdf.groupby(pdf["embedding"].map(len)):
-                for i in range(0, len(part), BLOCK):
-                    some = part.iloc[i : i + BLOCK]
-                    yield pd.DataFrame([{**{c: some[c].to_numpy() for c in keys}, "width": width, "vectors": np.stack(some["embedding"]).astype("<f8").tobytes()}])
-
-    return rows.mapInPandas(pack, f"{kinds}, width int, vectors binary")
-
-
-def _products(left: DataFrame, right: DataFrame, key: str, out: str, allow) -> DataFrame:
-    """The best allowed vector of each block of `right` for each row of `left`, as `out` and similarity.
+def _scored(pairs: DataFrame, left: list[str], right: list[str], key: str, out: str, kinds: str, allow) -> DataFrame:
+    """Of each pair of blocks, the best allowed right vector for each left one, as right's keys and similarity, with the cell.
 
     allow(l, r) gives a mask from the key arrays, l's as columns. Block products only find who may be best; the similarity
-    is then summed in the order of scores.dot, so equal vectors tie exactly. Only vectors of one length meet.
+    is then summed in the order of scores.dot, so equal vectors tie exactly.
     """
-    lefts, rights = [c for c in left.columns if c != "embedding"], [c for c in right.columns if c != "embedding"]
-    size = right.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
-    spread = left.repartition(max(1, -(-left.count() // BLOCK)))
-    packed = _packed(right).withColumnsRenamed({c: f"_{c}" for c in [*rights, "width", "vectors"]})
-    pairs = _packed(spread).withColumn("block", F.monotonically_increasing_id()).crossJoin(F.broadcast(packed) if size <= REFERENCE_BYTES else packed)
 
     def compare(batches):
-        held, block = None, None
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                if row["block"] != block:  # the pairs of a left block follow one another
-                    if held is not None:
-                        yield held.drop(columns="at")
-                    held, block = None, row["block"]
                 if row["width"] != row["_width"]:
                     continue
-                a, b = (np.frombuffer(row[v]).reshape(-1, row["width"]) for v in ("vectors", "_vectors"))
-                ids = {c: np.asarray(row[f"_{c}"]) for c in rights}
+                a, b = (np.frombuffer(row[v]).reshape(len(row[k]), row["width"]) for v, k in (("vectors", left[0]), ("_vectors", f"_{right[0]}")))
+                ids = {c: np.asarray(row[f"_{c}"]) for c in right}
                 rank = np.unique(ids[out], return_inverse=True)[1]
                 slack = 4 * np.finfo(float).eps * row["width"] * np.linalg.norm(b, axis=1).max()
                 for i in range(0, len(a), SLICE):
                     x = a[i : i + SLICE]
-                    mine = {c: np.asarray(row[c])[i : i + SLICE] for c in lefts}
+                    mine = {c: np.asarray(row[c])[i : i + SLICE] for c in left}
                     dots = x @ b.T
                     dots[~allow({c: v[:, None] for c, v in mine.items()}, ids)] = -np.inf
                     top = dots.max(axis=1)
@@ -76,13 +51,37 @@ def _products(left: DataFrame, right: DataFrame, key: str, out: str, allow) -> D
                         exact += x[r, k] * b[c, k]
                     order = np.lexsort((rank[c], -exact, r))
                     order = order[np.unique(r[order], return_index=True)[1]]
-                    new = pd.DataFrame({key: mine[key][r[order]], **{n: v[c[order]] for n, v in ids.items()}, "similarity": exact[order], "at": i + r[order]})
-                    held = pd.concat([held, new]).sort_values(["at", "similarity", out], ascending=[True, False, True]).drop_duplicates("at")
-        if held is not None:
-            yield held.drop(columns="at")
+                    yield pd.DataFrame({key: mine[key][r[order]], **{n: v[c[order]] for n, v in ids.items()}, "similarity": exact[order], "cell": row["cell"]}).astype({"cell": "int32"})
 
-    kinds = ", ".join(f"{c} {right.schema[c].dataType.simpleString()}" for c in rights)
-    return pairs.mapInPandas(compare, f"{key} {left.schema[key].dataType.simpleString()}, {kinds}, similarity double")
+    return pairs.mapInPandas(compare, f"{kinds}, similarity double, cell int")
+
+
+def _products(left: DataFrame, right: DataFrame, key: str, out: str, allow, *, pivots: dict | None = None) -> DataFrame:
+    """The best allowed vector of `right` in each pair of blocks that can hold it, for each row of `left`.
+
+    Only vectors of one length meet. The right blocks are measured before they are broadcast.
+    """
+    spark = left.sparkSession
+    lefts, rights = [c for c in left.columns if c != "embedding"], [c for c in right.columns if c != "embedding"]
+    kinds = ", ".join([f"{key} {left.schema[key].dataType.simpleString()}", *[f"{c} {right.schema[c].dataType.simpleString()}" for c in rights]])
+    pivots = metric_index.choose_pivots(right) if pivots is None else pivots
+    a, b = metric_index.Cells(left, pivots), metric_index.Cells(right, pivots)
+    size = right.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
+    mine, others = a.blocks(), b.blocks("_")
+
+    def met(pairs: list) -> DataFrame:
+        both = mine.join(F.broadcast(metric_index.tiles(a, b, pairs, spark)), "cell").join(F.broadcast(others) if size <= REFERENCE_BYTES else others, "_cell")
+        return _scored(both, lefts, rights, key, out, kinds, allow)
+
+    top, middle = metric_index.bounds(a, b)
+    if len(b.cell) < 4:  # too few cells to leave any out
+        return met(metric_index.other_pairs(top, np.full(len(a.cell), -np.inf), [])).drop("cell")
+    done = metric_index.first_pairs(middle)
+    near = met(done)
+    # of a cell some of whose vectors have found nothing yet, all pairs remain
+    held = {r.cell: r.least for r in near.groupBy("cell", key).agg(F.max("similarity").alias("s")).groupBy("cell").agg(F.min("s").alias("least"), F.count("*").alias("n")).collect() if r.n == a.count[np.searchsorted(a.cell, r.cell)]}
+    least = np.array([held.get(int(c), -np.inf) for c in a.cell])
+    return near.unionByName(met(metric_index.other_pairs(top, least, done))).drop("cell")
 
 
 def nearest(found: DataFrame, references: DataFrame, *, apart: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clinispark.functions import fuzzy, spans
 from clinispark.functions import text as T
+from clinispark.operators import substrings
 from clinispark.sources import lexicon
 from clinispark.sources.tables import parts, small
 
@@ -36,9 +37,12 @@ def validate(names: DataFrame, drugs: DataFrame, forms=lexicon.FORMS) -> DataFra
     todo = todo.withColumn("bare", T.normalize_name(strip_forms(F.col("norm"), forms))).withColumn("work", F.coalesce(T.falsy_to_null(F.col("bare")), "norm"))
     exact = todo.join(each.withColumnRenamed("_drug", "_a"), F.col("norm") == F.col("_a"), "left").join(each.withColumnRenamed("_drug", "_b"), F.col("bare") == F.col("_b"), "left")
     exact = exact.withColumn("tier", F.when(F.col("_a").isNotNull(), 1).when(F.col("_b").isNotNull(), 2)).drop("_a", "_b")
-    inside = (F.length("work") >= LONG) & (F.length("_drug") >= LONG) & (F.col("_drug").contains(F.col("work")) | F.col("work").contains(F.col("_drug")))
     rest = exact.where("tier IS NULL")
-    third = _union([rest.join(p, inside, "left_semi").select("name") for p in parts(known)]).distinct().withColumn("t3", F.lit(3))
+    ours = rest.where(F.length("work") >= LONG).select("work").distinct()
+    theirs = known.where(F.length("_drug") >= LONG)
+    holding = substrings.containments(theirs.select(F.col("_drug").alias("text")), ours.withColumnRenamed("work", "pattern")).select(F.col("pattern").alias("work"))
+    held = substrings.containments(ours.withColumnRenamed("work", "text"), theirs.select(F.col("_drug").alias("pattern"))).select(F.col("text").alias("work"))
+    third = rest.join(holding.unionByName(held).distinct(), "work", "left_semi").select("name").withColumn("t3", F.lit(3))
     long_tokens = F.filter(T.name_tokens(F.col("work")), lambda t: F.length(t) >= LONG)
     drug_tokens = small(drugs.select(F.explode(T.name_tokens(F.col("drug"))).alias("_token")).distinct())
     fourth = rest.select("name", F.explode(long_tokens).alias("_token")).join(drug_tokens, "_token", "left_semi").select("name", F.lit(4).alias("t4")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clinispark.functions import scores
 from clinispark.functions import text as T
-from clinispark.operators import concepts
+from clinispark.operators import concepts, metric_index
 from clinispark.plans import catalog
 from clinispark.plans import queries as _registered  # noqa: F401  fills the catalog
 from test_functions import edits
@@ -58,7 +58,8 @@ def vectors():
 
 
 def test_vectors_against_all_others(spark, sf, monkeypatch):
-    monkeypatch.setattr(concepts, "BLOCK", 50)
+    monkeypatch.setattr(metric_index, "BLOCK", 50)
+    monkeypatch.setattr(metric_index, "CELL", 30)
     monkeypatch.setattr(concepts, "SLICE", 16)
     rows = vectors()
     at = sf(embeddings=(rows, "vec_id long, embedding array<double>, label int"))
