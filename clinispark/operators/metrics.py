@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinispark.functions import scores
+from clinispark.functions import alignment, scores
 from clinispark.functions import text as T
 
 
@@ -95,3 +95,16 @@ def corpus_wer(pairs: DataFrame, reference: str = "reference", hypothesis: str =
     p = pairs.select(T.words(T.normalize_text(F.col(reference))).alias("r"), T.words(T.normalize_text(F.col(hypothesis))).alias("h")).where(F.size("r") > 0)
     sums = p.agg(F.coalesce(F.sum(scores.word_edits(F.col("r"), F.col("h"))), F.lit(0)).alias("edits"), F.coalesce(F.sum(F.size("r")), F.lit(0)).cast("long").alias("words"))
     return sums.withColumn("wer", scores.rate(F.col("edits"), F.col("words"), 4))
+
+
+def error_kinds(pairs: DataFrame, reference: str = "r", hypothesis: str = "h") -> DataFrame:
+    """pairs with hits, substitutions, deletions and insertions of their word arrays."""
+    return pairs.withColumn("_k", alignment.word_errors(F.col(reference), F.col(hypothesis))).select(*pairs.columns, "_k.*")
+
+
+def error_split(kinds: DataFrame, digits: int = 4) -> DataFrame:
+    """Sums of the kinds, and the share of each in all reference words."""
+    names = ("hits", "substitutions", "deletions", "insertions")
+    sums = kinds.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    words = F.col("hits") + F.col("substitutions") + F.col("deletions")
+    return sums.select(*names, *[scores.rate(F.col(n), words, digits).alias(f"{n}_rate") for n in names[1:]])

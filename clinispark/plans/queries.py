@@ -343,3 +343,20 @@ def _(spark, sf):
     s = _sessions(spark, sf).withColumn("hundred", F.expr("user_id div 100"))
     pairs = intervals.overlaps(s, s, ["hundred"]).where("left.user_id <> right.user_id")
     return pairs.groupBy("left.user_id", "left.session").agg(F.count("*").alias("n"), F.sum("overlap").alias("shared"))
+
+
+# Kinds of word errors of each document against the next, whole texts. Edits can be told in SQL by letters for words only where
+# few words are shared, and the kinds not at all: tests hold the rows against a full table with traceback.
+def _kinds(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.words(T.normalize_text(F.col("text"))).alias("w"))
+    return metrics.error_kinds(with_next(d, "w").where("has_next").select("doc_id", F.col("w").alias("r"), F.col("next_w").alias("h"))).drop("r", "h")
+
+
+@query("word_errors")
+def _(spark, sf):
+    return _kinds(spark, sf)
+
+
+@query("word_error_split")
+def _(spark, sf):
+    return metrics.error_split(_kinds(spark, sf))
