@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clinispark.functions import scores, spans
+from clinispark.functions import scores, spans, variants
 from clinispark.functions import text as T
 from clinispark.operators import concepts, drugs, intervals, metrics, roles, rubrics
 from clinispark.plans.catalog import query
@@ -264,7 +264,7 @@ def _(spark, sf):
  SELECT a.doc_id, len(a.w) > 0 AND coalesce(bool_and(list_contains(g.w, g) OR len(list_filter(g.w, lambda c: length(g) >= 3 AND length(c) >= 3 AND (starts_with(g, c) OR starts_with(c, g)))) > 0), true) AS covered
  FROM ({SIDE}) a JOIN ({SIDE}) b ON b.doc_id = a.doc_id + 1 LEFT JOIN g ON g.doc_id = a.doc_id GROUP BY a.doc_id, a.w""")
 def _(spark, sf):
-    return _sides(spark, sf).select("doc_id", scores.covered(F.col("a"), F.col("b")).alias("covered"))
+    return rubrics.covered(_sides(spark, sf), "doc_id", "a", "b")
 
 
 @query("category_rollup", """SELECT coalesce(category, 'ALL') AS category, total, representable, matched, CASE WHEN representable > 0 THEN round(matched / representable, 3) WHEN g = 1 THEN 0.0 END AS recall FROM (
@@ -360,3 +360,16 @@ def _(spark, sf):
 @query("word_error_split")
 def _(spark, sf):
     return metrics.error_split(_kinds(spark, sf))
+
+
+@query("event_fields", """SELECT event_id, CASE WHEN NOT json_valid(props) THEN 'malformed' WHEN json_type(props, '$.k') IS NULL THEN 'absent' WHEN json_type(props, '$.k') = 'NULL' THEN 'null' ELSE 'value' END AS state,
+ TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL""")
+def _(spark, sf):
+    e = table(spark, sf, "events").where("props IS NOT NULL")
+    return e.select("event_id", variants.state(F.col("props"), "$.k").alias("state"), variants.value(F.col("props"), "$.k", "bigint").alias("k"))
+
+
+@query("event_shapes", """SELECT event_type, 'OBJECT<k: ' || CASE WHEN bool_and(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')) THEN 'BIGINT' ELSE 'VARIANT' END || '>' AS shape, count(*) AS n
+ FROM events WHERE json_valid(props) GROUP BY event_type""")
+def _(spark, sf):
+    return variants.shapes(table(spark, sf, "events"), "props", "event_type")
