@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from clinispark.functions import spans
 from clinispark.functions import text as T
@@ -133,11 +132,17 @@ def gloss_turns(turns: DataFrame, matches: DataFrame) -> DataFrame:
     return joined.withColumn("text", spans.gloss(F.col("text"), T.words(F.col("text")), chosen)).drop("matches")
 
 
+#: Wordings that a concept has at most.
+WORDINGS = 1 << 20
+
+
 def reference_terms(concepts: DataFrame) -> DataFrame:
-    """concepts (concept_idx, term, variants) -> (ref_idx, concept_idx, text): each term, then its variants, in order."""
+    """concepts (concept_idx, term, variants) -> (ref_idx, concept_idx, text): each term, then its variants, in order.
+
+    Numbers ascend in that order, with gaps between concepts, so no row waits for another.
+    """
     each = concepts.select("concept_idx", F.posexplode(F.concat(F.array("term"), F.coalesce("variants", F.array().cast("array<string>")))).alias("nth", "text"))
-    order = Window.partitionBy(F.lit(0)).orderBy("concept_idx", "nth")  # a lexicon: as many rows as it has wordings
-    return each.select((F.row_number().over(order) - 1).alias("ref_idx"), "concept_idx", "text")
+    return each.select((F.col("concept_idx").cast("long") * WORDINGS + F.col("nth")).alias("ref_idx"), "concept_idx", "text")
 
 
 def embedding_matches(turns: DataFrame, concepts: DataFrame, embedder: Callable, *, least: float = LEAST, margin: float = MARGIN) -> DataFrame:

@@ -40,17 +40,31 @@ def spoken(turns: DataFrame) -> DataFrame:
     return turns.where("text <> ''")
 
 
+#: Turns that are put together at once; the pieces then are.
+PIECE = 1024
+
+
+def joined(turns: DataFrame, text: Column, between: str, name: str) -> DataFrame:
+    """The texts of each recording in order of turn_idx, with `between` between them.
+
+    Turns are joined in pieces of PIECE numbers, on every task that holds some of a recording, and pieces then in order, so
+    a long recording is no single list of turns. Null texts count as not there.
+    """
+    order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["said"]), between)
+    each = turns.select("recording_id", F.floor(F.col("turn_idx") / PIECE).alias("piece"), F.struct("turn_idx", text.alias("said")).alias("turn"))
+    pieces = each.groupBy("recording_id", "piece").agg(order("turn").alias("said"), F.count("turn.said").alias("n"))
+    kept = F.when(F.col("n") > 0, F.col("said"))  # a piece of null texts only adds nothing, not even what stands between
+    return pieces.select("recording_id", F.struct("piece", kept.alias("said")).alias("turn")).groupBy("recording_id").agg(order("turn").alias(name))
+
+
 def transcripts(turns: DataFrame) -> DataFrame:
     """turns (recording_id, turn_idx, speaker_role, text) -> one text a recording, a tagged line a turn."""
-    line = F.concat(F.lit("["), "speaker_role", F.lit("]: "), "text")
-    held = F.array_sort(F.collect_list(F.struct("turn_idx", line.alias("line"))))
-    return turns.groupBy("recording_id").agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("transcript"))
+    return joined(turns, F.concat(F.lit("["), "speaker_role", F.lit("]: "), "text"), "\n", "transcript")
 
 
 def hypotheses(turns: DataFrame) -> DataFrame:
     """turns (recording_id, turn_idx, text) -> the texts of a recording in order, joined by blanks."""
-    held = F.array_sort(F.collect_list(F.struct("turn_idx", "text")))
-    return turns.groupBy("recording_id").agg(F.trim(F.array_join(F.transform(held, lambda x: x["text"]), " ")).alias("hypothesis"))
+    return joined(turns, F.col("text"), " ", "hypothesis").withColumn("hypothesis", F.trim("hypothesis"))
 
 
 def speaker_count(segments: DataFrame) -> DataFrame:

@@ -31,13 +31,15 @@ def take(df: DataFrame, key: str, wanted: list) -> DataFrame:
     return df.join(F.broadcast(places), key)
 
 
-#: Rows of a lexicon that may go to every task.
-SMALL = 200_000
+#: Rows of a lexicon that may go to every task, and their bytes.
+SMALL, SMALL_BYTES = 200_000, 64 << 20
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows, else left to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows of at most `size` bytes in all, else left to be joined by a shuffle."""
+    bytes_ = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))
+    rows, held = df.limit(most + 1).agg(F.count("*"), bytes_).first()
+    return F.broadcast(df) if rows <= most and held <= size else df
 
 
 def parts(df: DataFrame, most: int = SMALL) -> list[DataFrame]:
