@@ -37,10 +37,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return T.let(sides, lambda x: F.when((x["a"] == 0) | (x["b"] == 0), 0.0).otherwise(x["both"] / (x["a"] + x["b"] - x["both"])))
 
 
+def prefixes(tokens: Column, least: int = 3) -> Column:
+    """Distinct beginnings of `least` characters or more of all tokens, whole ones among them."""
+    cuts = lambda t: F.when(F.length(t) >= least, F.transform(F.sequence(F.lit(least), F.length(t)), lambda n: F.substr(t, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(tokens, cuts)))
+
+
 def covered(gold: Column, candidate: Column, least: int = 3) -> Column:
-    """Each gold token equals a candidate token, or one begins the other and both have `least` characters."""
-    close = lambda g, c: (g == c) | ((F.length(g) >= least) & (F.length(c) >= least) & (g.startswith(c) | c.startswith(g)))
-    return (F.size(gold) > 0) & F.forall(gold, lambda g: F.exists(candidate, lambda c: close(g, c)))
+    """Each gold token equals a candidate token, or one begins the other and both have `least` characters.
+
+    Sets of prefixes decide, so the work grows with the tokens and not with pairs of them: gold tokens that are candidates or
+    begin one fall out; for the others, only candidates among their own prefixes are looked at.
+    """
+    sides = F.struct(candidate.alias("c"), F.array_except(F.array_except(gold, candidate), prefixes(candidate, least)).alias("rest"))
+    held = lambda x: F.struct(x["rest"].alias("rest"), F.array_intersect(prefixes(x["rest"], least), x["c"]).alias("begins"))
+    all_begun = lambda y: F.forall(y["rest"], lambda g: F.exists(y["begins"], lambda p: g.startswith(p)))
+    return (F.size(gold) > 0) & T.let(T.let(sides, held), all_begun)
 
 
 def dot(a: Column, b: Column) -> Column:

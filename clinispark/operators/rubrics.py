@@ -78,29 +78,6 @@ def close(gold: Column, candidate: Column, least: float = 0.5) -> Column:
     return (gold != "") & (candidate != "") & (candidate.contains(gold) | gold.contains(candidate) | (scores.jaccard(F.array_distinct(g), F.array_distinct(c)) >= least) | scores.covered(g, c))
 
 
-def prefixes(token: Column, least: int = 3) -> Column:
-    """The token, and its beginnings of `least` characters or more."""
-    cuts = F.when(F.length(token) > least, F.sequence(F.lit(least), F.length(token) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.transform(cuts, lambda n: F.substr(token, F.lit(1), n)), F.array(token))
-
-
-def covered(pairs: DataFrame, key: str, gold: str, candidate: str, least: int = 3) -> DataFrame:
-    """pairs (key, arrays of gold and candidate tokens) -> (key, covered): whether each gold token equals a candidate token,
-    or one begins the other and both have `least` characters; none is covered where there is no gold token.
-
-    Each side's tokens go under all their prefixes, and an equality finds the other side's token among them: the work grows
-    with the tokens, not with pairs of them. A row's key must be its own.
-    """
-    g = pairs.select(key, F.explode(F.array_distinct(gold)).alias("g"))
-    c = pairs.select(key, F.explode(F.array_distinct(candidate)).alias("c"))
-    begun = c.select(key, F.explode(prefixes(F.col("c"), least)).alias("g")).distinct()  # g begins a candidate, or is one
-    left = g.join(begun, [key, "g"], "left_anti")
-    found = left.select(key, "g", F.explode(prefixes(F.col("g"), least)).alias("c")).join(c, [key, "c"]).select(key, "g").distinct()
-    bare = left.join(found, [key, "g"], "left_anti").select(key).distinct().withColumn("_bare", F.lit(True))
-    out = pairs.select(key, (F.size(gold) > 0).alias("_some")).join(bare, key, "left")
-    return out.select(key, (F.col("_some") & F.col("_bare").isNull()).alias("covered"))
-
-
 def note_values(notes: DataFrame) -> DataFrame:
     """notes -> (note_id, field, value), one row a value."""
     entry = lambda field: lambda v: F.struct(F.lit(field).alias("field"), v.cast("string").alias("value"))
