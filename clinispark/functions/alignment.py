@@ -10,46 +10,68 @@ from pyspark.sql import functions as F
 KINDS = "struct<hits: bigint, substitutions: bigint, deletions: bigint, insertions: bigint>"
 #: A base of weights: of alignments with the fewest edits that with the most hits counts, so the kinds are unique.
 _EDIT = np.int64(1) << 32
+#: Numbers of a row of tables that are worked on at once.
+CELLS = 1 << 16
 
 
-def _last_row(r: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Costs of aligning r with every beginning of h; a cost is edits * _EDIT minus hits, one row of the table at a time."""
-    at = np.arange(len(h) + 1, dtype=np.int64) * _EDIT
-    ramp = at.copy()
-    for i, word in enumerate(r, 1):
-        step = at[:-1] + np.where(h == word, np.int64(-1), _EDIT)
-        new = np.minimum(at + _EDIT, np.concatenate([[i * _EDIT], step]))
-        at = np.minimum.accumulate(new - ramp) + ramp  # insertions run along the row
-    return at
+def _costs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """Least cost of each pair; a cost is edits * _EDIT minus hits. One row of each pair's table is held, all pairs at a time."""
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    r, h = np.full((len(pairs), n.max(initial=0)), -1), np.full((len(pairs), m.max(initial=0)), -2)
+    for i, (x, y) in enumerate(pairs):
+        r[i, : len(x)], h[i, : len(y)] = x, y
+    ramp = np.arange(h.shape[1] + 1, dtype=np.int64) * _EDIT
+    at, out = np.tile(ramp, (len(pairs), 1)), m * _EDIT
+    for i in range(r.shape[1]):
+        new = at + _EDIT
+        np.minimum(new[:, 1:], at[:, :-1] + np.where(h == r[:, i : i + 1], np.int64(-1), _EDIT), out=new[:, 1:])
+        at = np.minimum.accumulate(new - ramp, axis=1) + ramp  # insertions run along the row
+        done = n == i + 1
+        out[done] = at[done, m[done]]
+    return out.tolist()
 
 
-def kinds(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int, int]:
-    """(hits, substitutions, deletions, insertions): fewest edits, then most hits.
+def kinds_of(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[int, int, int, int]]:
+    """(hits, substitutions, deletions, insertions) of each (reference, hypothesis): fewest edits, then most hits.
 
     With both, the lengths of the two sides fix the kinds: n = hits + subs + dels and m = hits + subs + ins.
     """
-    ids: dict[str, int] = {}
-    r, h = (np.array([ids.setdefault(w, len(ids)) for w in x], np.int64) for x in (reference, hypothesis))
-    n, m, hits = len(r), len(h), 0
-    short = min(n, m)
-    differ = np.flatnonzero(r[:short] != h[:short])
-    a = int(differ[0]) if len(differ) else short  # equal ends align in any case
-    differ = np.flatnonzero(r[a:][::-1][: short - a] != h[a:][::-1][: short - a])
-    b = int(differ[0]) if len(differ) else short - a
-    r, h, hits = r[a : n - b], h[a : m - b], a + b
-    if len(r) > len(h):  # the shorter side's words make the steps
-        cost = int(_last_row(h, r)[-1])
-    else:
-        cost = int(_last_row(r, h)[-1])
-    edits = -(-cost // int(_EDIT))
-    hits += edits * int(_EDIT) - cost
-    # n + m = 2 * (hits + subs) + dels + ins, and edits = subs + dels + ins
-    subs = n + m - 2 * hits - edits
-    return hits, subs, n - hits - subs, m - hits - subs
+    left, ends = [], []
+    for reference, hypothesis in pairs:
+        ids: dict[str, int] = {}
+        r, h = (np.array([ids.setdefault(w, len(ids)) for w in x], np.int64) for x in (reference, hypothesis))
+        short = min(len(r), len(h))
+        differ = np.flatnonzero(r[:short] != h[:short])
+        a = int(differ[0]) if len(differ) else short  # equal ends align in any case
+        differ = np.flatnonzero(r[a:][::-1][: short - a] != h[a:][::-1][: short - a])
+        b = int(differ[0]) if len(differ) else short - a
+        r, h = r[a : len(r) - b], h[a : len(h) - b]
+        left.append((h, r) if len(r) > len(h) else (r, h))  # the shorter side's words make the steps
+        ends.append(a + b)
+    # pairs of like sizes go together, as many as keep a row of all of them within CELLS
+    order, cost, at = sorted(range(len(pairs)), key=lambda i: (len(left[i][1]), len(left[i][0]))), [0] * len(pairs), 0
+    while at < len(order):
+        k = at + 1
+        while k < len(order) and k - at < 256 and (k - at + 1) * (len(left[order[k]][1]) + 1) <= CELLS:
+            k += 1
+        for i, c in zip(order[at:k], _costs([left[i] for i in order[at:k]]), strict=True):
+            cost[i] = c
+        at = k
+    out = []
+    for (reference, hypothesis), c, same in zip(pairs, cost, ends, strict=True):
+        n, m, edits = len(reference), len(hypothesis), -(-c // int(_EDIT))
+        hits = same + edits * int(_EDIT) - c
+        subs = n + m - 2 * hits - edits  # n + m = 2 * (hits + subs) + dels + ins, and edits = subs + dels + ins
+        out.append((hits, subs, n - hits - subs, m - hits - subs))
+    return out
+
+
+def kinds(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int, int]:
+    return kinds_of([(reference, hypothesis)])[0]
 
 
 def _kinds(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    rows = [kinds(list(a), list(b)) for a, b in zip(reference, hypothesis, strict=True)]
+    rows = kinds_of([(list(a), list(b)) for a, b in zip(reference, hypothesis, strict=True)])
     return pd.DataFrame(rows, columns=["hits", "substitutions", "deletions", "insertions"])
 
 

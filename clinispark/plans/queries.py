@@ -348,8 +348,8 @@ def _(spark, sf):
 # Kinds of word errors of each document against the next, whole texts. Edits can be told in SQL by letters for words only where
 # few words are shared, and the kinds not at all: tests hold the rows against a full table with traceback.
 def _kinds(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.words(T.normalize_text(F.col("text"))).alias("w"))
-    return metrics.error_kinds(with_next(d, "w").where("has_next").select("doc_id", F.col("w").alias("r"), F.col("next_w").alias("h"))).drop("r", "h")
+    d = table(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("t"))  # a text is smaller than its words
+    return metrics.error_kinds(with_next(d, "t").where("has_next").select("doc_id", T.words(F.col("t")).alias("r"), T.words(F.col("next_t")).alias("h"))).drop("r", "h")
 
 
 @query("word_errors")

@@ -34,6 +34,8 @@ def test_kinds_equal_full_table():
     for _ in range(400):
         r, h = ([rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in "rh")
         assert alignment.kinds(r, h) == full(r, h)
+    pairs = [tuple([rng.choice("abcde") for _ in range(rng.choice([0, 1, 3, 30]))] for _ in "rh") for _ in range(300)]
+    assert alignment.kinds_of(pairs) == [full(*p) for p in pairs]
     base = [rng.choice(["a", "b", "c", "d"]) + str(rng.randint(0, 50)) for _ in range(80)]
     for _ in range(10):
         h = [w for w in base if rng.random() > 0.1]
