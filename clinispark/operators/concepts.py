@@ -30,11 +30,17 @@ def _scored(pairs: DataFrame, left: list[str], right: list[str], key: str, out:
     """
 
     def compare(batches):
+        held, block = None, None
         for pdf in batches:
             for row in pdf.to_dict("records"):
+                if row["block"] != block:  # with broadcast right blocks, the pairs of a left block follow one another
+                    if held is not None:
+                        yield held.drop(columns="at")
+                    held, block = None, row["block"]
                 if row["width"] != row["_width"]:
                     continue
-                a, b = (np.frombuffer(row[v]).reshape(len(row[k]), row["width"]) for v, k in (("vectors", left[0]), ("_vectors", f"_{right[0]}")))
+                kind = metric_index.STORED[row["bytes"]]
+                a, b = (np.frombuffer(row[v], kind).reshape(len(row[k]), row["width"]).astype(float) for v, k in (("vectors", left[0]), ("_vectors", f"_{right[0]}")))
                 ids = {c: np.asarray(row[f"_{c}"]) for c in right}
                 rank = np.unique(ids[out], return_inverse=True)[1]
                 slack = 4 * np.finfo(float).eps * row["width"] * np.linalg.norm(b, axis=1).max()
@@ -50,7 +56,10 @@ def _scored(pairs: DataFrame, left: list[str], right: list[str], key: str, out:
                         exact += x[r, k] * b[c, k]
                     order = np.lexsort((rank[c], -exact, r))
                     order = order[np.unique(r[order], return_index=True)[1]]
-                    yield pd.DataFrame({key: mine[key][r[order]], **{n: v[c[order]] for n, v in ids.items()}, "similarity": exact[order], "cell": row["cell"]}).astype({"cell": "int32"})
+                    new = pd.DataFrame({key: mine[key][r[order]], **{n: v[c[order]] for n, v in ids.items()}, "similarity": exact[order], "cell": row["cell"], "at": i + r[order]}).astype({"cell": "int32"})
+                    held = pd.concat([held, new]).sort_values(["at", "similarity", out], ascending=[True, False, True]).drop_duplicates("at")
+        if held is not None:
+            yield held.drop(columns="at")
 
     return pairs.mapInPandas(compare, f"{kinds}, similarity double, cell int")
 
@@ -66,7 +75,7 @@ def _products(left: DataFrame, right: DataFrame, key: str, out: str, allow, *, p
     pivots = metric_index.choose_pivots(right) if pivots is None else pivots
     a, b = metric_index.Cells(left, pivots), metric_index.Cells(right, pivots)
     size = right.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
-    mine, others = a.blocks(), b.blocks("_")
+    mine, others = a.blocks().withColumn("block", F.monotonically_increasing_id()), b.blocks("_").drop("_bytes")
 
     def met(pairs: list) -> DataFrame:
         both = mine.join(F.broadcast(metric_index.tiles(a, b, pairs, spark)), "cell").join(F.broadcast(others) if size <= REFERENCE_BYTES else others, "_cell")

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Pivots at most, the bytes they may take, how many vectors each stands for at least, and the vectors of a block.
 PIVOTS, PIVOT_BYTES, CELL, BLOCK = 256, 8 << 20, 1024, 2048
 
+#: How numbers of so many bytes are stored.
+STORED = {4: "<f4", 8: "<f8"}
+
 
 def whole(column: pd.Series) -> np.ndarray:
     """Which vectors are not null and hold finite numbers only."""
@@ -83,11 +86,12 @@ class Cells:
             spread = F.when(F.col("cell") == c, n).otherwise(spread) if n > 1 else spread
         salted = self.rows.drop("far").withColumn("salt", F.pmod(F.xxhash64(*keys), spread).cast("int"))
         kinds = ", ".join(f"`{c}` array<{self.rows.schema[c].dataType.simpleString()}>" for c in keys)
+        size = 4 if self.rows.schema["embedding"].dataType.elementType.simpleString() == "float" else 8
 
         def pack(pdf):
-            return pd.DataFrame([{**{c: pdf[c].to_numpy() for c in keys}, "cell": pdf["cell"].iloc[0], "width": len(pdf["embedding"].iloc[0]), "vectors": np.stack(pdf["embedding"]).astype("<f8").tobytes()}])
+            return pd.DataFrame([{**{c: pdf[c].to_numpy() for c in keys}, "cell": pdf["cell"].iloc[0], "width": len(pdf["embedding"].iloc[0]), "bytes": size, "vectors": np.stack(pdf["embedding"]).astype(STORED[size]).tobytes()}])
 
-        out = salted.groupBy("cell", "salt").applyInPandas(pack, f"{kinds}, cell int, width int, vectors binary")
+        out = salted.groupBy("cell", "salt").applyInPandas(pack, f"{kinds}, cell int, width int, bytes int, vectors binary")
         return out.withColumnsRenamed({c: f"{prefix}{c}" for c in out.columns})
 
 
