@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near copies, decontamination, packing.
 
 Each stage takes and gives documents; the last gives packed pieces.
+
+Defined cases: a document with a null or empty text fails the quality rules and goes; of documents that repeat a doc_id and a
+text one stays, in the near-copy stage; a null doc_id comes after all others where the smallest stays; null lang and source are
+groups of their own; ties go by doc_id, then by a hash of the text; texts of any length are read whole; columns beside those
+of documents stay as they are, whatever their names, until the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
