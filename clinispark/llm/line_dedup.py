@@ -10,7 +10,7 @@ than a task's fair share, fewer than there are shuffle partitions, are therefore
 by a shuffle.
 
 Defined cases: a null or empty text is one empty line; a null doc_id comes after all others; rows that repeat a doc_id
-are one document, each row keeps its own text; an empty table gives an empty result; columns beside doc_id and text stay as
+are one document, each row keeps its own text, and so are all rows without one: a line that only these hold stays in each; an empty table gives an empty result; columns beside doc_id and text stay as
 they are, whatever their names; a document of any length is cut whole, and only hashes of its lines are shuffled for the
 search.
 """
