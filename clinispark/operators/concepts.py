@@ -39,8 +39,7 @@ def _scored(pairs: DataFrame, left: list[str], right: list[str], key: str, out:
                     held, block = None, row["block"]
                 if row["width"] != row["_width"]:
                     continue
-                kind = metric_index.STORED[row["bytes"]]
-                a, b = (np.frombuffer(row[v], kind).reshape(len(row[k]), row["width"]).astype(float) for v, k in (("vectors", left[0]), ("_vectors", f"_{right[0]}")))
+                a, b = (np.frombuffer(row[f"{p}vectors"], metric_index.STORED[row[f"{p}bytes"]]).reshape(len(row[k]), row["width"]).astype(float) for p, k in (("", left[0]), ("_", f"_{right[0]}")))
                 ids = {c: np.asarray(row[f"_{c}"]) for c in right}
                 rank = np.unique(ids[out], return_inverse=True)[1]
                 slack = 4 * np.finfo(float).eps * row["width"] * np.linalg.norm(b, axis=1).max()
@@ -75,7 +74,7 @@ def _products(left: DataFrame, right: DataFrame, key: str, out: str, allow, *, p
     pivots = metric_index.choose_pivots(right) if pivots is None else pivots
     a, b = metric_index.Cells(left, pivots), metric_index.Cells(right, pivots)
     size = right.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
-    mine, others = a.blocks().withColumn("block", F.monotonically_increasing_id()), b.blocks("_").drop("_bytes")
+    mine, others = a.blocks().withColumn("block", F.monotonically_increasing_id()), b.blocks("_")
 
     def met(pairs: list) -> DataFrame:
         both = mine.join(F.broadcast(metric_index.tiles(a, b, pairs, spark)), "cell").join(F.broadcast(others) if size <= REFERENCE_BYTES else others, "_cell")
