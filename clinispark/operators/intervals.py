@@ -5,18 +5,27 @@ two intervals the longer one's level decides where they meet, so each interval i
 the coarser ones that the other table has: two bins a level, whatever its length. Pairs come from an equality on key, level
 and bin, and count in the first bin that both lie in. A bin that holds more than SPLIT intervals of the left table is dealt
 to several tasks, to each of which its right intervals go.
+
+The largest overlap needs no pairs: of the right table only intervals that no other contains can win, these ascend by start
+and by end, and each left interval finds its best one among them by binary search.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from clinispark.sources.tables import small
 
 #: Left intervals of a bin that one task meets at once.
 SPLIT = 20_000
+#: Right intervals that largest() takes as one slice of time.
+SLICE = 100_000
 
 
 def level(start: Column, end: Column) -> Column:
@@ -65,18 +74,129 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], *, start: str =
     return met.withColumn("overlap", share).where("overlap > 0").select("left", "right", "overlap")
 
 
-def largest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], order: list[str], *, start: str = "start", end: str = "end") -> DataFrame:
+def _slice_of(bounds: list[int]):
+    """Number of the slice of time that holds a moment."""
+    edges = np.array(bounds, np.int64)
+    return F.pandas_udf(lambda at: pd.Series(np.searchsorted(edges, at.to_numpy(np.int64), side="right").astype("int32")), "int")
+
+
+def _cuts(df: DataFrame, rows: int) -> list[int]:
+    """Moments between which about `rows` intervals of df start; none if there are no more."""
+    n = df.count()
+    k = -(-n // rows)
+    if k < 2:
+        return []
+    return sorted(set(df.agg(F.percentile_approx("start", [i / k for i in range(1, k)], 10 * k)).first()[0]))
+
+
+def outermost(df: DataFrame, order: list[str], rows: int = SLICE) -> DataFrame:
+    """Those of df (key, start, end, held) that no interval of an equal key and a smaller (start, order) contains.
+
+    A contained one never overlaps anything more than the one around it, and loses the tie, so for largest() it can go. What is
+    left ascends by start and by end. Each slice of time finds its own, then looks at the farthest end of those before it.
+    """
+    ties = F.struct(*[F.col(f"held.{c}").alias(f"t{i}") for i, c in enumerate(order)])
+    one = df.groupBy("key", "start", "end").agg(F.min_by("held", ties).alias("held"))
+    cuts = _cuts(df, rows)
+    one = one.withColumn("slice", _slice_of(cuts)("start") if cuts else F.lit(0))
+    before = Window.partitionBy("key", "slice").orderBy("start", ties).rowsBetween(Window.unboundedPreceding, -1)
+    kept = one.withColumn("_before", F.max("end").over(before)).where("_before IS NULL OR end > _before").drop("_before")
+    if cuts:
+        w = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        reach = kept.groupBy("key", "slice").agg(F.max("end").alias("e")).withColumn("_reach", F.max("e").over(w)).drop("e")
+        kept = kept.join(reach, ["key", "slice"]).where("_reach IS NULL OR end > _reach").drop("_reach")
+    return kept.drop("slice")
+
+
+def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for equal keys of both sides."""
+    out = np.zeros(len(left) + len(right), np.int64)
+    for a, b in zip(left.combine_chunks().flatten(), right.combine_chunks().flatten(), strict=True):
+        one = pa.concat_arrays([a, b]).dictionary_encode().indices.to_numpy()
+        out = np.unique(np.stack([out, one.astype(np.int64)]), axis=1, return_inverse=True)[1].ravel()
+    return out[: len(left)], out[len(left) :]
+
+
+def best_of(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each [a, b) the first of [c, d) that it overlaps most, and how much (0 or less: none).
+
+    c and d ascend, d strictly, and one is there at least. The best is the first that ends at b or later, the last that starts
+    at a or earlier, or the longest between these two.
+    """
+    n = len(c)
+    first, last = np.searchsorted(d, b, side="left"), np.searchsorted(c, a, side="right") - 1
+    share = lambda i: np.where((i >= 0) & (i < n), np.minimum(b, d[i.clip(0, n - 1)]) - np.maximum(a, c[i.clip(0, n - 1)]), 0)
+    # longest of each run of 2 ** k: the first of equals
+    runs, k = [np.arange(n)], 1
+    size = d - c
+    while 2 * k <= n:
+        x, y = runs[-1][: n - 2 * k + 1], runs[-1][k : n - k + 1]
+        runs.append(np.where(size[y] > size[x], y, x))
+        k *= 2
+    at, most = np.full(len(a), n), np.zeros(len(a), np.int64)
+
+    def offer(i):
+        o = share(i)
+        better = (o > most) | (o == most) & (o > 0) & (i < at)
+        at[better], most[better] = i[better], o[better]
+
+    offer(last)
+    lo, hi = np.maximum(last + 1, 0), np.minimum(first, n)
+    wide = hi - lo
+    for k, run in enumerate(runs):
+        own = np.flatnonzero((wide >= 1 << k) & (wide < 2 << k))
+        if len(own):
+            for i in (run[lo[own]], run[hi[own] - (1 << k)]):
+                full = np.full(len(a), -1)
+                full[own] = i
+                offer(full)
+    offer(first)
+    return at, most
+
+
+def largest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], order: list[str], *, start: str = "start", end: str = "end", split: int = SPLIT, rows: int = SLICE) -> DataFrame:
     """(left, right, overlap): each row of left with the row of right it overlaps most, nulls where there is none.
 
-    by names the columns that tell left rows apart; ties go to the smaller `order` of right.
+    by names the columns that tell left rows apart; ties go to the earlier of right, then to the smaller `order`. No pairs are
+    made: the outermost rows of right ascend by both bounds, so each left row looks its best one up. Both go by slices of time
+    that hold about `rows` of those; a slice of more than `split` left rows is dealt to several tasks.
     """
-    pairs = overlaps(left, right, keys, start=start, end=end)
-    each = pairs.groupBy(*[F.col(f"left.{c}").alias(f"_{i}") for i, c in enumerate(by)])
-    # the smallest of (least overlap, order): map-side, one row a left row leaves a task
-    rank = F.struct((-F.col("overlap")).alias("o"), *[F.col(f"right.{c}").alias(f"t{i}") for i, c in enumerate(order)])
-    best = each.agg(F.min_by(F.struct("right", "overlap"), rank).alias("best"))
+    a, b = _sides(left, keys, start, end), outermost(_sides(right, keys, start, end), order, rows)
+    cuts = _cuts(b, rows)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(len(cuts) + 1 if keys else 1)).cast("int")
+    names = [f"_{i}" for i in range(len(by))]
+
+    def dealt(df):
+        at = F.explode(F.sequence(_slice_of(cuts)("start"), _slice_of(cuts)(F.col("end") - 1))) if cuts else F.lit(0)
+        return df.withColumn("bucket", bucket).withColumn("slice", at)
+
+    x = dealt(a.select("key", "start", "end", *[F.col(f"held.{c}").alias(n) for c, n in zip(by, names, strict=True)]))
+    y = dealt(b)
+    groups = ["bucket", "slice"]
+    hot = x.groupBy(*groups).count().select(*groups, F.ceil(F.col("count") / split).cast("int").alias("n"))
+    x = x.join(small(hot), groups).withColumn("part", F.pmod(F.xxhash64("start", "end", *names), F.col("n")).cast("int")).drop("n")
+    y = y.join(small(hot), groups).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+
+    def meet(p: pa.Table, q: pa.Table) -> pa.Table:
+        k, l = _codes(p["key"], q["key"])
+        (s, e), (t, f) = ([z[c].to_numpy() for c in ("start", "end")] for z in (p, q))
+        mine, theirs = np.argsort(k, kind="stable"), np.lexsort((f, t, l))
+        at, most = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+        for one in np.intersect1d(k, l):
+            i = mine[slice(*np.searchsorted(k[mine], [one, one + 1]))]
+            j = theirs[slice(*np.searchsorted(l[theirs], [one, one + 1]))]
+            r, most[i] = best_of(s[i], e[i], t[j], f[j])
+            at[i] = j[r.clip(0, len(j) - 1)]
+        has = np.flatnonzero(most > 0)
+        return pa.table({**{n: p[n].take(has) for n in names}, "right": q["held"].take(at[has]), "overlap": most[has]})
+
+    kinds = T.StructType([*[T.StructField(n, left.schema[c].dataType) for c, n in zip(by, names, strict=True)], T.StructField("right", b.schema["held"].dataType), T.StructField("overlap", T.LongType())])
+    groups.append("part")
+    met = x.groupBy(*groups).cogroup(y.groupBy(*groups)).applyInArrow(meet, kinds)
+    rank = F.struct((-F.col("overlap")).alias("o"), F.col(f"right.{start}").cast("long").alias("s"), *[F.col(f"right.{c}").alias(f"t{i}") for i, c in enumerate(order)])
+    best = met.groupBy(*names).agg(F.min_by(F.struct("right", "overlap"), rank).alias("best"))
     whole = left.select(F.struct("*").alias("left"))
-    same = [F.col(f"left.{c}") == F.col(f"_{i}") for i, c in enumerate(by)]
+    same = [F.col(f"left.{c}") == F.col(n) for c, n in zip(by, names, strict=True)]
     return whole.join(best, same, "left").select("left", F.col("best.right").alias("right"), F.col("best.overlap").alias("overlap"))
 
 

@@ -60,3 +60,52 @@ def test_words_get_their_speakers(spark):
     assert {(r.recording_id, r.word): r.speaker for r in found.collect()} == {(1, "how"): "A", (1, "are"): "A", (1, "you"): "B", (1, "fine"): "B", (1, "hm"): None, (1, "thanks"): "B", (2, "alone"): None}
     turns = {(r.recording_id, r.turn_idx): (r.speaker, r.text) for r in intervals.spoken_turns(found).collect()}
     assert turns == {(1, 0): ("A", "how are"), (1, 1): ("B", "you fine hm thanks"), (2, 0): ("UNKNOWN", "alone")}
+
+
+def test_largest_makes_no_pairs(spark):
+    # everything overlaps everything: 1.44 million pairs, of which none may be made
+    n = 1200
+    rows = lambda seed: [(i, "a", i % 40, 5000 + random.Random(seed + i).randint(0, 300)) for i in range(n)]
+    left, right = rows(1), rows(5000)
+    assert sum(min(a[3], b[3]) > max(a[2], b[2]) for a in left for b in right) == n * n
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    want = {}
+    for x in left:
+        want[x[0]] = min((max(x[2], y[2]) - min(x[3], y[3]), y[2], y[0]) for y in right)
+    for sizes in ({}, {"split": 100, "rows": 3}):
+        for keys in (["room"], []):
+            got = intervals.largest(a, b, keys, ["id"], ["start", "id"], **sizes)
+            assert {r.left.id: (-r.overlap, r.right.start, r.right.id) for r in got.collect()} == want
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "FlatMapCoGroupsInArrow" in plan and "left_start" not in plan  # no rows of both sides' bins
+    assert intervals.outermost(intervals._sides(b, [], "start", "end"), ["start", "id"], 100).count() < 100
+
+
+def test_best_of_staggered_intervals():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        c, d = np.sort(rng.integers(0, 60, n)), np.cumsum(rng.integers(1, 6, n)) + 30
+        c = np.minimum(c, d - 1)
+        c = np.maximum.accumulate(c)
+        c, d = c[c < d], d[c < d]
+        a = rng.integers(-5, 120, 40)
+        b = a + rng.integers(1, 70, 40)
+        at, most = intervals.best_of(a, b, c, d)
+        for i in range(40):
+            share = np.minimum(b[i], d) - np.maximum(a[i], c)
+            assert most[i] == max(0, share.max()) and (most[i] == 0 or at[i] == share.argmax())
+
+
+@pytest.mark.parametrize("sizes", [{"split": 5, "rows": 4}, {"split": 40, "rows": 25}])
+def test_largest_by_slices(spark, sizes):
+    left, right = some(120, 3)[:-2], some(120, 4)[:-2]
+    by = {r[0]: r for r in right}
+    for keys in (["room"], []):
+        best = {}
+        for a, b, n in pairs(left, right, bool(keys)):
+            best[a] = min(best.get(a, (0, 0, 0)), (-n, by[b][2], b))
+        got = intervals.largest(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), keys, ["id"], ["start", "id"], **sizes).collect()
+        assert {r.left.id: r.right and (-r.overlap, r.right.start, r.right.id) for r in got} == {r[0]: best.get(r[0]) for r in left}
