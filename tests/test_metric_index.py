@@ -71,3 +71,32 @@ def test_gate_through_cells(spark, monkeypatch):
         if dots[i][own].max() < row[j]:
             want[i] = round(float(dots[i][own].max()), 9)
     assert got == want
+
+
+def test_shelves_bound_what_a_task_holds(spark, monkeypatch):
+    # more vectors than shelves hold, copies and equal products among them: tasks are many, their tables small
+    monkeypatch.setattr(metric_index, "CELL", 20)
+    monkeypatch.setattr(metric_index, "FEW", 16)
+    monkeypatch.setattr(metric_index, "SHELF", 80)
+    x = np.random.default_rng(8).integers(-2, 3, size=(240, 4)).astype(float)
+    x[100:180] = x[7]
+    v = table(spark, x)
+    found = v.selectExpr("ref_idx AS span_id", "embedding")
+    sides = []
+    inner = metric_index.dealt
+    monkeypatch.setattr(metric_index, "dealt", lambda *args: sides.append(inner(*args)) or sides[-1])
+    near = concepts.nearest(found, v, apart=True)
+    dots = x @ x.T
+    np.fill_diagonal(dots, -np.inf)
+    best = dots.argmax(1)
+    assert {r.span_id: (r.ref_idx, r.similarity) for r in near.collect()} == {i: (int(j), dots[i, j]) for i, j in enumerate(best)}
+    held = [r.n for pair in sides for s in pair for r in s.groupBy("i", "j").agg({"*": "count"}).toDF("i", "j", "n").collect()]
+    assert max(held) <= 2 * 80 and len(held) > 20
+    # negatives meet by their concept, not by a mask over all pairs
+    sides.clear()
+    got = {r.span_id: r.max_negative for r in concepts.gate(near, found, v.selectExpr("concept_idx", "ref_idx AS neg_idx", "embedding"), -1e9).collect()}
+    want = {i: max(dots[i, k] for k in range(240) if k % 5 == j % 5 and k not in (i, j)) for i, j in enumerate(best)}
+    assert got == want
+    for p, q in sides:
+        left, right = ({(r.i, r.j): {*r.c} for r in s.groupBy("i", "j").agg({"concept_idx": "collect_set"}).toDF("i", "j", "c").collect()} for s in (p, q))
+        assert all(len(c) == 1 and left.get(at, c) == c for at, c in right.items())
