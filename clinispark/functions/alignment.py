@@ -10,25 +10,50 @@ from pyspark.sql import functions as F
 KINDS = "struct<hits: bigint, substitutions: bigint, deletions: bigint, insertions: bigint>"
 #: A base of weights: of alignments with the fewest edits that with the most hits counts, so the kinds are unique.
 _EDIT = np.int64(1) << 32
-#: Numbers of a row of tables that are worked on at once.
+#: Numbers of a diagonal of tables that are worked on at once.
 CELLS = 1 << 16
+#: Numbers that are worked on in the time that starting a step takes.
+STEP = 8192
 
 
 def _costs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
-    """Least cost of each pair; a cost is edits * _EDIT minus hits. One row of each pair's table is held, all pairs at a time."""
+    """Least cost of each pair, edits * _EDIT - hits; of each pair three diagonals are held, all pairs at a time.
+
+    A deletion or an insertion counts 0, a substitution `one` and a hit 2 * one + 1, and the most counts: an alignment of n
+    and m words then costs (n + m) * one less that, in edits of `one`. So cells of a diagonal don't wait for one another.
+    """
     n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
-    r, h = np.full((len(pairs), n.max(initial=0)), -1), np.full((len(pairs), m.max(initial=0)), -2)
+    wide, high = int(n.max(initial=0)), int(m.max(initial=0))
+    one = min(wide, high) + 1  # more than the hits there can be
+    top = min(wide, high) * (2 * one + 1)
+    kind = np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64
+    word = np.int16 if wide + high < 1 << 15 else np.int32
+    r, h = np.full((wide, len(pairs)), -1, word), np.full((high, len(pairs)), -2, word)
     for i, (x, y) in enumerate(pairs):
-        r[i, : len(x)], h[i, : len(y)] = x, y
-    ramp = np.arange(h.shape[1] + 1, dtype=np.int64) * _EDIT
-    at, out = np.tile(ramp, (len(pairs), 1)), m * _EDIT
-    for i in range(r.shape[1]):
-        new = at + _EDIT
-        np.minimum(new[:, 1:], at[:, :-1] + np.where(h == r[:, i : i + 1], np.int64(-1), _EDIT), out=new[:, 1:])
-        at = np.minimum.accumulate(new - ramp, axis=1) + ramp  # insertions run along the row
-        done = n == i + 1
-        out[done] = at[done, m[done]]
-    return out.tolist()
+        r[: len(x), i], h[high - len(y) :, i] = x, y[::-1]  # the other way round, so that a diagonal is two slices
+    # row i of a diagonal k is the cell of i and k - i words
+    last, this, free = (np.zeros((wide + 1, len(pairs)), kind) for _ in range(3))
+    same, gain, out, ends = np.empty((wide, len(pairs)), bool), np.empty((wide, len(pairs)), kind), np.zeros(len(pairs), np.int64), n + m
+    for k in range(2, wide + high + 1):
+        a, b = max(1, k - high), min(wide, k - 1)
+        w, g, new = same[: b - a + 1], gain[: b - a + 1], free[a : b + 1]
+        np.equal(r[a - 1 : b], h[high - k + a : high - k + b + 1], out=w)
+        np.multiply(w, kind(one + 1), out=g)
+        g += kind(one)
+        g += last[a - 1 : b]
+        np.maximum(this[a : b + 1], this[a - 1 : b], out=new)
+        np.maximum(new, g, out=new)
+        if b + 1 <= wide:
+            free[b + 1] = 0
+        if a == 1:
+            free[0] = 0
+        last, this, free = this, free, last
+        done = np.flatnonzero(ends == k)
+        out[done] = this[n[done], done]
+    # most = edits saved * one + hits
+    hits = np.where((n > 0) & (m > 0), out % one, 0)
+    edits = n + m - out // one
+    return (edits * _EDIT - hits).tolist()
 
 
 def kinds_of(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[int, int, int, int]]:
@@ -48,12 +73,17 @@ def kinds_of(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[int, int, i
         r, h = r[a : len(r) - b], h[a : len(h) - b]
         left.append((h, r) if len(r) > len(h) else (r, h))  # the shorter side's words make the steps
         ends.append(a + b)
-    # pairs of like sizes go together, as many as keep a row of all of them within CELLS
-    order, cost, at = sorted(range(len(pairs)), key=lambda i: (len(left[i][1]), len(left[i][0]))), [0] * len(pairs), 0
+    # pairs go together, the longer sides within a doubling, as many as keep a diagonal of all of them within CELLS and as long
+    # as filling the shorter sides up costs less than steps of their own
+    sizes = [(int(np.log2(len(y) + 1)), len(x)) for x, y in left]
+    order, cost, at = sorted(range(len(pairs)), key=sizes.__getitem__), [0] * len(pairs), 0
     while at < len(order):
-        k = at + 1
-        while k < len(order) and k - at < 256 and (k - at + 1) * (len(left[order[k]][1]) + 1) <= CELLS:
-            k += 1
+        k, spare, (twos, n) = at + 1, 0, sizes[order[at]]
+        while k < len(order) and sizes[order[k]][0] == twos and (k - at + 1) * (sizes[order[k]][1] + 1) <= CELLS:
+            spare += (k - at) * (sizes[order[k]][1] - n) << twos
+            if spare > STEP * ((2 << twos) + n):
+                break
+            k, n = k + 1, sizes[order[k]][1]
         for i, c in zip(order[at:k], _costs([left[i] for i in order[at:k]]), strict=True):
             cost[i] = c
         at = k

@@ -61,3 +61,19 @@ def test_error_kinds_of_documents(spark, tmp_path):
     total = sum(sums[:3])
     assert tuple(catalog.QUERIES["word_error_split"](spark, str(tmp_path)).first()) == (*sums, *(round(x / total, 4) for x in sums[1:]))
     assert metrics.error_split(got.limit(0)).first().hits == 0
+
+
+def test_many_pairs_share_their_steps(monkeypatch):
+    # steps over numpy arrays are paid once for all pairs of like sizes; numbers are as small as the sizes allow
+    rng = random.Random(6)
+    pairs = [tuple([rng.choice("abcdef") for _ in range(20)] for _ in "rh") for _ in range(2000)]
+    calls, inner = [], alignment._costs
+    monkeypatch.setattr(alignment, "_costs", lambda p: calls.append(len(p)) or inner(p))
+    assert alignment.kinds_of(pairs) == [full(*p) for p in pairs]
+    assert sum(calls) == 2000 and len(calls) <= 4
+    for n, m in ((125, 130), (127, 127), (128, 128), (129, 140), (1, 400), (180, 90)):  # around where 16 bits end
+        r, h = ([rng.choice("ab") for _ in range(k)] for k in (n, m))
+        assert alignment.kinds(r, h) == full(r, h)
+        assert alignment.kinds(["x", *r[:-1], "y"], ["u", *r[:-1], "v"]) == full(["x", *r[:-1], "y"], ["u", *r[:-1], "v"])
+    r = [f"w{i}" for i in range(33_000)]
+    assert alignment.kinds(["x", *r, "y"], ["u", *r[:40], "v"]) == (40, 2, 32_960, 0)
