@@ -43,16 +43,25 @@ def prefixes(tokens: Column, least: int = 3) -> Column:
     return F.array_distinct(F.flatten(F.transform(tokens, cuts)))
 
 
+#: Tokens that are held against all candidates before sets of prefixes are made.
+FIRST = 8
+
+
 def covered(gold: Column, candidate: Column, least: int = 3) -> Column:
     """Each gold token equals a candidate token, or one begins the other and both have `least` characters.
 
     Sets of prefixes decide, so the work grows with the tokens and not with pairs of them: gold tokens that are candidates or
-    begin one fall out; for the others, only candidates among their own prefixes are looked at.
+    begin one fall out; for the others, only candidates among their own prefixes are looked at. Before that, the first FIRST
+    tokens that are no candidates are held against all candidates: one without a match settles the row.
     """
-    sides = F.struct(candidate.alias("c"), F.array_except(F.array_except(gold, candidate), prefixes(candidate, least)).alias("rest"))
+    sides = F.struct(candidate.alias("c"), F.array_except(gold, candidate).alias("rest"))
+    long = lambda t: F.length(t) >= least
+    first = lambda x: F.forall(F.slice(x["rest"], 1, FIRST), lambda g: long(g) & F.exists(x["c"], lambda c: (c.startswith(g) | g.startswith(c)) & long(c)))
+    left = lambda x: F.struct(x["c"].alias("c"), F.array_except(x["rest"], prefixes(x["c"], least)).alias("rest"))
     held = lambda x: F.struct(x["rest"].alias("rest"), F.array_intersect(prefixes(x["rest"], least), x["c"]).alias("begins"))
     all_begun = lambda y: F.forall(y["rest"], lambda g: F.exists(y["begins"], lambda p: g.startswith(p)))
-    return (F.size(gold) > 0) & T.let(T.let(sides, held), all_begun)
+    whole = lambda x: T.let(T.let(left(x), held), all_begun)
+    return (F.size(gold) > 0) & T.let(sides, lambda x: F.when(first(x), whole(x)).otherwise(False))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -24,3 +24,11 @@ def test_fields_in_every_state(spark):
     assert got == {0: ("value", 5), 1: ("null", None), 2: ("absent", None), 3: ("malformed", None), 4: ("malformed", None), 5: ("value", None), 6: ("value", None), 7: ("absent", None)}
     shapes = variants.shapes(df.where("id IN (0, 1, 2)"), "raw").first()
     assert shapes.n == 3 and shapes["shape"] == "OBJECT<k: BIGINT>"
+
+
+def test_prefix_sets_only_where_first_tokens_match(spark, monkeypatch):
+    # a row that its first tokens settle makes no prefixes: here making them would raise
+    monkeypatch.setattr(scores, "prefixes", lambda tokens, least=3: F.transform(tokens, lambda t: F.raise_error(F.lit("prefixes")).cast("string")))
+    rows = [(0, ["nothing", "abcd"], ["abcde", "x"]), (1, ["ab", "abcd"], ["abcde"]), (2, [], ["a"]), (3, ["q"], [])]
+    df = spark.createDataFrame(rows, "id int, g array<string>, c array<string>").repartition(2)
+    assert {r.id: r.v for r in df.select("id", scores.covered(F.col("g"), F.col("c")).alias("v")).collect()} == dict.fromkeys(range(4), False)
