@@ -98,8 +98,9 @@ def corpus_wer(pairs: DataFrame, reference: str = "reference", hypothesis: str =
 
 
 def error_kinds(pairs: DataFrame, reference: str = "r", hypothesis: str = "h") -> DataFrame:
-    """pairs with hits, substitutions, deletions and insertions of their word arrays."""
-    return pairs.withColumn("_k", alignment.word_errors(F.col(reference), F.col(hypothesis))).select(*pairs.columns, "_k.*")
+    """pairs with hits, substitutions, deletions and insertions of their word arrays, or of texts with blanks between words."""
+    inner = alignment.text_errors if pairs.schema[reference].dataType.simpleString() == "string" else alignment.word_errors
+    return pairs.withColumn("_k", inner(F.col(reference), F.col(hypothesis))).select(*pairs.columns, "_k.*")
 
 
 def error_split(kinds: DataFrame, digits: int = 4) -> DataFrame:

@@ -77,3 +77,28 @@ def test_many_pairs_share_their_steps(monkeypatch):
         assert alignment.kinds(["x", *r[:-1], "y"], ["u", *r[:-1], "v"]) == full(["x", *r[:-1], "y"], ["u", *r[:-1], "v"])
     r = [f"w{i}" for i in range(33_000)]
     assert alignment.kinds(["x", *r, "y"], ["u", *r[:40], "v"]) == (40, 2, 32_960, 0)
+
+
+def test_few_equal_words_are_chained(monkeypatch):
+    # a table of all words is kept for pairs that share many; the others take the square of what they share
+    rng = random.Random(8)
+    words = [[f"{side}{i}" for i in range(200)] for side in "rh"]
+    pairs = [tuple([rng.choice(["a", "b", *w * 0, *rng.sample(w, 12)]) for _ in range(rng.randint(0, 60))] for w in words) for _ in range(300)]
+    pairs += [tuple(list(w) for w in words), ([], ["a"]), (["a", "x", "b"], ["y", "b", "z", "a"]), (["a"] * 9 + words[0], words[1] + ["a"] * 3)]
+    cells, inner = [], alignment._costs
+    monkeypatch.setattr(alignment, "_costs", lambda p: cells.append(sum(len(x) * len(y) for x, y in p)) or inner(p))
+    assert alignment.kinds_of(pairs) == [full(*p) for p in pairs]
+    assert sum(cells) < 0.3 * sum(len(r) * len(h) for r, h in pairs)
+    for chain in (0, 1e9):  # all by chains, none by chains
+        monkeypatch.setattr(alignment, "CHAIN", chain)
+        assert alignment.kinds_of(pairs) == [full(*p) for p in pairs]
+
+
+def test_texts_and_word_arrays_agree(spark):
+    rows = [("a b  c", "b c d"), ("", "a"), (None, ""), (" ", None), ("\u092e\u0948 a", "a \u092e\u0948")]
+    df = spark.createDataFrame(rows, "r string, h string").coalesce(1)
+    want = [full(*[(x or "").split() for x in p]) for p in rows]
+    names = ("hits", "substitutions", "deletions", "insertions")
+    assert [tuple(r[n] for n in names) for r in metrics.error_kinds(df).collect()] == want
+    arrays = df.selectExpr("filter(split(r, ' '), w -> w <> '') AS r", "filter(split(h, ' '), w -> w <> '') AS h")
+    assert [tuple(r[n] for n in names) for r in metrics.error_kinds(arrays).collect()] == want
